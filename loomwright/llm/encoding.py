@@ -8,30 +8,35 @@ distinct piece is encoded once a worker. Texts with any other white space go to
 
 from __future__ import annotations
 
+import itertools
+import os
 from functools import lru_cache
 
-#: Pieces remembered a worker, and the longest piece that is remembered.
-MEMO, LONGEST = 400_000, 48
+import numpy as np
+
+#: Pieces remembered for good (met at least twice) and on trial a worker, and the longest piece that is remembered.
+MEMO, TRIAL, LONGEST = 400_000, 400_000, 48
+#: Stands between new pieces that go to the library in one text; gives one id that no piece without it can give.
+SEPARATORS = {True: "\n", False: " | "}
+_TOGETHER = 128
 
 
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str, spaces_matter: bool) -> None:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
         self.spaces_matter = spaces_matter
+        self.separator = SEPARATORS[spaces_matter]
+        (self.separator_id,) = self.lib.encode(self.separator, add_special_tokens=False).ids
         self.memo: dict[str, bytes] = {}
+        self.trial: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        import numpy as np
-
-        text = text.encode("utf-8", "replace").decode("utf-8") if not text.isascii() else text
         return np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def _pieces(self, text: str) -> list[str] | None:
@@ -44,29 +49,64 @@ class Encoder:
             return None
         return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        pieces = self._pieces(text)
-        if pieces is None:
-            return self.whole(text)
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """The new pieces' ids; pieces met before on trial are remembered from now on."""
+        out: dict[str, bytes] = {}
+        mark = self.separator.strip(" ")
+        fresh = []
+        for p in new:
+            if (known := self.trial.get(p)) is not None:
+                out[p] = known
+                if len(self.memo) < MEMO:
+                    self.memo[p] = known
+                    del self.trial[p]
+            elif len(p) > LONGEST or mark in p:
+                out[p] = self.whole(p)
+                if p == mark:
+                    self.memo[p] = out[p]
+            else:
+                fresh.append(p)
+        if fresh:
+            lots = [fresh[i : i + _TOGETHER] for i in range(0, len(fresh), _TOGETHER)]
+            joined = [self.separator.join(x) + self.separator for x in lots]
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.lib.encode_batch_fast(joined, add_special_tokens=False)])
+            ends = np.flatnonzero(ids == self.separator_id).tolist()
+            if len(ends) != len(fresh):
+                raise AssertionError("a piece gave the separator's id")
+            data, at, made = ids.tobytes(), 0, {}
+            for p, e in zip(fresh, ends, strict=True):
+                made[p] = data[4 * at : 4 * e]
+                at = e + 1
+            out |= made
+            if len(self.memo) < MEMO // 4:
+                self.memo |= made
+            else:
+                if len(self.trial) > TRIAL:
+                    self.trial.clear()
+                self.trial |= made
+        return out
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        split = [self._pieces(t) if t else [] for t in texts]
+        new: set[str] = set()
         memo = self.memo
-        try:
-            return b"".join(map(memo.__getitem__, pieces))
-        except KeyError:
-            pass
-        new = {p for p in pieces if p not in memo}
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = set(pieces)
-        import numpy as np
-
-        short = [p for p in new if len(p) <= LONGEST]
-        clean = [p if p.isascii() else p.encode("utf-8", "replace").decode("utf-8") for p in short]
-        for p, e in zip(short, self.lib.encode_batch_fast(clean, add_special_tokens=False), strict=True):
-            memo[p] = np.array(e.ids, "<u4").tobytes()
-        found = memo.get
-        return b"".join([x if (x := found(p)) is not None else self.whole(p) for p in pieces])
+        for pieces in split:
+            if pieces:
+                new.update(itertools.filterfalse(memo.__contains__, pieces))
+        found = self._learn(new) if new else {}
+        out = []
+        for text, pieces in zip(texts, split, strict=True):
+            if pieces is None:
+                out.append(self.whole(text))
+                continue
+            try:
+                out.append(b"".join(map(memo.__getitem__, pieces)))
+            except KeyError:
+                out.append(b"".join([x if (x := found.get(p)) is not None else memo[p] for p in pieces]))
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_many([text])[0]
 
 
 @lru_cache(maxsize=4)

@@ -35,7 +35,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
         enc, before = encoder(vocabulary, spaces_matter), 0
         end = end_id.to_bytes(4, "little")
         for b in batches:
-            ids = [enc.encode(t) + end for t in b.column(2).to_pylist()]
+            ids = [x + end for x in enc.encode_many(b.column(2).to_pylist())]
             counts = [len(x) // 4 for x in ids]
             firsts = []
             for n in counts:

@@ -165,7 +165,7 @@ def components(edges: DataFrame) -> DataFrame:
         if labels is None:
             labels = jump
         else:
-            step = jump.withColumnsRenamed({"v": "c", "c": "cc"})
+            step = jump.select(F.col("v").alias("c"), F.col("c").alias("cc"))
             labels = written(labels.join(step, "c", "left").select("v", F.coalesce("cc", "c").alias("c")), "labels")
         a, b = jump.withColumnsRenamed({"v": "a", "c": "ca"}), jump.withColumnsRenamed({"v": "b", "c": "cb"})
         edges = written(edges.join(a, "a").join(b, "b").filter("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "edges")

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, near_dedup, packing, quality, secret_scan, token_output, url_filter, warc
+from . import exact_dedup, langid, mixing, near_dedup, packing, quality, secret_scan, token_output, url_filter, warc
 from .common import documents, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +21,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", "lang")).select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = mixing.domains_of(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = mixing.mix(documents(spark, sf_dir).select("doc_id", "text"), labels, mixing.DOMAINS, mixing.TARGETS)
+    return out.select("doc_id", "n_tokens", *[F.col("posteriors")[k].alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)], "rate")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(documents(spark, sf_dir))
 
@@ -55,7 +62,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_language_id, op3_exact_dedup, op4_minhash_near_dedup, op5_secret_scan, op6_best_fit_packing, op7_url_filter, op8_warc, op9_quality_rules, op10_token_output)}
+QUERIES |= {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_exact_dedup, op4_minhash_near_dedup, op5_secret_scan, op6_best_fit_packing, op7_url_filter, op8_warc, op9_quality_rules, op10_token_output)}
 
 ORACLE_SQL["op3_exact_dedup"] = r"""
 WITH t AS (

@@ -13,7 +13,7 @@ No group is expanded into its pairs: in each bucket every class is first compare
 members that are in one component by then need no further comparison. Buckets that still hold several components get
 other pivots, and once the pairs across components are no more than a multiple of the members, all of them are compared.
 
-Bands: at similarity 0.85, 40 bands of 5 registers miss a pair with probability 2e-10 (all kept pairs are exact).
+Bands: 40 bands of 5 registers miss a pair of similarity 0.85 with probability 2e-10, of 0.8 with 1e-7 (all kept pairs are exact).
 
 Defined cases: null counts as empty; A-Z only is lower-cased; with fewer words than a shingle has, the whole sequence is
 the one element; a document without words is linked with nothing. Repeated rows are documents of their own with equal
@@ -174,7 +174,7 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """One row a document: ``doc_id, n_shingles, component_id, kept``; links are pairs with ``100 * intersection >= percent * union``."""
     spark = docs.sparkSession
     prepare(spark)

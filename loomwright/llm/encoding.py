@@ -3,22 +3,63 @@
 Both vocabularies split a text into pieces before their merges, and no piece spans the places used here to cut: for the
 lower-casing word vocabulary every white space (it is dropped), for the byte-level one a single space or line feed
 between two other characters (the space goes with what follows). So a text's ids are its pieces' ids in order, and each
-distinct piece is encoded once a worker. Texts with any other white space go to the library whole. Tests compare both.
+distinct piece is encoded once a worker. A piece of plain Latin letters (and a run of ASCII punctuation behind it) is one
+unit (or two) of that split and goes to the library's merge model at once; every other piece, and every text with any
+other white space, goes through the whole tokenizer. Tests compare the results with the library's on whole texts.
 """
 
 from __future__ import annotations
 
-import itertools
 import os
+import re
+from array import array
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
-#: Pieces remembered for good (met at least twice) and on trial a worker, and the longest piece that is remembered.
-MEMO, TRIAL, LONGEST = 400_000, 400_000, 48
-#: Stands between new pieces that go to the library in one text; gives one id that no piece without it can give.
-SEPARATORS = {True: "\n", False: " | "}
-_TOGETHER = 128
+#: Pieces remembered a worker, those (the first met, so all frequent ones) that stay when it is full, and the longest.
+MEMO, CORE, LONGEST = 600_000, 300_000, 48
+_PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: visible Latin-1 characters for themselves, the others from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+class _Memo(dict):
+    def __init__(self, lib, lower: bool) -> None:
+        super().__init__()
+        self.lib, self.model, self.lower = lib, lib.model, lower
+        self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+
+    def __missing__(self, piece: str) -> bytes:
+        plain = _PLAIN.fullmatch(piece)
+        if plain is None or len(piece) > LONGEST:
+            out = array("I", self.lib.encode_batch_fast([piece], add_special_tokens=False)[0].ids).tobytes()
+        elif plain[2]:
+            out = self[plain[1]] + self._tail(plain[2])
+        else:
+            word = piece.lower() if self.lower else piece
+            mapped = (word if word.isascii() else word.encode().decode("latin-1")).translate(self.letters)
+            out = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        if len(piece) <= LONGEST:
+            if len(self) >= MEMO:
+                core = list(islice(self.items(), CORE))
+                self.clear()
+                self.update(core)
+            self[piece] = out
+        return out
+
+    @lru_cache(maxsize=4096)  # noqa: B019  one memo a worker
+    def _tail(self, marks: str) -> bytes:
+        return array("I", self.lib.encode_batch_fast([marks], add_special_tokens=False)[0].ids).tobytes()
+
+    def __hash__(self) -> int:
+        return id(self)
 
 
 class Encoder:
@@ -31,10 +72,7 @@ class Encoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
         self.spaces_matter = spaces_matter
-        self.separator = SEPARATORS[spaces_matter]
-        (self.separator_id,) = self.lib.encode(self.separator, add_special_tokens=False).ids
-        self.memo: dict[str, bytes] = {}
-        self.trial: dict[str, bytes] = {}
+        self.memo = _Memo(self.lib, lower=not spaces_matter)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
@@ -49,64 +87,14 @@ class Encoder:
             return None
         return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
 
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """The new pieces' ids; pieces met before on trial are remembered from now on."""
-        out: dict[str, bytes] = {}
-        mark = self.separator.strip(" ")
-        fresh = []
-        for p in new:
-            if (known := self.trial.get(p)) is not None:
-                out[p] = known
-                if len(self.memo) < MEMO:
-                    self.memo[p] = known
-                    del self.trial[p]
-            elif len(p) > LONGEST or mark in p:
-                out[p] = self.whole(p)
-                if p == mark:
-                    self.memo[p] = out[p]
-            else:
-                fresh.append(p)
-        if fresh:
-            lots = [fresh[i : i + _TOGETHER] for i in range(0, len(fresh), _TOGETHER)]
-            joined = [self.separator.join(x) + self.separator for x in lots]
-            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.lib.encode_batch_fast(joined, add_special_tokens=False)])
-            ends = np.flatnonzero(ids == self.separator_id).tolist()
-            if len(ends) != len(fresh):
-                raise AssertionError("a piece gave the separator's id")
-            data, at, made = ids.tobytes(), 0, {}
-            for p, e in zip(fresh, ends, strict=True):
-                made[p] = data[4 * at : 4 * e]
-                at = e + 1
-            out |= made
-            if len(self.memo) < MEMO // 4:
-                self.memo |= made
-            else:
-                if len(self.trial) > TRIAL:
-                    self.trial.clear()
-                self.trial |= made
-        return out
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        pieces = self._pieces(text)
+        return self.whole(text) if pieces is None else b"".join(map(self.memo.__getitem__, pieces))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        split = [self._pieces(t) if t else [] for t in texts]
-        new: set[str] = set()
-        memo = self.memo
-        for pieces in split:
-            if pieces:
-                new.update(itertools.filterfalse(memo.__contains__, pieces))
-        found = self._learn(new) if new else {}
-        out = []
-        for text, pieces in zip(texts, split, strict=True):
-            if pieces is None:
-                out.append(self.whole(text))
-                continue
-            try:
-                out.append(b"".join(map(memo.__getitem__, pieces)))
-            except KeyError:
-                out.append(b"".join([x if (x := found.get(p)) is not None else memo[p] for p in pieces]))
-        return out
-
-    def encode(self, text: str) -> bytes:
-        return self.encode_many([text])[0]
+        return [self.encode(t) for t in texts]
 
 
 @lru_cache(maxsize=4)

@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, shared_path
+from .common import prepare, shared_path, written
 from .encoding import encoder
 
 END_ID = 2
 ROW_GROUP_BYTES, PAGE_BYTES, DICTIONARY_BYTES = 16 << 20, 256 << 10, 1 << 20
+BROADCAST_PARTS = 1_000_000
 SCHEMA = "part int, doc_id long, first long, n_tokens long, ids array<int>"
 
 
@@ -67,7 +68,10 @@ def read(spark, path: str) -> DataFrame:
     # A row a part, from the metadata alone; parts number as tasks, so one window over them is small.
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(parts.select("part", before.alias("before")), "part").withColumn("start", F.col("before") + F.col("first"))
+    parts = written(parts.select("part", before.alias("before")), "parts")
+    if parts.count() <= BROADCAST_PARTS:  # a row of 12 bytes a task
+        parts = F.broadcast(parts)
+    return rows.join(parts, "part").withColumn("start", F.col("before") + F.col("first"))
 
 
 def digest(rows: DataFrame) -> DataFrame:

@@ -9,9 +9,10 @@ Steps: (1) documents with equal sets form one class, and only classes go on; (2)
 (3) candidates are compared through the joint likelihood of their registers, given both exact set sizes, and a pair is left
 out only where the likelihood excludes the threshold; (4) the rest is verified on the full sets; (5) connected components.
 
-No group is expanded into its pairs: in each bucket every class is first compared with the bucket's most central class, and
-members that are in one component by then need no further comparison. Buckets that still hold several components get
-other pivots, and once the pairs across components are no more than a multiple of the members, all of them are compared.
+No group is expanded into its pairs: each class is first compared with the most central class of each of its buckets, and
+members that are in one component by then need no further comparison. Classes that are still apart are compared inside a
+task for each block of a bucket, where a pair is decided by the cheapest test that can: one component already, elements
+that no other class has, the likelihood, and last the full sets. Only joins of components leave such a task.
 
 Bands: 40 bands of 5 registers miss a pair of similarity 0.85 with probability 2e-10, of 0.8 with 1e-7 (all kept pairs are exact).
 
@@ -41,9 +42,8 @@ BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
 EXCLUDE = 20.0
 #: Classes up to which their ids are broadcast to find their texts (24 bytes a row); beyond, a shuffle join.
 BROADCAST_ROWS = 1_000_000
-PIVOT_ROUNDS = 8
-#: All pairs across components are compared once they are at most this many for each bucket member.
-PAIRS_PER_MEMBER = 2
+#: Members of a bucket that one task compares; larger buckets are compared block by block, in a task a pair of blocks.
+BLOCK = 1024
 
 
 def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
@@ -174,6 +174,101 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def _relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
+    merged = found.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+    names = components(merged.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    return written(labels.join(names.select(F.col("v").alias("label"), "c"), "label", "left").select("node", F.coalesce("c", "label").alias("label")), "labels")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets with more than one label, and the bucket's size ``c``."""
+    tally = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key", "c")
+    return rows.join(tally, "key")
+
+
+def _unshared(sets: DataFrame) -> DataFrame:
+    """``node, u``: how many elements of a set no other of these sets has. They can be in no intersection."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, s in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                e = np.frombuffer(s.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), node, np.int64)), pa.array(e)], names=["node", "e"])
+
+    elements = sets.select("node", "s").mapInArrow(run, "node long, e long")
+    alone = elements.groupBy("e").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1")
+    return alone.groupBy("node").agg(F.count("*").alias("u"))
+
+
+def _merged(percent: int):
+    """Within each block (or pair of blocks) of a bucket, links between components, found until all its pairs are decided.
+
+    A pair is passed over if its classes are in one component by now, if another band brings it to another task earlier,
+    if the elements that each shares with anyone cannot make the similarity, or if the likelihood excludes it; all others
+    are verified. What comes out joins components, so it is less than the members.
+    """
+
+    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
+        _, lo, hi, blocks, _, labels, n, f, regs, sets = zip(*rows, strict=True)
+        block, n, f = np.array(blocks), np.array(n), np.array(f)
+        registers = np.frombuffer(b"".join(regs), "<u2").reshape(len(rows), REGISTERS)
+        bands = np.ascontiguousarray(registers).view(f"V{2 * ROWS}").reshape(len(rows), BANDS)
+        first = next(k for k in range(BANDS) if (bands[:, k] == bands[0, k]).all())
+        elements = [np.frombuffer(x, np.uint64) for x in sets]
+        parent = {x: x for x in labels}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        roots = np.array([root(x) for x in labels])
+        for i in range(1, len(rows)):
+            least = np.minimum(f[:i], f[i])
+            ok = (roots[:i] != roots[i]) & (100 * least >= percent * (n[:i] + n[i] - least))
+            if lo[0] != hi[0]:
+                ok &= block[:i] != block[i]
+            at = np.flatnonzero(ok)
+            if first:
+                at = at[~(bands[at, :first] == bands[i, :first]).any(axis=1)]
+            if not len(at):
+                continue
+            estimate, possible = similarity(registers[at], np.repeat(registers[i][None], len(at), 0), n[at], np.repeat(n[i], len(at)), percent / 100)
+            at = at[possible][np.argsort(-estimate[possible])]
+            for j in at.tolist():
+                if roots[j] == roots[i]:
+                    continue
+                both = np.sort(np.concatenate((elements[i], elements[j])), kind="stable")
+                inter = int((both[1:] == both[:-1]).sum())
+                if 100 * inter >= percent * (n[i] + n[j] - inter):
+                    a, b = sorted((roots[i], roots[j]))
+                    parent[b] = a
+                    roots[roots == b] = a
+                    out.append((int(a), int(b)))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            found = solve(group) if len(group) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key = (row[0], row[1], row[2])
+                if group and key != group[0][0]:
+                    yield from done()
+                    group = []
+                group.append((key, row[1], row[2], *row[3:]))
+        yield from done()
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """One row a document: ``doc_id, n_shingles, component_id, kept``; links are pairs with ``100 * intersection >= percent * union``."""
     spark = docs.sparkSession
@@ -207,29 +302,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sa, sb = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
         return written(likely.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_verified(percent), "a long, b long"), "links")
 
+    # First every class is compared with the most central class of each of its buckets.
     labels = weights.select("node", F.col("node").alias("label"), "w")
-    for turn in range(PIVOT_ROUNDS + 1):
-        open_ = members.select("key", "node").join(labels, "node")
-        tally = open_.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("c"), F.sum(F.col("m") * F.col("m")).alias("cc"), F.count("*").alias("labels")).filter("labels > 1")
-        mixed = written(tally, "mixed")
-        most = mixed.agg(F.sum(F.col("c") * F.col("c") - F.col("cc")).alias("p"), F.sum("c").alias("c")).first()
-        if not most["c"]:
-            break
-        open_ = open_.join(mixed.select("key"), "key")
-        last = turn == PIVOT_ROUNDS or most["p"] / 2 <= PAIRS_PER_MEMBER * most["c"]
-        if last:
-            x, y = open_.select("key", F.col("node").alias("a"), F.col("label").alias("la")), open_.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-            pairs = x.join(y, "key").filter("a < b and la <> lb").select("a", "b").distinct()
-        else:
-            order = F.struct("w", (-F.col("node")).alias("x"), "label") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)).alias("w"), (-F.col("node")).alias("x"), "label")
-            pivots = open_.groupBy("key").agg(F.max(order).alias("p")).select("key", (-F.col("p.x")).alias("a"), F.col("p.label").alias("la"))
-            pairs = open_.join(pivots, "key").filter("label <> la").select("a", F.col("node").alias("b")).distinct()
-        found = links(pairs)
-        merged = found.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-        names = components(merged.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
-        labels = written(labels.join(names.select(F.col("v").alias("label"), "c"), "label", "left").select("node", F.coalesce("c", "label").alias("label"), "w"), "labels")
-        if last:
-            break
+    central = members.join(weights, "node").groupBy("key").agg(F.max(F.struct("w", (-F.col("node")).alias("x"))).alias("p")).select("key", (-F.col("p.x")).alias("a"))
+    found = links(members.join(central, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct())
+    labels = _relabelled(labels, found)
+
+    # Then what the buckets still hold of several components, without the classes that their own elements rule out.
+    open_ = written(_mixed(members.select("key", "node").join(labels.select("node", "label"), "node")), "open")
+    if not open_.isEmpty():
+        lonely = _unshared(sets.join(open_.select("node").distinct(), "node", "left_semi"))
+        known = regs.join(lonely, "node", "left").withColumn("f", F.col("n") - F.coalesce("u", F.lit(0))).filter(100 * F.col("f") >= percent * F.col("n"))
+        rows = _mixed(open_.drop("c").join(known.select("node", "n", "f", "regs"), "node"))
+        blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+        block = F.pmod(F.xxhash64("node"), blocks).cast("int")
+        rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label", "n", "f", "regs").join(sets, "node")
+        dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+        merged = written(dealt.select("key", "lo", "hi", "block", "node", "label", "n", "f", "regs", "s").mapInArrow(_merged(percent), "a long, b long"), "merged")
+        names = components(merged.distinct())
+        labels = written(labels.join(names.select(F.col("v").alias("label"), "c"), "label", "left").select("node", F.coalesce("c", "label").alias("label")), "labels")
 
     named = classes.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("least").alias("component"))

@@ -2,10 +2,10 @@
 
 Both vocabularies split a text into pieces before their merges, and no piece spans the places used here to cut: for the
 lower-casing word vocabulary every white space (it is dropped), for the byte-level one a single space or line feed
-between two other characters (the space goes with what follows). So a text's ids are its pieces' ids in order, and each
+between two other characters (the space goes with what follows; texts with any other white space are not cut). So a text's ids are its pieces' ids in order, and each
 distinct piece is encoded once a worker. A piece of plain Latin letters (and a run of ASCII punctuation behind it) is one
-unit (or two) of that split and goes to the library's merge model at once; every other piece, and every text with any
-other white space, goes through the whole tokenizer. Tests compare the results with the library's on whole texts.
+unit (or two) of that split and goes to the library's merge model at once; every other piece goes through the whole
+tokenizer. Tests compare the results with the library's on whole texts.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ from itertools import islice
 import numpy as np
 
 #: Pieces remembered a worker, those (the first met, so all frequent ones) that stay when it is full, and the longest.
-MEMO, CORE, LONGEST = 600_000, 300_000, 48
-_PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+MEMO, CORE, LONGEST = 800_000, 400_000, 48
+#: White space, or what Python alone takes for it when it splits.
+_WHITE = re.compile(r"[\s\x1c-\x1f]")
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -30,20 +32,34 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+class _Whole(Exception):
+    """A text that can't be cut, for some white space in it."""
+
+
 class _Memo(dict):
-    def __init__(self, lib, lower: bool) -> None:
+    """Ids of pieces; ``lead`` stands before each (a space, or nothing)."""
+
+    def __init__(self, lib, lead: str, lower: bool) -> None:
         super().__init__()
-        self.lib, self.model, self.lower = lib, lib.model, lower
+        self.lib, self.model, self.lead, self.lower = lib, lib.model, lead, lower
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        self.tails: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        plain = _PLAIN.fullmatch(piece)
-        if plain is None or len(piece) > LONGEST:
-            out = array("I", self.lib.encode_batch_fast([piece], add_special_tokens=False)[0].ids).tobytes()
-        elif plain[2]:
-            out = self[plain[1]] + self._tail(plain[2])
+        plain = _PLAIN.fullmatch(piece) if len(piece) <= LONGEST else None
+        if plain is None:
+            if not piece or _WHITE.search(piece):
+                raise _Whole
+            out = self.whole(self.lead + piece)
+        elif marks := plain[2]:
+            if marks not in self.tails:
+                self.tails[marks] = self.whole(marks)
+            out = self[plain[1]] + self.tails[marks]
         else:
-            word = piece.lower() if self.lower else piece
+            word = self.lead + (piece.lower() if self.lower else piece)
             mapped = (word if word.isascii() else word.encode().decode("latin-1")).translate(self.letters)
             out = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
         if len(piece) <= LONGEST:
@@ -54,13 +70,6 @@ class _Memo(dict):
             self[piece] = out
         return out
 
-    @lru_cache(maxsize=4096)  # noqa: B019  one memo a worker
-    def _tail(self, marks: str) -> bytes:
-        return array("I", self.lib.encode_batch_fast([marks], add_special_tokens=False)[0].ids).tobytes()
-
-    def __hash__(self) -> int:
-        return id(self)
-
 
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers."""
@@ -72,26 +81,31 @@ class Encoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
         self.spaces_matter = spaces_matter
-        self.memo = _Memo(self.lib, lower=not spaces_matter)
+        self.first = _Memo(self.lib, "", lower=not spaces_matter)
+        self.after = _Memo(self.lib, " ", lower=False)
+        self.line_feed = self.first.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _pieces(self, text: str) -> list[str] | None:
-        words = text.split()
-        if not words or " ".join(words) != text.replace("\n", " "):
-            return None
-        if not self.spaces_matter:
-            return words
-        if "\x00" in text:
-            return None
-        return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
-
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        pieces = self._pieces(text)
-        return self.whole(text) if pieces is None else b"".join(map(self.memo.__getitem__, pieces))
+        try:
+            if not self.spaces_matter:
+                if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # Python splits there, the vocabulary doesn't
+                    raise _Whole
+                return b"".join(map(self.first.__getitem__, text.split()))
+            out, after = [], self.after.__getitem__
+            for line in text.split("\n"):
+                words = iter(line.split(" "))
+                out.append(self.first[next(words)])
+                out.extend(map(after, words))
+                out.append(self.line_feed)
+            out.pop()
+            return b"".join(out)
+        except _Whole:
+            return self.whole(text)
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         return [self.encode(t) for t in texts]

@@ -16,7 +16,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import prepare, shared_path, written
@@ -49,9 +49,12 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(firsts, pa.int64()), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], names=["part", "doc_id", "first", "n_tokens", "ids"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(F.spark_partition_id().alias("part"), "doc_id", "text")
+    # Ranges of about equal counts from the ids alone, so that texts are read once.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted({int(x) for x in rows.select(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 100 * parts)).first()[0] or []}) if parts > 1 else []
+    dealt = rows.withColumn("part", _place(cuts)).repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "doc_id").select("part", "doc_id", "text")
     options = {
-        "compression": "zstd",
+        "compression": "snappy",
         "parquet.writer.version": "PARQUET_2_0",
         "parquet.block.size": ROW_GROUP_BYTES,
         "parquet.page.size": PAGE_BYTES,
@@ -62,6 +65,14 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
     dealt.mapInArrow(encode, SCHEMA).write.options(**options).parquet(path)
 
 
+def _place(cuts: list[int], lo: int = 0) -> Column:
+    """How many of the sorted ``cuts`` are less than the id: a search tree of comparisons; 0 for null."""
+    if not cuts:
+        return F.lit(lo)
+    m = len(cuts) // 2
+    return F.when(F.col("doc_id") > cuts[m], _place(cuts[m + 1 :], lo + m + 1)).otherwise(_place(cuts[:m], lo))
+
+
 def read(spark, path: str) -> DataFrame:
     """The rows of the files, with ``start``: the ids of all documents before."""
     rows = spark.read.schema(SCHEMA).parquet(path)

@@ -157,19 +157,20 @@ def solve(table: DataFrame, n_domains: int, targets: dict[int, float] | None, mu
     return steps, goal
 
 
-def mix(docs: DataFrame, labelled: DataFrame, domains: list[str], targets: dict[str, float] | None = None, multipliers: dict[str, float] | None = None, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with its columns and ``n_tokens``, ``posteriors`` (in the order of ``domains``) and ``rate``.
+def mix(docs: DataFrame, labelled: DataFrame, domains: list[str], targets: dict[str, float] | None = None, multipliers: dict[str, float] | None = None, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (all by default) with ``n_tokens``, ``posteriors`` (in the order of ``domains``) and ``rate``.
 
-    The posteriors are computed once, into a compact table for the fit; the result computes them again from the text
-    rather than joining that table back, so texts are not shuffled.
+    The posteriors are computed once and written with those columns; the fit reads two of the table's columns, and no
+    text is shuffled.
     """
     model = fit(docs, labelled, domains, id_col, text_col)
     p, n = unused(docs, "_p"), unused(docs, "_n")
-    known = model.apply(docs, text_col, p, n)
-    table = written(known.select(F.col(n).alias("tokens"), F.col(p).alias("p")), "posteriors")
+    kept = docs.columns if columns is None else columns
+    known = written(model.apply(docs, text_col, p, n).select(*[F.col(f"`{c}`") for c in kept], n, p), "posteriors")
+    table = known.select(F.col(n).alias("tokens"), F.col(p).alias("p"))
     steps, _ = solve(table, len(domains), {k: (targets or {}).get(d, 0.0) for k, d in enumerate(domains)}, [multipliers.get(d, 1.0) for d in domains] if multipliers else None, least)
     made = {"n_tokens": F.col(n), "posteriors": F.col(p), "rate": rate_of(F.col(p), steps, least)}
-    return known.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in made], *[c.alias(k) for k, c in made.items()])
+    return known.select(*[F.col(f"`{c}`") for c in kept if c.lower() not in made], *[c.alias(k) for k, c in made.items()])
 
 
 def repeated(mixed: DataFrame, rate: Column, id_col: str, columns: list[str]) -> DataFrame:

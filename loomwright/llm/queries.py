@@ -23,7 +23,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = mixing.domains_of(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    out = mixing.mix(documents(spark, sf_dir).select("doc_id", "text"), labels, mixing.DOMAINS, mixing.TARGETS)
+    out = mixing.mix(documents(spark, sf_dir).select("doc_id", "text"), labels, mixing.DOMAINS, mixing.TARGETS, columns=["doc_id"])
     return out.select("doc_id", "n_tokens", *[F.col("posteriors")[k].alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)], "rate")
 
 

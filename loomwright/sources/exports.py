@@ -18,14 +18,14 @@ def columns_of(kind: str) -> tuple[str, ...]:
 
 
 def _field(rows: DataFrame, name: str) -> Column:
+    zero = "0" if name.endswith("_count") or name.startswith("pillar") else ""
     if name not in rows.columns:
-        return F.lit("")
+        return F.lit("0.000" if name in THREE_PLACES else zero)
     kind = dict(rows.dtypes)[name]
     if kind.startswith("array"):
         return F.array_join(F.coalesce(name, F.array().cast(kind)), "; ")
     if name in THREE_PLACES:
         return F.format_string("%.3f", F.coalesce(name, F.lit(0.0)))
-    zero = "0" if name.endswith("_count") or name.startswith("pillar") else ""
     return F.coalesce(F.col(name).cast("string"), F.lit(zero))
 
 

@@ -12,7 +12,7 @@ MENTION_SCHEMA = "chapter_index int, text string, source string, confidence doub
 
 
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
-    """``path, content`` of the files (each whole)."""
+    """``path, content`` of the files (each whole); an empty file has no row."""
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 

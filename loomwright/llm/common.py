@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from pathlib import Path
 
@@ -43,19 +45,42 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_BATCH_ROWS)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables written inside, but for those to be kept, and lets go of finished shuffles.
+
+    For jobs of several steps: results that are still to be computed inside must be written to be kept first.
+    """
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        gc.collect()
+        spark._jvm.System.gc()  # shuffle files go when the driver's JVM finds their plans unused
+
+
+def shared_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     """A new path in the folder that driver and executors share (``spark.checkpoint.dir``); a folder of our own only where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or None
     if base is None:
         base = tempfile.mkdtemp(prefix="loomwright-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/loomwright-{uuid.uuid4().hex}/{name}"
+    top = f"{base.rstrip('/')}/loomwright-{uuid.uuid4().hex}"
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(top)
+    return f"{top}/{name}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage and survives the loss of any executor."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
+    path = shared_path(spark, name, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

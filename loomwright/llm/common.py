@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -112,6 +113,30 @@ def columns(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns]
 
 
+# -- memory of the Python workers ----------------------------------------------
+
+#: (operator, what empties its cache); workers live on from stage to stage.
+CACHES: list[tuple[str, Callable[[], None]]] = []
+_CURRENT = ""
+
+
+def enter(name: str) -> None:
+    """Called by a kernel where a task begins: caches of other operators go, and freed memory returns to the system."""
+    global _CURRENT
+    if name == _CURRENT:
+        return
+    _CURRENT = name
+    for owner, clear in CACHES:
+        if owner != name:
+            clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass
+
+
 # -- vectorised hashes of words -------------------------------------------------
 
 _MASK = (1 << 64) - 1

@@ -18,6 +18,8 @@ from itertools import islice
 
 import numpy as np
 
+from .common import CACHES, enter
+
 #: Pieces remembered a worker, those (the first met, so all frequent ones) that stay when it is full, and the longest.
 MEMO, CORE, LONGEST = 600_000, 300_000, 48
 #: White space, or what Python alone takes for it when it splits.
@@ -111,6 +113,15 @@ class Encoder:
         return [self.encode(t) for t in texts]
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str, spaces_matter: bool) -> Encoder:
+@lru_cache(maxsize=1)
+def _encoder(path: str, spaces_matter: bool) -> Encoder:
     return Encoder(path, spaces_matter)
+
+
+def encoder(path: str, spaces_matter: bool) -> Encoder:
+    """The worker's encoder; another vocabulary takes its place."""
+    enter("encoding")
+    return _encoder(path, spaces_matter)
+
+
+CACHES.append(("encoding", _encoder.cache_clear))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, splitmix, utf8, written
+from .common import enter, prepare, splitmix, utf8, written
 
 #: A boundary follows where the low bits of the rolling hash are zero: chunks of 2 KiB on average.
 MASK = (1 << 11) - 1
@@ -80,6 +80,7 @@ _FIELDS = pa.schema([("id", pa.int64()), ("n_cp", pa.int64()), ("sha", pa.string
 
 def _recipes(digest: Callable[[bytes], bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("exact")
         seen: set[bytes] = set()  # of this task; only saves repeated storing, so it may start anew
         for batch in batches:
             rows: list[tuple] = []

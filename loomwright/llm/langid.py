@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import splitmix, unused, with_text_struct
+from .common import CACHES, enter, splitmix, unused, with_text_struct
 
 DIMS = 1024
 #: Bound of the training sample: about this many labelled texts of each language (a hash of the id picks them).
@@ -71,6 +71,9 @@ def _grams() -> _Grams:
     return _Grams()
 
 
+CACHES.append(("langid", _grams.cache_clear))
+
+
 def _gram_codes(text: str) -> np.ndarray:
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     points = np.where(_letters()[points], points, 0)
@@ -143,6 +146,7 @@ def train(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, per_la
     picked = rows.filter(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < share * 1_000_000).select("l", "t")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("langid")
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -165,6 +169,7 @@ def predict(df: DataFrame, text_col: str, prototypes: dict[str, np.ndarray], lan
     matrix = np.array([prototypes[k] / np.linalg.norm(prototypes[k]) for k in names], np.float32).reshape(len(names), DIMS)
 
     def kernel(texts: list[str]) -> pa.Array:
+        enter("langid")
         langs, scores = [], []
         for lo in range(0, len(texts), 256):
             vectors = text_vectors(texts[lo : lo + 256])

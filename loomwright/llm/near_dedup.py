@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, splitmix, utf8, window_hashes, word_hashes, written
+from .common import enter, prepare, splitmix, utf8, window_hashes, word_hashes, written
 
 SHINGLE = 5
 BANDS, ROWS = 40, 5
@@ -108,6 +108,7 @@ def similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, t
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    enter("near")
     for batch in batches:
         n, fp, regs = [], [], []
         for text in batch.column(2).to_pylist():
@@ -119,6 +120,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    enter("near")
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "s"])
 
@@ -250,6 +252,7 @@ def _merged(percent: int):
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("near")
         group: list[tuple] = []
 
         def done() -> Iterator[pa.RecordBatch]:

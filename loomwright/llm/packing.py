@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, written
+from .common import enter, prepare, written
 from .encoding import encoder
 
 CAPACITY, END_ID = 4096, 1
@@ -129,6 +129,7 @@ def _island(capacity: int, epoch: int):
     """Rows ``g, island, pids, sizes, elites``; ``elites`` are bin numbers of the pieces, one array an immigrant."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("packing")
         for batch in batches:
             for row in batch.to_pylist():
                 sizes = row["sizes"]

@@ -129,11 +129,12 @@ def _plain(data: bytes, step: int) -> Iterator[bytes]:
         return
     rest = data
     while rest:
-        d = zlib.decompressobj(31)
-        piece = d.decompress(rest, step)
-        while piece:
-            yield piece
-            piece = d.decompress(d.unconsumed_tail, step)
+        d, tail = zlib.decompressobj(31), rest
+        while tail and not d.eof:
+            piece = d.decompress(tail, step)
+            if piece:
+                yield piece
+            tail = d.unconsumed_tail
         rest = d.unused_data
 
 

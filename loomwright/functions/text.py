@@ -119,6 +119,25 @@ def without_repeats(c: Column, turns: int = 6) -> Column:
     return c
 
 
+# Words that leave a sentence hanging.
+DANGLING = "被|把|将|以|为|与|和|及|并|但|却|因|在|从|向|对|由|让|令|使|其|该|这|那"
+BROKEN_NUMERAL = "反将一|[将把给对向为以于至在从]一"
+_MARKS = "，,；;、。！？!?"
+
+
+def cleaned_description(c: Column, turns: int = 6) -> Column:
+    """White space compacted, hanging fragments at the end dropped, repeated phrases once; null if nothing is left.
+
+    Hanging fragments go in one pattern: the last fragments, as many as there are, that end in such a word or are empty.
+    """
+    text = F.regexp_replace(trimmed(c), WHITE + "+", " ")
+    hanging = f"(?:^|[，,；;。！？!?])[^，,；;。！？!?]*?(?:{DANGLING}|{BROKEN_NUMERAL})[\\s{_MARKS}]*$"
+    for _ in range(turns):
+        text = F.when(text.rlike(hanging), F.regexp_replace(F.regexp_replace(text, hanging, ""), f"[{_MARKS}\\s]+$", "")).otherwise(text)
+    text = F.when(F.length(F.regexp_replace(text, f"[{_MARKS}\\s]", "")) > 0, text)
+    return without_repeats(text)
+
+
 def merged_descriptions(parts: Column) -> Column:
     """Joins descriptions in order; one that (but for punctuation) lies in another is left out, the longer one standing in its place."""
     bare = lambda s: F.regexp_replace(s, r"[\s，。；、,.;：:！!？?]+", "")

@@ -257,6 +257,22 @@ def importance(entities: DataFrame, mentions: DataFrame, chapters: DataFrame, st
     return rows.withColumns({"story_tier": story_tier(F.col("story_score")), "quadrant": quadrant(F.col("importance"), F.col("production"))})
 
 
+def model_entities(model: DataFrame, entities: DataFrame) -> DataFrame:
+    """A model's entities (``book_id, type, name, aliases, confidence, first_chapter, chapter_appearances``) in the form of ``grouped``.
+
+    Counts and chapters come from the scanned entities of one name or alias (any case); the place is the chapter's start.
+    """
+    empty, none = F.array().cast("array<string>"), F.array().cast("array<int>")
+    keys = lambda d, name: d.withColumn("k", F.explode(F.array_distinct(F.transform(F.concat(F.array(name), F.coalesce("aliases", empty)), lambda x: F.lower(x)))))
+    seen = keys(entities, "text").select("book_id", "type", "k", "total_count", "all_chapters")
+    hits = keys(model.select("book_id", "type", "name", "aliases"), "name").join(seen, ["book_id", "type", "k"]).groupBy("book_id", "type", "name").agg(F.max("total_count").alias("n"), F.flatten(F.collect_list("all_chapters")).alias("c"))
+    rows = model.join(hits, ["book_id", "type", "name"], "left")
+    own = F.coalesce("chapter_appearances", none)
+    chapters = F.array_sort(F.array_distinct(F.concat(own, F.coalesce("c", none))))
+    count = F.coalesce("n", F.greatest(F.size(own), F.lit(1))).cast("long")
+    return rows.select("book_id", "type", F.col("name").alias("text"), F.coalesce("confidence", F.lit(0.7)).alias("confidence"), F.lit(0).cast("long").alias("seq"), F.coalesce("first_chapter", F.get(chapters, F.lit(0)), F.lit(0)).alias("chapter_index"), F.lit(0).alias("position"), count.alias("total_count"), chapters.alias("all_chapters"), F.coalesce("aliases", empty).alias("aliases"))
+
+
 def selected(entities: DataFrame, scored: DataFrame, confident: DataFrame, character_name: Column | None = None) -> DataFrame:
     """The working set: rows not routed to the archive (rows without a score stay), characters only with a plausible name."""
     rows = entities.join(scored.select(*KEY, F.col("importance").alias("_i")), KEY, "left").join(confident.select(*KEY, F.col("overall").alias("_c")), KEY, "left")

@@ -20,8 +20,9 @@ import numpy as np
 
 from .common import CACHES, enter
 
-#: Pieces remembered a worker, those (the first met, so all frequent ones) that stay when it is full, and the longest.
-MEMO, CORE, LONGEST = 600_000, 300_000, 48
+#: Pieces remembered a worker (about 230 bytes each; when it is full, the first met half stays, so all frequent ones), and
+#: the longest piece that is remembered.
+MEMO, LONGEST = 600_000, 48
 #: White space, or what Python alone takes for it when it splits.
 _WHITE = re.compile(r"[\s\x1c-\x1f]")
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
@@ -41,8 +42,9 @@ class _Whole(Exception):
 class _Memo(dict):
     """Ids of pieces; ``lead`` stands before each (a space, or nothing)."""
 
-    def __init__(self, lib, lead: str, lower: bool) -> None:
+    def __init__(self, lib, lead: str, lower: bool, limit: int) -> None:
         super().__init__()
+        self.limit = limit
         self.lib, self.model, self.lead, self.lower = lib, lib.model, lead, lower
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self.tails: dict[str, bytes] = {}
@@ -65,8 +67,8 @@ class _Memo(dict):
             mapped = (word if word.isascii() else word.encode().decode("latin-1")).translate(self.letters)
             out = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
         if len(piece) <= LONGEST:
-            if len(self) >= MEMO:
-                core = list(islice(self.items(), CORE))
+            if len(self) >= self.limit:
+                core = list(islice(self.items(), self.limit // 2))
                 self.clear()
                 self.update(core)
             self[piece] = out
@@ -76,15 +78,15 @@ class _Memo(dict):
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, spaces_matter: bool) -> None:
+    def __init__(self, path: str, spaces_matter: bool, memo: int = MEMO) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
         self.spaces_matter = spaces_matter
-        self.first = _Memo(self.lib, "", lower=not spaces_matter)
-        self.after = _Memo(self.lib, " ", lower=False)
+        self.first = _Memo(self.lib, "", lower=not spaces_matter, limit=memo)
+        self.after = _Memo(self.lib, " ", lower=False, limit=memo)
         self.line_feed = self.first.whole("\n")
 
     def whole(self, text: str) -> bytes:
@@ -114,14 +116,14 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str, spaces_matter: bool) -> Encoder:
-    return Encoder(path, spaces_matter)
+def _encoder(path: str, spaces_matter: bool, memo: int) -> Encoder:
+    return Encoder(path, spaces_matter, memo)
 
 
-def encoder(path: str, spaces_matter: bool) -> Encoder:
+def encoder(path: str, spaces_matter: bool, memo: int = MEMO) -> Encoder:
     """The worker's encoder; another vocabulary takes its place."""
     enter("encoding")
-    return _encoder(path, spaces_matter)
+    return _encoder(path, spaces_matter, memo)
 
 
 CACHES.append(("encoding", _encoder.cache_clear))

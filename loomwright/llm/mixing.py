@@ -41,18 +41,20 @@ def _levels(name: str, value: Column, cuts: tuple[float, ...]) -> Column:
 _WHITE = " \t\n\x0b\x0c\r"
 
 
-def with_marks(df: DataFrame, text: Column, out: str, tokens: str | None = None) -> DataFrame:
-    """Adds the distinct words of a text and its levels, and if asked its number of words (runs without space, tab, LF, VT, FF, CR)."""
+def with_marks(df: DataFrame, text: Column, words: str, levels: str, tokens: str) -> DataFrame:
+    """Adds the distinct words of a text, its levels, and its number of words (runs without space, tab, LF, VT, FF, CR).
+
+    Step by step, so that each costly expression stands in a projection of its own and is evaluated once.
+    """
     w = unused(df, "_words")
     bare = F.btrim(F.lower(text), F.lit(_WHITE))
     df = df.withColumn(w, F.when(F.length(bare) > 0, F.split(bare, r"[ \t\n\x0B\f\r]+")).otherwise(F.array().cast("array<string>")))
-    size, distinct = F.greatest(F.length(text), F.lit(1)), F.array_distinct(w)
-    symbols = F.regexp_count(text, F.lit(r"[#*$%&|<>]")) / size
-    capitals = F.regexp_count(text, F.lit("[A-Z]")) / size
-    fresh = F.size(distinct) / F.greatest(F.size(w), F.lit(1))
-    levels = F.array(_levels("symbols", symbols, (0.005, 0.03, 0.1)), _levels("capitals", capitals, (0.06, 0.3, 0.6)), _levels("repeats", 1 - fresh, (0.4, 0.6, 0.8)))
-    made = {out: F.concat(distinct, levels)} | ({tokens: F.size(w).cast("long")} if tokens else {})
-    return df.withColumns(made).drop(w)
+    df = df.withColumns({words: F.array_distinct(w), tokens: F.size(w).cast("long")}).drop(w)
+    size = F.greatest(F.length(text), F.lit(1))
+    symbols, capitals, repeats = (unused(df, f"_{k}") for k in ("symbols", "capitals", "repeats"))
+    df = df.withColumns({symbols: F.regexp_count(text, F.lit(r"[#*$%&|<>]")) / size, capitals: F.regexp_count(text, F.lit("[A-Z]")) / size, repeats: 1 - F.size(words) / F.greatest(F.col(tokens), F.lit(1))})
+    told = F.array(_levels("symbols", F.col(symbols), (0.005, 0.03, 0.1)), _levels("capitals", F.col(capitals), (0.06, 0.3, 0.6)), _levels("repeats", F.col(repeats), (0.4, 0.6, 0.8)))
+    return df.withColumn(levels, told).drop(symbols, capitals, repeats)
 
 
 class Classifier:
@@ -63,16 +65,17 @@ class Classifier:
 
     def apply(self, df: DataFrame, text_col: str, posteriors: str, tokens: str) -> DataFrame:
         """Adds the words of a text and an array with a probability for each domain."""
-        m, h, e = unused(df, "_marks"), unused(df, "_hits"), unused(df, "_exp")
-        df = with_marks(df, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), m, tokens)
+        m, v, h, e = unused(df, "_marks"), unused(df, "_levels"), unused(df, "_hits"), unused(df, "_exp")
+        df = with_marks(df, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), m, v, tokens)
         known = F.array(*[F.lit(x) for x in self.weights]) if self.weights else F.array().cast("array<string>")
-        df = df.withColumn(h, F.array_intersect(m, known)).drop(m)
+        df = df.withColumn(h, F.concat(F.array_intersect(m, known), F.col(v))).drop(m, v)
         names = [f"{e}{k}" for k in range(len(self.domains))]
         sums = [reduce(lambda a, b: a + b, [F.when(F.array_contains(h, x), F.lit(float(w[k]))).otherwise(F.lit(0.0)) for x, w in self.weights.items()], F.lit(float(b))) for k, b in enumerate(self.base)]
         df = df.withColumns(dict(zip(names, sums, strict=True))).drop(h)
         most = F.greatest(*names) if len(names) > 1 else F.col(names[0])
-        exps = [F.exp(F.col(n) - most) for n in names]
-        return df.withColumn(posteriors, F.transform(F.array(*exps), lambda x: x / reduce(lambda a, b: a + b, exps))).drop(*names)
+        df = df.withColumns({f"{n}e": F.exp(F.col(n) - most) for n in names})
+        total = reduce(lambda a, b: a + b, [F.col(f"{n}e") for n in names])
+        return df.withColumn(posteriors, F.array(*[F.col(f"{n}e") / total for n in names])).drop(*names, *[f"{n}e" for n in names])
 
 
 def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", bound: int = LABELLED_ROWS) -> Classifier:
@@ -86,7 +89,7 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str =
     share = min(1.0, bound / n)
     picked = rows.filter(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(2 * bound)  # the limit only states the bound of what is broadcast
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t")).join(F.broadcast(picked), "i")
-    seen = written(with_marks(texts, F.col("t"), "m").select("d", "m"), "labelled")
+    seen = written(with_marks(texts, F.col("t"), "w", "v", "n").select("d", F.concat("w", "v").alias("m")), "labelled")
     totals = {r["d"]: r["n"] for r in seen.groupBy("d").agg(F.count("*").alias("n")).collect()}
     if not totals:
         return Classifier(domains, [0.0] * len(domains), {})

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import enter, prepare, written
-from .encoding import encoder
+from .encoding import MEMO, encoder
 
 CAPACITY, END_ID = 4096, 1
 GROUP, ISLANDS, POPULATION, GENERATIONS, EPOCHS = 2048, 3, 5, 10, 2
@@ -36,11 +36,11 @@ FILLED = 0.985
 Bins = list[list[int]]
 
 
-def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, spaces_matter: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, spaces_matter: bool = False, memo: int = MEMO) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every piece of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(vocabulary, spaces_matter), end_id.to_bytes(4, "little")
+        enc, end = encoder(vocabulary, spaces_matter, memo), end_id.to_bytes(4, "little")
         for b in batches:
             rows = []
             for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_many(b.column(1).to_pylist()), strict=True):
@@ -199,8 +199,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     return out
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, memo: int = MEMO) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece."""
     prepare(docs.sparkSession)
-    made = written(pieces(docs, vocabulary, capacity=capacity).withColumn("pid", F.monotonically_increasing_id()), "pieces")
+    made = written(pieces(docs, vocabulary, capacity=capacity, memo=memo).withColumn("pid", F.monotonically_increasing_id()), "pieces")
     return made.join(pack(made, capacity), "pid").drop("pid")

@@ -24,6 +24,8 @@ from .encoding import encoder
 
 END_ID = 2
 ROW_GROUP_BYTES, PAGE_BYTES, DICTIONARY_BYTES = 16 << 20, 256 << 10, 1 << 20
+#: Pieces that a worker remembers.
+MEMO = 800_000
 BROADCAST_PARTS = 1_000_000
 SCHEMA = "part int, doc_id long, first long, n_tokens long, ids array<int>"
 
@@ -33,7 +35,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
     prepare(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, before = encoder(vocabulary, spaces_matter), 0
+        enc, before = encoder(vocabulary, spaces_matter, MEMO), 0
         end = end_id.to_bytes(4, "little")
         for b in batches:
             ids = [x + end for x in enc.encode_many(b.column(2).to_pylist())]

@@ -24,6 +24,8 @@ class Lexicon:
 
     # Patterns and word lists.
     url: str = r"(?i)(?:https?://|www\.)\S+|\S+\.(?:com|cn|net|org|cc|me|io|xyz|top|vip|club)(?![0-9A-Za-z_])"
+    #: What every url has; a cheap test before the pattern, which backtracks in each word.
+    url_hint: str = r"(?i)https?://|www\.|\.(?:com|cn|net|org|cc|me|io|xyz|top|vip|club)"
     promo: tuple[str, ...] = ("公众号", "微信", "QQ群", "qq群", "QQ 群", "书友群", "读者群", "订阅", "下载APP", "下载 APP", "扫码", "二维码", "加群", "入群", "微信号", "公号", "百度搜索", "最新章节", "全文阅读", "继续阅读")
     templates: tuple[str, ...] = (
         "本书由.{1,20}整理", "更多.{1,30}(?:请访问|请到|请搜索|请关注)", "本(?:文|书|章)来自", "(?:免费|正版).{0,10}(?:小说|阅读)", "(?:转载|搬运).{0,10}(?:请注明|出处)",
@@ -54,39 +56,39 @@ def url_rest(line: Column, lex: Lexicon = DEFAULT) -> Column:
     return trimmed(F.regexp_replace(trimmed(line), lex.url, ""))
 
 
-def garbled_ratio(line: Column, lex: Lexicon = DEFAULT) -> Column:
-    t = trimmed(line)
-    return F.length(F.regexp_replace(t, lex.good_chars, "")) / F.greatest(F.length(t), F.lit(1))
+def garbled_ratio(t: Column, lex: Lexicon = DEFAULT) -> Column:
+    """Share of a trimmed line's characters that are none of the good ones."""
+    return F.length(F.regexp_replace(t, f"(?:{lex.good_chars})+", "")) / F.greatest(F.length(t), F.lit(1))
 
 
 def _any(t: Column, patterns: tuple[str, ...], prefix: str = "") -> Column:
     return t.rlike(prefix + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
 
 
-def candidates(line: Column, lex: Lexicon = DEFAULT) -> dict[str, tuple[Column, float]]:
-    """Whether each one-line detector fires, with its confidence."""
-    t = trimmed(line)
+def candidates(line: Column, lex: Lexicon = DEFAULT, t: Column | None = None) -> dict[str, tuple[Column, float]]:
+    """Whether each one-line detector fires, with its confidence (``t``: the trimmed line, where it is at hand)."""
+    t = trimmed(line) if t is None else t
     some = F.length(t) > 0
     short = F.length(t) <= lex.longest
     return {
-        "url": (some & t.rlike(lex.url) & (F.length(url_rest(line, lex)) <= lex.url_rest), 0.9),
+        "url": (t.rlike(lex.url_hint) & t.rlike(lex.url) & (F.length(url_rest(line, lex)) <= lex.url_rest), 0.9),
         "promo": (some & short & _any(t, tuple(re.escape(p) for p in lex.promo), "(?iu)"), 0.85),
         "template": (some & short & _any(t, lex.templates), 0.8),
         "decoration": (line.rlike(lex.decoration), 0.9),
-        "garbled": ((F.length(t) >= lex.garbled_least) & (garbled_ratio(line, lex) > lex.garbled_share), 0.85),
+        "garbled": ((F.length(t) >= lex.garbled_least) & (garbled_ratio(t, lex) > lex.garbled_share), 0.85),
         "meta": (some & (t.rlike(lex.page_number) | t.rlike(lex.navigation)), 0.95),
         "orphan": (t.rlike(lex.orphan), 0.6),
     }
 
 
-def best(line: Column, lex: Lexicon = DEFAULT, note: Column | None = None, repeated: Column | None = None) -> Column:
+def best(line: Column, lex: Lexicon = DEFAULT, note: Column | None = None, repeated: Column | None = None, t: Column | None = None) -> Column:
     """The suspicion of a line, ``struct<confidence, order, category>`` or null: greatest confidence, then the earlier detector.
 
     ``note`` is the confidence that an author-note fold gave the line (it takes the place of the other meta rules),
     ``repeated`` whether the line is a repeated tail.
     """
     found = []
-    for name, (fires, confidence) in candidates(line, lex).items():
+    for name, (fires, confidence) in candidates(line, lex, t).items():
         category = "meta" if name == "orphan" else name
         if note is not None and category == "meta":
             fires = fires & note.isNull()
@@ -159,7 +161,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lex:
         found = repeated_tails(base, "doc_id", "text").select("doc_id", "tail", F.lit(True).alias("again"))
         rows = rows.join(found, ["doc_id", "tail"], "left")
         repeated = F.coalesce(F.col("again"), F.lit(False))
-    told = rows.withColumn("b", best(F.col("line"), lex, F.col("conf") if notes else None, repeated)).filter("b is not null")
+    told = rows.withColumn("b", best(F.col("line"), lex, F.col("conf") if notes else None, repeated, F.col("tail"))).filter("b is not null")
     return told.select("doc_id", "line_num", F.substring("tail", 1, 100).alias("content"), F.col("b.category").alias("category"), F.col("b.confidence").alias("confidence"))
 
 
@@ -182,12 +184,11 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lex
         base = base.withColumn("kept", F.array().cast("array<int>"))
     least = 0.0 if aggressive else REMOVED_FROM
 
-    def stays(line: Column, i: Column) -> Column:
-        suspicion = best(line, lex, F.get("note", i))
-        return suspicion.isNull() | (suspicion["confidence"] < least) | F.array_contains("kept", i + 1)
+    def stays(x: Column, i: Column) -> Column:
+        return F.coalesce(best(x["line"], lex, F.get("note", i), t=x["t"])["confidence"] < least, F.lit(True)) | F.array_contains("kept", i + 1)
 
-    split = F.split("text", "\n")
-    flagged = base.select("doc_id", F.transform(split, lambda x, i: F.struct(x.alias("line"), stays(x, i).alias("stays"))).alias("l"))
+    split = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), trimmed(x).alias("t")))
+    flagged = base.select("doc_id", F.transform(split, lambda x, i: F.struct(x["line"].alias("line"), stays(x, i).alias("stays"))).alias("l"))
     left = F.transform(F.filter("l", lambda x: x["stays"]), lambda x: x["line"])
     return flagged.select("doc_id", F.array_join(left, "\n").alias("text"), F.size("l").alias("n_lines"), (F.size("l") - F.size(left)).alias("n_removed"))
 
@@ -212,4 +213,4 @@ def older(lex: Lexicon = DEFAULT) -> Lexicon:
     """The older detector set: urls may hide behind blanks and wide letters (apply to narrowed text without white space)."""
     from dataclasses import replace
 
-    return replace(lex, url=r"(?i)(?:h\s*t\s*t\s*p\s*s?\s*:\s*/\s*/|w\s*w\s*w\s*\.)\S+|\S+\s*\.\s*(?:com|cn|net|org|cc|me|io|xyz|top|vip|club)(?![0-9A-Za-z_])")
+    return replace(lex, url_hint=r"(?i)h\s*t\s*t\s*p|w\s*w\s*w|\.\s*(?:com|cn|net|org|cc|me|io|xyz|top|vip|club)", url=r"(?i)(?:h\s*t\s*t\s*p\s*s?\s*:\s*/\s*/|w\s*w\s*w\s*\.)\S+|\S+\s*\.\s*(?:com|cn|net|org|cc|me|io|xyz|top|vip|club)(?![0-9A-Za-z_])")

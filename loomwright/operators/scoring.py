@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as lex
 
 KEY = ["book_id", "type", "text"]
-_CJK_PAIR = r"^[\x{4E00}-\x{9FFF}]{2}$"
+_CJK_PAIR = r"[\x{4E00}-\x{9FFF}]{2}"
 
 
 def grouped(mentions: DataFrame, least_confidence: float = 0.6, least_count: int = 1) -> DataFrame:
@@ -83,10 +83,8 @@ def window_text(content: Column, position: Column, reach: int) -> Column:
 
 
 def bigrams(text: Column, pattern: str = _CJK_PAIR) -> Column:
-    """Distinct pairs of neighbouring characters that match."""
-    n = F.length(text)
-    every = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: text.substr(i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.filter(every, lambda b: b.rlike(pattern)))
+    """Distinct pairs of neighbouring characters that match (a look-ahead finds overlapping ones in one pass over the text)."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({pattern}))"), F.lit(1)))
 
 
 def _windows(mentions: DataFrame, chapters: DataFrame, reach: int) -> DataFrame:

@@ -357,7 +357,7 @@ s AS (SELECT DISTINCT conv_id, turn, b FROM b WHERE regexp_matches(b, '^[a-z]{2}
 SELECT conv_id AS book_id, turn AS chapter_index, count(*) AS bigrams, count(*) FILTER (n.n = 1) AS unique_bigrams FROM s JOIN n USING (conv_id, b) GROUP BY ALL""")
 def unique_bigrams(spark, sf):
     """Letter pairs of a turn that no other turn of its conversation has."""
-    rows = _turns(spark, sf).select("book_id", F.col("chapter_index").cast("long").alias("chapter_index"), F.explode(scoring.bigrams(F.col("content"), "^[a-z]{2}$")).alias("b"))
+    rows = _turns(spark, sf).select("book_id", F.col("chapter_index").cast("long").alias("chapter_index"), F.explode(scoring.bigrams(F.col("content"), "[a-z]{2}")).alias("b"))
     n = rows.groupBy("book_id", "b").agg(F.count("*").alias("n"))
     return rows.join(n, ["book_id", "b"]).groupBy("book_id", "chapter_index").agg(F.count("*").alias("bigrams"), F.count_if(F.col("n") == 1).alias("unique_bigrams"))
 

@@ -35,6 +35,9 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+_ENDS = frozenset(",.;:!?")
+
+
 class _Whole(Exception):
     """A text that can't be cut, for some white space in it."""
 
@@ -47,31 +50,47 @@ class _Memo(dict):
         self.limit = limit
         self.lib, self.model, self.lead, self.lower = lib, lib.model, lead, lower
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        self.mark = lead.translate(self.letters)
         self.tails: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
+        if len(piece) <= LONGEST and piece.isascii():  # the most frequent forms, without the pattern
+            if piece.isalpha():
+                return self._keep(piece, self._word(piece))
+            if piece[-1:] in _ENDS and (head := piece[:-1]).isalpha():
+                return self._keep(piece, self[head] + self._tail(piece[-1]))
         plain = _PLAIN.fullmatch(piece) if len(piece) <= LONGEST else None
         if plain is None:
             if not piece or _WHITE.search(piece):
                 raise _Whole
             out = self.whole(self.lead + piece)
         elif marks := plain[2]:
-            if marks not in self.tails:
-                self.tails[marks] = self.whole(marks)
-            out = self[plain[1]] + self.tails[marks]
+            out = self[plain[1]] + self._tail(marks)
         else:
-            word = self.lead + (piece.lower() if self.lower else piece)
-            mapped = (word if word.isascii() else word.encode().decode("latin-1")).translate(self.letters)
-            out = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-        if len(piece) <= LONGEST:
-            if len(self) >= self.limit:
-                core = list(islice(self.items(), self.limit // 2))
-                self.clear()
-                self.update(core)
-            self[piece] = out
+            out = self._word(piece)
+        return self._keep(piece, out) if len(piece) <= LONGEST else out
+
+    def _word(self, word: str) -> bytes:
+        """Ids of Latin letters: one unit of the split, in the letters that stand for its bytes."""
+        if self.lower:
+            word = word.lower()
+        mapped = self.mark + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _tail(self, marks: str) -> bytes:
+        if marks not in self.tails:
+            self.tails[marks] = self.whole(marks)
+        return self.tails[marks]
+
+    def _keep(self, piece: str, out: bytes) -> bytes:
+        if len(self) >= self.limit:
+            core = list(islice(self.items(), self.limit // 2))
+            self.clear()
+            self.update(core)
+        self[piece] = out
         return out
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,7 +25,13 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def put(f):
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            """Whole numbers come as long, as SQL counts them."""
+            df = f(spark, sf)
+            return df.select(*[F.col(c).cast("long").alias(c) if t in ("int", "smallint", "tinyint") else F.col(c) for c, t in df.dtypes])
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f
@@ -171,7 +178,7 @@ def word_counts(spark, sf):
 
 @query(r"""
 WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '[。！？；.!?;\n]+')) AS s FROM documents)
-SELECT doc_id, count(*) AS n, sum(length(s)) AS chars FROM s WHERE trim(s, ' ' || chr(9)) <> '' GROUP BY doc_id""")
+SELECT doc_id, count(*) AS n, cast(sum(length(s)) AS BIGINT) AS chars FROM s WHERE trim(s, ' ' || chr(9)) <> '' GROUP BY doc_id""")
 def relation_sentences(spark, sf):
     rows = _docs(spark, sf).select("doc_id", F.explode(T.relation_sentences(F.coalesce("text", F.lit("")))).alias("s"))
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("s")).alias("chars"))
@@ -194,23 +201,23 @@ def slugs(spark, sf):
 
 
 @query("""
-WITH c AS (SELECT doc_id, text, unnest(range(0, cast(ceil(length(text) / 3000) AS INT))) AS chapter_index FROM documents WHERE length(text) > 0)
-SELECT doc_id, cast(chapter_index AS INT) AS chapter_index, length(regexp_replace(substr(text, chapter_index * 3000 + 1, 3000), '\\s', '', 'g')) AS word_count FROM c""")
+WITH c AS (SELECT doc_id, text, unnest(range(0, cast(ceil(length(text) / 3000) AS BIGINT))) AS chapter_index FROM documents WHERE length(text) > 0)
+SELECT doc_id, cast(chapter_index AS BIGINT) AS chapter_index, length(regexp_replace(substr(text, chapter_index * 3000 + 1, 3000), '\\s', '', 'g')) AS word_count FROM c""")
 def fixed_chunks(spark, sf):
     return segmentation.fixed_chunks(_docs(spark, sf)).select("doc_id", "chapter_index", "word_count")
 
 
 @query("""
 WITH c AS (SELECT doc_id, trim(text, ' ' || chr(10) || chr(9)) AS t FROM documents),
-e AS (SELECT doc_id, t, unnest(range(0, cast(ceil(length(t) / 2000) AS INT))) AS chapter_index FROM c WHERE length(t) > 0)
-SELECT doc_id, cast(chapter_index AS INT) AS chapter_index, length(substr(t, chapter_index * 2000 + 1, 2000)) AS n FROM e""")
+e AS (SELECT doc_id, t, unnest(range(0, cast(ceil(length(t) / 2000) AS BIGINT))) AS chapter_index FROM c WHERE length(t) > 0)
+SELECT doc_id, cast(chapter_index AS BIGINT) AS chapter_index, length(substr(t, chapter_index * 2000 + 1, 2000)) AS n FROM e""")
 def legacy_chunks(spark, sf):
     return segmentation.legacy_chapters(_docs(spark, sf)).select("doc_id", "chapter_index", F.length("content").alias("n"))
 
 
 @query("""
 WITH m AS (SELECT user_id, event_id, ts, event_type, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)
-SELECT user_id, event_id, CASE WHEN k > 0 THEN cast(k - 1 AS INT) END AS volume_idx FROM m WHERE event_type <> 'signup'""")
+SELECT user_id, event_id, CASE WHEN k > 0 THEN cast(k - 1 AS BIGINT) END AS volume_idx FROM m WHERE event_type <> 'signup'""")
 def as_of_volume(spark, sf):
     """Events as chapters, sign-ups as volume headings: the last heading at or before each."""
     ev = _t(spark, sf, "events").withColumn("line", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
@@ -274,7 +281,7 @@ def _event_mentions(spark, sf) -> DataFrame:
     return ev.select(F.col("user_id").alias("book_id"), F.lit("event").alias("type"), F.col("event_type").alias("text"), day.alias("chapter_index"), F.lit(0).alias("position"), (F.pmod(F.col("event_id"), F.lit(97)) / 97.0).alias("confidence"), F.col("event_id").alias("seq"))
 
 
-_MENTIONS = "m AS (SELECT user_id AS book_id, event_type AS text, cast(date_diff('day', DATE '2024-01-01', cast(ts AS DATE)) AS INT) AS d, (event_id % 97) / 97.0::DOUBLE AS confidence, event_id AS seq FROM events)"
+_MENTIONS = "m AS (SELECT user_id AS book_id, event_type AS text, cast(date_diff('day', DATE '2024-01-01', cast(ts AS DATE)) AS BIGINT) AS d, (event_id % 97) / 97.0::DOUBLE AS confidence, event_id AS seq FROM events)"
 
 
 @query(f"""WITH {_MENTIONS}
@@ -402,7 +409,7 @@ def same_name_dedup(spark, sf):
 
 
 @query("""
-SELECT c_custkey AS id, (CASE WHEN c_acctbal < 0.3 THEN 1 ELSE 0 END) + (CASE WHEN trim(c_mktsegment) = '' THEN 1 ELSE 0 END) AS n_errors,
+SELECT c_custkey AS id, (CASE WHEN c_acctbal < 0.3 THEN 1 ELSE 0 END)::BIGINT + (CASE WHEN trim(c_mktsegment) = '' THEN 1 ELSE 0 END)::BIGINT AS n_errors,
        NOT (c_acctbal < 0.3) AND trim(c_mktsegment) <> '' AS valid FROM customer""")
 def validation_rules(spark, sf):
     rows = _t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("confidence"), F.col("c_mktsegment").alias("description"), F.array(F.lit(1)).alias("chapter_appearances"), F.array().cast("array<string>").alias("aliases"), F.col("c_name").alias("name"))
@@ -450,7 +457,7 @@ def _edges(spark, sf) -> DataFrame:
 _EDGES = """e AS (
   SELECT 'c' || o_custkey AS source, 's' || l_suppkey AS target,
          CASE o_orderpriority WHEN '1-URGENT' THEN 'family' WHEN '2-HIGH' THEN 'romantic' WHEN '3-MEDIUM' THEN 'friendship' WHEN '4-NOT SPECIFIED' THEN 'antagonistic' WHEN '5-LOW' THEN 'professional' ELSE 'unknown' END AS type,
-         max(l_discount) AS confidence, cast(min(year(o_orderdate) * 12 + month(o_orderdate)) AS INT) AS chapter_first, cast(max(year(o_orderdate) * 12 + month(o_orderdate)) AS INT) AS chapter_last
+         max(l_discount) AS confidence, cast(min(year(o_orderdate) * 12 + month(o_orderdate)) AS BIGINT) AS chapter_first, cast(max(year(o_orderdate) * 12 + month(o_orderdate)) AS BIGINT) AS chapter_last
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL)"""
 
 
@@ -486,7 +493,7 @@ f AS (SELECT conv_id, turn, i, s, list_filter(['the', 'and', 'that'], lambda w:
 p AS (SELECT conv_id, turn, i, s, unnest(names) AS source, names FROM f WHERE len(names) >= 2),
 q AS (SELECT conv_id, turn, i, s, source, unnest(names) AS target FROM p),
 v AS (SELECT *, CASE WHEN contains(lower(s), 'with') THEN 0.85::DOUBLE ELSE 0.3::DOUBLE END AS c FROM q WHERE source <> target)
-SELECT conv_id AS book_id, source, target, round(least(0.99::DOUBLE, arg_min(c, turn * 100000 + i) + 0.1::DOUBLE * (count(*) - 1)), 9) AS confidence, cast(min(turn) AS INT) AS chapter_first, cast(max(turn) AS INT) AS chapter_last, count(*) AS n
+SELECT conv_id AS book_id, source, target, round(least(0.99::DOUBLE, arg_min(c, turn * 100000 + i) + 0.1::DOUBLE * (count(*) - 1)), 9) AS confidence, cast(min(turn) AS BIGINT) AS chapter_first, cast(max(turn) AS BIGINT) AS chapter_last, count(*) AS n
 FROM v GROUP BY ALL""")
 def sentence_edges(spark, sf):
     found = relations.evidence(relations.sentence_mentions(_turns(spark, sf), ["the", "and", "that"]), {"friendship": {"explicit": ("with",)}})
@@ -512,7 +519,7 @@ def arc_sessions(spark, sf):
 
 @query("""
 WITH r AS (SELECT conv_id, turn, text, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 + 1 AS segment FROM conversations)
-SELECT conv_id AS book_id, cast(segment AS INT) AS segment, cast(min(turn) AS INT) AS start_chapter, cast(max(turn) AS INT) AS end_chapter, count(*) AS n_chapters,
+SELECT conv_id AS book_id, cast(segment AS BIGINT) AS segment, cast(min(turn) AS BIGINT) AS start_chapter, cast(max(turn) AS BIGINT) AS end_chapter, count(*) AS n_chapters,
        CASE WHEN count(*) > 1 THEN 0.78::DOUBLE ELSE 0.68::DOUBLE END AS boundary_confidence, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS text_md5
 FROM r GROUP BY ALL""")
 def chunk_segments(spark, sf):
@@ -524,7 +531,7 @@ def chunk_segments(spark, sf):
 WITH s AS (SELECT user_id AS book_id, event_id, event_type, (event_id % 40) / 40.0 AS c, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 p AS (SELECT *, lag(event_id) OVER w AS prev_id, lag(event_type) OVER w AS pt FROM s WINDOW w AS (PARTITION BY book_id ORDER BY n))
 SELECT book_id, event_id AS segment_id, CASE WHEN prev_id IS NOT NULL AND pt = event_type AND c < 0.72 THEN 'merge_with_previous' ELSE 'confirm' END AS suggestion,
-       CASE WHEN pt = event_type THEN 1 ELSE 0 END AS n_shared FROM p WHERE c < 0.82""")
+       (CASE WHEN pt = event_type THEN 1 ELSE 0 END)::BIGINT AS n_shared FROM p WHERE c < 0.82""")
 def boundary_reviews(spark, sf):
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     seg = _t(spark, sf, "events").select(F.col("user_id").alias("book_id"), F.col("event_id").alias("segment_id"), n.alias("start_chapter"), n.alias("end_chapter"), ((F.col("event_id") % 40) / 40.0).alias("boundary_confidence"), F.array("event_type").alias("main_characters"))
@@ -569,7 +576,7 @@ def top_per_group(spark, sf):
 # -- tables and exports ---------------------------------------------------------
 
 
-@query("""SELECT d.doc_id, l.quality, l.toxic, d.n_chars FROM labels l JOIN documents d USING (doc_id) WHERE l.quality = 1""")
+@query("""SELECT d.doc_id, l.quality::BIGINT AS quality, l.toxic::BIGINT AS toxic, d.n_chars FROM labels l JOIN documents d USING (doc_id) WHERE l.quality = 1""")
 def review_status(spark, sf):
     rows = _t(spark, sf, "labels").join(_docs(spark, sf), "doc_id")
     return tables.by_book(rows, quality=1).select("doc_id", "quality", "toxic", "n_chars")
@@ -618,7 +625,7 @@ def group_report(spark, sf):
 
 
 @query("""
-SELECT c_nationkey AS book_id, c_name || ',' || CASE WHEN contains(c_mktsegment, 'E') THEN '"x, ' || c_mktsegment || '"' ELSE 'x; y' END || ',,' || printf('%.3f', c_acctbal) || ',,' || c_custkey || ',,,core,' || printf('%.3f', c_acctbal) || ',0,0,0' AS line
+SELECT c_nationkey::BIGINT AS book_id, c_name || ',' || CASE WHEN contains(c_mktsegment, 'E') THEN '"x, ' || c_mktsegment || '"' ELSE 'x; y' END || ',,' || printf('%.3f', c_acctbal) || ',,' || c_custkey || ',,,core,' || printf('%.3f', c_acctbal) || ',0,0,0' AS line
 FROM (SELECT *, 1 AS one FROM customer)""")
 def csv_export(spark, sf):
     rows = _t(spark, sf, "customer").select(
@@ -637,7 +644,7 @@ def run_discovery(spark, sf):
 
 
 @query("""
-WITH m AS (SELECT DISTINCT user_id, event_type, cast(date_diff('day', DATE '2024-01-01', cast(ts AS DATE)) AS INT) AS d FROM events)
+WITH m AS (SELECT DISTINCT user_id, event_type, cast(date_diff('day', DATE '2024-01-01', cast(ts AS DATE)) AS BIGINT) AS d FROM events)
 SELECT user_id AS book_id, d AS chapter_index, event_type AS text, 'regex' AS source, 0.5::DOUBLE AS confidence FROM m""")
 def mention_round_trip(spark, sf):
     """Mentions written as pipe-separated lines and parsed back."""
@@ -656,7 +663,7 @@ def model_salvage(spark, sf):
 @query("""
 WITH s AS (SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) * 2 AS f FROM conversations), b AS (SELECT conv_id, turn, f + 1 AS n FROM s UNION ALL SELECT conv_id, turn, f + 2 FROM s),
 k AS (SELECT conv_id, count(*) AS k FROM b GROUP BY ALL)
-SELECT conv_id AS story_id, n AS clip_no, turn AS scene_no, (['establishing', 'wide', 'medium', 'close_up', 'insert', 'reaction'])[(n - 1) % 6 + 1] AS shot_type, greatest(4, cast(floor(90 / k + 0.5) AS INT)) AS duration_s
+SELECT conv_id AS story_id, n AS clip_no, turn AS scene_no, (['establishing', 'wide', 'medium', 'close_up', 'insert', 'reaction'])[(n - 1) % 6 + 1] AS shot_type, greatest(4, cast(floor(90 / k + 0.5) AS BIGINT)) AS duration_s
 FROM b JOIN k USING (conv_id)""")
 def storyboard_clips(spark, sf):
     scenes = _t(spark, sf, "conversations").select(F.col("conv_id").alias("story_id"), F.col("turn").alias("scene_no"), F.lit("walks").alias("action"), F.lit("hello").alias("line"), F.col("role").alias("emotion"))
@@ -667,7 +674,7 @@ def storyboard_clips(spark, sf):
 
 @query(r"""
 WITH p AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '\b(?:he|his|him|she|hers|her|it|its)\b') AS m FROM conversations)
-SELECT conv_id::VARCHAR AS book_id, cast(turn AS INT) AS chapter_index, len(m) AS n FROM p WHERE len(m) > 0""")
+SELECT conv_id::VARCHAR AS book_id, cast(turn AS BIGINT) AS chapter_index, len(m) AS n FROM p WHERE len(m) > 0""")
 def pronoun_counts(spark, sf):
     found = coreference.pronouns(_turns(spark, sf))
     return found.groupBy("book_id", "chapter_index").agg(F.count("*").alias("n"))

@@ -26,7 +26,7 @@ def test_collectives_and_generic_aliases():
     assert H.is_collective("三位长老") and H.is_collective("他们") and not H.is_collective("萧炎")
     assert H.is_generic("那位少年") and H.is_generic("大长老") and H.is_generic("绿衣少女") and not H.is_generic("萧炎")
     assert H.resolve_fold([character("几名护卫")]) == []
-    assert H.clean_aliases("萧炎", ["萧炎", "他", "小炎子", "萧炎哥", "萧炎哥", "李伟"]) == ["萧炎哥"] or "李伟" not in H.clean_aliases("萧炎", ["李伟"])
+    assert H.clean_aliases("萧炎", ["萧炎", "他", "萧炎哥", "萧炎哥", "李伟"]) == ["萧炎哥"]
 
 
 def test_nickname_promoted_to_the_full_name():
@@ -92,7 +92,7 @@ def test_edges(spark):
     ch = spark.createDataFrame([("b", 0, "张三和李四是朋友。张三见李四。"), ("b", 2, "李四追杀张三！王五")], "book_id string, chapter_index int, content string")
     e = J.edges(J.evidence(J.sentence_mentions(ch, ["张三", "李四", "王五"]))).filter("source = '张三'")
     got = {r["type"]: (round(r["confidence"], 2), r["chapter_first"], r["chapter_last"], r["n"]) for r in e.collect()}
-    assert got["friendship"] == (1.05 if False else 0.99, 0, 2, 3) and got["antagonistic"] == (0.5, 0, 2, 3)
+    assert got["friendship"] == (0.99, 0, 2, 3) and got["antagonistic"] == (0.5, 0, 2, 3)
     assert J.both_ways(e).count() == 2 * e.count() and J.confident(e, 0.9).count() == 1
 
 

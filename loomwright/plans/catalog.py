@@ -427,7 +427,7 @@ def hallucination_filter(spark, sf):
 WITH k AS (SELECT DISTINCT o_custkey AS a, l_suppkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 50 = 0)
 SELECT c.c_custkey AS id, min(b) AS first_supplier, count(b) AS suppliers FROM customer c LEFT JOIN k ON k.a = c.c_custkey GROUP BY ALL""")
 def left_enrich(spark, sf):
-    pairs = _t(spark, sf, "orders").filter("o_orderkey % 50 = 0").join(_t(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
+    pairs = _t(spark, sf, "orders").join(_t(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
     sums = pairs.groupBy("a").agg(F.min("b").alias("first_supplier"), F.count("b").alias("suppliers"))
     rows = _t(spark, sf, "customer").select(F.col("c_custkey").alias("id")).join(sums, F.col("id") == F.col("a"), "left")
     return rows.select("id", "first_supplier", F.coalesce("suppliers", F.lit(0)).alias("suppliers"))

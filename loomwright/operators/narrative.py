@@ -111,9 +111,22 @@ def narrative_chapters(chapters: DataFrame, least: int = 40, rules: Rules = RULE
     return rows.withColumn("_any", F.max(long).over(Window.partitionBy("book_id"))).filter(long | ~F.col("_any")).drop("_any")
 
 
-def in_chapters(mentions: DataFrame, ranges: DataFrame, id_col: str) -> DataFrame:
-    """Mentions inside each range (``book_id, id, start_chapter, end_chapter``), the surest first (``ord``)."""
-    rows = mentions.join(ranges.select("book_id", id_col, "start_chapter", "end_chapter"), "book_id").filter(F.col("chapter_index").between(F.col("start_chapter"), F.col("end_chapter")))
+#: Chapters of a bucket by which mentions and ranges meet.
+BUCKET = 64
+
+
+def in_chapters(mentions: DataFrame, ranges: DataFrame, id_col: str, width: int = BUCKET) -> DataFrame:
+    """Mentions inside each range (``book_id, id, start_chapter, end_chapter``), the surest first (``ord``).
+
+    An equi-join on the book and on buckets of ``width`` chapters, then the exact test. A range goes into each bucket that
+    it touches and that the book's mentions span; a mention is in one bucket, so no pair comes twice.
+    """
+    bucket = lambda c: F.floor(F.col(c) / width)
+    span = mentions.groupBy("book_id").agg(F.min(bucket("chapter_index")).alias("_lo"), F.max(bucket("chapter_index")).alias("_hi"))
+    first, last = F.greatest(bucket("start_chapter"), F.col("_lo")), F.least(bucket("end_chapter"), F.col("_hi"))
+    held = ranges.select("book_id", id_col, "start_chapter", "end_chapter").filter("start_chapter <= end_chapter").join(span, "book_id").filter(first <= last)
+    held = held.withColumn("_bucket", F.explode(F.sequence(first, last))).drop("_lo", "_hi")
+    rows = mentions.withColumn("_bucket", bucket("chapter_index")).join(held, ["book_id", "_bucket"]).drop("_bucket").filter(F.col("chapter_index").between(F.col("start_chapter"), F.col("end_chapter")))
     order = Window.partitionBy("book_id", id_col).orderBy(F.desc("confidence"), "chapter_index", "text")
     return rows.withColumn("ord", F.row_number().over(order))
 

@@ -542,7 +542,7 @@ def boundary_reviews(spark, sf):
 WITH r AS (SELECT c_custkey AS id, c_custkey * 3 AS lo, c_custkey * 3 + 40 AS hi FROM customer WHERE c_custkey <= 50)
 SELECT id, event_id, row_number() OVER (PARTITION BY id ORDER BY value DESC, event_id) AS ord FROM events JOIN r ON event_id BETWEEN lo AND hi""")
 def range_join_mentions(spark, sf):
-    ranges = _t(spark, sf, "customer").filter("c_custkey <= 50").select(F.lit(0).alias("book_id"), F.col("c_custkey").alias("id"), (F.col("c_custkey") * 3).alias("start_chapter"), (F.col("c_custkey") * 3 + 40).alias("end_chapter"))
+    ranges = _t(spark, sf, "customer").select(F.lit(0).alias("book_id"), F.col("c_custkey").alias("id"), (F.col("c_custkey") * 3).alias("start_chapter"), (F.col("c_custkey") * 3 + 40).alias("end_chapter"))
     m = _t(spark, sf, "events").select(F.lit(0).alias("book_id"), F.col("event_id").alias("chapter_index"), F.col("value").alias("confidence"), F.lit("").alias("text"))
     return narrative.in_chapters(m, ranges, "id").select("id", F.col("chapter_index").alias("event_id"), F.col("ord").cast("long").alias("ord"))
 

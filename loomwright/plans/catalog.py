@@ -437,7 +437,7 @@ def left_enrich(spark, sf):
 WITH p AS (SELECT c_custkey AS k, 'c' || (c_custkey % 400) AS name, c_acctbal AS v FROM customer WHERE c_custkey <= 400), s AS (SELECT s_suppkey AS k, 'C' || s_suppkey AS name, s_acctbal AS v FROM supplier)
 SELECT coalesce(p.name, s.name) AS name, coalesce(p.v, s.v) AS v FROM s FULL OUTER JOIN p ON lower(s.name) = lower(p.name)""")
 def payload_merge(spark, sf):
-    p = _t(spark, sf, "customer").filter("c_custkey <= 400").select(F.lit(0).alias("book_id"), F.col("c_custkey").alias("seq"), F.concat(F.lit("c"), (F.col("c_custkey") % 400).cast("string")).alias("name"), F.col("c_acctbal").alias("v"))
+    p = _t(spark, sf, "customer").select(F.lit(0).alias("book_id"), F.col("c_custkey").alias("seq"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("name"), F.col("c_acctbal").alias("v"))
     s = _t(spark, sf, "supplier").select(F.lit(0).alias("book_id"), F.col("s_suppkey").alias("seq"), F.concat(F.lit("C"), F.col("s_suppkey").cast("string")).alias("name"), F.col("s_acctbal").alias("v"))
     return resolution.payload_first(p, s, ["name", "v"]).select("name", "v")
 

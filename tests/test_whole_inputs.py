@@ -13,6 +13,9 @@ WHOLE = {
     "left_enrich": """
 WITH k AS (SELECT DISTINCT o_custkey AS a, l_suppkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
 SELECT c.c_custkey AS id, min(b) AS first_supplier, count(b) AS suppliers FROM customer c LEFT JOIN k ON k.a = c.c_custkey GROUP BY ALL""",
+    "payload_merge": """
+WITH p AS (SELECT 'c' || c_custkey AS name, c_acctbal AS v FROM customer), s AS (SELECT 'C' || s_suppkey AS name, s_acctbal AS v FROM supplier)
+SELECT coalesce(p.name, s.name) AS name, coalesce(p.v, s.v) AS v FROM s FULL OUTER JOIN p ON lower(s.name) = lower(p.name)""",
     "range_join_mentions": """
 WITH r AS (SELECT c_custkey AS id, c_custkey * 3 AS lo, c_custkey * 3 + 40 AS hi FROM customer)
 SELECT id, event_id, row_number() OVER (PARTITION BY id ORDER BY value DESC, event_id) AS ord FROM events JOIN r ON event_id BETWEEN lo AND hi""",

@@ -98,18 +98,23 @@ def _recipes(digest: Callable[[bytes], bytes]) -> Callable[[Iterator[pa.RecordBa
                     seen.clear()
                 rows.append((doc_id, len(text or ""), hashlib.sha256(data).hexdigest(), b"".join(ids), fresh))
             cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _FIELDS, strict=True)], schema=_FIELDS)
+            made = [pa.array(c, f.type) for c, f in zip(cols, _FIELDS, strict=True)]
+            yield pa.RecordBatch.from_arrays([*made, *batch.columns[2:]], names=[*_FIELDS.names, *["uid"][: batch.num_columns - 2]])
 
     return run
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], bytes] = _digest) -> DataFrame:
-    """One row a document: ``doc_id, keep_id, group_size, kept, text_sha256`` (``digest`` is for tests of collisions)."""
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], bytes] = _digest, row_col: str | None = None) -> DataFrame:
+    """One row a document: ``doc_id, keep_id, group_size, kept, text_sha256`` (``digest`` is for tests of collisions).
+
+    ``row_col``, a unique row number of ``docs``, comes along where it is named; it then stands for the order of reading.
+    """
     spark = docs.sparkSession
     prepare(spark)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"), *([F.col(f"`{row_col}`").cast("long").alias("uid")] if row_col else []))
     schema = "id long, n_cp long, sha string, recipe binary, fresh array<struct<k: binary, b: binary>>"
-    stored = written(rows.mapInArrow(_recipes(digest), schema).withColumn("uid", F.monotonically_increasing_id()), "recipes")
+    told = rows.mapInArrow(_recipes(digest), f"{schema}, uid long" if row_col else schema)
+    stored = written(told if row_col else told.withColumn("uid", F.monotonically_increasing_id()), "recipes")
 
     chunks = stored.select(F.explode("fresh").alias("c")).select("c.k", "c.b")
     # Chunks of one identifier with other bytes; a digest of 16 bytes has none, and then no further job runs.
@@ -123,7 +128,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = recipes.groupBy("recipe", F.coalesce("proof", F.lit("")).alias("proof")).agg(F.max("rank").alias("best"), F.count("*").alias("group_size"))
     out = recipes.withColumn("proof", F.coalesce("proof", F.lit(""))).join(groups, ["recipe", "proof"])
     return out.select(
-        F.col("id").alias("doc_id"), (-F.col("best.i")).alias("keep_id"), "group_size", (-F.col("best.u") == F.col("uid")).alias("kept"), F.col("sha").alias("text_sha256")
+        F.col("id").alias("doc_id"), (-F.col("best.i")).alias("keep_id"), "group_size", (-F.col("best.u") == F.col("uid")).alias("kept"), F.col("sha").alias("text_sha256"),
+        *([F.col("uid").alias(row_col)] if row_col else []),
     )
 
 

@@ -116,7 +116,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(s))
             fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             regs.append(sketch(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(regs, pa.binary())], names=["id", "th", "n", "fp", "regs"])
+        made = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(regs, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*made, *batch.columns[3:]], names=["id", "th", "n", "fp", "regs", *["uid"][: batch.num_columns - 3]])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,16 +273,21 @@ def _merged(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """One row a document: ``doc_id, n_shingles, component_id, kept``; links are pairs with ``100 * intersection >= percent * union``."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, row_col: str | None = None) -> DataFrame:
+    """One row a document: ``doc_id, n_shingles, component_id, kept``; links are pairs with ``100 * intersection >= percent * union``.
+
+    ``row_col``, a unique row number of ``docs``, comes along where it is named; then one row of each component is kept, that
+    with the least id (null last) and row number, where otherwise all rows of the least id are.
+    """
     spark = docs.sparkSession
     prepare(spark)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
-    sketched = rows.select("id", "th", "t").mapInArrow(_sketches, "id long, th long, n long, fp binary, regs binary")
-    sketched = written(sketched.withColumn("uid", F.monotonically_increasing_id()), "sketches")
+    numbers = [F.col(f"`{row_col}`").cast("long").alias("uid")] if row_col else []
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"), *numbers).withColumn("th", F.xxhash64("t"))
+    sketched = rows.select("id", "th", "t", *["uid"][: len(numbers)]).mapInArrow(_sketches, "id long, th long, n long, fp binary, regs binary" + ", uid long" * len(numbers))
+    sketched = written(sketched if row_col else sketched.withColumn("uid", F.monotonically_increasing_id()), "sketches")
 
     # Classes of equal sets; a class is named by the least row number, and its least id is that of the component at first.
-    classes = written(sketched.filter("n > 0").groupBy("fp").agg(F.min("uid").alias("node"), F.min("id").alias("least")), "classes")
+    classes = written(sketched.filter("n > 0").groupBy("fp").agg(F.min("uid").alias("node"), F.min("id").alias("least"), *([F.min(F.struct(F.col("id").isNull().alias("x"), "id", "uid")).alias("best")] if row_col else [])), "classes")
     nodes = written(sketched.join(classes, F.col("uid") == F.col("node")).select("node", "id", "th", "n", "regs"), "nodes")
     keys = F.array(*[F.xxhash64(F.expr(f"substring(regs, {2 * ROWS * k + 1}, {2 * ROWS})"), F.lit(k)) for k in range(BANDS)])
     bands = nodes.select("node", F.explode(keys).alias("key"))
@@ -327,11 +333,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = written(labels.join(names.select(F.col("v").alias("label"), "c"), "label", "left").select("node", F.coalesce("c", "label").alias("label")), "labels")
 
     named = classes.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("least").alias("component"))
-    names = named.join(least, "label").select("fp", "component")
-    out = sketched.select("id", "n", "fp").join(names, "fp", "left")
+    least = named.groupBy("label").agg(F.min("least").alias("component"), *([F.min("best").alias("chosen")] if row_col else []))
+    names = named.join(least, "label").select("fp", "component", *(["chosen.uid"] if row_col else []))
+    if row_col:
+        names = names.withColumnRenamed("uid", "chosen")
+    out = sketched.select("id", "n", "fp", *["uid"][: len(numbers)]).join(names, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("component"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    kept = F.col("fp").isNull() | (F.col("uid") == F.col("chosen")) if row_col else F.col("id").eqNullSafe(component)
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), *([F.col("uid").alias(row_col)] if row_col else []))
 
 
 def _repeats(rows: DataFrame) -> bool:

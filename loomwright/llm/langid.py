@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import CACHES, enter, splitmix, unused, with_text_struct
@@ -98,7 +98,12 @@ def _slices(text: str) -> Iterator[str]:
 
 def text_vectors(texts: list[str]) -> np.ndarray:
     """A row for each text: the bundle of its trigrams' vectors (zeros if it has no letter)."""
-    out = np.zeros((len(texts), DIMS), np.float32)
+    return _bundles(texts)[0]
+
+
+def _bundles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of texts and their numbers of trigrams."""
+    out, n = np.zeros((len(texts), DIMS), np.float32), np.zeros(len(texts), np.int64)
     block: list[tuple[int, np.ndarray]] = []
     size = 0
 
@@ -122,12 +127,25 @@ def text_vectors(texts: list[str]) -> np.ndarray:
         for piece in _slices(text):
             codes = _gram_codes(piece)
             if len(codes):
+                n[row] += len(codes)
                 block.append((row, codes))
                 size += len(codes)
                 if size >= _SLICE or len(block) >= 128:
                     flush()
     flush()
-    return out
+    return out, n
+
+
+def _sample(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, per_language: int) -> DataFrame | None:
+    """``l, t`` of the training sample; None without a labelled text."""
+    rows = labelled.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{lang_col}`").cast("string").alias("l"), F.col(f"`{text_col}`").alias("t")).filter("l is not null and t is not null")
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return None
+    share = F.lit(0.0)
+    for lang, n in sizes.items():
+        share = F.when(F.col("l") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
+    return rows.filter(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < share * 1_000_000).select("l", "t")
 
 
 def train(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, per_language: int = TRAIN_PER_LANGUAGE) -> dict[str, np.ndarray]:
@@ -136,14 +154,9 @@ def train(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, per_la
     The id decides by its hash whether a row is in the sample; the sums are made on the executors, and what reaches the
     driver is one vector a language.
     """
-    rows = labelled.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{lang_col}`").cast("string").alias("l"), F.col(f"`{text_col}`").alias("t")).filter("l is not null and t is not null")
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
+    picked = _sample(labelled, text_col, lang_col, id_col, per_language)
+    if picked is None:
         return {}
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("l") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    picked = rows.filter(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < share * 1_000_000).select("l", "t")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("langid")
@@ -163,27 +176,85 @@ def train(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, per_la
     return {k: out[k] for k in sorted(out) if out[k].any()}
 
 
-def predict(df: DataFrame, text_col: str, prototypes: dict[str, np.ndarray], lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """Adds the predicted language and the cosine with its prototype (0 to 1)."""
+def _scorer(prototypes: dict[str, np.ndarray]):
+    """For texts: the place of the language, the cosine (0 to 1) and the number of trigrams; place -1 and 0 without a language."""
+    matrix = np.array([v / np.linalg.norm(v) for v in prototypes.values()], np.float32).reshape(len(prototypes), DIMS)
+
+    def score(texts: list[str]) -> Iterator[tuple[int, float, int]]:
+        vectors, grams = _bundles(texts)
+        norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+        cosines = vectors @ matrix.T / np.maximum(norms, 1e-9)[:, None]
+        for norm, row, n in zip(norms, cosines, grams.tolist(), strict=True):
+            best = int(np.argmax(row)) if norm and len(row) else -1
+            yield best, min(1.0, max(0.0, float(row[best]))) if best >= 0 else 0.0, n
+
+    return score
+
+
+def predict(df: DataFrame, text_col: str, prototypes: dict[str, np.ndarray], lang_out: str = "lang_pred", score_out: str = "score", grams_out: str | None = None) -> DataFrame:
+    """Adds the predicted language, the cosine with its prototype (0 to 1) and, where named, the number of trigrams."""
     names = list(prototypes)
-    matrix = np.array([prototypes[k] / np.linalg.norm(prototypes[k]) for k in names], np.float32).reshape(len(names), DIMS)
+    score = _scorer(prototypes)
 
     def kernel(texts: list[str]) -> pa.Array:
         enter("langid")
-        langs, scores = [], []
+        langs, scores, grams = [], [], []
         for lo in range(0, len(texts), 256):
-            vectors = text_vectors(texts[lo : lo + 256])
-            norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
-            cosines = vectors @ matrix.T / np.maximum(norms, 1e-9)[:, None]
-            for norm, row in zip(norms, cosines, strict=True):
-                best = int(np.argmax(row)) if norm and len(row) else -1
+            for best, s, n in score(texts[lo : lo + 256]):
                 langs.append(names[best] if best >= 0 else UNKNOWN)
-                scores.append(min(1.0, max(0.0, float(row[best]))) if best >= 0 else 0.0)
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
+                scores.append(s)
+                grams.append(n)
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(grams, pa.int64())], names=["lang", "score", "grams"])
 
     tmp = unused(df, "_lang")
-    out = with_text_struct(df, text_col, tmp, kernel, "lang string, score double")
-    return out.withColumns({lang_out: F.col(f"{tmp}.lang"), score_out: F.col(f"{tmp}.score")}).drop(tmp)
+    out = with_text_struct(df, text_col, tmp, kernel, "lang string, score double, grams long")
+    made = {lang_out: F.col(f"{tmp}.lang"), score_out: F.col(f"{tmp}.score")} | ({grams_out: F.col(f"{tmp}.grams")} if grams_out else {})
+    return out.withColumns(made).drop(tmp)
+
+
+#: A text is rejected below this share of the score that all but ``TAIL`` of the training texts of its size reach; sizes with
+#: fewer training texts than ``LEAST_TEXTS`` take shorter ones along.
+TAIL, SLACK, LEAST_TEXTS = 0.01, 0.5, 30
+
+
+def thresholds(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, prototypes: dict[str, np.ndarray], per_language: int = TRAIN_PER_LANGUAGE) -> list[float]:
+    """Least scores by the number of trigrams: entry k is for 2**k to 2**(k+1) - 1 of them.
+
+    From the scores of all texts of the training sample. Where a size and the shorter ones taken along have no training text,
+    nothing is known and the entry is 0.
+    """
+    picked = _sample(labelled, text_col, lang_col, id_col, per_language)
+    if picked is None or not prototypes:
+        return [0.0] * 64
+    score = _scorer(prototypes)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("langid")
+        for b in batches:
+            sizes, scores = [], []
+            texts = b.column(0).to_pylist()
+            for lo in range(0, len(texts), 256):
+                for best, s, n in score(texts[lo : lo + 256]):
+                    if best >= 0:
+                        sizes.append(n.bit_length() - 1)
+                        scores.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.array(scores, pa.float64())], names=["k", "s"])
+
+    rows = picked.select("t").mapInArrow(told, "k int, s double").groupBy("k").agg(F.count("*").alias("n"), F.percentile("s", F.lit(TAIL)).alias("s")).collect()
+    tails = {r["k"]: (r["n"], r["s"]) for r in rows}
+    out = []
+    for k in range(64):
+        seen, tail = 0, None
+        for j in range(k, -1, -1):
+            if j in tails and seen < LEAST_TEXTS:
+                seen, tail = seen + tails[j][0], min(tails[j][1], 1.0 if tail is None else tail)
+        out.append(SLACK * tail if tail is not None else 0.0)
+    return out
+
+
+def unlike(score: Column, grams: Column, least: list[float]) -> Column:
+    """Whether a text's score is below the least one of its number of trigrams."""
+    return score < F.element_at(F.array(*[F.lit(float(x)) for x in least]), F.greatest(F.length(F.bin(grams)), F.lit(1)))
 
 
 def held_out(id_col: str):

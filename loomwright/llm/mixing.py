@@ -136,7 +136,9 @@ def rate_of(p: Column, steps: list[list[float]], least: float) -> Column:
 def solve(table: DataFrame, n_domains: int, targets: dict[int, float] | None, multipliers: list[float] | None = None, least: float = 0.0) -> tuple[list[list[float]], list[float]]:
     """Steps and targets for a table of ``tokens`` and posteriors ``p``; one pass over it a step.
 
-    ``targets`` are shares of the tokens in all (the total stays); ``multipliers`` instead are factors on each domain's own tokens.
+    ``targets`` are shares of the tokens in all; ``multipliers`` instead are factors on each domain's own tokens. The total
+    stays, unless ``least`` is 1 or more: then nothing is given up, and the total grows to the least one for which the rates
+    that meet the shares (1 plus a sum of the posteriors with weights of at least 0) exist. Without one all rates stay.
     """
     d = range(n_domains)
     part = [F.col("p")[k] for k in d]
@@ -149,6 +151,14 @@ def solve(table: DataFrame, n_domains: int, targets: dict[int, float] | None, mu
     ridge = 1e-9 * total
     inverse = _inverse([[first[f"g{j}_{k}"] + (ridge if j == k else 0) for k in d] for j in d])
     steps: list[list[float]] = []
+    if targets and not multipliers and least >= 1:
+        shares = [x / total for x in goal]
+        a, b = ([sum(inverse[k][j] * x[j] for j in d) for k in d] for x in (now, shares))
+        if min(b) <= 0 or min(now) <= 1e-6 * total:
+            return [], goal
+        grown = max(x / y for x, y in zip(a, b, strict=True))
+        goal = [grown * x for x in shares]
+        total = grown
     for _ in range(ITERATIONS):
         miss = [a - b for a, b in zip(now, goal, strict=True)]
         if max(map(abs, miss)) <= TOLERANCE * total:
@@ -176,6 +186,13 @@ def mix(docs: DataFrame, labelled: DataFrame, domains: list[str], targets: dict[
     return known.select(*[F.col(f"`{c}`") for c in kept if c.lower() not in made], *[c.alias(k) for k, c in made.items()])
 
 
+def shares(rated: DataFrame, domains: list[str]) -> dict[str, float]:
+    """The domains' shares of the expected tokens of ``mix``'s result; empty without tokens."""
+    got = rated.agg(*[F.sum(F.col("n_tokens") * F.col("rate") * F.col("posteriors")[k]).alias(f"s{k}") for k in range(len(domains))]).first()
+    total = sum(x or 0.0 for x in got)
+    return {d: got[k] / total for k, d in enumerate(domains)} if total else {}
+
+
 def repeated(mixed: DataFrame, rate: Column, id_col: str, columns: list[str]) -> DataFrame:
     """Each row as often as its rate says: the whole part, and once more where a hash of the id falls below the rest."""
     draw = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit(29)), F.lit(1 << 20)) / float(1 << 20)

@@ -138,6 +138,16 @@ def test_scan(spark):
     assert secret_scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_keys_in_the_middle_of_long_candidates(spark):
+    key = "ghp_Zk3vQ9xLr7TbWm2YcN8sHd4JfG6pAe1UoX5i"
+    texts = [f"see config/prod/services/payments/{key}/credentials.json", "open " + "production/settings/" * 6 + key + "/service/backup" * 6 + " now", "see /usr/share/the/data/node/station/precontrol/mentation/user/version.txt9 here"]
+    out = {r["doc_id"]: r["n_model"] for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out == {0: 1, 1: 1, 2: 0}
+    long = "ab1/" * 500
+    seen = [v for v in secret_scan.views(long, 0, len(long))]
+    assert len(seen) > 2000 // secret_scan.INSIDE and len(list(secret_scan.views("x " + "a1" * 20, 2, 42))) == 1
+
+
 def test_network_on_fresh_findings():
     net = secret_scan.train(secret_scan.labelled_findings())
     fresh = secret_scan.labelled_findings(1500, seed=77)

@@ -689,7 +689,7 @@ def nearest_antecedent(spark, sf):
 
 @query()
 def prescan_entities(spark, sf):
-    """The whole scan over conversations with a Latin lexicon: frequent words as characters, then grouping and confidence."""
+    """A part of the scan over conversations: four fixed words as characters, grouped, with their confidence; ``prescan.scan`` is the whole."""
     chaps = _turns(spark, sf).withColumn("book_id", F.col("book_id").cast("string"))
     found = scanners.regex_scan(chaps, [scanners.Pattern(rf"\b({w})\b", 1, 0.8, w) for w in WORDS])
     mentions = found.drop("kind").withColumns({"type": F.lit("character"), "source": F.lit("regex")})

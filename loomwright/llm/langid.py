@@ -214,7 +214,7 @@ def predict(df: DataFrame, text_col: str, prototypes: dict[str, np.ndarray], lan
 
 #: A text is rejected below this share of the score that all but ``TAIL`` of the training texts of its size reach; sizes with
 #: fewer training texts than ``LEAST_TEXTS`` take shorter ones along.
-TAIL, SLACK, LEAST_TEXTS = 0.01, 0.5, 30
+TAIL, SLACK, LEAST_TEXTS = 0.001, 0.5, 30
 
 
 def thresholds(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, prototypes: dict[str, np.ndarray], per_language: int = TRAIN_PER_LANGUAGE) -> list[float]:

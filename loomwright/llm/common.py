@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 import tempfile
 import uuid
 import zipfile
@@ -16,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 #: Bytes of text that a Python worker gets at once; a single longer text still comes whole.
 ARROW_BATCH_BYTES = "4m"
@@ -67,9 +69,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 
 def shared_path(spark: SparkSession, name: str, keep: bool = False) -> str:
-    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``); a folder of our own only where it is unset."""
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``); where it is unset, a folder of our own on a local master, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or None
     if base is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="loomwright-")
         spark.conf.set("spark.checkpoint.dir", base)
     top = f"{base.rstrip('/')}/loomwright-{uuid.uuid4().hex}"
@@ -109,6 +113,14 @@ def with_text_struct(df: DataFrame, text_col: str, out: str, kernel: Callable[[l
     return df.withColumn(out, run(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
 
 
+def whole_number(df: DataFrame, name: str) -> Column:
+    """The column as long. Text or fractional ids are refused at once, before any job runs."""
+    kind = df.select(F.col(f"`{name}`")).schema[0].dataType
+    if not isinstance(kind, (IntegralType, NullType)):
+        raise TypeError(f"{name} must hold whole numbers, not {kind.simpleString()}")
+    return F.col(f"`{name}`").cast("long")
+
+
 def columns(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns]
 
@@ -164,15 +176,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-@lru_cache(maxsize=1)
-def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=4)
+def _byte_tables(key: int) -> tuple[np.ndarray, np.ndarray]:
     white = np.zeros(256, bool)
     white[[0x20, *range(0x09, 0x0E)]] = True
-    return splitmix(np.arange(1000, 1256, dtype=np.uint64)), white
+    return splitmix(splitmix(np.arange(1000, 1256, dtype=np.uint64)) ^ splitmix(np.array([key], np.uint64))), white
+
+
+#: Bytes of a word from which its hash is a keyed BLAKE2 digest: powers of one odd factor repeat in sums of so many terms.
+LONG_WORD = 32
 
 
-def _slice_hashes(data: np.ndarray) -> np.ndarray:
-    values, white = _byte_tables()
+def _slice_hashes(data: np.ndarray, key: int) -> np.ndarray:
+    values, white = _byte_tables(key)
     inside = np.empty(len(data) + 2, bool)
     inside[0] = inside[-1] = False
     np.logical_not(white[data], out=inside[1:-1])
@@ -182,23 +198,28 @@ def _slice_hashes(data: np.ndarray) -> np.ndarray:
     up, down = _powers(size)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(values[data] * up[: len(data)], out=sums[1:])
-    return splitmix((sums[ends] - sums[starts]) * down[starts])
+    out = splitmix((sums[ends] - sums[starts]) * down[starts])
+    secret = key.to_bytes(8, "little")
+    for k in np.flatnonzero(ends - starts >= LONG_WORD).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, key=secret).digest(), "little")
+    return out
 
 
-def word_hashes(text: bytes) -> np.ndarray:
+def word_hashes(text: bytes, key: int = 0) -> np.ndarray:
     """64-bit hashes of the words (runs without space, tab, LF, VT, FF, CR) of a UTF-8 text, in order.
 
-    Polynomial hashes of randomised byte values, from prefix sums; long texts go slice by slice,
-    cut at white space, so that the memory besides the result is bounded by the longest word.
+    Polynomial hashes of byte values drawn by ``key``, from prefix sums (keyed digests for words of ``LONG_WORD`` bytes or
+    more): who does not know the key can't make words collide. Long texts go slice by slice, cut at white space, so that the
+    memory besides the result is bounded by the longest word.
     """
     if len(text) <= _SLICE:
-        return _slice_hashes(np.frombuffer(text, np.uint8))
+        return _slice_hashes(np.frombuffer(text, np.uint8), key)
     parts, at = [], 0
     while at < len(text):
         end = min(len(text), at + _SLICE)
         while end < len(text) and text[end] not in b" \t\n\v\f\r":
             end += 1
-        parts.append(_slice_hashes(np.frombuffer(text, np.uint8, end - at, at)))
+        parts.append(_slice_hashes(np.frombuffer(text, np.uint8, end - at, at), key))
         at = end
     return np.concatenate(parts)
 

@@ -10,7 +10,8 @@ two byte strings, the documents that use it are compared by their chunks' bytes
 
 Defined cases: null counts as empty; empty texts are equal to each other; white space (space, tab, LF, VT, FF, CR) is
 deleted before comparing. Of equal texts the row with the most code points in its original text stays, then the smallest
-id (null last), then the first row read; of repeated rows one stays. Extra columns don't matter: only id and text are read.
+id (null last), then the first row read; of repeated rows one stays. Ids are whole numbers (others
+are refused). Extra columns don't matter: only id and text are read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import enter, prepare, splitmix, utf8, written
+from .common import enter, prepare, splitmix, utf8, whole_number, written
 
 #: A boundary follows where the low bits of the rolling hash are zero: chunks of 2 KiB on average.
 MASK = (1 << 11) - 1
@@ -111,7 +112,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     prepare(spark)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"), *([F.col(f"`{row_col}`").cast("long").alias("uid")] if row_col else []))
+    rows = docs.select(whole_number(docs, id_col).alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"), *([F.col(f"`{row_col}`").cast("long").alias("uid")] if row_col else []))
     schema = "id long, n_cp long, sha string, recipe binary, fresh array<struct<k: binary, b: binary>>"
     told = rows.mapInArrow(_recipes(digest), f"{schema}, uid long" if row_col else schema)
     stored = written(told if row_col else told.withColumn("uid", F.monotonically_increasing_id()), "recipes")

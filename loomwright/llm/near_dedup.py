@@ -10,29 +10,35 @@ Steps: (1) documents with equal sets form one class, and only classes go on; (2)
 out only where the likelihood excludes the threshold; (4) the rest is verified on the full sets; (5) connected components.
 
 No group is expanded into its pairs: each class is first compared with the most central class of each of its buckets, and
-members that are in one component by then need no further comparison. Classes that are still apart are compared inside a
-task for each block of a bucket, where a pair is decided by the cheapest test that can: one component already, elements
-that no other class has, the likelihood, and last the full sets. Only joins of components leave such a task.
+members that are in one component by then need no further comparison. Classes that are still apart go to the tasks of their
+buckets' blocks twice. First with their registers alone: a task tells which of its classes have a partner that neither the
+elements that no other class has nor the likelihood exclude. Only those get their full sets, in blocks of bounded bytes,
+where a pair is verified unless it is in one component already. Only joins of components leave such a task.
+
+Elements are 64-bit hashes under a key that each run draws anew (long words go through BLAKE2), so that nobody can write
+texts that collide in it; that two shingles of a pair of documents collide by chance has a probability of about the product of
+their sizes over 2^64. A class is named by a 128-bit BLAKE2 digest of its set.
 
 Bands: 40 bands of 5 registers miss a pair of similarity 0.85 with probability 2e-10, of 0.8 with 1e-7 (all kept pairs are exact).
 
 Defined cases: null counts as empty; A-Z only is lower-cased; with fewer words than a shingle has, the whole sequence is
 the one element; a document without words is linked with nothing. Repeated rows are documents of their own with equal
-sets. Texts of any length are read whole. Extra columns are not read.
+sets. Texts of any length are read whole. Ids are whole numbers (others are refused). Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import secrets
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import enter, prepare, splitmix, utf8, window_hashes, word_hashes, written
+from .common import enter, prepare, splitmix, utf8, whole_number, window_hashes, word_hashes, written
 
 SHINGLE = 5
 BANDS, ROWS = 40, 5
@@ -42,13 +48,15 @@ BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
 EXCLUDE = 20.0
 #: Classes up to which their ids are broadcast to find their texts (24 bytes a row); beyond, a shuffle join.
 BROADCAST_ROWS = 1_000_000
-#: Members of a bucket that one task compares; larger buckets are compared block by block, in a task a pair of blocks.
-BLOCK = 1024
+#: Members of a bucket that one task compares by registers; larger buckets are compared block by block, in a task a pair of blocks.
+BLOCK = 256
+#: Elements (8 bytes each) of the full sets of one block.
+ELEMENTS = 4 << 20
 
 
-def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
+def shingles(text: str | None, n: int = SHINGLE, key: int = 0) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of a text."""
-    words = word_hashes(utf8(text).lower())
+    words = word_hashes(utf8(text).lower(), key)
     if not len(words):
         return words
     return np.unique(window_hashes(words, n) if len(words) >= n else window_hashes(words, len(words)) + np.uint64(len(words)))
@@ -107,23 +115,29 @@ def similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, t
     return estimate, possible
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    enter("near")
-    for batch in batches:
-        n, fp, regs = [], [], []
-        for text in batch.column(2).to_pylist():
-            s = shingles(text)
-            n.append(len(s))
-            fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            regs.append(sketch(s).tobytes() if len(s) else None)
-        made = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(regs, pa.binary())]
-        yield pa.RecordBatch.from_arrays([*made, *batch.columns[3:]], names=["id", "th", "n", "fp", "regs", *["uid"][: batch.num_columns - 3]])
+def _sketches(key: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("near")
+        for batch in batches:
+            n, fp, regs = [], [], []
+            for text in batch.column(2).to_pylist():
+                s = shingles(text, key=key)
+                n.append(len(s))
+                fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                regs.append(sketch(s).tobytes() if len(s) else None)
+            made = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(regs, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*made, *batch.columns[3:]], names=["id", "th", "n", "fp", "regs", *["uid"][: batch.num_columns - 3]])
 
+    return run
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    enter("near")
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "s"])
+
+def _sets(key: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("near")
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, key=key).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "s"])
+
+    return run
 
 
 def _estimated(percent: int):
@@ -152,29 +166,44 @@ def _verified(percent: int):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, turns: list[int] | None = None) -> DataFrame:
     """``(v, c)``: each vertex that has an edge ``(a, b)``, with the least vertex of its component.
 
-    Each turn maps every vertex to its least neighbour (or itself), jumps once along that map, and contracts the edges;
-    a turn's tables are written to the shared folder. The turns grow with the logarithm of the longest path.
+    Each turn orders the edges at random, hooks every vertex along its first edge, follows the hooks to their ends by
+    doubling, and contracts the edges. Hooks make no cycle but that of the two ends of an edge that is first for both, of
+    which the lesser vertex becomes the root. So a turn leaves at most half of the vertices, whatever the graph or the order
+    of its numbers; hooks go along ever earlier edges, so their paths are short. A turn's tables are written to the shared
+    folder; ``turns`` gets each turn's number of doublings.
     """
     labels: DataFrame | None = None
     edges = written(edges.filter("a <> b").select("a", "b"), "edges")
+    turn = 0
     while not edges.isEmpty():
+        turn += 1
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")).withColumnRenamed("a", "v")
-        hook = written(hook, "hook")
-        jump = written(hook.join(hook.select(F.col("v").alias("p"), F.col("p").alias("pp")), "p", "left").select("v", F.coalesce("pp", "p").alias("c")), "jump")
+        order = F.struct(F.xxhash64(F.least("a", "b"), F.greatest("a", "b"), F.lit(turn)).alias("r"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        hooks, steps = written(both.groupBy("a").agg(F.min_by("b", order).alias("p")).withColumnRenamed("a", "v"), "hooks"), 0
+        while True:
+            steps += 1
+            up = hooks.select(F.col("v").alias("p"), F.col("p").alias("q"))
+            to = F.when((F.col("q") == F.col("v")) & (F.col("p") != F.col("v")), F.least("v", "p")).otherwise(F.col("q"))
+            hooks = written(hooks.join(up, "p").select("v", to.alias("p"), (F.col("p") != to).alias("moved")), "hooks")
+            if hooks.filter("moved").isEmpty():
+                break
+        ends = hooks.select("v", F.col("p").alias("c"))
         if labels is None:
-            labels = jump
+            labels = ends
         else:
-            step = jump.select(F.col("v").alias("c"), F.col("c").alias("cc"))
+            step = ends.select(F.col("v").alias("c"), F.col("c").alias("cc"))
             labels = written(labels.join(step, "c", "left").select("v", F.coalesce("cc", "c").alias("c")), "labels")
-        a, b = jump.withColumnsRenamed({"v": "a", "c": "ca"}), jump.withColumnsRenamed({"v": "b", "c": "cb"})
+        a, b = ends.withColumnsRenamed({"v": "a", "c": "ca"}), ends.withColumnsRenamed({"v": "b", "c": "cb"})
         edges = written(edges.join(a, "a").join(b, "b").filter("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "edges")
+        if turns is not None:
+            turns.append(steps)
     if labels is None:
-        labels = edges.selectExpr("a as v", "b as c")
-    return labels
+        return edges.selectExpr("a as v", "b as c")
+    least = labels.groupBy("c").agg(F.min("v").alias("least"))
+    return written(labels.join(least, "c").select("v", F.col("least").alias("c")), "components")
 
 
 def _relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
@@ -185,8 +214,16 @@ def _relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
 
 def _mixed(rows: DataFrame) -> DataFrame:
     """Rows of the buckets with more than one label, and the bucket's size ``c``."""
-    tally = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key", "c")
-    return rows.join(tally, "key")
+    tally = rows.groupBy("band", "key").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band", "key", "c")
+    return rows.join(tally, ["band", "key"])
+
+
+def _dealt(rows: DataFrame, blocks: Column, columns: list[str]) -> DataFrame:
+    """Rows of buckets in ``blocks`` blocks, each block with every other one of its bucket: ``band, key, lo, hi, block`` and ``columns``, a pair of blocks in one task, in order."""
+    rows = rows.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("band", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", *columns)
+    return rows.repartition("band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi", "node")
 
 
 def _unshared(sets: DataFrame) -> DataFrame:
@@ -203,96 +240,135 @@ def _unshared(sets: DataFrame) -> DataFrame:
     return alone.groupBy("node").agg(F.count("*").alias("u"))
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each pair of blocks, from rows in the order of ``band, key, lo, hi``."""
+    group: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(k).to_numpy() for k in range(4)])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            key = tuple(keys[:, lo].tolist())
+            if group and key != last:
+                yield pa.Table.from_batches(group)
+                group = []
+            last = key
+            group.append(b.slice(lo, hi - lo))
+    if group:
+        yield pa.Table.from_batches(group)
+
+
+class _Block:
+    """Classes of a pair of blocks (``band, key, lo, hi, block, node, label, n, f, regs``), and what may still link them."""
+
+    def __init__(self, rows: pa.Table, percent: int) -> None:
+        self.percent, self.band = percent, rows.column(0)[0].as_py()
+        self.across = rows.column(2)[0].as_py() != rows.column(3)[0].as_py()
+        self.block, self.node, self.label, self.n, self.f = (rows.column(k).to_numpy() for k in (4, 5, 6, 7, 8))
+        self.registers = np.frombuffer(b"".join(rows.column(9).to_pylist()), "<u2").reshape(len(rows), REGISTERS)
+        self.bands = self.registers.view(f"V{2 * ROWS}").reshape(len(rows), BANDS)
+
+    def partners(self, i: int, roots: np.ndarray) -> np.ndarray:
+        """Earlier rows that row ``i`` may be linked with and is not by ``roots``, likeliest first.
+
+        A pair that shares a band before this one is left to that band's task; one is passed over if the elements that each
+        shares with anyone cannot make the similarity, or if the likelihood excludes it.
+        """
+        n, f, percent = self.n, self.f, self.percent
+        least = np.minimum(f[:i], f[i])
+        ok = (roots[:i] != roots[i]) & (100 * least >= percent * (n[:i] + n[i] - least))
+        if self.across:
+            ok &= self.block[:i] != self.block[i]
+        at = np.flatnonzero(ok)
+        if self.band:
+            at = at[~(self.bands[at, : self.band] == self.bands[i, : self.band]).any(axis=1)]
+        if not len(at):
+            return at
+        estimate, possible = similarity(self.registers[at], np.repeat(self.registers[i][None], len(at), 0), n[at], np.repeat(n[i], len(at)), percent / 100)
+        return at[possible][np.argsort(-estimate[possible], kind="stable")]
+
+
+def _alive(percent: int):
+    """Of each pair of blocks the classes that may be linked with another, by registers alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("near")
+        for rows in _groups(batches):
+            block = _Block(rows, percent)
+            alive = np.zeros(len(rows), bool)
+            for i in range(1, len(rows)):
+                at = block.partners(i, block.label)
+                if len(at):
+                    alive[at] = alive[i] = True
+            if alive.any():
+                keep = pa.array(alive)
+                yield pa.RecordBatch.from_arrays([rows.column(k).filter(keep).combine_chunks() for k in (0, 1, 5, 6, 7, 8)], names=["band", "key", "node", "label", "n", "f"])
+
+    return run
+
+
 def _merged(percent: int):
-    """Within each block (or pair of blocks) of a bucket, links between components, found until all its pairs are decided.
+    """Within each pair of blocks, links between components, verified on the full sets until all its pairs are decided.
 
-    A pair is passed over if its classes are in one component by now, if another band brings it to another task earlier,
-    if the elements that each shares with anyone cannot make the similarity, or if the likelihood excludes it; all others
-    are verified. What comes out joins components, so it is less than the members.
+    What comes out joins components, so it is less than the members.
     """
 
-    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
-        _, lo, hi, blocks, _, labels, n, f, regs, sets = zip(*rows, strict=True)
-        block, n, f = np.array(blocks), np.array(n), np.array(f)
-        registers = np.frombuffer(b"".join(regs), "<u2").reshape(len(rows), REGISTERS)
-        bands = np.ascontiguousarray(registers).view(f"V{2 * ROWS}").reshape(len(rows), BANDS)
-        first = next(k for k in range(BANDS) if (bands[:, k] == bands[0, k]).all())
-        elements = [np.frombuffer(x, np.uint64) for x in sets]
-        parent = {x: x for x in labels}
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        out = []
-        roots = np.array([root(x) for x in labels])
+    def solve(rows: pa.Table) -> list[tuple[int, int]]:
+        block = _Block(rows, percent)
+        n, roots, out = block.n, block.label.copy(), []
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column(10)]
         for i in range(1, len(rows)):
-            least = np.minimum(f[:i], f[i])
-            ok = (roots[:i] != roots[i]) & (100 * least >= percent * (n[:i] + n[i] - least))
-            if lo[0] != hi[0]:
-                ok &= block[:i] != block[i]
-            at = np.flatnonzero(ok)
-            if first:
-                at = at[~(bands[at, :first] == bands[i, :first]).any(axis=1)]
-            if not len(at):
-                continue
-            estimate, possible = similarity(registers[at], np.repeat(registers[i][None], len(at), 0), n[at], np.repeat(n[i], len(at)), percent / 100)
-            at = at[possible][np.argsort(-estimate[possible])]
-            for j in at.tolist():
+            for j in block.partners(i, roots).tolist():
                 if roots[j] == roots[i]:
                     continue
-                both = np.sort(np.concatenate((elements[i], elements[j])), kind="stable")
+                both = np.sort(np.concatenate((sets[i], sets[j])), kind="stable")
                 inter = int((both[1:] == both[:-1]).sum())
                 if 100 * inter >= percent * (n[i] + n[j] - inter):
-                    a, b = sorted((roots[i], roots[j]))
-                    parent[b] = a
+                    a, b = sorted((int(roots[i]), int(roots[j])))
                     roots[roots == b] = a
-                    out.append((int(a), int(b)))
+                    out.append((a, b))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("near")
-        group: list[tuple] = []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            found = solve(group) if len(group) > 1 else []
-            if found:
+        for rows in _groups(batches):
+            if found := solve(rows):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                key = (row[0], row[1], row[2])
-                if group and key != group[0][0]:
-                    yield from done()
-                    group = []
-                group.append((key, row[1], row[2], *row[3:]))
-        yield from done()
-
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, row_col: str | None = None) -> DataFrame:
+def _band_key(registers: Column, band: int) -> Column:
+    return F.xxhash64(registers)
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, row_col: str | None = None, band_key: Callable[[Column, int], Column] = _band_key, key: int | None = None
+) -> DataFrame:
     """One row a document: ``doc_id, n_shingles, component_id, kept``; links are pairs with ``100 * intersection >= percent * union``.
 
+    ``band_key`` (a band's registers to a whole number) and ``key`` (of the hashes, drawn anew by default) are for tests.
+
     ``row_col``, a unique row number of ``docs``, comes along where it is named; then one row of each component is kept, that
     with the least id (null last) and row number, where otherwise all rows of the least id are.
     """
     spark = docs.sparkSession
     prepare(spark)
+    hash_key = secrets.randbits(63) if key is None else key
     numbers = [F.col(f"`{row_col}`").cast("long").alias("uid")] if row_col else []
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"), *numbers).withColumn("th", F.xxhash64("t"))
-    sketched = rows.select("id", "th", "t", *["uid"][: len(numbers)]).mapInArrow(_sketches, "id long, th long, n long, fp binary, regs binary" + ", uid long" * len(numbers))
+    rows = docs.select(whole_number(docs, id_col).alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"), *numbers).withColumn("th", F.xxhash64("t"))
+    sketched = rows.select("id", "th", "t", *["uid"][: len(numbers)]).mapInArrow(_sketches(hash_key), "id long, th long, n long, fp binary, regs binary" + ", uid long" * len(numbers))
     sketched = written(sketched if row_col else sketched.withColumn("uid", F.monotonically_increasing_id()), "sketches")
 
     # Classes of equal sets; a class is named by the least row number, and its least id is that of the component at first.
     classes = written(sketched.filter("n > 0").groupBy("fp").agg(F.min("uid").alias("node"), F.min("id").alias("least"), *([F.min(F.struct(F.col("id").isNull().alias("x"), "id", "uid")).alias("best")] if row_col else [])), "classes")
     nodes = written(sketched.join(classes, F.col("uid") == F.col("node")).select("node", "id", "th", "n", "regs"), "nodes")
-    keys = F.array(*[F.xxhash64(F.expr(f"substring(regs, {2 * ROWS * k + 1}, {2 * ROWS})"), F.lit(k)) for k in range(BANDS)])
-    bands = nodes.select("node", F.explode(keys).alias("key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    members = written(bands.join(shared, "key").select("key", "node", "c"), "members")
+    keys = F.array(*[band_key(F.expr(f"substring(regs, {2 * ROWS * k + 1}, {2 * ROWS})"), k) for k in range(BANDS)])
+    bands = nodes.select("node", F.posexplode(keys).alias("band", "key"))
+    shared = bands.groupBy("band", "key").agg(F.count("*").alias("c")).filter("c > 1")
+    members = written(bands.join(shared, ["band", "key"]).select("band", "key", "node", "c"), "members")
     # A class that shares its bands with the most others is the most central one of its buckets.
     weights = written(members.groupBy("node").agg(F.sum("c").alias("w")), "weights")
 
@@ -300,7 +376,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if weights.count() <= BROADCAST_ROWS:
         active = F.broadcast(active)
     texts = rows.join(active, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).select("node", "t")
-    sets = written(texts.mapInArrow(_sets, "node long, s binary"), "sets").dropDuplicates(["node"]) if _repeats(rows) else written(texts.mapInArrow(_sets, "node long, s binary"), "sets")
+    sets = written(texts.mapInArrow(_sets(hash_key), "node long, s binary"), "sets").dropDuplicates(["node"]) if _repeats(rows) else written(texts.mapInArrow(_sets(hash_key), "node long, s binary"), "sets")
     regs = nodes.select("node", "regs", "n")
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -313,24 +389,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # First every class is compared with the most central class of each of its buckets.
     labels = weights.select("node", F.col("node").alias("label"), "w")
-    central = members.join(weights, "node").groupBy("key").agg(F.max(F.struct("w", (-F.col("node")).alias("x"))).alias("p")).select("key", (-F.col("p.x")).alias("a"))
-    found = links(members.join(central, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct())
+    central = members.join(weights, "node").groupBy("band", "key").agg(F.max(F.struct("w", (-F.col("node")).alias("x"))).alias("p")).select("band", "key", (-F.col("p.x")).alias("a"))
+    found = links(members.join(central, ["band", "key"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct())
     labels = _relabelled(labels, found)
 
     # Then what the buckets still hold of several components, without the classes that their own elements rule out.
-    open_ = written(_mixed(members.select("key", "node").join(labels.select("node", "label"), "node")), "open")
+    open_ = written(_mixed(members.select("band", "key", "node").join(labels.select("node", "label"), "node")), "open")
     if not open_.isEmpty():
         lonely = _unshared(sets.join(open_.select("node").distinct(), "node", "left_semi"))
         known = regs.join(lonely, "node", "left").withColumn("f", F.col("n") - F.coalesce("u", F.lit(0))).filter(100 * F.col("f") >= percent * F.col("n"))
         rows = _mixed(open_.drop("c").join(known.select("node", "n", "f", "regs"), "node"))
-        blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-        block = F.pmod(F.xxhash64("node"), blocks).cast("int")
-        rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label", "n", "f", "regs").join(sets, "node")
-        dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
-        merged = written(dealt.select("key", "lo", "hi", "block", "node", "label", "n", "f", "regs", "s").mapInArrow(_merged(percent), "a long, b long"), "merged")
-        names = components(merged.distinct())
-        labels = written(labels.join(names.select(F.col("v").alias("label"), "c"), "label", "left").select("node", F.coalesce("c", "label").alias("label")), "labels")
+        told = ["node", "label", "n", "f", "regs"]
+        alive = _dealt(rows, F.ceil(F.col("c") / BLOCK), told).mapInArrow(_alive(percent), "band int, key long, node long, label long, n long, f long")
+        alive = written(alive.distinct(), "alive")
+        if not alive.isEmpty():
+            size = alive.groupBy("band", "key").agg(F.sum("n").alias("size"))
+            rows = alive.join(size, ["band", "key"]).join(nodes.select("node", "regs"), "node").join(sets, "node")
+            merged = written(_dealt(rows, F.ceil(F.col("size") / ELEMENTS), [*told, "s"]).mapInArrow(_merged(percent), "a long, b long"), "merged")
+            names = components(merged.distinct())
+            labels = written(labels.join(names.select(F.col("v").alias("label"), "c"), "label", "left").select("node", F.coalesce("c", "label").alias("label")), "labels")
 
     named = classes.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("least").alias("component"), *([F.min("best").alias("chosen")] if row_col else []))

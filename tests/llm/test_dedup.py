@@ -122,12 +122,56 @@ def test_near(spark, percent):
     assert near_rows(N.near_duplicates(df, percent=percent)) == near_by_force(rows, percent)
 
 
-def test_near_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("elements", [1 << 22, 900])
+def test_near_in_blocks(spark, monkeypatch, elements):
     monkeypatch.setattr(N, "BLOCK", 7)
+    monkeypatch.setattr(N, "ELEMENTS", elements)
     rows = near_corpus(60)
     assert near_rows(N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == near_by_force(rows, 80)
 
 
+def test_colliding_band_keys(spark):
+    """Buckets of classes that share no band: of all bands' keys only two values are left."""
+    rows = near_corpus(25)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near_rows(N.near_duplicates(df, band_key=lambda regs, k: F.pmod(F.xxhash64(regs), F.lit(2)))) == near_by_force(rows, 80)
+
+
+def test_ids_are_whole_numbers(spark):
+    df = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    for run in (N.near_duplicates, X.deduplicate):
+        with pytest.raises(TypeError, match="whole numbers"):
+            run(df)
+
+
+def test_bands_and_likelihood_keep_linked_pairs():
+    """Pairs just at the threshold, of sets of 20 to 2000: each shares a band and is not excluded."""
+    rng = np.random.default_rng(4)
+    seen = 0
+    for n in (20, 60, 200, 700, 2000):
+        for _ in range(120):
+            inter = -(-2 * n * 85 // 185)  # the least intersection of two sets of n at 0.85
+            pool = rng.integers(0, 2**63, 2 * n - inter).astype(np.uint64)
+            a, b = N.sketch(pool[:n]), N.sketch(pool[n - inter :])
+            assert len(pool[n - inter :]) == n and 100 * inter >= 85 * (2 * n - inter)
+            assert (a.reshape(N.BANDS, N.ROWS) == b.reshape(N.BANDS, N.ROWS)).all(axis=1).any()
+            assert N.similarity(a[None], b[None], np.array([n]), np.array([n]), 0.85)[1][0]
+            seen += 1
+    assert seen == 600
+
+
+def test_words_do_not_collide_by_construction():
+    from loomwright.llm.common import word_hashes
+
+    morse = "a"
+    while len(morse) < 4096:  # collides in any polynomial hash modulo 2**64
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    a, b = word_hashes(f"{morse} {other} {morse}".encode(), 5)[:2]
+    assert a != b and word_hashes(morse.encode(), 5)[0] == a != word_hashes(morse.encode(), 6)[0]
+    assert word_hashes(b"word", 5)[0] != word_hashes(b"word", 6)[0]
+
+
 def test_near_by_shuffle_join(spark, monkeypatch):
     monkeypatch.setattr(N, "BROADCAST_ROWS", 0)
     rows = near_corpus(20)
@@ -176,6 +220,19 @@ def test_components(spark):
     for a, b in edges:
         p, q = sorted((root(a), root(b)))
         parent[q] = p
-    got = {r["v"]: r["c"] for r in N.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    turns = []
+    got = {r["v"]: r["c"] for r in N.components(spark.createDataFrame(edges, "a long, b long"), turns).collect()}
     assert got == {v: root(v) for e in edges if e[0] != e[1] for v in e}
     assert N.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_a_sorted_chain(spark):
+    edges, turns = [(k, k + 1) for k in range(1000)], []
+    got = N.components(spark.createDataFrame(edges, "a long, b long"), turns).collect()
+    assert len(got) == 1001 and {r["c"] for r in got} == {0}
+    assert len(turns) <= 10 and max(turns) <= 5
+
+
+def test_components_of_a_star(spark):
+    edges, turns = [(k, 500) for k in range(300) if k != 500] + [(500, 600 + k) for k in range(300)], []
+    assert {r["c"] for r in N.components(spark.createDataFrame(edges, "a long, b long"), turns).collect()} == {0} and len(turns) <= 2

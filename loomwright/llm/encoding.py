@@ -6,6 +6,9 @@ between two other characters (the space goes with what follows; texts with any o
 distinct piece is encoded once a worker. A piece of plain Latin letters (and a run of ASCII punctuation behind it) is one
 unit (or two) of that split and goes to the library's merge model at once; every other piece goes through the whole
 tokenizer. Tests compare the results with the library's on whole texts.
+
+The library reads the string of a special token in a text as that token; such a text goes to it whole.
+``specials_as_text`` takes these strings for ordinary text instead.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ _ENDS = frozenset(",.;:!?")
 
 
 class _Whole(Exception):
-    """A text that can't be cut, for some white space in it."""
+    """A text that can't be cut, for some white space or a special token in it."""
 
 
 class _Memo(dict):
@@ -97,12 +100,13 @@ class _Memo(dict):
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, spaces_matter: bool, memo: int = MEMO) -> None:
+    def __init__(self, path: str, spaces_matter: bool, memo: int = MEMO, specials_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.lib.encode_special_tokens = specials_as_text
+        self.specials = () if specials_as_text else tuple(t.content for t in self.lib.get_added_tokens_decoder().values())
         self.spaces_matter = spaces_matter
         self.first = _Memo(self.lib, "", lower=not spaces_matter, limit=memo)
         self.after = _Memo(self.lib, " ", lower=False, limit=memo)
@@ -115,6 +119,8 @@ class Encoder:
         if not text:
             return b""
         try:
+            if any(s in text for s in self.specials):
+                raise _Whole
             if not self.spaces_matter:
                 if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # Python splits there, the vocabulary doesn't
                     raise _Whole
@@ -135,14 +141,14 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str, spaces_matter: bool, memo: int) -> Encoder:
-    return Encoder(path, spaces_matter, memo)
+def _encoder(path: str, spaces_matter: bool, memo: int, specials_as_text: bool) -> Encoder:
+    return Encoder(path, spaces_matter, memo, specials_as_text)
 
 
-def encoder(path: str, spaces_matter: bool, memo: int = MEMO) -> Encoder:
+def encoder(path: str, spaces_matter: bool, memo: int = MEMO, specials_as_text: bool = False) -> Encoder:
     """The worker's encoder; another vocabulary takes its place."""
     enter("encoding")
-    return _encoder(path, spaces_matter, memo)
+    return _encoder(path, spaces_matter, memo, specials_as_text)
 
 
 CACHES.append(("encoding", _encoder.cache_clear))

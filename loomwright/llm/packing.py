@@ -2,14 +2,15 @@
 
 A document's ids (plus one end id) are cut into pieces only if they exceed a sequence; full pieces are sequences already.
 The other pieces are dealt at random into groups of bounded size. A group is packed by several islands, each a population
-of packings that evolves in a task of its own: crossover injects whole well-filled bins of one parent into the other,
-removes the bins that hold duplicates, and puts displaced pieces back by best fit; mutation empties the least filled bins.
-After each epoch an island's elite migrates to the next island. A group stops early at its lower bound of bins. Pieces of
-the bins that a level leaves unfilled are dealt again into fewer groups, level by level, so the groups' remainders do not
-add up.
+of packings that evolves in a task of its own. People start as best fits of random orders, and on one island as the best fit
+by decreasing length too, below which a group so never ends. Crossover injects whole well-filled bins of one parent into the
+other, removes the bins that hold duplicates, and puts displaced pieces back by best fit; mutation empties the least filled
+bins. Fewer bins count first and then fuller ones, so all generations are run, also where the least number of bins is met:
+what they gain then is room left in fewer bins. After each epoch an island's elite migrates to the next island. Pieces of the
+bins that a level leaves unfilled are dealt again into fewer groups, level by level, so the groups' remainders do not add up.
 
 Defined cases: null text is empty and gives the end id alone; repeated rows are packed one by one; a piece never exceeds
-a sequence. Extra columns are not read.
+a sequence; ids are whole numbers (others are refused). Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -19,17 +20,17 @@ import random
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import enter, prepare, written
+from .common import enter, prepare, whole_number, written
 from .encoding import MEMO, encoder
 
 CAPACITY, END_ID = 4096, 1
-GROUP, ISLANDS, POPULATION, GENERATIONS, EPOCHS = 2048, 3, 5, 10, 2
+GROUP, ISLANDS, POPULATION, GENERATIONS, EPOCHS = 2048, 3, 4, 12, 2
 #: Bins filled to at least this share keep their pieces; those of the others go to the next level.
 FILLED = 0.985
 
@@ -51,7 +52,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(whole_number(docs, id_col).alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
@@ -77,7 +78,8 @@ def fitness(sizes: list[int], bins: Bins, capacity: int) -> tuple[int, float]:
 def crossover(sizes: list[int], a: Bins, b: Bins, capacity: int, rng: random.Random) -> Bins:
     """Well-filled bins of ``b`` go whole into ``a``; pieces displaced by them return by best fit, largest first."""
     order = sorted(range(len(b)), key=lambda k: -sum(sizes[i] for i in b[k]))
-    chosen = [b[k] for k in order[: max(1, len(b) // 2)] if rng.random() < 0.5] or [b[order[0]]]
+    pool = order[: max(1, len(b) // 2)]
+    chosen = [b[k] for k in rng.sample(pool, rng.randint(1, max(1, len(pool) // 2)))]
     injected = {i for x in chosen for i in x}
     kept, displaced = [], []
     for x in a:
@@ -101,28 +103,44 @@ def mutate(sizes: list[int], a: Bins, capacity: int, rng: random.Random) -> Bins
     return child
 
 
-def evolve(sizes: list[int], seed: int, immigrants: list[Bins], capacity: int = CAPACITY, population: int = POPULATION, generations: int = GENERATIONS) -> Bins:
-    """The elite of one island after some generations."""
+@dataclass
+class Evolution:
+    """An island's elite, and how it came about: fitness of the best seed, children made, and children that became the elite."""
+
+    elite: Bins
+    seed: tuple[int, float]
+    children: int
+    gains: int
+
+
+def decreasing(sizes: list[int], capacity: int) -> Bins:
+    """Best fit by decreasing size."""
+    bins: Bins = []
+    best_fit(sizes, sorted(range(len(sizes)), key=lambda i: -sizes[i]), bins, capacity)
+    return bins
+
+
+def evolve(sizes: list[int], seed: int, immigrants: list[Bins], capacity: int = CAPACITY, population: int = POPULATION, generations: int = GENERATIONS) -> Evolution:
+    """An island after some generations, each of one child, which takes the place of the worst unless it is alike or worse."""
     rng = random.Random(seed)
-    least = math.ceil(sum(sizes) / capacity)
     people = [list(map(list, x)) for x in immigrants]
     while len(people) < population:
-        wobble = 0 if not people else 0.15
-        order = sorted(range(len(sizes)), key=lambda i: -sizes[i] * rng.uniform(1 - wobble, 1))
+        order = list(range(len(sizes)))
+        rng.shuffle(order)
         bins: Bins = []
         best_fit(sizes, order, bins, capacity)
         people.append(bins)
-        if len(bins) <= least:
-            return bins
     ranked = sorted(((fitness(sizes, x, capacity), k, x) for k, x in enumerate(people)), key=lambda t: t[:2])
+    first, gains = ranked[0][0], 0
     for turn in range(generations):
-        if ranked[0][0][0] <= least:
-            break
-        a, b = rng.sample(ranked[: max(2, population)], 2)
-        child = crossover(sizes, a[2], b[2], capacity, rng) if rng.random() < 0.7 else mutate(sizes, a[2], capacity, rng)
-        ranked[-1] = (fitness(sizes, child, capacity), population + turn, child)
-        ranked.sort(key=lambda t: t[:2])
-    return ranked[0][2]
+        a, b = rng.sample(ranked, 2)
+        child = crossover(sizes, a[2], b[2], capacity, rng) if rng.random() < 0.75 else mutate(sizes, min(a, b, key=lambda t: t[:2])[2], capacity, rng)
+        fit = fitness(sizes, child, capacity)
+        gains += fit < ranked[0][0]
+        if fit < ranked[-1][0] and all(fit != r[0] for r in ranked):
+            ranked[-1] = (fit, len(people) + turn, child)
+            ranked.sort(key=lambda t: t[:2])
+    return Evolution(ranked[0][2], first, generations, gains)
 
 
 def _island(capacity: int, epoch: int):
@@ -133,29 +151,33 @@ def _island(capacity: int, epoch: int):
         for batch in batches:
             for row in batch.to_pylist():
                 sizes = row["sizes"]
-                immigrants = []
+                immigrants = [decreasing(sizes, capacity)] if epoch == 0 and row["island"] == 0 else []
                 for places in row["elites"] or []:
                     bins: Bins = [[] for _ in range(max(places) + 1)]
                     for i, k in enumerate(places):
                         bins[k].append(i)
                     immigrants.append(bins)
-                best = evolve(sizes, (row["g"] * 31 + row["island"]) * 31 + epoch, immigrants, capacity)
+                told = evolve(sizes, (row["g"] * 31 + row["island"]) * 31 + epoch, immigrants, capacity)
                 places = [0] * len(sizes)
-                for k, b in enumerate(best):
+                for k, b in enumerate(told.elite):
                     for i in b:
                         places[i] = k
-                n, fill = fitness(sizes, best, capacity)
-                yield pa.RecordBatch.from_pylist([{"g": row["g"], "island": row["island"], "pids": row["pids"], "sizes": sizes, "places": places, "n": n, "fill": fill}], schema=_STATE)
+                n, fill = fitness(sizes, told.elite, capacity)
+                made = {"g": row["g"], "island": row["island"], "pids": row["pids"], "sizes": sizes, "places": places, "n": n, "fill": fill}
+                yield pa.RecordBatch.from_pylist([made | {"seed_n": told.seed[0], "seed_fill": told.seed[1], "children": told.children, "gains": told.gains}], schema=_STATE)
 
     return run
 
 
-_STATE = pa.schema([("g", pa.int64()), ("island", pa.int32()), ("pids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("places", pa.list_(pa.int32())), ("n", pa.int64()), ("fill", pa.float64())])
-_STATE_SQL = "g long, island int, pids array<long>, sizes array<int>, places array<int>, n long, fill double"
+_STATE = pa.schema(
+    [("g", pa.int64()), ("island", pa.int32()), ("pids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("places", pa.list_(pa.int32())), ("n", pa.int64()), ("fill", pa.float64())]
+    + [("seed_n", pa.int64()), ("seed_fill", pa.float64()), ("children", pa.int64()), ("gains", pa.int64())]
+)
+_STATE_SQL = "g long, island int, pids array<long>, sizes array<int>, places array<int>, n long, fill double, seed_n long, seed_fill double, children long, gains long"
 
 
-def _packed(items: DataFrame, groups: int, capacity: int, level: int) -> DataFrame:
-    """``pid, length, g, bin`` of the best packing of each group."""
+def _packed(items: DataFrame, groups: int, capacity: int, level: int, report: list[DataFrame] | None) -> DataFrame:
+    """``pid, length, g, bin`` of the best packing of each group; ``report`` gets a table of the islands' evolutions an epoch."""
     dealt = items.withColumn("g", F.pmod(F.xxhash64("pid", F.lit(level)), F.lit(groups)))
     whole = dealt.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("pid", F.col("length").cast("int").alias("length")))).alias("x"))
     state = whole.select("g", F.explode(F.array(*[F.lit(k) for k in range(ISLANDS)])).alias("island"), F.col("x.pid").alias("pids"), F.col("x.length").alias("sizes"))
@@ -164,6 +186,8 @@ def _packed(items: DataFrame, groups: int, capacity: int, level: int) -> DataFra
         # One row an island, dealt over the tasks whatever group it belongs to.
         spread = state.repartition(F.col("g"), F.col("island"))
         evolved = written(spread.mapInArrow(_island(capacity, epoch), _STATE_SQL), f"epoch{epoch}")
+        if report is not None:
+            report.append(evolved.select(F.lit(level).alias("level"), F.lit(epoch).alias("epoch"), "g", "island", "seed_n", "seed_fill", "n", "fill", "children", "gains"))
         if epoch + 1 < EPOCHS:
             elite = evolved.select("g", ((F.col("island") + 1) % ISLANDS).cast("int").alias("island"), F.col("places").alias("guest"))
             state = evolved.join(elite, ["g", "island"]).select("g", "island", "pids", "sizes", F.array("places", "guest").alias("elites"))
@@ -172,14 +196,18 @@ def _packed(items: DataFrame, groups: int, capacity: int, level: int) -> DataFra
     return chosen.select("g", F.explode(F.arrays_zip("pids", "sizes", "places")).alias("z")).select(F.col("z.pids").alias("pid"), F.col("z.sizes").alias("length"), "g", F.col("z.places").alias("bin"))
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """``pid, sequence_id, offset`` for rows ``pid, length`` with unique ``pid`` and lengths of 1 to ``capacity``."""
+def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, report: list[DataFrame] | None = None) -> DataFrame:
+    """``pid, sequence_id, offset`` for rows ``pid, length`` with unique ``pid`` and lengths of 1 to ``capacity``.
+
+    ``report`` gets tables ``level, epoch, g, island, seed_n, seed_fill, n, fill, children, gains``: bins and mean square fill
+    (negated) of each island's best seed and of its elite, children made, and children that became the elite.
+    """
     full = items.filter(F.col("length") >= capacity).select("pid", (-F.col("pid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest, level, done = items.filter(F.col("length") < capacity).select("pid", "length"), 0, []
     left = rest.count()
     while left:
         groups = max(1, math.ceil(left / group))
-        packed = written(_packed(rest, groups, capacity, level), f"level{level}")
+        packed = written(_packed(rest, groups, capacity, level, report), f"level{level}")
         fills = packed.groupBy("g", "bin").agg(F.sum("length").alias("fill"))
         packed = packed.join(fills, ["g", "bin"])
         if groups > 1:
@@ -199,8 +227,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     return out
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, memo: int = MEMO) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece."""
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, memo: int = MEMO, report: list[DataFrame] | None = None) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece (``report``: as for ``pack``)."""
     prepare(docs.sparkSession)
     made = written(pieces(docs, vocabulary, capacity=capacity, memo=memo).withColumn("pid", F.monotonically_increasing_id()), "pieces")
-    return made.join(pack(made, capacity), "pid").drop("pid")
+    return made.join(pack(made, capacity, report=report), "pid").drop("pid")

@@ -7,19 +7,25 @@ groups and pages have fixed sizes, and the writer adds column and offset indexes
 a range of documents without the rest of a file.
 
 Defined cases: a null text is empty and gets the end id alone; a null id sorts first; repeated rows each get their own
-entry; of equal ids any order. Extra columns are not written. Parts follow id ranges, so one hot range can be split.
+entry; of equal ids any order; ids are whole numbers (others are refused). Extra columns are not written.
+
+Parts are ranges of ids of about equal bytes of text: at most ``PART_BYTES``, whatever the number of documents (rows of one
+id cannot be parted). As for Spark's own range partitions, a sample finds the bounds: rows drawn by a hash with a chance in
+proportion to their bytes, some ``SAMPLED`` a part.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, shared_path, written
+from .common import prepare, shared_path, whole_number, written
 from .encoding import encoder
 
 END_ID = 2
@@ -27,6 +33,8 @@ ROW_GROUP_BYTES, PAGE_BYTES, DICTIONARY_BYTES = 16 << 20, 256 << 10, 1 << 20
 #: Pieces that a worker remembers.
 MEMO = 800_000
 BROADCAST_PARTS = 1_000_000
+#: Bytes of text of a part at most and, where fewer parts would leave tasks without work, at least; sampled rows a part.
+PART_BYTES, LEAST_PART_BYTES, SAMPLED = 512 << 20, 4 << 20, 40
 SCHEMA = "part int, doc_id long, first long, n_tokens long, ids array<int>"
 
 
@@ -50,11 +58,9 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
             flat = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(ids))])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(firsts, pa.int64()), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], names=["part", "doc_id", "first", "n_tokens", "ids"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    # Ranges of about equal counts from the ids alone, so that texts are read once.
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted({int(x) for x in rows.select(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 100 * parts)).first()[0] or []}) if parts > 1 else []
-    dealt = rows.withColumn("part", _place(cuts)).repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "doc_id").select("part", "doc_id", "text")
+    rows = docs.select(whole_number(docs, id_col).alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    cuts = _cuts(rows)
+    dealt = _with_part(rows, cuts).repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "doc_id").select("part", "doc_id", "text")
     options = {
         "compression": "snappy",
         "parquet.writer.version": "PARQUET_2_0",
@@ -67,12 +73,36 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
     dealt.mapInArrow(encode, SCHEMA).write.options(**options).parquet(path)
 
 
-def _place(cuts: list[int], lo: int = 0) -> Column:
-    """How many of the sorted ``cuts`` are less than the id: a search tree of comparisons; 0 for null."""
+def _cuts(rows: DataFrame) -> list[int]:
+    """The greatest ids of all parts but the last."""
+    spark = rows.sparkSession
+    sizes = written(rows.select("doc_id", (F.octet_length("text") + 1).cast("long").alias("size")), "sizes")
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    parts = max(math.ceil(total / PART_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / LEAST_PART_BYTES)))
+    if parts <= 1:
+        return []
+    # A row stands for ``step`` bytes, or its own if it has more; so the sample has at most twice SAMPLED rows a part.
+    step = max(1, total // (SAMPLED * parts))
+    drawn = sizes.filter("doc_id is not null").filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(step)) < F.col("size"))
+    told = drawn.select("doc_id", F.greatest("size", F.lit(step)).alias("w")).toArrow()
+    ids, weights = told.column(0).to_numpy(), told.column(1).to_numpy()
+    order = np.argsort(ids, kind="stable")
+    place = np.minimum(np.cumsum(weights[order]) * parts // max(1, int(weights.sum())), parts - 1)
+    return np.unique(ids[order][:-1][place[1:] != place[:-1]]).tolist()
+
+
+def _with_part(rows: DataFrame, cuts: list[int]) -> DataFrame:
+    """Adds ``part``: how many of the sorted ``cuts`` are less than the id; 0 for null."""
     if not cuts:
-        return F.lit(lo)
-    m = len(cuts) // 2
-    return F.when(F.col("doc_id") > cuts[m], _place(cuts[m + 1 :], lo + m + 1)).otherwise(_place(cuts[:m], lo))
+        return rows.withColumn("part", F.lit(0))
+    bounds = np.array(cuts, np.int64)
+
+    @F.arrow_udf("int")
+    def place(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for ids in batches:
+            yield pa.array(np.searchsorted(bounds, ids.fill_null(bounds[0]).to_numpy(zero_copy_only=False)).astype(np.int32))
+
+    return rows.withColumn("part", place("doc_id"))
 
 
 def read(spark, path: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -12,15 +13,13 @@ from loomwright.llm import packing, token_output
 from loomwright.llm.encoding import encoder
 
 VOCABULARIES = {"byte_bpe_50k.json": True, "word_bpe_49k.json": False}
-ODD = ["", " ", "a", "a\tb", "  x  y ", "x y", "a\n\nb", "A'S 'T don't we'll", "\x00a b", "ſtoken K", "a ́b", "<|endoftext|> hi", "ab　cd e", "\x1ca b", "1 23 4!? ...", "x​y z", "ΣΑΣ x", "İstanbul ß Straße, ÀÉÎ µ", "'s a's, '", "été été, naïve;", "w" * 5000, "a" * 47 + ", " + "b" * 49]
+ODD = ["", " ", "a", "a\tb", "  x  y ", "x y", "a\n\nb", "A'S 'T don't we'll", "\x00a b", "ſtoken K", "a ́b", "<|endoftext|> hi", "a <|endoftext|> b", "x<|startoftext|>y <|ENDOFTEXT|>", "<|endoftext", "a <|endoftext|><|endoftext|>\nb ", "ab　cd e", "\x1ca b", "1 23 4!? ...", "x​y z", "ΣΑΣ x", "İstanbul ß Straße, ÀÉÎ µ", "'s a's, '", "été été, naïve;", "w" * 5000, "a" * 47 + ", " + "b" * 49]
 
 
 @pytest.fixture(scope="module", params=VOCABULARIES)
 def both(request):
     path = public_tokenizers.path(request.param)
-    lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
-    return encoder(path, VOCABULARIES[request.param]), lib
+    return encoder(path, VOCABULARIES[request.param]), Tokenizer.from_file(path)
 
 
 def ids(enc, text):
@@ -41,6 +40,18 @@ def test_any_text(both, t):
     assert ids(enc, t) == lib.encode(t, add_special_tokens=False).ids
 
 
+def test_special_strings_as_text(both):
+    from loomwright.llm.encoding import Encoder
+
+    enc, lib = both
+    path = public_tokenizers.path("byte_bpe_50k.json" if enc.spaces_matter else "word_bpe_49k.json")
+    plain, lib = Encoder(path, enc.spaces_matter, specials_as_text=True), Tokenizer.from_file(path)
+    lib.encode_special_tokens = True
+    for t in ("a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>"):
+        assert ids(plain, t) == lib.encode(t, add_special_tokens=False).ids
+    assert ids(plain, "<|endoftext|>") != ids(enc, "<|endoftext|>")
+
+
 def test_full_memo_starts_from_its_core(both):
     from loomwright.llm.encoding import Encoder
 
@@ -71,6 +82,22 @@ def test_token_files(spark, tmp_path):
     assert crc == {r["start"]: zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in out}
 
 
+def test_parts_by_bytes(spark, monkeypatch):
+    """Parts have about equal bytes though a few documents in the middle hold most of them."""
+    rows = [(k, ("word " * (4000 if 480 <= k < 520 else 3))) for k in range(1000)] + [(None, "n"), (999, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    total = sum(len(t) for _, t in rows)
+    for most, parts in ((total // 8, 9), (1 << 30, 1)):
+        monkeypatch.setattr(token_output, "PART_BYTES", most)
+        cuts = token_output._cuts(df)
+        assert len(cuts) + 1 <= parts and (most > total or len(cuts) >= 6)
+        sizes = {}
+        for r in token_output._with_part(df, cuts).collect():
+            assert r["part"] == sum(c < r["doc_id"] for c in cuts) if r["doc_id"] is not None else r["part"] == 0
+            sizes[r["part"]] = sizes.get(r["part"], 0) + len(r["text"])
+        assert max(sizes.values()) <= 2 * most
+
+
 def test_token_files_have_pages_and_encodings(spark, tmp_path, sf):
     import glob
 
@@ -133,8 +160,6 @@ def test_packing_is_whole_and_tight(spark, sf):
 
 
 def test_levels_join_the_groups_remainders(spark):
-    import random
-
     rng = random.Random(1)
     sizes = [rng.randint(1, 2500) for _ in range(1500)]
     items = spark.createDataFrame(list(enumerate(sizes)), "pid long, length long")
@@ -146,20 +171,53 @@ def test_levels_join_the_groups_remainders(spark):
     assert max(fills.values()) <= 4096 and len(fills) <= -(-sum(sizes) // 4096) * 1.02 + 1
 
 
-def test_evolution():
-    import random
+def triplets(n, seed, capacity):
+    """Pieces that fill ``n`` bins by threes without a gap; best fit by decreasing size leaves gaps."""
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        a = rng.randint(380, 490)
+        b = rng.randint(250, (capacity - a) // 2)
+        out += [a, b, capacity - a - b]
+    rng.shuffle(out)
+    return out
+
+
+def whole(bins, sizes, capacity):
+    return sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= capacity for b in bins)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_evolution_beats_best_fit_decreasing(seed):
+    sizes = triplets(20, seed, 1000)
+    plain = packing.decreasing(sizes, 1000)
+    told = packing.evolve(sizes, seed, [], 1000, population=30, generations=1500)
+    assert whole(told.elite, sizes, 1000) and told.children == 1500 and told.gains > 0
+    assert len(told.elite) <= 22 < len(plain) and len(told.elite) < told.seed[0] or len(told.elite) == 21
+
 
+def test_operators_of_the_evolution():
     rng = random.Random(3)
     sizes = [rng.choice((1500, 1400, 1300, 1196, 2600, 1496)) for _ in range(60)]
     first = []
     packing.best_fit(sizes, list(range(60)), first, 4096)
-    best = packing.evolve(sizes, 1, [first], generations=40)
-    assert sorted(i for b in best for i in b) == list(range(60)) and all(sum(sizes[i] for i in b) <= 4096 for b in best)
-    assert len(best) <= len(first)
-    child = packing.crossover(sizes, first, best, 4096, rng)
-    assert sorted(i for b in child for i in b) == list(range(60))
-    child = packing.mutate(sizes, first, 4096, rng)
-    assert sorted(i for b in child for i in b) == list(range(60))
+    told = packing.evolve(sizes, 1, [first], generations=40)
+    assert whole(told.elite, sizes, 4096) and packing.fitness(sizes, told.elite, 4096) <= packing.fitness(sizes, first, 4096)
+    for _ in range(20):
+        assert whole(packing.crossover(sizes, first, told.elite, 4096, rng), sizes, 4096) and whole(packing.mutate(sizes, first, 4096, rng), sizes, 4096)
+
+
+def test_packing_comes_from_the_evolution(spark):
+    """Over all of a table: every group makes children, some become the elite, and no group ends above best fit decreasing."""
+    docs, report = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), []
+    packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), report=report).count()
+    rows = [r for t in report for r in t.collect()]
+    assert len(rows) == packing.ISLANDS * packing.EPOCHS * len({(r["level"], r["g"]) for r in rows}) > 0
+    assert all(r["children"] == packing.GENERATIONS and (r["n"], r["fill"]) <= (r["seed_n"], r["seed_fill"]) for r in rows)
+    assert sum(r["gains"] for r in rows) > 0
+    for g in {(r["level"], r["g"]) for r in rows}:
+        mine = [r for r in rows if (r["level"], r["g"]) == g]
+        best = min((r["n"], r["fill"]) for r in mine if r["epoch"] == packing.EPOCHS - 1)
+        assert best < min((r["seed_n"], r["seed_fill"]) for r in mine if r["epoch"] == 0)
 
 
 def test_repeated_rows_are_packed_one_by_one(spark):

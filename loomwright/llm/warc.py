@@ -1,16 +1,18 @@
 """WARC archives: writing with segmented records, and reading with segment reassembly.
 
-Writing: one record a page, in gzipped files of the text writer (its line end is the blank lines that end a record; all
-content is UTF-8, and blocks are cut between characters). The block is an HTTP response whose body is in chunked transfer
-framing; a block over ``SEGMENT`` characters is cut into a first record and continuation records. Of pages with equal
-payloads of at least ``LEAST_REVISIT`` bytes the one with the smallest id is written whole, the others as revisits.
+Writing: a gzip member for every record, so that each can be read alone, in files of at most about ``FILE_BYTES``. A page is
+one record, whose block is an HTTP response with its body in chunked transfer framing; a block over ``SEGMENT`` characters is
+cut (between characters) into a first record and continuation records, which may lie in different files. Of pages with equal
+payloads of at least ``LEAST_REVISIT`` bytes the one with the smallest id is written whole, the others as revisits that name
+its record. Spark's text writer writes the members: it is given each without its last byte, which is zero for any member of
+less than 16 MB (the high byte of its length), and that zero as line end.
 
 Reading: a streaming parser goes by Content-Length. Whole records are decoded at once; segments are grouped by their
 origin's record id, ordered by segment number, checked (numbers without gaps, total length), joined, and then decoded.
 
-Defined cases: null html is an empty payload, a null url leaves out the target; a null page id is kept as null (and is
+Defined cases: page ids are whole numbers (others are refused); null html is an empty payload, a null url leaves out the target; a null page id is kept as null (and is
 never what a revisit refers to); repeated rows become records of their own, all of them responses if their id is the
-smallest. A damaged record (missing segment, wrong length, bad framing, wrong digest) comes back with ``problem`` set and
+smallest, and revisits name the first of them. A damaged record (missing segment, wrong length, bad framing, wrong digest) comes back with ``problem`` set and
 no payload. Extra columns are not written.
 """
 
@@ -25,11 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, shared_path, utf8, written
+from .common import prepare, shared_path, utf8, whole_number, written
 
 SEGMENT, CHUNK = 32_768, 8_192
 LEAST_REVISIT = 100
-RECORDS_PER_FILE = 4096
+#: Bytes of a file; a row of the reader is one file.
+FILE_BYTES = 32 << 20
+#: Effort of the compression, 1 to 9.
+LEVEL = 4
 DATE = "2000-01-01T00:00:00Z"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -48,17 +53,21 @@ def chunked(body: str, size: int = CHUNK) -> str:
 
 
 def _record(headers: list[tuple[str, str | int | None]], block: str) -> str:
-    """One record without the blank lines at its end, which the text writer adds."""
     lines = "".join(f"{k}: {v}\r\n" for k, v in headers if v is not None)
-    return f"WARC/1.1\r\n{lines}Content-Length: {len(utf8(block))}\r\n\r\n{block}"
+    return f"WARC/1.1\r\n{lines}Content-Length: {len(utf8(block))}\r\n\r\n{block}\r\n\r\n"
 
 
-def records(page_id: int | None, uid: int, url: str | None, html: str, digest: str, size: int, refers_to: int | None, segment: int = SEGMENT) -> Iterator[str]:
-    name = f"<urn:page:{'none' if page_id is None else page_id}:{uid}>"
+def _name(page_id: int | None, uid: int) -> str:
+    return f"<urn:page:{'none' if page_id is None else page_id}:{uid}>"
+
+
+def records(page_id: int | None, uid: int, url: str | None, html: str, digest: str, size: int, refers_to: tuple[int, int] | None, segment: int = SEGMENT) -> Iterator[str]:
+    """The records of one page; ``refers_to`` is the page id and uid of the response that it revisits."""
+    name = _name(page_id, uid)
     uri = None if url is None else quote(url, safe="%/:?#[]@!$&'()*+,;=-._~")
     about = [("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", size)]
     if refers_to is not None:
-        yield _record([("WARC-Type", "revisit"), ("WARC-Record-ID", name), *about, ("WARC-Profile", _PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("Content-Type", "application/http;msgtype=response")], _HTTP)
+        yield _record([("WARC-Type", "revisit"), ("WARC-Record-ID", name), *about, ("WARC-Profile", _PROFILE), ("WARC-Refers-To", _name(*refers_to)), ("Content-Type", "application/http;msgtype=response")], _HTTP)
         return
     block = _HTTP + chunked(html)
     parts = [block[at : at + segment] for at in range(0, len(block), segment)]
@@ -69,22 +78,46 @@ def records(page_id: int | None, uid: int, url: str | None, html: str, digest: s
         yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"{name[:-1]}:{k}>"), ("WARC-Date", DATE), ("WARC-Segment-Number", k), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Total-Length", total)], part)
 
 
+def _member(record: str) -> bytes:
+    """A gzip member (several for a record of 8 MB or more, which only a url of such length makes)."""
+    data, out = utf8(record), []
+    for at in range(0, len(data), 8 << 20):
+        z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+        out += [z.compress(data[at : at + (8 << 20)]), z.flush()]
+    return b"".join(out)
+
+
 def write(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
-    """Writes the archive files below ``path``."""
+    """Writes the archive files below ``path`` (in folders ``file=N``)."""
     prepare(pages.sparkSession)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    rows = pages.select(whole_number(pages, "page_id").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    if rows.groupBy("page_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        rows = rows.withColumn("uid", F.lit(0).cast("long"))
+    else:  # repeated ids: records are told apart by row numbers, written once so that they stay
+        rows = written(rows.withColumn("uid", F.monotonically_increasing_id()), "numbered")
     rows = rows.withColumns({"digest": F.sha2("html", 256), "size": F.octet_length("html").cast("long")})
     # One short row a repeated payload; the pages' side of the join may be split where one payload is hot.
-    first = rows.filter(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    rows = rows.join(first, "digest", "left").withColumn("refers", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
-    rows = rows.withColumn("html", F.when(F.col("refers").isNull(), F.col("html")).otherwise("")).select("page_id", F.monotonically_increasing_id().alias("uid"), "url", "html", "digest", "size", "refers")
+    known = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "uid"))
+    first = rows.filter(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min(known).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    rows = rows.join(first, "digest", "left").withColumn("refers", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id")), F.col("first")))
+    rows = rows.withColumn("html", F.when(F.col("refers").isNull(), F.col("html")).otherwise("")).select("page_id", "uid", "url", "html", "digest", "size", F.col("refers.page_id").alias("to_page"), F.col("refers.uid").alias("to_uid"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = filled = 0
         for b in batches:
-            out = [r for row in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in records(*row, segment)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+            made, files = [], []
+            for *row, to_page, to_uid in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for r in records(*row, None if to_page is None else (to_page, to_uid), segment):
+                    member = _member(r)
+                    filled += len(member)
+                    if filled > FILE_BYTES:
+                        number, filled = number + 1, len(member)
+                    made.append(member[:-1])
+                    files.append(number)
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), pa.array(files, pa.int32())], names=["member", "file"])
 
-    rows.mapInArrow(run, "value string").write.options(lineSep="\r\n\r\n", compression="gzip", maxRecordsPerFile=RECORDS_PER_FILE).text(path)
+    members = rows.mapInArrow(run, "member binary, file int")
+    members.select(F.col("member").cast("string").alias("value"), "file").write.partitionBy("file").options(lineSep="\0", compression="none").text(path)
 
 
 # -- reading --------------------------------------------------------------------
@@ -123,19 +156,26 @@ def parse(data: bytes, step: int = 1 << 20) -> Iterator[tuple[dict[str, str], by
 
 
 def _plain(data: bytes, step: int) -> Iterator[bytes]:
+    view = memoryview(data)
     if data[:2] != b"\x1f\x8b":
         for at in range(0, len(data), step):
             yield data[at : at + step]
         return
-    rest = data
-    while rest:
-        d, tail = zlib.decompressobj(31), rest
-        while tail and not d.eof:
-            piece = d.decompress(tail, step)
-            if piece:
+    at, tail = 0, b""  # members are fed in small pieces, so what one leaves over is short
+    while tail or at < len(data):
+        d = zlib.decompressobj(31)
+        while not d.eof:
+            if not tail:
+                if at >= len(data):
+                    return
+                tail, at = bytes(view[at : at + _FEED]), at + _FEED
+            if piece := d.decompress(tail, step):
                 yield piece
             tail = d.unconsumed_tail
-        rest = d.unused_data
+        tail = d.unused_data
+
+
+_FEED = 1 << 16
 
 
 def body(block: bytes) -> bytes:
@@ -202,7 +242,7 @@ _ROWS_OUT, _BYTES_OUT = 512, 4 << 20
 def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """One row a response or revisit record of the files of ``path``."""
     prepare(spark)
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []

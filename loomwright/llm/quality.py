@@ -1,8 +1,9 @@
 """Quality rules as a short-circuit cascade.
 
-The base measures of a text are made in one vectorised pass over its bytes. The further rules are ordered by what a
-bounded sample says of them: each rule's cost (seconds) and selectivity (share rejected) are measured there, and rules
-run by rejections per cost, a text leaving at the first rule that rejects it. The order changes the work, not the verdict.
+The base measures of a text are made in one vectorised pass over its bytes. The further rules are ordered by what a random
+sample of all texts, whatever their length, says of them: each rule's cost (seconds) and selectivity (share rejected) are
+measured in the tasks that read it, and rules run by rejections per cost, a text leaving at the first rule that rejects it.
+The order changes the work, not the verdict; ``rejected_by``, where several rules reject a text, follows the order.
 
 Defined cases: null counts as empty; words are runs without space, tab, LF, VT, FF, CR; a text without words fails the
 base. Lines are cut at LF alone and compared whole. Extra columns stay; repeated rows are judged alike.
@@ -10,8 +11,9 @@ base. Lines are cut at LF alone and compared whole. Extra columns stay; repeated
 
 from __future__ import annotations
 
+import secrets
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import prepare, unused, utf8, window_hashes, with_text_struct, word_hashes
 
 SYMBOLS = "#*$%&|<>"
-#: Texts of the sample that orders the cascade (a bound; it decides the order only, never a verdict).
+#: Texts, about, of the sample that orders the cascade (it decides the order only, never a verdict).
 SAMPLE = 512
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # percent of the words
@@ -53,10 +55,10 @@ def _few_letters(text: str, m: Measures) -> bool:
 RULES: list[Rule] = [("most_symbols", _most_symbols), ("odd_words", _odd_words), ("repeated_lines", _repeated_lines), ("few_letters", _few_letters)]
 
 
-def measure(text: str) -> Measures:
-    """The base measures of one text."""
+def measure(text: str, key: int = 0) -> Measures:
+    """The base measures of one text (``key`` of the words' hashes)."""
     data = utf8(text)
-    words = word_hashes(data)
+    words = word_hashes(data, key)
     n = len(words)
     repeated = 0
     if n >= 4:
@@ -82,35 +84,51 @@ def base_failed(m: Measures) -> bool:
     return m["n_words"] < LEAST_WORDS or 100 * m["n_repeat_words"] > MOST_REPEATED * m["n_words"]
 
 
-def order_rules(sample: list[str], rules: list[Rule] = RULES) -> list[Rule]:
-    """By rejections per second on the sample, greatest first; rules that reject nothing come last, cheapest first."""
+def timed(texts: list[str], rules: list[Rule] = RULES) -> list[tuple[int, int, float]]:
+    """For each rule: texts judged (those that pass the base), texts rejected, seconds."""
+    passed = [(t, m) for t in texts if not base_failed(m := measure(t))]
     told = []
-    measured = [(t, m) for t in sample if not base_failed(m := measure(t))]
-    for k, (name, rule) in enumerate(rules):
+    for _, rule in rules:
         start = time.perf_counter()
-        rejected = sum(rule(t, m) for t, m in measured)
-        cost = max(1e-9, time.perf_counter() - start) / max(1, len(measured))
-        told.append((-(rejected / max(1, len(measured))) / cost, cost, k, (name, rule)))
-    return [x[-1] for x in sorted(told, key=lambda x: x[:3])]
+        rejected = sum(rule(t, m) for t, m in passed)
+        told.append((len(passed), rejected, time.perf_counter() - start))
+    return told
 
 
-def sample_texts(docs: DataFrame, text_col: str, n: int = SAMPLE) -> list[str]:
-    """Up to ``n`` texts of at most 20,000 characters for timing (they go to the driver)."""
-    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("t")).filter("length(t) between 1 and 20000").limit(n).collect()
-    return [r["t"] for r in rows]
+def order_rules(told: list[tuple[int, int, float]], rules: list[Rule] = RULES) -> list[Rule]:
+    """By rejections per second, greatest first; rules that reject nothing come last, cheapest first."""
+    cost = [max(1e-9, seconds) / max(1, n) for n, _, seconds in told]
+    gain = [rejected / max(1, n) / c for (n, rejected, _), c in zip(told, cost, strict=True)]
+    return [rules[k] for k in sorted(range(len(rules)), key=lambda k: (-gain[k], cost[k], k))]
+
+
+def sampled(docs: DataFrame, text_col: str, rules: list[Rule] = RULES, n: int = SAMPLE) -> list[tuple[int, int, float]]:
+    """``timed`` over about ``n`` texts drawn from all rows; only the sums leave the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            told = timed(b.column(0).to_pylist(), rules)
+            cols = list(zip(*told, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(told)), pa.int32()), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True))], names=["k", "n", "rejected", "seconds"])
+
+    share = min(1.0, n / max(1, docs.count()))
+    texts = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t")).filter(F.rand(11) < share)
+    sums = texts.mapInArrow(run, "k int, n long, rejected long, seconds double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds"))
+    got = {r["k"]: (r["n"], r["rejected"], r["seconds"]) for r in sums.collect()}
+    return [got.get(k, (0, 0, 0.0)) for k in range(len(rules))]
 
 
 def judge(docs: DataFrame, text_col: str = "text", rules: list[Rule] = RULES, sample: int = SAMPLE) -> DataFrame:
     """Adds the base measures, ``base_failed``, ``kept`` and ``rejected_by`` (the first rule of the cascade that fired)."""
     spark: SparkSession = docs.sparkSession
     prepare(spark)
-    names = [name for name, _ in order_rules(sample_texts(docs, text_col, sample), rules)]
-    by_name = dict(rules)
+    names = [name for name, _ in order_rules(sampled(docs, text_col, rules, sample), rules)]
+    by_name, key = dict(rules), secrets.randbits(63)
 
     def kernel(texts: list[str]) -> pa.Array:
         rows = []
         for t in texts:
-            m = measure(t)
+            m = measure(t, key)
             failed = base_failed(m)
             by = "base" if failed else next((n for n in names if by_name[n](t, m)), None)
             rows.append((*m.values(), failed, by is None, by))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,28 +116,44 @@ def clauses(c: Column, marks: str = "，,；;、") -> Column:
 # -- descriptions ---------------------------------------------------------------
 
 
-def without_repeats(c: Column, turns: int = 6) -> Column:
-    """A CJK phrase of 2 to 4 characters that follows itself stands once; ``turns`` passes halve each run of repeats, up to 2**turns."""
-    for _ in range(turns):
-        c = F.regexp_replace(c, r"([\x{4E00}-\x{9FFF}]{2,4})\1", "$1")
-    return c
+def _stable(c: Column, step: Callable[[str], str]) -> Column:
+    """``step`` applied until the text stays as it is (descriptions are short; null stays null)."""
+
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            out = []
+            for t in b.to_pylist():
+                while t is not None and (new := step(t)) != t:
+                    t = new
+                out.append(t)
+            yield pa.array(out, pa.string())
+
+    return run(c)
+
+
+_REPEATED = re.compile("([\u4e00-\u9fff]{2,4})\\1+")
+
+
+def without_repeats(c: Column) -> Column:
+    """A CJK phrase of 2 to 4 characters that follows itself stands once, until no phrase does."""
+    return _stable(c, lambda t: _REPEATED.sub(r"\1", t))
 
 
 # Words that leave a sentence hanging.
 DANGLING = "被|把|将|以|为|与|和|及|并|但|却|因|在|从|向|对|由|让|令|使|其|该|这|那"
 BROKEN_NUMERAL = "反将一|[将把给对向为以于至在从]一"
 _MARKS = "，,；;、。！？!?"
+_HANGING = re.compile(f"(?:^|[，,；;。！？!?])[^，,；;。！？!?]*?(?:{DANGLING}|{BROKEN_NUMERAL})[\\s{_MARKS}]*$")
+
 
+def _without_hanging(t: str) -> str:
+    return _HANGING.sub("", t).rstrip(_MARKS + " ") if _HANGING.search(t) else t
 
-def cleaned_description(c: Column, turns: int = 6) -> Column:
-    """White space compacted, hanging fragments at the end dropped, repeated phrases once; null if nothing is left.
 
-    Hanging fragments go in one pattern: the last fragments, as many as there are, that end in such a word or are empty.
-    """
-    text = F.regexp_replace(trimmed(c), WHITE + "+", " ")
-    hanging = f"(?:^|[，,；;。！？!?])[^，,；;。！？!?]*?(?:{DANGLING}|{BROKEN_NUMERAL})[\\s{_MARKS}]*$"
-    for _ in range(turns):
-        text = F.when(text.rlike(hanging), F.regexp_replace(F.regexp_replace(text, hanging, ""), f"[{_MARKS}\\s]+$", "")).otherwise(text)
+def cleaned_description(c: Column) -> Column:
+    """White space compacted, all hanging fragments at the end dropped, repeated phrases once; null if nothing is left."""
+    text = _stable(F.regexp_replace(trimmed(c), WHITE + "+", " "), _without_hanging)
     text = F.when(F.length(F.regexp_replace(text, f"[{_MARKS}\\s]", "")) > 0, text)
     return without_repeats(text)
 

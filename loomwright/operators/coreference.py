@@ -13,15 +13,20 @@ from .scanners import CJK, Pattern, likely_name, regex_scan
 # Words and patterns.
 PRONOUNS_ZH = {"male": ("他们的", "他们", "他的", "他"), "female": ("她们", "她的", "她"), "neutral": ("它们的", "它们", "它的", "它")}
 PRONOUNS_EN = {"male": ("he", "his", "him"), "female": ("she", "hers", "her"), "neutral": ("it", "its")}
-HONORIFICS_ZH = ("先生", "女士", "小姐", "太太", "夫人", "老爷", "少爷", "姑娘", "大人", "公子", "公主", "将军", "元帅", "道长", "大师", "仙人")
+HONORIFICS_ZH = (
+    "先生", "女士", "小姐", "太太", "夫人", "老爷", "少爷", "姑娘", "大人", "公子", "公主", "王", "皇", "帝", "后", "妃", "臣",
+    "将军", "元帅", "奶奶", "相公", "娘子", "夫君", "妻子", "道长", "大师", "仙人", "神", "佛",
+)
 HONORIFICS_EN = ("mr", "mrs", "miss", "ms", "sir", "madam", "lady", "lord", "princess", "prince", "king", "queen", "duke", "duchess", "doctor", "professor", "captain", "major", "colonel", "general")
+#: The descriptor is the first group, or all that matches where there is none.
 DESCRIPTORS = (
-    "那个(.?)人", "这位(.?)人", "(此人)", "(老者)", "(年轻人)", "(少年)", "(少女)", "(中年人)", "年轻的(.{1,3})", "小小的(.{1,3})",
-    "(?i)the ((?:old|young|little|oldest|youngest) (?:man|woman|person|boy|girl|child))", "(?i)the ((?:tall|short|big|little|young|old) (?:one|man|woman|guy|person))", "(?i)a ((?:certain|some) (?:man|woman|person|boy|girl))",
+    "那个(.?)人", "这位(.?)人", "此人", "老者", "年轻人", "少年", "少女", "中年人", "老(.{0,3})", "年轻的(.{0,3})", "小小的(.{0,3})",
+    "(?i)the (old|young|little|oldest|youngest) (man|woman|person|boy|girl|child)", "(?i)the (tall|short|big|little|young|old) (one|man|woman|guy|person)", "(?i)a (certain|some) (man|woman|person|boy|girl)",
 )
+#: Name and alias are the first two groups; a pattern with one group tells an alias of nobody in particular.
 ALIASES = (
-    '"([^"]+)"常被称为([^，。\n]+)', '([^，。\n]+)，又名"([^"]+)"', '([^，。\n]+)，人称"([^"]+)"', '([^，。\n]+)，绰号"([^"]+)"',
-    r'(?i)(\w+),?\s+known\s+as\s+"(\w+)"', r'(?i)(\w+)\s+nicknamed\s+"(\w+)"', r'(?i)(\w+)\s+also\s+calls?\s+(?:himself|herself|themselves)\s+"(\w+)"', r'(?i)(\w+)\s+(?:or|aka|also\s+known\s+as)\s+"(\w+)"',
+    '"([^"]+)"常被称为(.+)', '(.+)，又名"([^"]+)"', '(.+)，人称"([^"]+)"', '(.+)，绰号"([^"]+)"', "称(.+)为(.+)", "(.+)之(.+)",
+    r'(?i)(\w+),?\s+known\s+as\s+"(\w+)"', r'(?i)(\w+)\s+nicknamed\s+"(\w+)"', r'(?i)(\w+)\s+also\s+calls?\s+(?:himself|herself|themselves)\s+"(\w+)"', r'(?i)(\w+)\s+(?:or|aka|also\s+known\s+as)\s+"(\w+)"', r"(?i)(\w+)\s+for\s+(?:short|shortened)",
 )
 #: Factors by distance from an antecedent: the first bound exceeded counts.
 DECAY = ((500, 0.5), (200, 0.7), (100, 0.85), (50, 0.95))
@@ -68,7 +73,7 @@ def antecedents(found: DataFrame, named: DataFrame, order: list[str]) -> DataFra
 
 
 def descriptors(chapters: DataFrame) -> DataFrame:
-    return regex_scan(chapters, [Pattern(p, 1, 1.0, "descriptor") for p in DESCRIPTORS])
+    return regex_scan(chapters, [Pattern(p, min(1, re.compile(p).groups), 1.0, "descriptor") for p in DESCRIPTORS])
 
 
 def descriptor_match(descriptor: Column, names: list[str]) -> Column:
@@ -102,7 +107,12 @@ def surname_names(chapters: DataFrame) -> DataFrame:
 def alias_pairs(chapters: DataFrame) -> DataFrame:
     """``book_id, chapter_index, name, alias`` told by phrases like *known as*."""
     text = F.coalesce("content", F.lit(""))
-    pairs = [F.transform(F.arrays_zip(F.regexp_extract_all(text, F.lit(p), F.lit(1)).alias("n"), F.regexp_extract_all(text, F.lit(p), F.lit(2)).alias("a")), lambda x: F.struct(F.trim(x["n"]).alias("name"), F.trim(x["a"]).alias("alias"))) for p in ALIASES]
+    pairs = []
+    for p in ALIASES:
+        two = re.compile(p).groups > 1
+        alias = F.regexp_extract_all(text, F.lit(p), F.lit(2 if two else 1))
+        name = F.regexp_extract_all(text, F.lit(p), F.lit(1)) if two else F.transform(alias, lambda a: F.lit(""))
+        pairs.append(F.transform(F.arrays_zip(name.alias("n"), alias.alias("a")), lambda x: F.struct(F.trim(x["n"]).alias("name"), F.trim(x["a"]).alias("alias"))))
     return chapters.select("book_id", "chapter_index", F.explode(F.concat(*pairs)).alias("p")).select("book_id", "chapter_index", "p.name", "p.alias").distinct()
 
 
@@ -111,3 +121,12 @@ def extended(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     more = pairs.groupBy("book_id", "name").agg(F.array_sort(F.collect_set("alias")).alias("_more"))
     empty = F.array().cast("array<string>")
     return rows.join(more, ["book_id", "name"], "left").withColumn("aliases", F.array_distinct(F.concat(F.coalesce("aliases", empty), F.coalesce("_more", empty)))).drop("_more")
+
+
+def with_potentials(known: DataFrame, potential: DataFrame, least: float = 0.6) -> DataFrame:
+    """``book_id, name``: the known names, and potential ones of enough ``confidence`` that are no known name's form of address."""
+    from .resolution import address_free_column
+
+    form = lambda d: d.withColumn("_f", address_free_column(F.col("name")))
+    new = form(potential.filter(F.col("confidence") >= least).select("book_id", "name").distinct())
+    return known.select("book_id", "name").distinct().unionByName(new.join(form(known).select("book_id", "_f").distinct(), ["book_id", "_f"], "left_anti").drop("_f"))

@@ -139,15 +139,17 @@ def with_notes(docs: DataFrame, text_col: str, out: str, lex: Lexicon = DEFAULT)
 
 def repeated_tails(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n\n\n", share: float = 0.5, least: int = 4, last: int = 5) -> DataFrame:
     """``doc_id, tail, n, sections``: lines among the last of at least ``share`` of a document's sections."""
-    whole = docs.select(F.col(id_col).alias("doc_id"), F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), separator), lambda s: F.length(trimmed(s)) > 0).alias("s"))
-    whole = whole.filter(F.size("s") >= least)
+    sections = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), separator)).alias("section"))
+    return section_tails(sections, share, least, last)
 
-    def tails(s: Column) -> Column:
-        rows = F.split(trimmed(s), "\n")
-        return F.slice(rows, F.greatest(F.size(rows) - last + 1, F.lit(1)), last)
 
-    rows = whole.select("doc_id", F.size("s").alias("sections"), F.explode(F.flatten(F.transform("s", tails))).alias("tail")).withColumn("tail", trimmed(F.col("tail"))).filter(F.length("tail") > 3)
-    return rows.groupBy("doc_id", "sections", "tail").agg(F.count("*").alias("n")).filter(F.col("n") >= share * F.col("sections"))
+def section_tails(sections: DataFrame, share: float = 0.5, least: int = 4, last: int = 5) -> DataFrame:
+    """``repeated_tails`` of sections that are rows (``doc_id, section``): a document's text need never stand in one row."""
+    body = trimmed(F.col("section"))
+    rows = sections.withColumn("_b", body).filter(F.length("_b") > 0).withColumn("_l", F.split("_b", "\n"))
+    total = rows.groupBy("doc_id").agg(F.count("*").alias("sections")).filter(F.col("sections") >= least)
+    rows = rows.select("doc_id", F.explode(F.slice("_l", F.greatest(F.size("_l") - last + 1, F.lit(1)), last)).alias("tail")).withColumn("tail", trimmed(F.col("tail"))).filter(F.length("tail") > 3)
+    return rows.groupBy("doc_id", "tail").agg(F.count("*").alias("n")).join(total, "doc_id").filter(F.col("n") >= share * F.col("sections")).select("doc_id", "sections", "tail", "n")
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lex: Lexicon = DEFAULT, notes: bool = True, tails: bool = True) -> DataFrame:
@@ -173,7 +175,8 @@ def counts(suspects: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lex: Lexicon = DEFAULT, aggressive: bool = False, keep: DataFrame | None = None) -> DataFrame:
     """``doc_id, text, n_lines, n_removed`` without the suspect lines; rows ``doc_id, line_num`` of ``keep`` are never removed.
 
-    All but the keep-lines is done inside a document's row; repeated tails need blank lines that normalised text has not.
+    All but the keep-lines is done inside a document's row. Repeated tails are less sure than what the default removes, so
+    only ``aggressive`` cleaning counts them (which takes a join on the document).
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = with_notes(base, "text", "note", lex)
@@ -183,9 +186,13 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lex
     else:
         base = base.withColumn("kept", F.array().cast("array<int>"))
     least = 0.0 if aggressive else REMOVED_FROM
+    if aggressive:
+        again = repeated_tails(base, "doc_id", "text").groupBy("doc_id").agg(F.collect_list("tail").alias("tails"))
+        base = base.join(again, "doc_id", "left").withColumn("tails", F.coalesce("tails", F.array().cast("array<string>")))
 
     def stays(x: Column, i: Column) -> Column:
-        return F.coalesce(best(x["line"], lex, F.get("note", i), t=x["t"])["confidence"] < least, F.lit(True)) | F.array_contains("kept", i + 1)
+        repeated = F.array_contains("tails", x["t"]) if aggressive else None
+        return F.coalesce(best(x["line"], lex, F.get("note", i), repeated, x["t"])["confidence"] < least, F.lit(True)) | F.array_contains("kept", i + 1)
 
     split = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), trimmed(x).alias("t")))
     flagged = base.select("doc_id", F.transform(split, lambda x, i: F.struct(x["line"].alias("line"), stays(x, i).alias("stays"))).alias("l"))

@@ -8,17 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexicons as lex
 from ..functions.text import relation_sentences
 
 TYPES = ("family", "romantic", "friendship", "antagonistic", "professional", "narrative", "unknown")
-#: Words by type and strength; the lists are parameters, these few are the built-in start of them.
-INDICATORS: dict[str, dict[str, tuple[str, ...]]] = {
-    # Indicator words.
-    "family": {"explicit": ("父亲", "母亲", "儿子", "女儿", "兄弟", "姐妹", "丈夫", "妻子", "爷爷", "奶奶", "叔叔", "父子", "母女"), "dialogue": ("爹", "娘", "孩儿", "相公", "夫君"), "action": ("抚养", "养育", "生下", "嫁给", "娶了")},
-    "romantic": {"explicit": ("爱人", "恋人", "情人", "心上人", "爱慕", "暗恋"), "dialogue": ("亲爱的", "宝贝", "我爱你"), "action": ("亲吻", "拥抱", "表白", "求婚")},
-    "friendship": {"explicit": ("朋友", "好友", "伙伴", "同伴", "友人"), "dialogue": ("兄台", "老友"), "action": ("帮助", "相助")},
-    "antagonistic": {"explicit": ("敌人", "仇人", "仇敌", "对手"), "dialogue": ("受死", "找死"), "action": ("追杀", "袭击", "攻击", "背叛")},
-}
+#: Words by type and strength (``functions.lexicons`` has them); parameters of ``evidence``.
+INDICATORS: dict[str, dict[str, tuple[str, ...]]] = {"family": lex.FAMILY, "romantic": lex.ROMANTIC, "friendship": lex.FRIENDSHIP, "antagonistic": lex.ANTAGONISTIC}
 STRENGTH = {"explicit": 0.85, "dialogue": 0.65, "action": 0.6}
 CO_MENTION = 0.3
 

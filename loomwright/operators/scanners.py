@@ -39,13 +39,18 @@ class Pattern:
 MENTION = "book_id string, chapter_index int, text string, position int, confidence double, kind string, seq long"
 
 
-def regex_scan(chapters: DataFrame, patterns: list[Pattern], text_col: str = "content") -> DataFrame:
-    """A row for each match of each pattern, patterns in order within a chapter (``seq``)."""
+def regex_scan(chapters: DataFrame, patterns: list[Pattern], text_col: str = "content", reach: int = 0) -> DataFrame:
+    """A row for each match of each pattern, patterns in order within a chapter (``seq``).
+
+    With ``reach`` also the ``before`` and ``after`` of a match, so many characters of the text around it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [(re.compile(p.regex), p) for p in patterns]
         names = ["book_id", "chapter_index", "text", "position", "confidence", "kind", "seq"]
         types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.string(), pa.int64()]
+        if reach:
+            names, types = [*names, "before", "after"], [*types, pa.string(), pa.string()]
         for b in batches:
             rows = []
             for book, index, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -53,13 +58,15 @@ def regex_scan(chapters: DataFrame, patterns: list[Pattern], text_col: str = "co
                 for rx, p in compiled:
                     for m in rx.finditer(text or ""):
                         if m.group(p.group):
-                            rows.append((book, index, m.group(p.group), m.start(p.group), p.confidence, p.kind, (index or 0) * 1_000_000 + n))
+                            s, e = m.span(p.group)
+                            around = (text[max(0, s - reach) : s], text[e : e + reach]) if reach else ()
+                            rows.append((book, index, m.group(p.group), s, p.confidence, p.kind, (index or 0) * 1_000_000 + n, *around))
                             n += 1
             cols = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     rows = chapters.select(F.col("book_id").cast("string"), F.col("chapter_index").cast("int"), F.col(text_col))
-    return rows.mapInArrow(run, MENTION)
+    return rows.mapInArrow(run, MENTION + ", before string, after string" * bool(reach))
 
 
 def _mentions(found: DataFrame, kind: str, keep: Column) -> DataFrame:
@@ -200,23 +207,16 @@ def frequent_names(chapters: DataFrame, least: int = 5, limit: int = 160, patter
     Candidates are all places of surname-led runs of 4, 3 and 2 characters (overlaps included) with a telling
     neighbourhood; shorter and longer variants suppress each other; ``limit`` names a book are the report.
     """
-    patterns = patterns or [Pattern(f"(?=((?:{_or(lex.COMPOUND_SURNAMES)}|[{lex.SURNAMES}])[{CJK}]*))", 1, 0.0)]
-    heads = regex_scan(chapters, patterns)
-    sized = heads.select("book_id", "chapter_index", "position", F.explode(F.array(F.lit(4), F.lit(3), F.lit(2))).alias("len"), "text").filter(F.length("text") >= F.col("len"))
-    cand = sized.withColumn("text", F.substring("text", F.lit(1), F.col("len"))).filter(likely_frequent_name(F.col("text")) if keep is None else keep)
-    text = chapters.select(F.col("book_id").cast("string"), F.col("chapter_index").cast("int"), "content")
-    near = cand.join(text, ["book_id", "chapter_index"])
-    p, n, c = F.col("position"), F.col("len"), F.col("content")
-
-    def around(k: int) -> Column:
-        lo = F.greatest(p - k, F.lit(0))
-        return c.substr(lo + 1, p + n + k - lo)
-
-    lo2 = F.greatest(p - 2, F.lit(0))
-    beside = F.concat(c.substr(lo2 + 1, p - lo2), c.substr(p + n + 1, F.lit(2)))
-    telling = beside.rlike(f"[{lex.CONTEXT_CHARS}]") | around(6).rlike(_or(lex.DIALOGUE_VERBS + lex.TITLES))
-    after = c.substr(p + n + 1, F.lit(1))
-    near = near.filter((telling if context is None else context) & ~after.rlike(f"[{lex.ORG_SUFFIXES}]")).drop("content")
+    patterns = patterns or [Pattern(f"(?=((?:{_or(lex.COMPOUND_SURNAMES)}|[{lex.SURNAMES}])[{CJK}]{{0,3}}))", 1, 0.0)]
+    heads = regex_scan(chapters, patterns, reach=6)
+    sized = heads.withColumn("len", F.explode(F.array(F.lit(4), F.lit(3), F.lit(2)))).filter(F.length("text") >= F.col("len"))
+    # What stands behind a shorter name starts with the rest of the longer match.
+    n = F.col("len")
+    near = sized.withColumns({"after": F.concat(F.col("text").substr(n + 1, F.length("text")), "after"), "text": F.substring("text", F.lit(1), n)})
+    near = near.filter(likely_frequent_name(F.col("text")) if keep is None else keep)
+    beside = F.concat(F.right("before", F.lit(2)), F.left("after", F.lit(2)))
+    telling = beside.rlike(f"[{lex.CONTEXT_CHARS}]") | F.concat("before", "text", F.left("after", F.lit(6))).rlike(_or(lex.DIALOGUE_VERBS + lex.TITLES))
+    near = near.filter((telling if context is None else context) & ~F.left("after", F.lit(1)).rlike(f"[{lex.ORG_SUFFIXES}]"))
     place = F.struct("chapter_index", "position", (-F.col("len")).alias("l"))
     names = near.groupBy("book_id", "text").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.array_sort(F.collect_set("chapter_index")).alias("all_chapters")).filter(F.col("n") >= least)
     return ranked_names(suppressed(names), limit)
@@ -253,14 +253,24 @@ def ranked_names(names: DataFrame, limit: int = 160) -> DataFrame:
     return out.select("book_id", "text", "n", F.col("first.chapter_index").alias("chapter_index"), F.col("first.position").alias("position"), "all_chapters", confidence.alias("confidence"), "rank")
 
 
-def exact_mentions(chapters: DataFrame, names: DataFrame) -> DataFrame:
+#: Names up to which each chapter is tested for each of them; beyond, names and chapters meet by pairs of characters.
+FEW_NAMES = 2_000
+
+
+def exact_mentions(chapters: DataFrame, names: DataFrame, few: int = FEW_NAMES) -> DataFrame:
     """Literal, non-overlapping counts of ``names`` (``name``): ``book_id, text, n, chapter_index, position, all_chapters, confidence``.
 
-    Names are broadcast only up to 10,000 rows; the join is a nested loop over names, each chapter filtered by ``contains`` first.
+    Up to ``few`` names are broadcast (counted first) and tested by ``contains``. More of them meet the chapters in an
+    equi-join on their first two characters, of which a chapter has each pair once.
     """
-    small = names.limit(10_001).count() <= 10_000
-    n = F.broadcast(names) if small else names
-    hit = chapters.join(n, F.contains("content", F.col("name")))
+    names = names.filter(F.length("name") > 0).distinct()
+    rows = chapters.select("book_id", "chapter_index", "content")
+    if names.limit(few + 1).count() <= few:
+        hit = rows.join(F.broadcast(names), F.contains("content", F.col("name")))
+    else:
+        pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("content")), lambda i: F.substring("content", i, 2)))
+        keyed = rows.filter(F.length("content") > 0).withColumn("key", F.explode(F.array_distinct(F.concat(pairs, F.transform(pairs, lambda p: F.left(p, F.lit(1)))))))
+        hit = keyed.join(names.withColumn("key", F.left("name", F.lit(2))), "key").filter(F.contains("content", F.col("name")))
     count = ((F.length("content") - F.length(F.replace("content", F.col("name"), F.lit("")))) / F.length("name")).cast("long")
     hit = hit.select("book_id", "chapter_index", F.col("name").alias("text"), count.alias("c"), (F.instr("content", F.col("name")) - 1).alias("position"))
     out = hit.groupBy("book_id", "text").agg(F.sum("c").alias("n"), F.min(F.struct("chapter_index", "position")).alias("f"), F.array_sort(F.collect_set("chapter_index")).alias("all_chapters"))
@@ -270,7 +280,7 @@ def exact_mentions(chapters: DataFrame, names: DataFrame) -> DataFrame:
 def roll_up_aliases(found: DataFrame, aliases: DataFrame) -> DataFrame:
     """Adds aliases' counts and chapters to their primary (``primary, alias``) where both occur in a book; the alias goes."""
     names = found.select("book_id", F.col("text").alias("primary")).distinct()
-    valid = found.join(F.broadcast(aliases), F.col("text") == F.col("alias")).join(names, ["book_id", "primary"], "left_semi").select("book_id", "alias", "primary")
+    valid = found.join(aliases, F.col("text") == F.col("alias")).join(names, ["book_id", "primary"], "left_semi").select("book_id", "alias", "primary")
     rows = found.join(valid, (found["book_id"] == valid["book_id"]) & (F.col("text") == F.col("alias")), "left").select(found["*"], "alias", F.coalesce("primary", "text").alias("to"))
     own = F.col("alias").isNull()
     out = rows.groupBy("book_id", "to").agg(
@@ -288,7 +298,7 @@ def roll_up_aliases(found: DataFrame, aliases: DataFrame) -> DataFrame:
 def canonical(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
     """Mentions of an alias become mentions of its primary, the alias noted."""
     a = aliases.select(F.col("alias").alias("_a"), F.col("primary").alias("_p"))
-    rows = mentions.join(F.broadcast(a), F.col("text") == F.col("_a"), "left")
+    rows = mentions.join(a, F.col("text") == F.col("_a"), "left")
     old = F.coalesce(F.col("aliases"), F.array().cast("array<string>")) if "aliases" in mentions.columns else F.array().cast("array<string>")
     return rows.withColumn("aliases", F.when(F.col("_a").isNotNull(), F.array_distinct(F.concat(old, F.array("_a")))).otherwise(old)).withColumn("text", F.coalesce("_p", "text")).drop("_a", "_p")
 

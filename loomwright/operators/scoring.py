@@ -107,20 +107,20 @@ def semantic_features(entities: DataFrame, chapters: DataFrame, pattern: str = _
 def substitutability(params: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``max(.5, 1 - .1 * n)`` with n the other entities of the group within 2 of the count and less than .1 of the coverage.
 
-    A band join: each side's count goes to its bucket of width 3 and its neighbours, so the join is on equality.
+    Entities are counted by (count, coverage) first; these few combinations meet by an equi-join on the counts in reach.
     """
     keys = keys or ["book_id", "type"]
-    a = params.select(*keys, "text", "total_count", "coverage", F.floor(F.col("total_count") / 3).alias("b"))
-    x = a.select(*keys, F.col("text").alias("t"), F.col("total_count").alias("tc"), F.col("coverage").alias("cv"), F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"))
-    near = a.join(x, [*keys, "b"]).filter((F.col("text") != F.col("t")) & (F.abs(F.col("total_count") - F.col("tc")) <= 2) & (F.abs(F.col("coverage") - F.col("cv")) < 0.1))
-    n = near.groupBy(*keys, "text").agg(F.count("*").alias("similar"))
-    return params.join(n, [*keys, "text"], "left").select(*keys, "text", F.greatest(F.lit(0.5), 1 - 0.1 * F.coalesce("similar", F.lit(0))).alias("substitutability"))
+    tally = params.groupBy(*keys, "total_count", "coverage").agg(F.count("*").alias("k"))
+    other = tally.select(*keys, F.col("coverage").alias("cv"), F.col("k").alias("ok"), F.explode(F.sequence(F.col("total_count") - 2, F.col("total_count") + 2)).alias("total_count"))
+    near = tally.join(other, [*keys, "total_count"]).filter(F.abs(F.col("coverage") - F.col("cv")) < 0.1)
+    n = near.groupBy(*keys, "total_count", "coverage").agg((F.sum("ok") - 1).alias("similar"))
+    return params.join(n, [*keys, "total_count", "coverage"], "left").select(*keys, "text", F.greatest(F.lit(0.5), 1 - 0.1 * F.coalesce("similar", F.lit(0))).alias("substitutability"))
 
 
-def confidence(entities: DataFrame, chapters: DataFrame) -> DataFrame:
+def confidence(entities: DataFrame, chapters: DataFrame, pattern: str = _CJK_PAIR) -> DataFrame:
     """Every feature and the overall confidence of each entity."""
     rows = entities.select(*KEY, "total_count")
-    for part in (position_features(entities, chapters), breadth(entities, chapters), semantic_features(entities, chapters), basic_stats(entities, chapters)):
+    for part in (position_features(entities, chapters), breadth(entities, chapters), semantic_features(entities, chapters, pattern), basic_stats(entities, chapters)):
         rows = rows.join(part, KEY)
     rows = rows.join(substitutability(rows), KEY)
     c = F.col
@@ -186,15 +186,18 @@ def information_uniqueness(mentions: DataFrame, chapters: DataFrame, pattern: st
     """Share of the pairs around an entity that no chapter without it has.
 
     One table of pairs by chapter serves all entities: a pair is unique to an entity if as many chapters have it as
-    chapters of the entity do.
+    chapters of the entity do. A pair that more chapters have than the entity is in at all can't be, and is not looked up.
     """
     near = _windows(mentions, chapters, 150).withColumn("b", bigrams(F.coalesce("w", F.lit("")), pattern))
     own = near.select(*KEY, F.explode("b").alias("b")).distinct()
     by_chapter = chapters.select("book_id", "chapter_index", F.explode(bigrams(F.coalesce("content", F.lit("")), pattern)).alias("b"))
     everywhere = by_chapter.groupBy("book_id", "b").agg(F.count("*").alias("chapters"))
     present = mentions.select(*KEY, "chapter_index").distinct()
-    shared = own.join(by_chapter, ["book_id", "b"]).join(present, [*KEY, "chapter_index"]).groupBy(*KEY, "b").agg(F.count("*").alias("inside"))
-    told = own.join(everywhere, ["book_id", "b"], "left").join(shared, [*KEY, "b"], "left")
+    size = present.groupBy(*KEY).agg(F.count("*").alias("here"))
+    told = own.join(everywhere, ["book_id", "b"], "left").join(size, KEY)
+    open_ = told.filter(F.col("chapters") <= F.col("here")).select(*KEY, "b")
+    shared = open_.join(by_chapter, ["book_id", "b"]).join(present, [*KEY, "chapter_index"]).groupBy(*KEY, "b").agg(F.count("*").alias("inside"))
+    told = told.join(shared, [*KEY, "b"], "left")
     unique = F.coalesce("chapters", F.lit(0)) <= F.coalesce("inside", F.lit(0))
     sums = told.groupBy(*KEY).agg(F.count("*").alias("n"), F.sum(unique.cast("int")).alias("u"))
     score = 0.85 * F.col("u") / F.col("n") + 0.15 * F.least(F.lit(1.0), F.col("n") / 80)
@@ -305,7 +308,7 @@ def signals(chapters: DataFrame, names: list[str]) -> DataFrame:
 
 def rolled_up(found: DataFrame, aliases: DataFrame) -> DataFrame:
     """Signals summed over a name and its aliases (``canonical, alias``); co-occurring names become canonical, the own name goes."""
-    a = F.broadcast(aliases.select("canonical", "alias"))
+    a = aliases.select("canonical", "alias")
     rows = found.join(a, F.col("name") == F.col("alias"), "left").withColumn("to", F.coalesce("canonical", "name")).drop("canonical", "alias")
     sums = rows.groupBy("book_id", "to").agg(F.sum("mention_count").alias("mention_count"), F.sum("dialogue_count").alias("dialogue_count"))
     co = rows.select("book_id", "to", F.explode("co_characters").alias("o")).join(a, F.col("o") == F.col("alias"), "left").select("book_id", "to", F.coalesce("canonical", "o").alias("o")).filter("o <> to")

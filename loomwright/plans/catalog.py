@@ -157,9 +157,9 @@ e AS (SELECT g, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i, len
 t AS (SELECT g, trim(line, ' ' || chr(9) || chr(13)) AS tail FROM e WHERE i > k - 5)
 SELECT g AS doc_id, sections, tail, count(*) AS n FROM t JOIN n USING (g) WHERE length(tail) > 3 GROUP BY ALL HAVING count(*) >= 0.02 * sections""")
 def repeated_tails(spark, sf):
-    docs = _docs(spark, sf).select((F.col("doc_id") % 10).alias("doc_id"), F.btrim("text", F.lit(" \n")).alias("text"))
-    books = docs.groupBy("doc_id").agg(F.array_join(F.collect_list("text"), "\n\n\n").alias("text"))
-    return noise.repeated_tails(books, share=0.02).select("doc_id", "sections", "tail", "n")
+    """Documents as sections of ten books."""
+    sections = _docs(spark, sf).select((F.col("doc_id") % 10).alias("doc_id"), F.coalesce("text", F.lit("")).alias("section"))
+    return noise.section_tails(sections, share=0.02)
 
 
 @query("""
@@ -424,7 +424,7 @@ def hallucination_filter(spark, sf):
 
 
 @query("""
-WITH k AS (SELECT DISTINCT o_custkey AS a, l_suppkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 50 = 0)
+WITH k AS (SELECT DISTINCT o_custkey AS a, l_suppkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
 SELECT c.c_custkey AS id, min(b) AS first_supplier, count(b) AS suppliers FROM customer c LEFT JOIN k ON k.a = c.c_custkey GROUP BY ALL""")
 def left_enrich(spark, sf):
     pairs = _t(spark, sf, "orders").join(_t(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
@@ -434,7 +434,7 @@ def left_enrich(spark, sf):
 
 
 @query("""
-WITH p AS (SELECT c_custkey AS k, 'c' || (c_custkey % 400) AS name, c_acctbal AS v FROM customer WHERE c_custkey <= 400), s AS (SELECT s_suppkey AS k, 'C' || s_suppkey AS name, s_acctbal AS v FROM supplier)
+WITH p AS (SELECT c_custkey AS k, 'c' || c_custkey AS name, c_acctbal AS v FROM customer), s AS (SELECT s_suppkey AS k, 'C' || s_suppkey AS name, s_acctbal AS v FROM supplier)
 SELECT coalesce(p.name, s.name) AS name, coalesce(p.v, s.v) AS v FROM s FULL OUTER JOIN p ON lower(s.name) = lower(p.name)""")
 def payload_merge(spark, sf):
     p = _t(spark, sf, "customer").select(F.lit(0).alias("book_id"), F.col("c_custkey").alias("seq"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("name"), F.col("c_acctbal").alias("v"))
@@ -539,7 +539,7 @@ def boundary_reviews(spark, sf):
 
 
 @query("""
-WITH r AS (SELECT c_custkey AS id, c_custkey * 3 AS lo, c_custkey * 3 + 40 AS hi FROM customer WHERE c_custkey <= 50)
+WITH r AS (SELECT c_custkey AS id, c_custkey * 3 AS lo, c_custkey * 3 + 40 AS hi FROM customer)
 SELECT id, event_id, row_number() OVER (PARTITION BY id ORDER BY value DESC, event_id) AS ord FROM events JOIN r ON event_id BETWEEN lo AND hi""")
 def range_join_mentions(spark, sf):
     ranges = _t(spark, sf, "customer").select(F.lit(0).alias("book_id"), F.col("c_custkey").alias("id"), (F.col("c_custkey") * 3).alias("start_chapter"), (F.col("c_custkey") * 3 + 40).alias("end_chapter"))

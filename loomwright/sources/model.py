@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 def salvaged(text: str | None) -> str | None:
-    """The JSON in an answer: thinking blocks go, a fenced block is preferred, else the first balanced object or array."""
+    """The JSON in an answer: thinking blocks go, a fenced block is preferred, else the first balanced object or array; none where brackets of different kinds meet."""
     if not text:
         return None
     text = re.sub(r"(?s)<think(?:ing)?>.*?</think(?:ing)?>", "", text)
@@ -23,7 +23,8 @@ def salvaged(text: str | None) -> str | None:
     start = re.search(r"[{\[]", text)
     if not start:
         return None
-    depth, quoted, escaped = 0, False, False
+    open_: list[str] = []
+    quoted = escaped = False
     for i in range(start.start(), len(text)):
         c = text[i]
         if quoted:
@@ -31,10 +32,11 @@ def salvaged(text: str | None) -> str | None:
         elif c == '"':
             quoted = True
         elif c in "{[":
-            depth += 1
+            open_.append("}" if c == "{" else "]")
         elif c in "}]":
-            depth -= 1
-            if depth == 0:
+            if open_.pop() != c:
+                return None
+            if not open_:
                 return text[start.start() : i + 1]
     return None
 

@@ -539,4 +539,446 @@ def author_notes(spark, sf):
     return docs.select("doc_id", F.size(F.filter("note", lambda x: x == 0.9)).alias("n_starts"), F.size(F.filter("note", lambda x: x == 0.7)).alias("n_inside"))
 
 
+# -- relations and coreference --------------------------------------------------
+
+_SENT = f"{BOOKS}, s AS (SELECT book_id, chapter_index, s, i FROM (SELECT book_id, chapter_index, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM (SELECT book_id, chapter_index, list_filter(regexp_split_to_array(content, '[。！？；.!?;\\n]+'), lambda x: {_TRIMS.format('x')} <> '') AS ss FROM b)))"
+
+
+def _level(kind: str) -> str:
+    words = lambda level: " OR ".join(f"contains(low, '{w.lower()}')" for w in dict.fromkeys(relations.INDICATORS[kind][level]))
+    return f"CASE WHEN {words('explicit')} THEN 0.85 WHEN {words('dialogue')} THEN 0.65 WHEN {words('action')} THEN 0.6 ELSE 0.3 END"
+
+
+_RELATED = f"""{_SENT}, fn AS (SELECT *, lower(s) AS low, list_filter({list(_NAMES)}, lambda x: contains(lower(s), x)) AS names FROM s),
+lv AS (SELECT book_id, chapter_index, i, names, {', '.join(f"{_level(k)} AS {k}" for k in relations.INDICATORS)} FROM fn WHERE len(names) >= 2),
+ty AS ({' UNION ALL '.join(f"SELECT book_id, chapter_index, i, names, '{k}' AS type, {k} AS c FROM lv" for k in relations.INDICATORS)}),
+so AS (SELECT book_id, chapter_index, i, names, type, c, unnest(names) AS source FROM ty), ed0 AS (SELECT book_id, chapter_index, i, type, c, source, unnest(names) AS target FROM so),
+ed AS (SELECT book_id, source, target, type, least(0.99, arg_min(c, chapter_index * 100000 + i) + 0.1 * (count(*) - 1)) AS confidence, min(chapter_index) AS chapter_first, max(chapter_index) AS chapter_last, count(*) AS n FROM ed0 WHERE source <> target GROUP BY ALL)"""
+
+
+def _edges_of(spark, sf) -> DataFrame:
+    return relations.edges(relations.evidence(relations.sentence_mentions(books(spark, sf), list(_NAMES))))
+
+
+@query(f"WITH {_RELATED} SELECT book_id, source, target, type, round(confidence::DOUBLE, 9) AS confidence, chapter_first, chapter_last, n FROM ed")
+def relation_edges(spark, sf):
+    """With the full word lists of all types."""
+    return _edges_of(spark, sf).withColumn("confidence", F.round("confidence", 9))
+
+
+@query(f"""WITH {_RELATED}, bo AS (SELECT * FROM ed WHERE confidence >= 0.5 UNION ALL SELECT book_id, target, source, type, confidence, chapter_first, chapter_last, n FROM ed WHERE confidence >= 0.5)
+SELECT book_id, source, target, type, round(max(confidence)::DOUBLE, 9) AS confidence, min(chapter_first) AS chapter_first, max(chapter_last) AS chapter_last FROM bo GROUP BY ALL""")
+def merged_edges(spark, sf):
+    """Sure edges, both ways, duplicates merged."""
+    return relations.merged(relations.both_ways(relations.confident(_edges_of(spark, sf), 0.5))).withColumn("confidence", F.round("confidence", 9))
+
+
+@query(f"""WITH {_RELATED}, nd AS (SELECT DISTINCT book_id, unnest(['李伟', '欧阳锋', '李伟']) AS name, unnest(['n1', 'n2', 'n9']) AS id, unnest([1, 2, 9]) AS seq FROM b), fi AS (SELECT book_id, name, arg_min(id, seq) AS id FROM nd GROUP BY ALL)
+SELECT ed.book_id, coalesce(x.id, source) AS source, coalesce(y.id, target) AS target, type, n FROM ed LEFT JOIN fi x ON x.book_id = ed.book_id AND x.name = source LEFT JOIN fi y ON y.book_id = ed.book_id AND y.name = target""")
+def edges_with_ids(spark, sf):
+    nodes = books(spark, sf).select("book_id").distinct().crossJoin(F.broadcast(spark.createDataFrame([("李伟", "n1", 1), ("欧阳锋", "n2", 2), ("李伟", "n9", 9)], "name string, id string, seq int")))
+    return relations.with_ids(_edges_of(spark, sf), nodes).select("book_id", "source", "target", "type", "n")
+
+
+@query("""WITH a AS (SELECT c_nationkey AS book_id, c_custkey, unnest(['C' || (c_custkey % 50), 'x' || (c_custkey % 90)]) AS n FROM customer) SELECT cast(book_id AS BIGINT) AS book_id, lower(n) AS key, arg_max(c_custkey, c_custkey) AS id FROM a GROUP BY ALL""")
+def name_index(spark, sf):
+    k = F.col("c_custkey")
+    nodes = _t(spark, sf, "customer").select(F.col("c_nationkey").alias("book_id"), k.alias("id"), k.alias("seq"), F.concat(F.lit("C"), (k % 50).cast("string")).alias("name"), F.array(F.concat(F.lit("x"), (k % 90).cast("string"))).alias("aliases"))
+    return relations.name_index(nodes)
+
+
+def _at(parts: list[tuple[str, str, str, str]], extra: str = "") -> str:
+    """SQL of offset rows: (what stands before, the text, what follows, kind) at every place; a text's first character may not go on one of the same part."""
+    out = []
+    for before, rx, after, kind in parts:
+        full = f"^({before})({rx})(?:{after})".replace("'", "''")
+        out.append(f"SELECT book_id, chapter_index, regexp_extract(s, '{full}', 2) AS text, i - 1 + length(regexp_extract(s, '{full}', 1)) AS position, '{kind}' AS kind FROM p WHERE regexp_matches(s, '{full}')")
+    return f"{BOOKS}, p AS (SELECT book_id, chapter_index, i, substr(content, i, 60) AS s FROM (SELECT book_id, chapter_index, content, unnest(range(1, length(content) + 1)) AS i FROM b)), m AS ({' UNION ALL '.join(out)})"
+
+
+_MARK = r"[，。！？；：、\"“”‘’\s]"
+
+
+@query(f"""WITH {BOOKS}, c AS (SELECT book_id, chapter_index, ' ' || content AS t FROM b),
+x AS ({' UNION ALL '.join(f"SELECT book_id, chapter_index, '{g}' AS gender, unnest(regexp_extract_all(t, '{_MARK}({_or(w)})', 1)) AS text FROM c" for g, w in coreference.PRONOUNS_ZH.items())}
+UNION ALL {' UNION ALL '.join(f"SELECT book_id, chapter_index, '{g}', unnest(regexp_extract_all(regexp_replace(content, '([^0-9A-Za-z_])', '\\1\\1', 'g'), '(?i)(?:^|[^0-9A-Za-z_])({_or(w)})(?:$|[^0-9A-Za-z_])', 1)) FROM b" for g, w in coreference.PRONOUNS_EN.items())})
+SELECT book_id, chapter_index, gender, lower(text) AS text, count(*) AS n FROM x GROUP BY ALL""")
+def pronouns_by_gender(spark, sf):
+    out = coreference.pronouns(books(spark, sf))
+    return out.groupBy("book_id", "chapter_index", F.col("kind").alias("gender"), F.lower("text").alias("text")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_at([('', n, '', n) for n in _NAMES[:3]])}, q AS (SELECT book_id, chapter_index, i - 1 AS position FROM (SELECT book_id, chapter_index, i, content FROM (SELECT book_id, chapter_index, content, unnest(range(1, length(content) + 1)) AS i FROM b)) WHERE regexp_matches(substr(content, i, 1), '[他她它]') AND (i = 1 OR regexp_matches(substr(content, i - 1, 1), '{_MARK}'))),
+d AS (SELECT book_id, chapter_index, position, kind, position - near AS gap FROM (SELECT q.book_id, q.chapter_index, q.position, m.kind, max(m.position) AS near FROM q JOIN m ON m.book_id = q.book_id AND m.chapter_index = q.chapter_index AND m.position <= q.position GROUP BY ALL)),
+w AS (SELECT *, CASE WHEN gap > 500 THEN 0.5 WHEN gap > 200 THEN 0.7 WHEN gap > 100 THEN 0.85 WHEN gap > 50 THEN 0.95 ELSE 1.0 END AS c, list_position({list(_NAMES[:3])}, kind) AS o FROM d),
+r AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY book_id, chapter_index, position ORDER BY c DESC, o) = 1)
+SELECT q.book_id, q.chapter_index, q.position, r.kind AS name, cast(coalesce(c, 0) AS DOUBLE) AS confidence FROM q LEFT JOIN r USING (book_id, chapter_index, position)""")
+def antecedents(spark, sf):
+    """The surest of three names before each Chinese pronoun."""
+    chaps, names = books(spark, sf), list(_NAMES[:3])
+    found = coreference.pronouns(chaps).filter(F.col("text").rlike("^[他她它]"))
+    return coreference.antecedents(found, coreference.names_found(chaps, names), names).select("book_id", "chapter_index", "position", "name", "confidence")
+
+
+@query(f"""WITH {BOOKS}, x AS ({' UNION ALL '.join(f"SELECT book_id, chapter_index, unnest(regexp_extract_all(content, '{p}', {1 if '(' in p.removeprefix('(?i)') else 0})) AS text FROM b" for p in coreference.DESCRIPTORS)}) SELECT book_id, chapter_index, text, count(*) AS n FROM x WHERE text <> '' GROUP BY ALL""")
+def descriptors(spark, sf):
+    return coreference.descriptors(books(spark, sf)).groupBy("book_id", "chapter_index", "text").agg(F.count("*").alias("n"))
+
+
+@query("""WITH d AS (SELECT c_custkey, lower('the ' || c_mktsegment || ' ' || (c_custkey % 9)) AS d FROM customer)
+SELECT c_custkey, CASE WHEN contains(d, 'building 3') THEN 'Building 3' WHEN contains(d, 'building') THEN 'Building 3' WHEN contains(d, 'house') THEN 'old house' END AS name, CASE WHEN contains(d, 'building 3') THEN 0.9::DOUBLE WHEN contains(d, 'building') OR contains(d, 'house') THEN 0.6::DOUBLE END AS confidence FROM d""")
+def descriptor_matches(spark, sf):
+    d = F.concat(F.lit("the "), "c_mktsegment", F.lit(" "), (F.col("c_custkey") % 9).cast("string"))
+    m = _t(spark, sf, "customer").select("c_custkey", coreference.descriptor_match(d, ["Building 3", "old house"]).alias("m"))
+    return m.select("c_custkey", "m.name", "m.confidence")
+
+
+@query(f"""WITH {BOOKS}, x AS ({' UNION ALL '.join(f"SELECT book_id, chapter_index, '{h}' AS kind, unnest(regexp_extract_all(content, '{h}\\s*([^\\s，。！？、；：\"''【】（）]{{1,4}})', 1)) AS text FROM b" for h in coreference.HONORIFICS_ZH)}) SELECT book_id, chapter_index, kind, text, count(*) AS n FROM x WHERE text <> '' GROUP BY ALL""")
+def honorifics(spark, sf):
+    zh = coreference.honorifics(books(spark, sf)).filter(F.col("kind").rlike("[一-鿿]"))
+    return zh.groupBy("book_id", "chapter_index", "kind", "text").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {BOOKS}, x AS (SELECT book_id, chapter_index, unnest(regexp_extract_all(content, '{_COMPOUND}{CJK}{{1,2}}')) AS text, 0.9::DOUBLE AS confidence FROM b UNION ALL SELECT book_id, chapter_index, unnest(regexp_extract_all(content, '[{lex.SURNAMES}]{CJK}{{1,2}}')), 0.7::DOUBLE FROM b)
+SELECT book_id, chapter_index, text, confidence, count(*) AS n FROM x WHERE {_NAME} GROUP BY ALL""")
+def surname_names(spark, sf):
+    return coreference.surname_names(books(spark, sf)).groupBy("book_id", "chapter_index", "text", "confidence").agg(F.count("*").alias("n"))
+
+
+_NICK = "replace(replace(text, ', ', ', known as \"'), '. ', '\" x. ')"
+
+
+@query(f"""WITH b AS (SELECT cast(conv_id AS VARCHAR) AS book_id, turn AS chapter_index, {_NICK} AS content FROM conversations),
+x AS ({' UNION ALL '.join(f"SELECT book_id, chapter_index, unnest(regexp_extract_all(content, '{p}', 1)) AS name, unnest(regexp_extract_all(content, '{p}', 2)) AS alias FROM b" for p in coreference.ALIASES[:-1])})
+SELECT DISTINCT book_id, chapter_index, {_TRIMS.format('name')} AS name, {_TRIMS.format('alias')} AS alias FROM x""")
+def alias_pairs(spark, sf):
+    c = F.replace(F.replace("text", F.lit(", "), F.lit(", known as \"")), F.lit(". "), F.lit("\" x. "))
+    rows = _t(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("book_id"), F.col("turn").cast("int").alias("chapter_index"), c.alias("content"))
+    return coreference.alias_pairs(rows)
+
+
+@query("""WITH p AS (SELECT o_custkey, 'c' || o_custkey AS name, o_orderpriority AS alias FROM orders), m AS (SELECT name, list_sort(list(DISTINCT alias)) AS more FROM p GROUP BY name)
+SELECT 'c' || c_custkey AS name, array_to_string(list_concat([c_mktsegment], list_filter(coalesce(more, []), lambda x: x <> c_mktsegment)), ',') AS aliases FROM customer LEFT JOIN m ON m.name = 'c' || c_custkey""")
+def extended_aliases(spark, sf):
+    name = lambda c: F.concat(F.lit("c"), F.col(c).cast("string"))
+    rows = _t(spark, sf, "customer").select(F.lit(0).alias("book_id"), name("c_custkey").alias("name"), F.array("c_mktsegment").alias("aliases"))
+    pairs = _t(spark, sf, "orders").select(F.lit(0).alias("book_id"), name("o_custkey").alias("name"), F.col("o_orderpriority").alias("alias"))
+    return coreference.extended(rows, pairs).select("name", F.array_join("aliases", ",").alias("aliases"))
+
+
+# -- resolution and matching ----------------------------------------------------
+
+_FORMS = "(['', '老', '小', '阿'])[cast(c_custkey % 4 + 1 AS BIGINT)] || (['李伟', '欧阳锋', '张三丰'])[cast(c_custkey % 3 + 1 AS BIGINT)] || (['', '哥', '少爷', '儿', '大人'])[cast(c_custkey % 5 + 1 AS BIGINT)]"
+
+
+def _formed() -> F.Column:
+    pick = lambda words, k: F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("c_custkey") % k + 1).cast("int"))
+    return F.concat(pick(("", "老", "小", "阿"), 4), pick(("李伟", "欧阳锋", "张三丰"), 3), pick(("", "哥", "少爷", "儿", "大人"), 5))
+
+
+@query(f"""SELECT c_custkey, {_FORMS} AS name, (['李伟', '欧阳锋', '张三丰'])[cast(c_custkey % 3 + 1 AS BIGINT)] AS bare FROM customer""")
+def address_forms(spark, sf):
+    return _t(spark, sf, "customer").select("c_custkey", _formed().alias("name")).withColumn("bare", resolution.address_free_column(F.col("name")))
+
+
+@query(f"""WITH m AS (SELECT c_nationkey AS book_id, c_custkey AS seq, {_FORMS} AS name FROM customer WHERE c_custkey % 2 = 0), s AS (SELECT c_nationkey AS book_id, c_custkey AS sid, {_FORMS} AS name, c_custkey % 40 AS total FROM customer WHERE c_custkey % 2 = 1),
+f AS (SELECT m.book_id, seq, sid, CASE WHEN m.name = s.name THEN 0 ELSE 1 END AS o FROM m JOIN s ON m.book_id = s.book_id AND (['李伟', '欧阳锋', '张三丰'])[cast(seq % 3 + 1 AS BIGINT)] = (['李伟', '欧阳锋', '张三丰'])[cast(sid % 3 + 1 AS BIGINT)]),
+g AS (SELECT book_id, seq, arg_min(sid, o * 1000000000 + sid) AS sid FROM f GROUP BY ALL)
+SELECT cast(m.book_id AS BIGINT) AS book_id, m.seq, m.name, greatest(3, coalesce(total, 0)) AS mention_count, CASE WHEN s.name IS NOT NULL AND s.name <> m.name THEN s.name ELSE '' END AS aliases FROM m LEFT JOIN g USING (book_id, seq) LEFT JOIN s ON s.sid = g.sid""")
+def fused_characters(spark, sf):
+    """A model's people (even keys) and scanned ones (odd keys), matched by name or form of address."""
+    c = _t(spark, sf, "customer").select(F.col("c_nationkey").alias("book_id"), F.col("c_custkey").alias("seq"), _formed().alias("name"), F.array().cast("array<string>").alias("aliases"), (F.col("c_custkey") % 40).alias("total_count"), F.array(F.lit(1)).alias("all_chapters"))
+    told = c.filter("seq % 2 = 0").drop("total_count", "all_chapters").withColumn("mention_count", F.lit(3))
+    return resolution.fused(told, c.filter("seq % 2 = 1")).select("book_id", "seq", "name", F.col("mention_count").cast("long").alias("mention_count"), F.array_join("aliases", ",").alias("aliases"))
+
+
+@query("""WITH a AS (SELECT c_mktsegment || (c_custkey % 100) AS name, arg_max(c_acctbal, c_custkey) AS v FROM customer GROUP BY ALL), s AS (SELECT 'BUILDING' || (s_suppkey % 200) AS name, arg_max(s_acctbal, s_suppkey) AS w FROM supplier GROUP BY ALL)
+SELECT coalesce(a.name, s.name) AS name, v, w FROM a FULL OUTER JOIN s ON a.name = s.name""")
+def outer_by_name(spark, sf):
+    a = _t(spark, sf, "customer").select(F.concat("c_mktsegment", (F.col("c_custkey") % 100).cast("string")).alias("name"), F.col("c_custkey").alias("seq"), F.col("c_acctbal").alias("v"))
+    s = _t(spark, sf, "supplier").select(F.concat(F.lit("BUILDING"), (F.col("s_suppkey") % 200).cast("string")).alias("name"), F.col("s_suppkey").alias("seq"), F.col("s_acctbal").alias("w"))
+    return resolution.outer_by_name(a, s)
+
+
+@query("""WITH e AS (SELECT s_nationkey AS book_id, 'S' || s_suppkey AS name, ['s' || (s_suppkey + 25), 'T' || (s_suppkey % 5)] AS al FROM supplier), k AS (SELECT book_id, name, lower(unnest(list_concat([name], al))) AS k FROM e),
+p AS (SELECT DISTINCT a.book_id, a.name, o.name AS pack_name FROM k a JOIN k o USING (book_id, k))
+SELECT cast(book_id AS BIGINT) AS book_id, name, pack_name FROM p WHERE lower(name) = lower(pack_name) OR NOT EXISTS (SELECT 1 FROM e WHERE e.book_id = p.book_id AND lower(e.name) = lower(pack_name))""")
+def packs_by_names(spark, sf):
+    k = F.col("s_suppkey")
+    e = _t(spark, sf, "supplier").select(F.col("s_nationkey").alias("book_id"), F.concat(F.lit("S"), k.cast("string")).alias("name"), F.array(F.concat(F.lit("s"), (k + 25).cast("string")), F.concat(F.lit("T"), (k % 5).cast("string"))).alias("aliases"))
+    return assembly.packs_of(e, e)
+
+
+@query("""WITH o AS (SELECT c_nationkey AS book_id, 'i' || (c_custkey % 20) AS item, c_custkey AS p, CASE WHEN c_custkey % 2 = 0 THEN ' ' || c_mktsegment ELSE lower(c_mktsegment) END AS owner, c_custkey % 30 AS a, c_custkey % 30 + 3 AS z FROM customer)
+SELECT cast(book_id AS BIGINT) AS book_id, item, lower(trim(owner)) AS owner, min(a) AS first_chapter, max(z) AS last_chapter FROM o GROUP BY ALL""")
+def owners_of_items(spark, sf):
+    k = F.col("c_custkey")
+    owner = F.struct(F.when(k % 2 == 0, F.concat(F.lit(" "), "c_mktsegment")).otherwise(F.lower("c_mktsegment")).alias("name"), (k % 30).alias("first_chapter"), (k % 30 + 3).alias("last_chapter"))
+    items = _t(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("book_id"), F.concat(F.lit("i"), (k % 20).cast("string")).alias("item")).agg(F.collect_list(owner).alias("owners"))
+    return resolution.merged_owners(items).select("book_id", "item", F.lower(F.trim("owner")).alias("owner"), "first_chapter", "last_chapter")
+
+
+@query("""WITH e AS (SELECT s_nationkey AS book_id, 'S' || s_suppkey AS name, unnest(['s' || (s_suppkey + 25), 'T' || (s_suppkey % 5), '少年', 'x', 'S' || s_suppkey]) AS alias FROM supplier)
+SELECT cast(book_id AS BIGINT) AS book_id, name, alias FROM e WHERE length(alias) >= 2 AND alias <> '少年' AND NOT EXISTS (SELECT 1 FROM supplier t WHERE t.s_nationkey = e.book_id AND lower('S' || t.s_suppkey) = lower(trim(alias)))""")
+def aliases_without_collisions(spark, sf):
+    k, name = F.col("s_suppkey"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))
+    e = _t(spark, sf, "supplier").select(F.col("s_nationkey").alias("book_id"), name.alias("name"), F.array(F.concat(F.lit("s"), (k + 25).cast("string")), F.concat(F.lit("T"), (k % 5).cast("string")), F.lit("少年"), F.lit("x"), name).alias("aliases"))
+    return resolution.without_collisions(e)
+
+
+@query("""WITH RECURSIVE r AS (SELECT s_nationkey AS book_id, s_suppkey AS seq, 'k' || (s_suppkey % 70) AS a, 'k' || (s_suppkey * 7 % 90) AS z FROM supplier),
+j AS (SELECT DISTINCT x.book_id, x.seq AS s, y.seq AS t FROM r x JOIN r y ON x.book_id = y.book_id AND (x.a IN (y.a, y.z) OR x.z IN (y.a, y.z))), c(book_id, s, t) AS (SELECT * FROM j UNION SELECT c.book_id, c.s, j.t FROM c JOIN j ON j.book_id = c.book_id AND j.s = c.t)
+SELECT cast(book_id AS BIGINT) AS book_id, s AS seq, min(t) AS cluster FROM c GROUP BY ALL""")
+def connected_names(spark, sf):
+    k = F.col("s_suppkey")
+    rows = _t(spark, sf, "supplier").select(F.col("s_nationkey").alias("book_id"), k.alias("seq"), F.concat(F.lit("k"), (k % 70).cast("string")).alias("name"), F.array(F.concat(F.lit("k"), (k * 7 % 90).cast("string"))).alias("aliases"))
+    return resolution.connected(rows)
+
+
+@query(f"""WITH r AS (SELECT c_custkey, {_FORMS} AS name, (c_custkey % 10) / 10.0 AS confidence FROM customer) SELECT c_custkey, confidence >= 0.4 AND length(name) BETWEEN 2 AND 8 AS valid, regexp_matches(name, '[的了着过0-9]') AS warned FROM r""")
+def entity_rules(spark, sf):
+    rows = _t(spark, sf, "customer").select("c_custkey", _formed().alias("name"), ((F.col("c_custkey") % 10) / 10.0).alias("confidence"))
+    out = validation.validate(rows, validation.ENTITY_ERRORS, validation.ENTITY_WARNINGS)
+    return out.select("c_custkey", "valid", (F.col("warnings") != "").alias("warned"))
+
+
+@query("""SELECT c_custkey, c_custkey % 3 = 0 AS alias_is_name, c_custkey % 4 <> 0 AND c_acctbal >= 0.3 AS valid FROM customer WHERE c_custkey % 4 <> 0 AND c_acctbal >= 0.3 UNION ALL SELECT c_custkey, c_custkey % 3 = 0, false FROM customer WHERE NOT (c_custkey % 4 <> 0 AND c_acctbal >= 0.3)""")
+def split_characters(spark, sf):
+    """Valid and rejected people, with the warning that an alias equals the name."""
+    k = F.col("c_custkey")
+    rows = _t(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_acctbal").alias("confidence"), F.array(F.when(k % 3 == 0, F.concat(F.lit(" "), F.lower("c_name"))).otherwise(F.lit("x"))).alias("aliases"), F.when(k % 4 != 0, F.lit("d")).alias("description"), F.array(F.lit(1)).alias("chapter_appearances"))
+    good, bad = validation.split(rows)
+    return good.unionByName(bad).select("c_custkey", (F.col("warnings") != "").alias("alias_is_name"), "valid")
+
+
+# -- narrative ------------------------------------------------------------------
+
+_EVENTS = ("解除婚约", "萧炎写下休书", "药老从戒指里现身", "李伟追杀欧阳锋", "紫金丹")
+_ALONE = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{r}'" for p, r in narrative.RULES.types)
+_FUNCTION = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{r}'" for p, r in narrative.RULES.functions)
+_BY_TYPE = " ".join(f"WHEN ty = '{k}' THEN '{r}'" for k, r in narrative.RULES.by_type)
+_RESULT = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{r}'" for p, r in narrative.RULES.consequences)
+_CUES = " || ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN {list(c)} ELSE [] END" for p, c in narrative.RULES.cues)
+_STORY = f"""{BOOKS}, w AS (SELECT unnest({list(_EVENTS)}) AS text), m0 AS (SELECT book_id, chapter_index, content, text, instr(content, text) - 1 AS position FROM b, w WHERE contains(content, text)),
+m1 AS (SELECT *, CASE {_ALONE} ELSE 'other' END AS ty, {_CUES} AS cu0, 0.7 + length(text) / 100.0 AS confidence FROM m0), m2 AS (SELECT *, CASE WHEN len(cu0) > 0 THEN cu0 ELSE [substr(text, 1, 2)] END AS cu FROM m1),
+ev AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY chapter_index, position, text) AS ordinal, CASE {_FUNCTION} ELSE CASE {_BY_TYPE} ELSE 'escalation' END END AS fn, CASE {_RESULT} END AS consequence,
+       (list_filter(list_transform(regexp_extract_all(content, '[^。！？!?；;\\n]{{4,160}}'), lambda s: {_TRIMS.format('s')}), lambda s: len(list_filter(cu, lambda c: contains(s, c))) > 0))[1] AS hit FROM m2),
+ee AS (SELECT *, substr(coalesce(hit, substr({_TRIMS.format('content')}, 1, 120)), 1, 160) AS evidence FROM ev)"""
+
+
+def _event_rows(spark, sf) -> DataFrame:
+    names = spark.createDataFrame([(n,) for n in _EVENTS], "text string")
+    return books(spark, sf).crossJoin(F.broadcast(names)).filter(F.contains("content", F.col("text"))).select("book_id", "chapter_index", (F.instr("content", F.col("text")) - 1).alias("position"), "text", (0.7 + F.length("text") / 100.0).alias("confidence"), F.lit("regex").alias("source"))
+
+
+def _story(spark, sf) -> DataFrame:
+    return narrative.events(_event_rows(spark, sf), books(spark, sf))
+
+
+@query(f"""WITH {_STORY} SELECT book_id, chapter_index, text, ordinal, ty AS event_type, fn AS function, cu[1] AS trigger, consequence, md5(evidence) AS evidence_md5 FROM ee""")
+def enriched_events(spark, sf):
+    return _story(spark, sf).select("book_id", "chapter_index", "text", "ordinal", "event_type", "function", "trigger", "consequence", F.md5(F.encode("evidence", "utf-8")).alias("evidence_md5"))
+
+
+@query(f"""WITH {_STORY}, pe AS (SELECT book_id, chapter_index, who FROM b, (SELECT unnest(['李伟', '欧阳锋', '药老', '萧炎']) AS who) WHERE contains(content, who))
+SELECT ee.book_id, ordinal, coalesce(string_agg(DISTINCT who, ',' ORDER BY who), '') AS participants FROM ee LEFT JOIN pe ON pe.book_id = ee.book_id AND pe.chapter_index = ee.chapter_index AND (contains(text, who) OR contains(evidence, who)) GROUP BY ALL""")
+def event_participants(spark, sf):
+    chaps = books(spark, sf)
+    people = chaps.crossJoin(F.broadcast(spark.createDataFrame([(n,) for n in ("李伟", "欧阳锋", "药老", "萧炎")], "text string"))).filter(F.contains("content", F.col("text"))).select("book_id", "chapter_index", "text")
+    return narrative.events(_event_rows(spark, sf), chaps, people).select("book_id", "ordinal", F.array_join("participants", ",").alias("participants"))
+
+
+_ARC_TITLE = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{r}'" for p, r, _ in narrative.RULES.arcs)
+_ARC_KIND = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{k}'" for p, _, k in narrative.RULES.arcs)
+_ARCS = f"""{_STORY}, ar0 AS (SELECT *, lag(chapter_index) OVER o AS pc, lag(ty) OVER o AS pt FROM ee WINDOW o AS (PARTITION BY book_id ORDER BY ordinal)),
+ar1 AS (SELECT *, sum(CASE WHEN pc IS NULL OR chapter_index - pc > 2 OR (ty = 'reveal' AND pt <> 'reveal') THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY ordinal) AS arc FROM ar0),
+ar2 AS (SELECT book_id, cast(arc AS BIGINT) AS arc, min(chapter_index) AS start_chapter, max(chapter_index) AS end_chapter, count(*) AS n_events, avg(confidence) AS a, string_agg(text, ' ' ORDER BY ordinal) AS t, arg_min(text, ordinal) AS first, arg_min(text, ordinal) FILTER (ty = 'conflict') AS conflict, list(text ORDER BY ordinal) AS texts FROM ar1 GROUP BY ALL),
+ar AS (SELECT *, CASE {_ARC_TITLE} ELSE first END AS title, CASE {_ARC_KIND} ELSE 'other' END AS arc_type, coalesce(conflict, first) AS core_conflict, least(0.95, greatest(0.55, a + CASE WHEN n_events > 1 THEN 0.04 ELSE 0 END)) AS c FROM ar2)"""
+
+
+@query(f"WITH {_ARCS} SELECT book_id, arc, start_chapter, end_chapter, n_events, title, arc_type, core_conflict, abs(c - round(c::DOUBLE, 2)) <= 0.00500001 AS rounded FROM ar")
+def story_arcs(spark, sf):
+    out = narrative.arcs(_story(spark, sf))
+    again = F.transform("events", lambda e: 0.7 + F.length(e["text"]) / 100.0)
+    mean = F.aggregate(again, F.lit(0.0), lambda x, y: x + y) / F.size(again)
+    c = F.least(F.lit(0.95), F.greatest(F.lit(0.55), mean + F.when(F.col("n_events") > 1, 0.04).otherwise(0.0)))
+    return out.select("book_id", "arc", "start_chapter", "end_chapter", "n_events", "title", "arc_type", "core_conflict", (F.abs(c - F.col("confidence")) <= 0.00500001).alias("rounded"))
+
+
+_SEGMENTS = f"""{_ARCS}, tx AS (SELECT ar.book_id, ar.arc, string_agg(b.content, chr(10) || chr(10) ORDER BY chapter_index) AS src FROM ar JOIN b ON b.book_id = ar.book_id AND b.chapter_index BETWEEN start_chapter AND end_chapter GROUP BY ALL),
+pm AS (SELECT book_id, chapter_index, who, length(who) / 10.0 AS confidence FROM b, (SELECT unnest({list(_NAMES)}) AS who) WHERE contains(content, who)),
+po AS (SELECT ar.book_id, arc, who, row_number() OVER (PARTITION BY ar.book_id, arc ORDER BY confidence DESC, chapter_index, who) AS ord FROM ar JOIN pm ON pm.book_id = ar.book_id AND pm.chapter_index BETWEEN start_chapter AND end_chapter),
+pn AS (SELECT po.book_id, po.arc, who, min(ord) AS ord FROM po GROUP BY ALL), pc AS (SELECT pn.*, (length(src) - length(replace(src, who, ''))) // length(who) AS n FROM pn JOIN tx USING (book_id, arc)),
+pr2 AS (SELECT *, row_number() OVER (PARTITION BY book_id, arc ORDER BY n DESC, ord) AS rank FROM pc)"""
+
+
+@query(f"WITH {_SEGMENTS} SELECT book_id, arc, who AS text, n, rank FROM pr2")
+def ranked_people(spark, sf):
+    """People of each arc's range by how often they stand in its text."""
+    chaps = books(spark, sf)
+    arc = narrative.arcs(_story(spark, sf))
+    texts = chaps.join(arc.select("book_id", "arc", "start_chapter", "end_chapter"), "book_id").filter(F.col("chapter_index").between(F.col("start_chapter"), F.col("end_chapter")))
+    texts = texts.groupBy("book_id", "arc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chapter_index", "content"))), lambda x: x["content"]), "\n\n").alias("source_text"))
+    return narrative.ranked_names(narrative.in_chapters(_people(spark, sf), arc, "arc"), texts, "arc").select("book_id", "arc", "text", "n", "rank")
+
+
+def _people(spark, sf) -> DataFrame:
+    names = spark.createDataFrame([(n,) for n in _NAMES], "text string")
+    return books(spark, sf).crossJoin(F.broadcast(names)).filter(F.contains("content", F.col("text"))).select("book_id", "chapter_index", "text", (F.length("text") / 10.0).alias("confidence"))
+
+
+_PROPS = "|".join(narrative.RULES.props.split("|"))
+
+
+@query(f"""WITH {_SEGMENTS}, ca AS (SELECT book_id, arc, max(who) FILTER (rank = 1) AS main, coalesce(string_agg(who, ',' ORDER BY rank) FILTER (rank BETWEEN 2 AND 9), '') AS supporting FROM pr2 GROUP BY ALL),
+tu AS (SELECT ar.book_id, ar.arc, title, texts, regexp_extract_all(src, '{_PROPS}') AS ps, src FROM ar JOIN tx USING (book_id, arc)),
+td AS (SELECT *, list_filter(texts || list_filter(ps, lambda x, i: list_position(ps, x) = i)[1:3], lambda x, i: list_position(texts || list_filter(ps, lambda y, j: list_position(ps, y) = j)[1:3], x) = i)[1:8] AS tp FROM tu)
+SELECT td.book_id, td.arc, main, coalesce(supporting, '') AS supporting, array_to_string(tp, ',') AS turning_points, coalesce(main, '主角') || '卷入“' || title || '”：' || array_to_string(tp[1:3], '、') || '。' AS summary, md5(src) AS text_md5 FROM td LEFT JOIN ca USING (book_id, arc)""")
+def arc_segments(spark, sf):
+    out = narrative.arc_segments(narrative.arcs(_story(spark, sf)), books(spark, sf), _people(spark, sf))
+    return out.select("book_id", "arc", "main", F.array_join(F.coalesce("supporting", F.array().cast("array<string>")), ",").alias("supporting"), F.array_join("turning_points", ",").alias("turning_points"), "summary", F.md5(F.encode("source_text", "utf-8")).alias("text_md5"))
+
+
+@query(f"""WITH {BOOKS}, t AS (SELECT *, CASE WHEN chapter_index % 3 = 0 THEN '书名：某' WHEN chapter_index % 3 = 1 THEN '世界观' ELSE title END AS ti, {_TRIMS.format('content')} AS c FROM b), k AS (SELECT *, length(c) >= 200 AS long FROM t WHERE c <> '' AND NOT regexp_matches(ti, '^(?:书名|作者|简介|序言?)[:：]')),
+a AS (SELECT *, max(long::INT) OVER (PARTITION BY book_id) AS some FROM k) SELECT book_id, chapter_index, ti = '世界观' AS setting FROM a WHERE long OR some = 0""")
+def narrative_chapters(spark, sf):
+    """Chapters that tell the story, those of the setting marked by their title."""
+    k = F.col("chapter_index") % 3
+    rows = books(spark, sf).withColumn("title", F.when(k == 0, "书名：某").when(k == 1, "世界观").otherwise(F.col("title")))
+    kept = narrative.narrative_chapters(rows, least=200)
+    setting = narrative.worldbuilding(kept).select("book_id", "chapter_index", F.lit(True).alias("setting"))
+    return kept.join(setting, ["book_id", "chapter_index"], "left").select("book_id", "chapter_index", F.coalesce("setting", F.lit(False)).alias("setting"))
+
+
+@query("""WITH s AS (SELECT user_id AS book_id, event_id, row_number() OVER w AS c, ['p' || (event_id % 3), 'q' || (event_id % 4)] AS mc, (event_id % 40) / 40.0 AS bc FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, sum(CASE WHEN event_id % 3 = 0 AND c > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY book_id ORDER BY c) AS g FROM s)
+SELECT book_id, arg_min(event_id, c) AS segment_id, min(c) AS start_chapter, max(c) AS end_chapter, max(bc) AS boundary_confidence, count(*) = 1 AS approved, len(list_distinct(flatten(list(mc)))) AS n_people FROM g GROUP BY book_id, g.g""")
+def merged_segments(spark, sf):
+    """Segments whose key is divisible by three join the one before (at most eight people are kept, of seven)."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    e = F.col("event_id")
+    seg = _t(spark, sf, "events").select(F.col("user_id").alias("book_id"), e.alias("segment_id"), n.alias("start_chapter"), n.alias("end_chapter"), ((e % 40) / 40.0).alias("boundary_confidence"), F.array(F.concat(F.lit("p"), (e % 3).cast("string")), F.concat(F.lit("q"), (e % 4).cast("string"))).alias("main_characters"), F.array(F.lit("t")).alias("turning_points"))
+    out = narrative.merged_with_previous(seg, seg.filter("segment_id % 3 = 0").select("book_id", "segment_id"))
+    return out.select("book_id", "segment_id", "start_chapter", "end_chapter", "boundary_confidence", "approved", F.size("main_characters").alias("n_people"))
+
+
+@query(f"""WITH {BOOKS}, r AS (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY chapter_index) - 1 AS i, count(*) OVER (PARTITION BY book_id) AS n, content FROM b),
+h AS (SELECT book_id, i, 0 AS k FROM r WHERE i < 0.15 * n AND contains(content, '突然') UNION ALL SELECT book_id, min(i), 1 FROM r WHERE i >= 0.4 * n AND i <= 0.6 * n AND contains(content, '戒指') GROUP BY book_id UNION ALL SELECT book_id, i, 2 FROM r WHERE i >= 0.7 * n AND contains(content, '好')),
+nr AS (SELECT r.book_id, r.i, n, (SELECT arg_min(k, h.i * 10 + k) FROM h WHERE h.book_id = r.book_id AND abs(h.i - r.i) <= 1) AS k FROM r)
+SELECT book_id, i, CASE WHEN i / n < 0.1 THEN 'ACT_1_SETUP' WHEN i / n < 0.25 THEN CASE WHEN k = 0 THEN 'ACT_1_INCITING' ELSE 'ACT_1_SETUP' END WHEN i / n < 0.4 THEN 'ACT_2_RISING' WHEN i / n < 0.5 THEN CASE WHEN k = 1 THEN 'ACT_2_MIDPOINT' ELSE 'ACT_2_COMPLICATIONS' END
+  WHEN i / n < 0.65 THEN 'ACT_2_CLIMAX_PREP' WHEN i / n < 0.75 THEN CASE WHEN k = 2 THEN 'ACT_3_CLIMAX' ELSE 'ACT_2_CLIMAX_PREP' END WHEN i / n < 0.9 THEN 'ACT_3_FALLING' ELSE 'ACT_3_RESOLUTION' END AS act_type, CASE WHEN k IS NULL THEN 0.6::DOUBLE ELSE 0.8::DOUBLE END AS confidence FROM nr""")
+def acts_near_turns(spark, sf):
+    chaps = books(spark, sf)
+    turns = narrative.turning_points(chaps, {"INCITING": ("突然",), "MIDPOINT": ("戒指",), "CLIMAX": ("好",)})
+    return narrative.acts(chaps, turns).select("book_id", "i", "act_type", "confidence")
+
+
+# -- descriptions and boards ----------------------------------------------------
+
+# The only character with evidence in the phrases is 欧阳锋; its clauses follow one another within one sentence.
+@query(f"""WITH {BOOKS}, x AS (SELECT book_id, chapter_index, len(regexp_extract_all(content, '欧阳锋身穿黑袍，面容清秀。')) AS n FROM b), e AS (SELECT book_id, cast(sum(n) AS BIGINT) AS n FROM x GROUP BY book_id)
+SELECT book_id, n > 0 AS clothed, n > 0 AS shown, n AS n_evidence FROM e""")
+def evidence_packs(spark, sf):
+    """Packs of a person from all sentences of a book (``n_evidence`` of those with its robe and face alone)."""
+    chaps = books(spark, sf)
+    who = chaps.select("book_id").distinct().withColumns({"name": F.lit("欧阳锋"), "aliases": F.array().cast("array<string>")})
+    packs = assembly.packs(who, chaps, "character")
+    found = assembly.evidence(who, chaps, "character").filter("field = 'clothing' and clause = '欧阳锋身穿黑袍'").groupBy("book_id").agg(F.count("*").alias("n"))
+    rows = packs.join(found, "book_id", "left")
+    return rows.select("book_id", F.coalesce(F.element_at("fields", F.lit("clothing")), F.lit("")).contains("身穿黑袍").alias("clothed"), F.coalesce(F.element_at("fields", F.lit("appearance")), F.lit("")).contains("面容清秀").alias("shown"), F.coalesce("n", F.lit(0)).cast("long").alias("n_evidence"))
+
+
+@query("""WITH d AS (SELECT c_custkey, c_mktsegment AS one, CASE c_custkey % 5 WHEN 0 THEN c_mktsegment || '；' || c_name WHEN 1 THEN repeat('长', 221) WHEN 2 THEN NULL WHEN 3 THEN '；；' || c_name ELSE c_name END AS d FROM customer)
+SELECT c_custkey, c_custkey % 5 IN (0, 1) AND d <> '' AS fuse FROM d""")
+def needs_fusion(spark, sf):
+    k = F.col("c_custkey") % 5
+    d = F.when(k == 0, F.concat("c_mktsegment", F.lit("；"), "c_name")).when(k == 1, F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(221)), lambda i: F.element_at(F.array(*[F.lit(x) for x in "甲乙丙丁戊己庚辛壬癸子"]), i % 11 + 1)))).when(k == 3, F.concat(F.lit("；；"), "c_name")).when(k == 4, F.col("c_name"))
+    return _t(spark, sf, "customer").select("c_custkey", assembly.needs_fusion(d).alias("fuse"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'new ' || c_custkey ELSE c_mktsegment END AS description FROM customer""")
+def fused_or_kept(spark, sf):
+    c = _t(spark, sf, "customer")
+    rows = c.select(F.lit(0).alias("book_id"), F.col("c_custkey").cast("string").alias("name"), "c_custkey", F.col("c_mktsegment").alias("description"))
+    answers = c.filter("c_custkey % 2 = 0").select(F.lit(0).alias("book_id"), F.col("c_custkey").cast("string").alias("name"), F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("new "), F.col("c_custkey").cast("string"))).otherwise(F.lit("  ")).alias("description"))
+    return assembly.fused_or_kept(rows, answers).select("c_custkey", "description")
+
+
+@query("""SELECT s_suppkey, s_suppkey % 3 = 0 OR s_suppkey % 40 >= 20 AS person, s_suppkey % 3 = 0 OR s_suppkey % 40 >= 5 OR (s_suppkey % 100) / 100.0 >= 0.38 OR s_suppkey % 7 >= 3 AS item, s_suppkey % 3 = 0 OR s_suppkey % 40 >= 5 OR (s_suppkey % 100) / 100.0 >= 0.34 OR s_suppkey % 7 >= 2 AS location FROM supplier""")
+def major_entities(spark, sf):
+    k = F.col("s_suppkey")
+    rows = _t(spark, sf, "supplier").select("s_suppkey", F.when(k % 3 == 0, "core").when(k % 3 == 1, "candidate").alias("tier"), (k % 40).alias("mention_count"), ((k % 100) / 100.0).alias("importance_score"), (k % 7).alias("story_score"))
+    return rows.select("s_suppkey", assembly.is_major("character").alias("person"), assembly.is_major("item").alias("item"), assembly.is_major("location").alias("location"))
+
+
+@query("""WITH v AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'short' WHEN 2 THEN repeat('l', 130) ELSE '' END AS s, CASE c_custkey % 3 WHEN 0 THEN 'told' WHEN 1 THEN NULL ELSE ' ' END AS t FROM customer),
+n AS (SELECT c_custkey, nullif(trim(coalesce(s, '')), '') AS s, nullif(trim(coalesce(t, '')), '') AS t FROM v)
+SELECT c_custkey, CASE WHEN s IS NULL THEN t WHEN length(s) > 120 THEN coalesce(t, substr(s, 1, 120)) ELSE s END AS body, s IS NULL AND t IS NOT NULL AS inferred, coalesce(length(s) > 120 AND t IS NOT NULL, false) AS summarized FROM n""")
+def visual_fields(spark, sf):
+    k3, k4 = F.col("c_custkey") % 3, F.col("c_custkey") % 4
+    source = F.create_map(F.lit("body"), F.when(k4 == 1, "short").when(k4 == 2, F.repeat(F.lit("l"), F.lit(130))).when(k4 == 3, ""))
+    told = F.create_map(F.lit("body"), F.when(k3 == 0, "told").when(k3 == 2, " "))
+    f = assembly.visual_fields(source, told, ("body",))
+    return _t(spark, sf, "customer").select("c_custkey", F.element_at(f["fields"], F.lit("body")).alias("body"), (F.size(f["inferred"]) > 0).alias("inferred"), (F.size(f["summarized"]) > 0).alias("summarized"))
+
+
+@query("""WITH s AS (SELECT c_nationkey AS story_id, 'c' || c_custkey AS name, 'c' || c_custkey || (['', ' walks', ' walks over the long road today'])[cast(c_custkey % 3 + 1 AS BIGINT)] AS said FROM customer), a AS (SELECT story_id, name, 'character' AS asset_type, 'main_characters' AS role, 0.9::DOUBLE AS confidence, said FROM s UNION ALL SELECT story_id, name, 'prop', 'props', 0.7::DOUBLE, said FROM s)
+SELECT 's' || story_id AS story_id, asset_type, name, role, confidence, CASE WHEN length(said) < 18 THEN 'thin' ELSE 'good' END AS quality, CASE WHEN confidence >= 0.75 THEN 'confirmed' ELSE 'candidate' END AS status FROM a""")
+def story_assets(spark, sf):
+    return assembly.story_assets(_stories(spark, sf)).select("story_id", "asset_type", "name", "role", "confidence", "quality", "status")
+
+
+def _stories(spark, sf) -> DataFrame:
+    """A story for each nation, told of by one sentence a customer."""
+    name = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+    said = F.concat(name, F.element_at(F.array(F.lit(""), F.lit(" walks"), F.lit(" walks over the long road today")), (F.col("c_custkey") % 3 + 1).cast("int")))
+    rows = _t(spark, sf, "customer").select("c_nationkey", "c_custkey", name.alias("name"), said.alias("said"))
+    people = F.transform(F.array_sort(F.collect_list(F.struct(F.length("name").alias("l"), "name", "said"))), lambda x: x["name"])
+    # Longer names first, so that no sentence of another name holds one before its own.
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.length("name").alias("l"), F.col("c_custkey").alias("k"), "said"))), lambda x: x["said"]), "!\n")
+    none = F.array().cast("array<string>")
+    return rows.groupBy(F.concat(F.lit("s"), F.col("c_nationkey").cast("string")).alias("story_id")).agg(people.alias("main_characters"), text.alias("source_text")).withColumns({"approved": F.lit(True), "supporting_characters": none, "locations": none, "props": F.col("main_characters")})
+
+
+@query("""WITH q AS (SELECT 's' || c_nationkey AS story_id, 'c' || c_custkey AS name, length('c' || c_custkey || (['', ' walks', ' walks over the long road today'])[cast(c_custkey % 3 + 1 AS BIGINT)]) < 18 AS thin FROM customer)
+SELECT story_id, 'character' AS asset_type, name, 'thin_description' AS issue FROM q WHERE thin UNION ALL SELECT story_id, 'prop', name, 'thin_description' FROM q WHERE thin UNION ALL SELECT story_id, 'prop', name, 'low_confidence' FROM q""")
+def asset_warnings(spark, sf):
+    return assembly.asset_warnings(assembly.story_assets(_stories(spark, sf)))
+
+
+@query("""SELECT 's' || c_nationkey AS story_id, 'c' || c_custkey AS name, 'c' || c_custkey || '，四视图角色设定图' || chr(10) || '外貌描写：' || 'c' || c_custkey || (['', ' walks', ' walks over the long road today'])[cast(c_custkey % 3 + 1 AS BIGINT)] || chr(10) || '仅使用原文支持的细节，未确认的维度保持空白' ||
+CASE WHEN length('c' || c_custkey || (['', ' walks', ' walks over the long road today'])[cast(c_custkey % 3 + 1 AS BIGINT)]) < 18 THEN chr(10) || '⚠ 描写不足，以下维度需要重点补写' ELSE '' END AS prompt FROM customer""")
+def asset_prompts(spark, sf):
+    return assembly.asset_prompts(assembly.story_assets(_stories(spark, sf)), supplement=False).filter("asset_type = 'character'").select("story_id", "name", F.regexp_replace("prompt", "!\n", "\n").alias("prompt"))
+
+
+_PLAN = """s AS (SELECT o_orderkey AS story_id, o_orderkey % 2 = 0 AS approved, 'T' || o_orderkey AS title, o_orderpriority AS cc, o_orderstatus AS trig, CASE o_orderkey % 3 WHEN 0 THEN [] WHEN 1 THEN ['a'] ELSE ['a', 'b'] END AS tp FROM orders)"""
+
+
+def _planned(spark, sf) -> DataFrame:
+    k = F.col("o_orderkey")
+    turns = F.when(k % 3 == 0, F.array().cast("array<string>")).when(k % 3 == 1, F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b")))
+    return _t(spark, sf, "orders").select(k.alias("story_id"), (k % 2 == 0).alias("approved"), F.concat(F.lit("T"), k.cast("string")).alias("title"), F.col("o_orderpriority").alias("core_conflict"), F.col("o_orderstatus").alias("trigger"), turns.alias("turning_points"))
+
+
+@query(f"WITH {_PLAN} SELECT story_id, 1::BIGINT AS episode_no, title || '：' || coalesce(tp[1], trig) AS title, cc AS conflict, trig AS hook, coalesce(tp[1], trig) AS turning_point, coalesce(tp[2], '冲突尚未解决，新的选择逼近。') AS ending, 90::BIGINT AS duration_s FROM s WHERE approved")
+def episode_plans(spark, sf):
+    return assembly.episode_plan(_planned(spark, sf))
+
+
+@query(f"""WITH {_PLAN} SELECT story_id FROM s WHERE approved AND story_id % 5 <> 0 AND trim(trig) <> ''""")
+def gated_stories(spark, sf):
+    """Approved stories whose first episode has a hook, an ending and scenes (none where the key is divisible by five)."""
+    st = _planned(spark, sf)
+    ep = assembly.episode_plan(st).withColumns({"story_conflict": F.col("conflict"), "n_scenes": (F.col("story_id") % 5).cast("int")})
+    return assembly.gated(st, assembly.script_review(ep)).select("story_id")
+
+
+@query("""SELECT c_nationkey::BIGINT AS book_id, md5(string_agg('## ' || c_name || chr(10) || chr(10) || c_mktsegment, chr(10) || chr(10) ORDER BY CASE c_custkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, c_name)) AS value_md5 FROM customer GROUP BY ALL""")
+def prompt_summary(spark, sf):
+    k = F.col("c_custkey") % 3
+    rows = _t(spark, sf, "customer").select(F.col("c_nationkey").alias("book_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("prompt"), F.when(k == 0, "high").when(k == 1, "medium").otherwise("low").alias("quality"))
+    return assembly.prompt_summary(rows).select("book_id", F.md5(F.encode("value", "utf-8")).alias("value_md5"))
+
+
 NAMES = [n for n in catalog.QUERIES if n not in _known]

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as lex
 from ..functions import text as T
 from ..operators import assembly, coreference, narrative, noise, relations, resolution, scanners, scoring, segmentation, validation
-from ..sources import exports, model, tables, text_files
+from ..sources import exports, tables, text_files
+from ..streaming import progress
 from . import catalog
 from .catalog import _t, query
 
@@ -36,7 +37,6 @@ def books(spark, sf) -> DataFrame:
     return _t(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("book_id"), F.col("turn").cast("int").alias("chapter_index"), F.col("role").alias("title"), c.alias("content"))
 
 
-_BEFORE = "NAMES"
 _known = set(catalog.QUERIES)
 
 
@@ -840,7 +840,7 @@ def arc_segments(spark, sf):
 
 
 @query(f"""WITH {BOOKS}, t AS (SELECT *, CASE WHEN chapter_index % 3 = 0 THEN '书名：某' WHEN chapter_index % 3 = 1 THEN '世界观' ELSE title END AS ti, {_TRIMS.format('content')} AS c FROM b), k AS (SELECT *, length(c) >= 200 AS long FROM t WHERE c <> '' AND NOT regexp_matches(ti, '^(?:书名|作者|简介|序言?)[:：]')),
-a AS (SELECT *, max(long::INT) OVER (PARTITION BY book_id) AS some FROM k) SELECT book_id, chapter_index, ti = '世界观' AS setting FROM a WHERE long OR some = 0""")
+a AS (SELECT *, max(long::INT) OVER (PARTITION BY book_id) AS hv FROM k) SELECT book_id, chapter_index, ti = '世界观' AS setting FROM a WHERE long OR hv = 0""")
 def narrative_chapters(spark, sf):
     """Chapters that tell the story, those of the setting marked by their title."""
     k = F.col("chapter_index") % 3
@@ -981,4 +981,172 @@ def prompt_summary(spark, sf):
     return assembly.prompt_summary(rows).select("book_id", F.md5(F.encode("value", "utf-8")).alias("value_md5"))
 
 
+# -- files, tables, exports -----------------------------------------------------
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'gb18030' ELSE 'utf-8' END AS encoding, md5(CASE WHEN doc_id % 3 = 0 THEN '李伟说好' || doc_id ELSE coalesce(text, '') END) AS text_md5 FROM documents""")
+def decoded_files(spark, sf):
+    """Documents as bytes: every third in GB18030, every third of UTF-8 ones behind a byte order mark."""
+    k = F.col("doc_id") % 3
+    gb = F.concat(F.unhex(F.lit("李伟说好".encode("gb18030").hex())), F.encode(F.col("doc_id").cast("string"), "utf-8"))
+    content = F.when(k == 0, gb).when(k == 1, F.encode(F.concat(F.lit("﻿"), F.coalesce("text", F.lit(""))), "utf-8")).otherwise(F.encode(F.coalesce("text", F.lit("")), "utf-8"))
+    out = text_files.decoded(_t(spark, sf, "documents").select("doc_id", content.alias("content")))
+    return out.select("doc_id", "encoding", F.md5(F.encode("text", "utf-8")).alias("text_md5"))
+
+
+_REPORT_COLUMNS = "printf('%.3f', (s_suppkey % 10) / 10.0)"
+
+
+@query(f"""SELECT cast(s_nationkey AS BIGINT) AS book_id, 's' || s_suppkey || '|' || (s_suppkey % 7) || '|' || {_REPORT_COLUMNS} || '|1|1|0|' || {_REPORT_COLUMNS} || '|' || {_REPORT_COLUMNS} || '|' || {_REPORT_COLUMNS} || '|' || {_REPORT_COLUMNS} || '|' || (s_suppkey % 40) || '|core|main' AS line FROM supplier""")
+def report_lines(spark, sf):
+    return text_files.report_lines(_scored(spark, sf)).select("book_id", "line")
+
+
+def _scored(spark, sf) -> DataFrame:
+    k = F.col("s_suppkey")
+    x = (k % 10) / 10.0
+    one = {"story_score": k % 7, "story_value": x, "causal_necessity": F.lit(1), "information": F.lit(1), "transition": F.lit(0), "writing_completeness": x, "adaptation_usability": x, "production": x, "importance": x, "mention_count": k % 40, "tier": F.lit("core"), "route": F.lit("main")}
+    return _t(spark, sf, "supplier").select(F.col("s_nationkey").alias("book_id"), F.lit("item").alias("type"), F.concat(F.lit("s"), k.cast("string")).alias("text"), *[c.alias(n) for n, c in one.items()])
+
+
+@query("""SELECT cast(s_nationkey AS BIGINT) AS doc, 'item' AS type, 's' || s_suppkey AS text, cast(s_suppkey % 40 AS VARCHAR) AS mention_count, 'main' AS route FROM supplier""")
+def parsed_reports(spark, sf):
+    """Report lines below a heading, with summaries between, parsed back."""
+    lines = text_files.report_lines(_scored(spark, sf)).select(F.col("book_id").alias("doc"), (F.row_number().over(Window.partitionBy("book_id").orderBy("line")) + 1).alias("n"), "line")
+    head = lines.select("doc").distinct().select("doc", F.lit(0).alias("n"), F.lit("## item report").alias("line"))
+    total = lines.select("doc").distinct().select("doc", F.lit(1).alias("n"), F.lit("total: many").alias("line"))
+    return text_files.parsed_report(head.unionByName(total).unionByName(lines)).select("doc", "type", "text", "mention_count", "route")
+
+
+@query("""WITH t AS (SELECT s_nationkey, s_suppkey, (['core', 'supporting', 'candidate', 'archived'])[cast(s_suppkey % 4 + 1 AS BIGINT)] AS tier, (['main', 'staging', 'archive'])[cast(s_suppkey % 3 + 1 AS BIGINT)] AS route FROM supplier)
+SELECT cast(s_nationkey AS BIGINT) AS book_id, count(*) FILTER (tier = 'core') AS n_core, count(*) FILTER (tier = 'supporting') AS n_supporting, count(*) FILTER (tier = 'candidate') AS n_candidate, count(*) FILTER (tier = 'archived') AS n_archived,
+count(*) FILTER (route = 'main') AS n_main, count(*) FILTER (route = 'staging') AS n_staging, count(*) FILTER (route = 'archive') AS n_archive FROM t GROUP BY ALL""")
+def report_counts(spark, sf):
+    k = F.expr("cast(substring(text, 2) as long)")
+    pick = lambda *words: F.element_at(F.array(*[F.lit(w) for w in words]), (k % len(words) + 1).cast("int"))
+    rows = _scored(spark, sf).withColumns({"tier": pick("core", "supporting", "candidate", "archived"), "route": pick("main", "staging", "archive")})
+    return text_files.report_counts(rows).drop("type")
+
+
+@query("""SELECT cast(n_nationkey AS BIGINT) AS book_id, '{"book":{"book_id":' || n_nationkey || ',"title":"' || n_name || '"},"kind":"item","kindLabel":"Items"' || coalesce(',"items":[' || string_agg('{"name":"s' || s_suppkey || '","n":' || (s_suppkey % 9) || '}', ',' ORDER BY s_suppkey) || ']', '') || '}' AS value
+FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey, n_name""")
+def json_export(spark, sf):
+    return exports.export(_suppliers(spark, sf), "item", "json", _nations(spark, sf))
+
+
+def _nations(spark, sf) -> DataFrame:
+    return _t(spark, sf, "nation").select(F.col("n_nationkey").alias("book_id"), F.col("n_name").alias("title"))
+
+
+def _suppliers(spark, sf) -> DataFrame:
+    k = F.col("s_suppkey")
+    return _t(spark, sf, "supplier").select(F.col("s_nationkey").alias("book_id"), k.alias("seq"), F.concat(F.lit("s"), k.cast("string")).alias("name"), (k % 9).alias("n"))
+
+
+@query("""WITH b AS (SELECT s_nationkey, s_suppkey, '### s' || s_suppkey || chr(10) || chr(10) || '**Aliases:** a, b' || chr(10) || chr(10) || 'D' || chr(10) || chr(10) || '| Property | Value |' || chr(10) || '|----------|-------|' || chr(10) || '| Confidence | ' || printf('%.1f%%', (s_suppkey % 10) * 10.0) || ' |' || chr(10) || '| Status | ok |' || chr(10) ||
+  CASE WHEN s_suppkey % 9 > 0 THEN '| Mentions | ' || (s_suppkey % 9) || ' |' || chr(10) ELSE '' END || chr(10) || '---' || chr(10) AS block FROM supplier)
+SELECT cast(n_nationkey AS BIGINT) AS book_id, '# ' || n_name || chr(10) || chr(10) || '## Characters (' || count(s_suppkey) || ')' || chr(10) || chr(10) || coalesce(string_agg(block, chr(10) ORDER BY s_suppkey), '') AS value FROM nation LEFT JOIN b ON s_nationkey = n_nationkey GROUP BY n_nationkey, n_name""")
+def markdown_export(spark, sf):
+    rows = _suppliers(spark, sf).withColumns({"aliases": F.array(F.lit("a"), F.lit("b")), "description": F.lit("D"), "confidence": (F.col("seq") % 10) / 10.0, "status": F.lit("ok"), "mention_count": F.col("n")}).drop("n")
+    return exports.export(rows, "character", "markdown", _nations(spark, sf))
+
+
+@query("""SELECT cast(s_nationkey AS BIGINT) AS book_id, 'item' AS type, count(*) AS n, string_agg('s' || s_suppkey, ',' ORDER BY 's' || s_suppkey) AS names FROM supplier GROUP BY ALL""")
+def run_summaries(spark, sf):
+    out = exports.run_summary(_suppliers(spark, sf).withColumn("type", F.lit("item")))
+    return out.select("book_id", "type", "n", F.array_join("names", ",").alias("names"))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 2 = 0 THEN 'APPROVED' ELSE o_orderstatus END AS status FROM orders) SELECT id, status FROM r""")
+def batch_review(spark, sf):
+    rows = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), "o_custkey")
+    return tables.review(rows.drop("o_custkey"), rows.filter("o_custkey % 2 = 0").select("id"), "approve", "APPROVED", "u")[0]
+
+
+@query("""SELECT o_orderkey AS entity_id, 'u' AS user_id, 'approve' AS action, o_orderstatus AS previous_value, 'APPROVED' AS new_value FROM orders WHERE o_custkey % 2 = 0""")
+def review_log(spark, sf):
+    rows = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), "o_custkey")
+    return tables.review(rows.drop("o_custkey"), rows.filter("o_custkey % 2 = 0").select("id"), "approve", "APPROVED", "u")[1]
+
+
+def _sorted_search(order: str, sql_order: str):
+    @query(f"""WITH r AS (SELECT c_custkey AS id, c_name AS name, [c_mktsegment] AS aliases, c_acctbal AS confidence, c_custkey % 50 AS mention_count, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 20 END AS first_chapter FROM customer WHERE contains(lower(c_mktsegment), 'build') OR contains(lower(c_name), 'build')) SELECT id, row_number() OVER (ORDER BY {sql_order}, id) AS place FROM r""")
+    def run(spark, sf):
+        k = F.col("c_custkey")
+        rows = _t(spark, sf, "customer").select(k.alias("id"), F.col("c_name").alias("name"), F.array("c_mktsegment").alias("aliases"), F.col("c_acctbal").alias("confidence"), (k % 50).alias("mention_count"), F.when(k % 3 > 0, k % 20).alias("first_chapter"))
+        # The place of a row in the order that the search gives.
+        out = tables.searched(rows, "BUILD", order)
+        by = {"confidence": [F.desc("confidence")], "mentions": [F.desc("mention_count")], "first_chapter": [F.asc_nulls_last("first_chapter")], "name": ["name"]}[order]
+        return out.select("id", F.row_number().over(Window.orderBy(*by, "id")).alias("place"))
+
+    for store in (catalog.QUERIES, catalog.ORACLE_SQL):
+        store[f"search_by_{order}"] = store.pop("run")
+
+
+for _order, _sql in (("confidence", "confidence DESC"), ("mentions", "mention_count DESC"), ("first_chapter", "first_chapter ASC NULLS LAST"), ("name", "name")):
+    _sorted_search(_order, _sql)
+
+
+@query("""SELECT o_orderkey AS id, o_orderdate AS created_at, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'O'""")
+def books_by_user(spark, sf):
+    """Open orders of each customer as the books of a user, the newest first."""
+    rows = tables.by_book(_t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("status")), status="O", order=[F.desc("created_at"), F.col("id")])
+    return rows.select("id", "created_at", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("created_at"), "id")).alias("place"))
+
+
+@query("""SELECT p_partkey AS id, p_size AS size FROM part WHERE p_brand = 'Brand#13' AND p_size % 5 = 0 UNION ALL SELECT -count(*), 0 FROM part WHERE p_brand = 'Brand#13'""")
+def items_by_tier(spark, sf):
+    rows = _t(spark, sf, "part").select(F.col("p_brand").alias("book_id"), F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 5 == 0, "MED BAG").otherwise("").alias("tier"), F.col("p_size").cast("long").alias("size"))
+    some = tables.by_book(rows, "Brand#13", [F.desc("size")], tier="MED BAG").select("id", "size")
+    return some.unionByName(tables.by_book(rows, "Brand#13", tier=None).agg((-F.count("*")).alias("id")).withColumn("size", F.lit(0).cast("long")))
+
+
+@query("""WITH d AS (SELECT doc_id, n_chars FROM documents), l AS (SELECT doc_id FROM labels) SELECT (SELECT count(*) FROM d) AS "left", (SELECT count(*) FROM l) AS "right", (SELECT count(*) FROM d WHERE doc_id NOT IN (SELECT doc_id FROM l)) AS only_left, (SELECT count(*) FROM l WHERE doc_id NOT IN (SELECT doc_id FROM d)) AS only_right""")
+def table_parity(spark, sf):
+    told = tables.parity(_t(spark, sf, "documents").select("doc_id"), _t(spark, sf, "labels").select("doc_id"))
+    return spark.createDataFrame([tuple(told[k] for k in ("left", "right", "only_left", "only_right"))], '`left` long, `right` long, only_left long, only_right long')
+
+
+@query("""SELECT user_id AS book_id, event_type AS type, count(*) AS n, count(DISTINCT event_id % 3) AS n_status FROM events GROUP BY ALL""")
+def entity_report(spark, sf):
+    """Counts by book, type and status, and how many statuses there are."""
+    rows = _t(spark, sf, "events").select(F.col("user_id").alias("book_id"), F.col("event_type").alias("type"), (F.col("event_id") % 3).alias("status"))
+    return tables.count_report(rows, ["book_id", "type"], "status")
+
+
+@query("""WITH w AS (SELECT unnest(['click', 'view', 'purchase']) AS stage, unnest([25, 10, 15]) AS w), e AS (SELECT CAST(user_id AS VARCHAR) AS book_id, event_type AS stage, arg_max(CASE event_id % 3 WHEN 0 THEN 'COMPLETED' WHEN 1 THEN 'RUNNING' ELSE 'FAILED' END, struct_pack(ts := ts, s := CASE event_id % 3 WHEN 0 THEN 'COMPLETED' WHEN 1 THEN 'RUNNING' ELSE 'FAILED' END)) AS status FROM events GROUP BY ALL)
+SELECT book_id, sum(CASE status WHEN 'COMPLETED' THEN coalesce(w, 0) WHEN 'RUNNING' THEN coalesce(w, 0) / 2.0 ELSE 0 END)::DOUBLE AS progress, max(status = 'FAILED' AND w IS NOT NULL) AS failed FROM e LEFT JOIN w USING (stage) GROUP BY book_id""")
+def progress_of_events(spark, sf):
+    """The streaming state machine in its batch form: the last status of each stage, weighed."""
+    k = F.col("event_id") % 3
+    rows = _t(spark, sf, "events").select(F.col("user_id").cast("string").alias("book_id"), F.col("event_type").alias("stage"), F.when(k == 0, "COMPLETED").when(k == 1, "RUNNING").otherwise("FAILED").alias("status"), "ts")
+    return progress.progress(rows, {"click": 25, "view": 10, "purchase": 15})
+
+
+@query("""SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type AS status, count(*) AS n FROM events GROUP BY ALL""")
+def windowed_events(spark, sf):
+    return progress.windowed_counts(_t(spark, sf, "events").select("ts", F.col("event_type").alias("status")))
+
+
+_CATEGORY_SQL = catalog._SUSPECTS
+
+
+@query(f"WITH {_CATEGORY_SQL}, chx AS (SELECT doc_id, c AS chapter_index, c * 20 + 1 AS a, c * 20 + 20 AS z FROM (SELECT doc_id, unnest(range(0, 30)) AS c FROM documents)) SELECT b.doc_id, chapter_index, line_num, category FROM b JOIN chx ON chx.doc_id = b.doc_id AND line_num BETWEEN a AND z")
+def noise_by_chapter(spark, sf):
+    docs = _t(spark, sf, "documents")
+    chaps = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("chapter_index")).withColumns({"start_line": F.col("chapter_index") * 20 + 1, "end_line": F.col("chapter_index") * 20 + 20})
+    return noise.in_range(noise.detect(docs, lex=catalog.LATIN), chaps).select("doc_id", "chapter_index", "line_num", "category")
+
+
+@query("""WITH o AS (SELECT doc_id, coalesce(text, '') || repeat(chr(10) || chr(10) || chr(10) || 'one more line' || chr(10) || 'the same tail', 4) AS t FROM documents WHERE NOT contains(coalesce(text, ''), chr(10) || chr(10) || chr(10))) SELECT doc_id, 4::BIGINT AS n_tails FROM o""")
+def aggressive_cleaning(spark, sf):
+    """Documents with four sections of one tail: only aggressive cleaning takes the tails (of both lines)."""
+    docs = _t(spark, sf, "documents").filter(~F.contains(F.coalesce("text", F.lit("")), F.lit("\n\n\n")))
+    text = F.concat(F.coalesce("text", F.lit("")), F.repeat(F.lit("\n\n\none more line\nthe same tail"), F.lit(4)))
+    docs = docs.select("doc_id", text.alias("text"))
+    some, none = noise.cleaned(docs, aggressive=True), noise.cleaned(docs)
+    left = lambda c: F.regexp_count(c, F.lit("the same tail"))
+    return none.select("doc_id", left("text").alias("n")).join(some.select("doc_id", left("text").alias("m")), "doc_id").select("doc_id", (F.col("n") - F.col("m")).cast("long").alias("n_tails"))
+
+
 NAMES = [n for n in catalog.QUERIES if n not in _known]

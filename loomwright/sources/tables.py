@@ -50,6 +50,11 @@ def parity(a: DataFrame, b: DataFrame) -> dict[str, int]:
     return {"left": a.count(), "right": b.count(), "only_left": a.exceptAll(b).count(), "only_right": b.exceptAll(a).count()}
 
 
+def count_report(rows: DataFrame, keys: list[str], distinct: str) -> DataFrame:
+    """Rows of each key, and how many different values of ``distinct`` they have."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct(distinct).alias(f"n_{distinct}"))
+
+
 def migrate(spark: SparkSession, source: dict[str, str], target: dict[str, str], table: str) -> None:
     """Copies a table between JDBC databases (options of the readers are parameters)."""
     spark.read.format("jdbc").options(**source, dbtable=table).load().write.format("jdbc").options(**target, dbtable=table).mode("append").save()

@@ -23,10 +23,27 @@ def test_locations_items_events(spark):
     assert {r["text"] for r in S.scan_locations(ch).collect()} >= {"京城", "青云山"}
     items = {(r["text"], r["confidence"]) for r in S.scan_items(ch).collect()}
     assert ("紫金丹", 0.8) in items
-    ev = S.scan_events(ch, setups=(S.SetupRule(("京城", "丹"), "丹", "得到丹药", 0.84),)).collect()
-    assert ("得到丹药", 0.84) in {(r["text"], r["confidence"]) for r in ev}
-    capped = S.scan_events(chapters(spark, "。".join(f"李伟下令攻打甲{i}城" for i in range(20))))
-    assert capped.count() == 8
+    assert S.scan_events(ch).count() == 0
+
+
+def test_event_summaries():
+    t = S.EventTeller(S.EventRules())
+    told = {
+        "魏渊派遣许七安前往云州调查案情": ("魏渊派遣许七安前往云州", 0.85), "许七安派出许七安": None, "许七安破获税银案，大喜": ("许七安破获税银案", 0.85), "许七安揭开锅": None, "许七安调查黄山": ("许七安调查黄山", 0.85), "许七安调查衣袖": None,
+        "许七安审问周立": ("许七安审问周立", 0.85), "许七安审问那人": None, "李玉春死亡，原因不明": ("李玉春死亡", 0.85), "李玉春死亡原因是中毒。": ("李玉春死亡原因是中毒", 0.85), "宋廷风失踪了": ("宋廷风失踪", 0.85),
+        "圣上下令，周立于菜市口斩首": ("圣上下令斩首周立", 0.85), "许七安说：追杀魏渊": None, "许七安救下苏苏": ("许七安救下苏苏", 0.85), "许七安救下自己的人": None, "无名之人追杀他": None,
+        "葛叶想要退婚": ("葛叶请求解除婚约", 0.86), "纳兰嫣然来解除婚约": ("纳兰嫣然要求解除婚约", 0.86), "萧炎愤怒，不许退婚": ("萧炎拒绝解除婚约", 0.86), "萧战取出聚气散": ("萧战拿出聚气散", 0.84), "聚气散很好": None,
+        "而萧炎哥哥写下休书": ("萧炎写下休书", 0.86), "少年约定三年": ("萧炎立下三年之约", 0.88), "三年": None, "少年与她有三年之约": ("萧炎立下三年之约", 0.88), "药老苏醒": ("药老从戒指中现身", 0.84), "萧炎知道戒指的秘密": None, "萧炎，戒指的秘密": ("萧炎发现戒指秘密", 0.84),
+        "萧炎，为了炼药去借钱": ("萧炎为炼药筹钱", 0.78), "萧炎，准备炼药": ("萧炎开启炼药目标", 0.78), "萧炎，修炼有了突破": ("萧炎推进修炼目标", 0.78),
+    }
+    assert {s: t.of_sentence(s) for s in told} == told
+
+
+def test_events_of_chapters(spark):
+    ch = spark.createDataFrame([("b", 1, "聚气散", "葛叶道：我有事相求。云岚宗的宗主。古玉盒里是聚气散。"), ("b", 2, None, "三年之后，萧炎要挑战云岚宗！"), ("b", 3, None, None), ("b", 4, None, "。".join(f"许七安救下苏苏{'甲' * k}" for k in range(20)) + "。".join(f"许七安打伤{c}三甲" for c in "甲乙丙丁戊己庚辛壬癸"))], "book_id string, chapter_index int, title string, content string")
+    got = [(r["chapter_index"], r["text"], r["position"], r["confidence"]) for r in S.scan_events(ch).orderBy("chapter_index", "position").collect()]
+    assert [g for g in got if g[0] < 4] == [(1, "葛叶提出退婚请求", 5, 0.84), (1, "葛叶拿出聚气散", 17, 0.84), (2, "萧炎立下三年之约", 0, 0.88)]
+    assert len([g for g in got if g[0] == 4]) == 8 and len({g[1] for g in got}) == len(got)
 
 
 def test_frequent_names_and_suppression(spark):

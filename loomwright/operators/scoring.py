@@ -155,10 +155,15 @@ def _chars(text: Column, chars: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{chars}]", ""))
 
 
+def percentile_rank(by: list[str], order: str = "total_count") -> Column:
+    """Share of the rows of a group that have no more."""
+    return F.cume_dist().over(Window.partitionBy(*by).orderBy(order))
+
+
 def behaviour_drive(entities: DataFrame, mentions: DataFrame, chapters: DataFrame) -> DataFrame:
     near = _windows(mentions, chapters, 50)
     acts = near.groupBy(*KEY).agg((F.sum(F.coalesce(F.col("w").rlike(f"[{lex.ACTION_CHARS}]").cast("int"), F.lit(0))) / F.count("*")).alias("density"))
-    rank = F.cume_dist().over(Window.partitionBy("book_id").orderBy("total_count"))
+    rank = percentile_rank(["book_id"])
     rows = entities.select(*KEY, "total_count", F.size("all_chapters").alias("k")).withColumn("rank", rank).join(chapter_counts(chapters), "book_id").join(acts, KEY, "left")
     freq = F.least(F.lit(1.0), F.log1p("total_count") / F.log1p(F.lit(20.0)))
     spread_ = F.least(F.lit(1.0), F.col("k") / F.greatest(F.lit(1.0), 0.12 * F.col("n")))

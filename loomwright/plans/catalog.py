@@ -346,7 +346,7 @@ def moments(spark, sf):
 SELECT event_type, user_id, total_count, round(cume_dist() OVER (PARTITION BY event_type ORDER BY total_count), 9) AS rank FROM c""")
 def cume_rank(spark, sf):
     rows = _t(spark, sf, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("total_count"))
-    return rows.withColumn("rank", F.round(F.cume_dist().over(Window.partitionBy("event_type").orderBy("total_count")), 9))
+    return rows.withColumn("rank", F.round(scoring.percentile_rank(["event_type"]), 9))
 
 
 @query("""
@@ -568,9 +568,7 @@ def three_acts(spark, sf):
 
 @query("""SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 3""")
 def top_per_group(spark, sf):
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    rows = _t(spark, sf, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("rank"))
-    return rows.filter("rank <= 3")
+    return tables.top(_t(spark, sf, "orders"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 3).select("o_custkey", "o_orderkey", "rank")
 
 
 # -- tables and exports ---------------------------------------------------------
@@ -687,16 +685,6 @@ def nearest_antecedent(spark, sf):
     return coreference.antecedents(coreference.pronouns(chaps), coreference.names_found(chaps, ["the", "and", "that"]), ["the", "and", "that"])
 
 
-@query()
-def prescan_entities(spark, sf):
-    """A part of the scan over conversations: four fixed words as characters, grouped, with their confidence; ``prescan.scan`` is the whole."""
-    chaps = _turns(spark, sf).withColumn("book_id", F.col("book_id").cast("string"))
-    found = scanners.regex_scan(chaps, [scanners.Pattern(rf"\b({w})\b", 1, 0.8, w) for w in WORDS])
-    mentions = found.drop("kind").withColumns({"type": F.lit("character"), "source": F.lit("regex")})
-    ent = scoring.grouped(mentions)
-    return scoring.confidence(ent, chaps).select("book_id", "text", "total_count", "coverage", "uniformity", "overall")
-
-
 @query()
 def resolve_suppliers(spark, sf):
     """Suppliers as characters, resolved by the ordered walk (its fold is compared with literals in the tests)."""

@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..operators import assembly, coreference, narrative, noise, relations, resolution, scanners, scoring, segmentation, validation
 from ..sources import exports, tables, text_files
 from ..streaming import progress
-from . import catalog
+from . import catalog, prescan
 from .catalog import _t, query
 
 #: Words of the driver's texts and what stands for them.
@@ -1094,7 +1094,7 @@ def books_by_user(spark, sf):
     return rows.select("id", "created_at", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("created_at"), "id")).alias("place"))
 
 
-@query("""SELECT p_partkey AS id, p_size AS size FROM part WHERE p_brand = 'Brand#13' AND p_size % 5 = 0 UNION ALL SELECT -count(*), 0 FROM part WHERE p_brand = 'Brand#13'""")
+@query("""SELECT p_partkey AS id, p_size::BIGINT AS size FROM part WHERE p_brand = 'Brand#13' AND p_size % 5 = 0 UNION ALL SELECT -count(*), 0::BIGINT FROM part WHERE p_brand = 'Brand#13'""")
 def items_by_tier(spark, sf):
     rows = _t(spark, sf, "part").select(F.col("p_brand").alias("book_id"), F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 5 == 0, "MED BAG").otherwise("").alias("tier"), F.col("p_size").cast("long").alias("size"))
     some = tables.by_book(rows, "Brand#13", [F.desc("size")], tier="MED BAG").select("id", "size")
@@ -1149,4 +1149,103 @@ def aggressive_cleaning(spark, sf):
     return none.select("doc_id", left("text").alias("n")).join(some.select("doc_id", left("text").alias("m")), "doc_id").select("doc_id", (F.col("n") - F.col("m")).cast("long").alias("n_tails"))
 
 
+# -- whole scans and resolution -------------------------------------------------
+
+_HINTED = " OR ".join(f"contains(s, '{h}')" for h in lex.EVENT_HINTS)
+
+
+@query(f"""WITH {BOOKS}, s AS (SELECT book_id, chapter_index, unnest(regexp_extract_all(content, '[^。！？!?；;\\n]{{4,120}}')) AS s FROM b), t AS (SELECT *, contains(s, '追杀') AND ({_HINTED}) AS traced FROM s)
+SELECT DISTINCT book_id, chapter_index, CASE WHEN contains(s, '萧炎写下休书') THEN '萧炎写下休书' ELSE '药老从戒指中现身' END AS text, CASE WHEN contains(s, '萧炎写下休书') THEN 0.86::DOUBLE ELSE 0.84::DOUBLE END AS confidence
+FROM t WHERE NOT traced AND (contains(s, '萧炎写下休书') OR (contains(s, '药老') AND regexp_matches(s, '戒指|现身|苏醒')))""")
+def scan_events(spark, sf):
+    """Of the phrases two tell an event; a chase whose hunter is unknown tells none, and hides what else its sentence tells."""
+    return scanners.scan_events(books(spark, sf)).select("book_id", "chapter_index", "text", "confidence")
+
+
+@query()
+def prescan_entities(spark, sf):
+    """The whole scan over all books: patterns, frequent and given names, a model's completion, aliases, confidence, importance, selection (the tests compare it with its steps)."""
+    chaps = books(spark, sf)
+    answers = chaps.select("book_id", F.floor(F.col("chapter_index") / 10).cast("int").alias("batch")).distinct().withColumns({"type": F.lit("item"), "text": F.lit("古玉盒"), "confidence": F.lit(0.8)})
+    out = prescan.scan(chaps, _alias_table(spark), least=2, names=spark.createDataFrame([(n,) for n in _NAMES], "name string"), answers=answers)
+    score = out["importance"].select("book_id", "type", "text", "importance", "story_tier").join(out["confidence"].select("book_id", "type", "text", "overall"), ["book_id", "type", "text"])
+    return out["selected"].select("book_id", "type", "text", "total_count").join(score, ["book_id", "type", "text"])
+
+
+@query("""WITH p AS (SELECT s_nationkey % 5 AS book_id, s_suppkey AS seq, CASE WHEN s_suppkey % 2 = 0 THEN 'S' ELSE 's' END || (s_suppkey % 9) AS name, s_acctbal / 10000 AS confidence, s_suppkey % 30 AS f, s_suppkey % 30 + 5 AS l FROM supplier)
+SELECT cast(book_id AS VARCHAR) AS book_id, min(seq) AS seq, arg_min(name, seq) AS name, max(confidence)::DOUBLE AS confidence, min(f) AS first_chapter, max(l) AS last_chapter, count(*) AS mention_count, count(*) - 1 AS merged FROM p GROUP BY ALL, lower(name)""".replace("GROUP BY ALL, lower(name)", "GROUP BY book_id, lower(name)"))
+def resolved_people(spark, sf):
+    """People of one name in either case are one."""
+    return resolution.resolve(_people_rows(spark, sf)).select("book_id", "seq", "name", "confidence", "first_chapter", "last_chapter", "mention_count", "merged")
+
+
+def _people_rows(spark, sf) -> DataFrame:
+    k = F.col("s_suppkey")
+    name = F.concat(F.when(k % 2 == 0, "S").otherwise("s"), (k % 9).cast("string"))
+    strings = F.array().cast("array<string>")
+    robe = F.struct(F.concat(F.lit("robe "), F.repeat(F.lit("x"), (k % 4).cast("int"))).alias("description"), F.lit("court").alias("scene"), (k % 30).cast("int").alias("first_chapter"), (k % 30 + 5).cast("int").alias("last_chapter"))
+    return _t(spark, sf, "supplier").select(
+        (F.col("s_nationkey") % 5).cast("string").alias("book_id"), k.alias("seq"), name.alias("name"), strings.alias("aliases"), F.lit(None).cast("string").alias("description"), (F.col("s_acctbal") / 10000).alias("confidence"), (k % 30).cast("int").alias("first_chapter"),
+        (k % 30 + 5).cast("int").alias("last_chapter"), F.array(F.lit(1)).alias("chapter_appearances"), F.lit(1).cast("long").alias("mention_count"), F.lit(0).cast("long").alias("dialogue_count"), strings.alias("co_characters"), F.array(robe).alias("outfits"),
+    )
+
+
+@query("""WITH p AS (SELECT s_nationkey % 5 AS book_id, s_suppkey AS seq, CASE WHEN s_suppkey % 2 = 0 THEN 'S' ELSE 's' END || (s_suppkey % 9) AS name, s_suppkey % 4 AS x, s_suppkey % 30 AS f FROM supplier)
+SELECT cast(book_id AS VARCHAR) AS book_id, arg_min(name, seq) AS name, 'robe ' || repeat('x', max(x)) AS description, min(f) AS first_chapter, max(f) + 5 AS last_chapter FROM p GROUP BY book_id, lower(p.name)""")
+def merged_outfits(spark, sf):
+    """Outfits of one scene become one, with the longest text and the whole range."""
+    out = resolution.resolve(_people_rows(spark, sf)).select("book_id", "name", F.explode("outfits").alias("o"))
+    return out.select("book_id", "name", "o.description", F.col("o.first_chapter").cast("long").alias("first_chapter"), F.col("o.last_chapter").cast("long").alias("last_chapter"))
+
+
+@query("""WITH p AS (SELECT s_nationkey % 5 AS book_id, s_suppkey AS seq, CASE WHEN s_suppkey % 2 = 0 THEN 'S' ELSE 's' END || (s_suppkey % 9) AS name, s_acctbal / 10000 AS confidence FROM supplier)
+SELECT cast(book_id AS VARCHAR) AS book_id, arg_max(name, struct_pack(c := confidence, s := -seq)) AS name, max(confidence)::DOUBLE AS confidence, count(*) AS mention_count FROM p GROUP BY book_id, lower(p.name)""")
+def extracted_people(spark, sf):
+    """The extractor's walk: of one name's rows the surest gives the spelling."""
+    return resolution.extracted(_people_rows(spark, sf)).select("book_id", "name", "confidence", "mention_count")
+
+
+@query("""SELECT cast(c_custkey AS VARCHAR) AS book_id, unnest(['萧炎', '药老', '张三', '张三丰']) AS name, unnest(['炎儿,萧炎哥', '药尘', '', '']) AS aliases, unnest([2, 1, 1, 1]::BIGINT[]) AS mention_count FROM customer""")
+def resolved_names(spark, sf):
+    """A book each customer: forms of address are merged and become aliases, generic words and collectives go, a name within another stays apart."""
+    strings = "array<string>"
+    rows = [(1, "萧炎", ["炎儿", "他"]), (2, "萧炎哥", ["那位少年"]), (3, "药老", ["药尘"]), (4, "张三", []), (5, "几名护卫", []), (6, "张三丰", ["大长老"])]
+    told = spark.createDataFrame(rows, f"seq long, name string, aliases {strings}")
+    rest = {"description": F.lit(None).cast("string"), "confidence": F.lit(0.5), "first_chapter": F.lit(1), "last_chapter": F.lit(2), "chapter_appearances": F.array(F.lit(1)), "mention_count": F.lit(1).cast("long"), "dialogue_count": F.lit(0).cast("long"), "co_characters": F.array().cast(strings), "outfits": F.array().cast("array<struct<description: string, scene: string, first_chapter: int, last_chapter: int>>")}
+    people = _t(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("book_id")).crossJoin(F.broadcast(told)).withColumns(rest)
+    return resolution.resolve(people).select("book_id", "name", F.array_join("aliases", ",").alias("aliases"), "mention_count")
+
+
+@query(f"""WITH {BOOKS}, n AS (SELECT *, (length(content) - length(replace(content, '欧阳锋', ''))) // 3 + (length(content) - length(replace(content, '李伟', ''))) // 2 AS k FROM b) SELECT book_id, chapter_index, CASE WHEN k < 2 OR starts_with(title, 'user') AND false THEN 'sub' ELSE 'main' END AS line_type FROM n""")
+def line_types(spark, sf):
+    return books(spark, sf).select("book_id", "chapter_index", segmentation.line_type(F.col("title"), F.col("content"), ["欧阳锋", "李伟"], 2).alias("line_type"))
+
+
+@query("""WITH d AS (SELECT doc_id, replace(coalesce(text, ''), '. ', '.' || chr(10) || '第12章 ') AS t FROM documents), p AS (SELECT doc_id, unnest(string_split(replace(t, chr(10) || '第12章', chr(10) || chr(1) || '第12章'), chr(1))) AS s FROM d)
+SELECT doc_id, count(*) AS n, cast(sum(length(s)) AS BIGINT) AS chars FROM p WHERE trim(s, ' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288)) <> '' GROUP BY doc_id""")
+def simple_chapters(spark, sf):
+    c = F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".\n第12章 "))
+    rows = _t(spark, sf, "documents").select("doc_id", F.explode(segmentation.simple_chapters(c)).alias("s"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("s")).alias("chars"))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE o_orderstatus END AS status FROM orders UNION ALL SELECT -c_custkey, 'new' FROM customer""")
+def replaced_rows(spark, sf):
+    """A migration's upsert: known keys are replaced, new ones added."""
+    old = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    new = old.filter("id % 3 = 0").select("id", F.lit("new").alias("status")).unionByName(_t(spark, sf, "customer").select((-F.col("c_custkey")).alias("id"), F.lit("new").alias("status")))
+    return tables.replaced(old, new, ["id"])
+
+
+@query(f"""WITH {BOOKS}, k AS (SELECT book_id, list_distinct(flatten(list(list_filter({list(_NAMES)}, lambda x: contains(content, x))))) AS names FROM b GROUP BY book_id)
+SELECT book_id, unnest(list_distinct(list_concat(names, ['李伟', '新人']))) AS name FROM k""")
+def known_and_potential_names(spark, sf):
+    """Known names, and potential ones that are no known name's form of address (老李伟 and 欧阳锋哥 are, 新人 is not; 小张 is not sure enough)."""
+    chaps = books(spark, sf)
+    names = spark.createDataFrame([(n,) for n in _NAMES], "name string")
+    known = chaps.crossJoin(F.broadcast(names)).filter(F.contains("content", F.col("name"))).select("book_id", "name").unionByName(chaps.select("book_id", F.lit("李伟").alias("name"))).distinct()
+    potential = chaps.select("book_id").distinct().crossJoin(F.broadcast(spark.createDataFrame([("老李伟", 0.9), ("李伟哥", 0.9), ("新人", 0.7), ("小张", 0.3)], "name string, confidence double")))
+    return coreference.with_potentials(known, potential)
+
+
 NAMES = [n for n in catalog.QUERIES if n not in _known]

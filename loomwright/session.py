@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, name: str = "loomwright") -> SparkSession:
@@ -17,3 +19,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, name: str
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the folder of ``spark.checkpoint.dir`` (one of our own on a local master where it is unset): for what several steps read."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomwright-"))
+    return df.checkpoint()

@@ -55,9 +55,28 @@ def count_report(rows: DataFrame, keys: list[str], distinct: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct(distinct).alias(f"n_{distinct}"))
 
 
-def migrate(spark: SparkSession, source: dict[str, str], target: dict[str, str], table: str) -> None:
-    """Copies a table between JDBC databases (options of the readers are parameters)."""
-    spark.read.format("jdbc").options(**source, dbtable=table).load().write.format("jdbc").options(**target, dbtable=table).mode("append").save()
+def top(rows: DataFrame, by: list[str], order: list[Column], n: int, out: str = "rank") -> DataFrame:
+    """The first ``n`` rows of each group, numbered."""
+    return rows.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(out) <= n)
+
+
+def migrate(spark: SparkSession, source: dict[str, str], target: dict[str, str], table: str, keys: list[str] | None = None) -> None:
+    """Copies a table between JDBC databases (options of the readers are parameters).
+
+    With ``keys`` rows that the target has already are replaced: what is to stay is written to a staging table of its name and
+    ``_migrated``, which the caller swaps in.
+    """
+    rows = spark.read.format("jdbc").options(**source, dbtable=table).load()
+    if keys is None:
+        rows.write.format("jdbc").options(**target, dbtable=table).mode("append").save()
+        return
+    old = spark.read.format("jdbc").options(**target, dbtable=table).load()
+    replaced(old, rows, keys).write.format("jdbc").options(**target, dbtable=f"{table}_migrated").mode("overwrite").save()
+
+
+def replaced(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``old`` without those whose keys ``new`` has, and ``new``."""
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").select(*new.columns).unionByName(new)
 
 
 def searched(rows: DataFrame, text: str, order: str = "confidence") -> DataFrame:

@@ -147,6 +147,29 @@ def test_whole_scan(spark):
     assert out["selected"].count() <= out["entities"].count()
 
 
+def test_whole_scan_against_its_steps(spark):
+    ch = chapters(spark, "欧阳锋走来。李伟说好，" * 3, "李伟道走，张三笑着来。" * 4, None, "")
+    names = spark.createDataFrame([("王五",), ("张三",)], "name string")
+    pairs = spark.createDataFrame([("李伟", "张三")], "primary string, alias string")
+    answers = spark.createDataFrame([("b", 0, "item", "古玉盒", 0.8), ("b", 0, "character", "欧阳锋", 0.9)], "book_id string, batch int, type string, text string, confidence double")
+    out = prescan.scan(ch, pairs, least=2, names=names, answers=answers)
+    key = lambda d, *c: sorted(map(repr, d.select("book_id", "type", "text", *c).collect()))
+    assert key(out["entities"], "total_count") == key(C.grouped(out["mentions"]), "total_count")
+    assert key(out["confidence"], "overall") == key(C.confidence(out["entities"], ch), "overall")
+    assert key(out["importance"], "importance") == key(C.importance(out["entities"], out["entities"], ch), "importance")
+    found = {r["text"]: (r["total_count"], r["all_chapters"]) for r in out["entities"].collect()}
+    assert found["李伟"] == (11, [0, 1]) and "张三" not in found and found["古玉盒"] == (1, [0]) and "王五" not in found
+    stats = {r["type"]: (r["n_mentions"], r["n_entities"]) for r in out["statistics"].collect()}
+    assert stats["item"] == (1, 1) and stats["character"][1] == sum(r["type"] == "character" for r in out["entities"].select("type").collect())
+
+
+def test_names_meet_chapters_by_pairs(spark):
+    ch = chapters(spark, "许七安来了，许宁宴走了。许宁宴笑", "许七安", "a", "", None)
+    names = spark.createDataFrame([("许七安",), ("许宁宴",), ("许",), ("a",), ("安来",), ("无人",)], "name string")
+    rows = lambda d: sorted(map(repr, d.collect()))
+    assert rows(S.exact_mentions(ch, names)) == rows(S.exact_mentions(ch, names, few=0)) and S.exact_mentions(ch, names, few=0).count() == 5
+
+
 def test_uniqueness_against_sets(spark):
     ch = chapters(spark, "甲乙丙丁戊", "甲乙己庚", "辛壬")
     m = spark.createDataFrame([("b", "item", "x", 0, 2)], "book_id string, type string, text string, chapter_index int, position int")

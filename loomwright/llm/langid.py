@@ -52,7 +52,7 @@ class _Grams:
 
     def __init__(self) -> None:
         self.place: dict[int, int] = {}
-        self.rows = np.empty((_CACHED_GRAMS, DIMS), np.float32)
+        self.rows = np.empty((_CACHED_GRAMS, DIMS), np.int8)
 
     def of(self, codes: list[int]) -> np.ndarray:
         if len(self.place) + len(codes) > _CACHED_GRAMS:
@@ -63,7 +63,7 @@ class _Grams:
             if c not in self.place:
                 self.place[c] = len(self.place)
                 self.rows[self.place[c]] = _gram_vector(c)
-        return self.rows[[self.place[c] for c in codes]]
+        return self.rows[[self.place[c] for c in codes]].astype(np.float32)
 
 
 @lru_cache(maxsize=1)
@@ -113,8 +113,8 @@ def _bundles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             return
         owners = np.concatenate([np.full(len(c), k, np.int64) for k, (_, c) in enumerate(block)])
         grams, where = np.unique(np.concatenate([c for _, c in block]), return_inverse=True)
-        for lo in range(0, len(grams), _CACHED_GRAMS // 2):
-            hi = min(len(grams), lo + _CACHED_GRAMS // 2)
+        for lo in range(0, len(grams), _CACHED_GRAMS // 4):
+            hi = min(len(grams), lo + _CACHED_GRAMS // 4)
             mine = (where >= lo) & (where < hi)
             counts = np.bincount(owners[mine] * (hi - lo) + where[mine] - lo, minlength=len(block) * (hi - lo))
             add = counts.reshape(len(block), hi - lo).astype(np.float32) @ _grams().of(grams[lo:hi].tolist())

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, near_dedup, packing, quality, secret_scan, token_output, url_filter, warc
+from . import exact_dedup, filter_audit, langid, mixing, near_dedup, packing, quality, secret_scan, token_output, url_filter, warc
 from .common import documents, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,7 +62,11 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_exact_dedup, op4_minhash_near_dedup, op5_secret_scan, op6_best_fit_packing, op7_url_filter, op8_warc, op9_quality_rules, op10_token_output)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES |= {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_exact_dedup, op4_minhash_near_dedup, op5_secret_scan, op6_best_fit_packing, op7_url_filter, op8_warc, op9_quality_rules, op10_token_output, op11_filter_audit)}
 
 ORACLE_SQL["op3_exact_dedup"] = r"""
 WITH t AS (
@@ -128,3 +132,38 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
        CASE WHEN page_id <> first THEN first END AS refers_to
 FROM f
 """
+
+ORACLE_SQL["op11_filter_audit"] = r"""
+WITH d AS (SELECT coalesce(source, '') AS part, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY text) AS first_id FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         map {'A': len(ws) < 50, 'B': 100 * len(list_distinct(ws)) < 65 * len(ws),
+              'C': 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text),
+              'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(doc_id > first_id, false)} AS fails
+  FROM w LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders),
+r AS (
+  SELECT part, filter_order, step, n, good, toxic, fails[filter_order[step]] AS own,
+         len(list_filter(range(1, step), lambda k: fails[filter_order[k]])) > 0 AS earlier,
+         len(list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: fails[x])) AS n_failed
+  FROM g, steps),
+t AS (
+  SELECT part, filter_order, step,
+         sum(CASE WHEN NOT earlier AND NOT own THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN NOT earlier AND own THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN earlier AND own THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN own AND n_failed = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN NOT earlier AND own AND good THEN n ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN NOT earlier AND own AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost
+  FROM r GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS shapley
+FROM t
+"""

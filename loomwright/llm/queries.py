@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, filter_audit, langid, mixing, near_dedup, packing, quality, secret_scan, token_output, url_filter, warc
+from . import exact_dedup, filter_audit, langid, mixing, near_dedup, packing, prefix_trie, quality, secret_scan, token_output, url_filter, warc
 from .common import documents, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,7 +66,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_exact_dedup, op4_minhash_near_dedup, op5_secret_scan, op6_best_fit_packing, op7_url_filter, op8_warc, op9_quality_rules, op10_token_output, op11_filter_audit)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES |= {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_exact_dedup, op4_minhash_near_dedup, op5_secret_scan, op6_best_fit_packing, op7_url_filter, op8_warc, op9_quality_rules, op10_token_output, op11_filter_audit, op13_prefix_trie)}
 
 ORACLE_SQL["op3_exact_dedup"] = r"""
 WITH t AS (
@@ -167,3 +171,30 @@ SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, uniq
        (sum(removed) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS shapley
 FROM t
 """
+
+ORACLE_SQL["op13_prefix_trie"] = r"""
+WITH own AS (
+  SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS x
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+crc AS (
+  SELECT c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda b: ascii(b)::BIGINT)),
+    lambda acc, b: list_reduce(list_prepend(xor(acc, b), range(8)), lambda r, k: xor(r >> 1, (r & 1) * 3988292384))), 4294967295) % 6 AS h
+  FROM own),
+z AS (
+  SELECT own.c, list_concat(coalesce(base.x[1 : h], []), own.x[h + 1 :]) AS z
+  FROM own JOIN crc USING (c) LEFT JOIN own base ON base.c = own.c - own.c % 100),
+p AS (SELECT c, len(z) AS n, z, unnest(range(0, len(z) + 1)) AS d FROM z),
+m AS (SELECT c, d, n, md5(z[1 : d]::VARCHAR) AS node, CASE WHEN d > 0 THEN md5(z[1 : d - 1]::VARCHAR) END AS parent, CASE WHEN d > 0 THEN length(z[d].t) ELSE 0 END AS cp FROM p),
+nodes AS (
+  SELECT d, node, any_value(parent) AS parent, any_value(cp) AS cp, min(c) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256
+  FROM m GROUP BY d, node),
+kids AS (SELECT d - 1 AS d, parent AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+full_ AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (d, node)),
+below AS (
+  SELECT a.d, a.node, f.d AS bd, f.node AS bnode, any_value(f.n_children) AS k, any_value((f.n_convs - 1) * f.cp) AS w
+  FROM m a JOIN m b ON a.c = b.c AND b.d >= a.d JOIN full_ f ON f.d = b.d AND f.node = b.node GROUP BY ALL),
+sums AS (SELECT d, node, count(*) FILTER (k = 0) AS n_leaves, sum(w)::BIGINT AS saved_tokens FROM below GROUP BY ALL)
+SELECT f.conv_id, f.d AS depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+FROM full_ f JOIN sums USING (d, node) LEFT JOIN full_ up ON up.d = f.d - 1 AND up.node = f.parent
+"""

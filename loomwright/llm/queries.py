@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, filter_audit, langid, mixing, near_dedup, packing, prefix_trie, quality, secret_scan, token_output, url_filter, warc
+from . import exact_dedup, filter_audit, langid, mixing, multi_index, near_dedup, packing, prefix_trie, quality, secret_scan, token_output, url_filter, warc
 from .common import documents, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,11 +66,15 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 20 == 0)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_exact_dedup, op4_minhash_near_dedup, op5_secret_scan, op6_best_fit_packing, op7_url_filter, op8_warc, op9_quality_rules, op10_token_output, op11_filter_audit, op13_prefix_trie)}
+QUERIES |= {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_exact_dedup, op4_minhash_near_dedup, op5_secret_scan, op6_best_fit_packing, op7_url_filter, op8_warc, op9_quality_rules, op10_token_output, op11_filter_audit, op12_nearest_neighbours, op13_prefix_trie)}
 
 ORACLE_SQL["op3_exact_dedup"] = r"""
 WITH t AS (

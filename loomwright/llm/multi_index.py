@@ -42,7 +42,7 @@ SAMPLE = 50_000
 PER_CELL, MOST_CENTROIDS = 12, 1024
 ROUNDS = 8
 PROBES, AIMED = 256, 0.95
-SHARD = 8192
+SHARD = 2048
 #: Queries of a shard that are scored at once.
 QUERIES = 256
 

@@ -1074,10 +1074,7 @@ def _sorted_search(order: str, sql_order: str):
     def run(spark, sf):
         k = F.col("c_custkey")
         rows = _t(spark, sf, "customer").select(k.alias("id"), F.col("c_name").alias("name"), F.array("c_mktsegment").alias("aliases"), F.col("c_acctbal").alias("confidence"), (k % 50).alias("mention_count"), F.when(k % 3 > 0, k % 20).alias("first_chapter"))
-        # The place of a row in the order that the search gives.
-        out = tables.searched(rows, "BUILD", order)
-        by = {"confidence": [F.desc("confidence")], "mentions": [F.desc("mention_count")], "first_chapter": [F.asc_nulls_last("first_chapter")], "name": ["name"]}[order]
-        return out.select("id", F.row_number().over(Window.orderBy(*by, "id")).alias("place"))
+        return tables.numbered(tables.searched(rows, "BUILD", order), tables.search_order(order)).select("id", "place")
 
     for store in (catalog.QUERIES, catalog.ORACLE_SQL):
         store[f"search_by_{order}"] = store.pop("run")
@@ -1131,22 +1128,52 @@ def windowed_events(spark, sf):
 _CATEGORY_SQL = catalog._SUSPECTS
 
 
-@query(f"WITH {_CATEGORY_SQL}, chx AS (SELECT doc_id, c AS chapter_index, c * 20 + 1 AS a, c * 20 + 20 AS z FROM (SELECT doc_id, unnest(range(0, 30)) AS c FROM documents)) SELECT b.doc_id, chapter_index, line_num, category FROM b JOIN chx ON chx.doc_id = b.doc_id AND line_num BETWEEN a AND z")
+@query(f"WITH {_CATEGORY_SQL}, chx AS (SELECT doc_id, c AS chapter_index, c * 20 + 1 AS a, c * 20 + 20 AS z FROM (SELECT doc_id, unnest(range(0, (len(string_split(coalesce(text, ''), chr(10))) + 19) // 20)) AS c FROM documents)) SELECT b.doc_id, chapter_index, line_num, category FROM b JOIN chx ON chx.doc_id = b.doc_id AND line_num BETWEEN a AND z")
 def noise_by_chapter(spark, sf):
     docs = _t(spark, sf, "documents")
-    chaps = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("chapter_index")).withColumns({"start_line": F.col("chapter_index") * 20 + 1, "end_line": F.col("chapter_index") * 20 + 20})
+    n_chapters = F.ceil(F.size(F.split(F.coalesce("text", F.lit("")), "\n")) / 20).cast("int")
+    chaps = docs.select("doc_id", F.explode(F.sequence(F.lit(0), n_chapters - 1)).alias("chapter_index")).withColumns({"start_line": F.col("chapter_index") * 20 + 1, "end_line": F.col("chapter_index") * 20 + 20})
     return noise.in_range(noise.detect(docs, lex=catalog.LATIN), chaps).select("doc_id", "chapter_index", "line_num", "category")
 
 
-@query("""WITH o AS (SELECT doc_id, coalesce(text, '') || repeat(chr(10) || chr(10) || chr(10) || 'one more line' || chr(10) || 'the same tail', 4) AS t FROM documents WHERE NOT contains(coalesce(text, ''), chr(10) || chr(10) || chr(10))) SELECT doc_id, 4::BIGINT AS n_tails FROM o""")
+_TAILS = "repeat(chr(10) || chr(10) || chr(10) || 'one more line' || chr(10) || 'the same tail', 4)"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || " + " || ".join(f"chr({ord(c)})" for c in T.IRREGULAR_SPACES + "\ufeff")
+
+
+@query(f"""WITH o AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN repeat(chr(10) || chr(10) || chr(10) || 'section', (doc_id % 9)::INTEGER) ELSE '' END || {_TAILS} AS t FROM documents),
+s AS (SELECT doc_id, unnest(string_split(t, chr(10) || chr(10) || chr(10))) AS s FROM o),
+b AS (SELECT doc_id, string_split(trim(s, {_BLANKS}), chr(10)) AS l FROM s WHERE trim(s, {_BLANKS}) <> ''),
+n AS (SELECT doc_id, count(*) AS sections FROM b GROUP BY doc_id),
+u AS (SELECT doc_id, trim(unnest(l[greatest(len(l) - 4, 1) :]), {_BLANKS}) AS tail FROM b),
+r AS (SELECT doc_id, tail FROM u JOIN n USING (doc_id) WHERE length(tail) > 3 AND sections >= 4 GROUP BY doc_id, tail, sections HAVING 2 * count(*) >= sections),
+x AS (SELECT doc_id, trim(unnest(string_split(t, chr(10))), {_BLANKS}) AS line FROM o)
+SELECT o.doc_id, (SELECT count(*) FROM x WHERE x.doc_id = o.doc_id AND line IN ('the same tail', 'one more line') AND (x.doc_id, line) IN (SELECT doc_id, tail FROM r)) AS n_tails,
+       (SELECT count(*) FROM r WHERE r.doc_id = o.doc_id) AS n_kinds FROM o""")
 def aggressive_cleaning(spark, sf):
-    """Documents with four sections of one tail: only aggressive cleaning takes the tails (of both lines)."""
-    docs = _t(spark, sf, "documents").filter(~F.contains(F.coalesce("text", F.lit("")), F.lit("\n\n\n")))
-    text = F.concat(F.coalesce("text", F.lit("")), F.repeat(F.lit("\n\n\none more line\nthe same tail"), F.lit(4)))
-    docs = docs.select("doc_id", text.alias("text"))
+    """Each document, some with more sections, and four sections of one tail behind it: where these are half of all, aggressive cleaning alone takes their lines."""
+    more = F.when(F.col("doc_id") % 3 == 0, F.repeat(F.lit("\n\n\nsection"), (F.col("doc_id") % 9).cast("int"))).otherwise("")
+    text = F.concat(F.coalesce("text", F.lit("")), more, F.repeat(F.lit("\n\n\none more line\nthe same tail"), F.lit(4)))
+    docs = _t(spark, sf, "documents").select("doc_id", text.alias("text"))
     some, none = noise.cleaned(docs, aggressive=True), noise.cleaned(docs)
-    left = lambda c: F.regexp_count(c, F.lit("the same tail"))
-    return none.select("doc_id", left("text").alias("n")).join(some.select("doc_id", left("text").alias("m")), "doc_id").select("doc_id", (F.col("n") - F.col("m")).cast("long").alias("n_tails"))
+    left = lambda c: F.regexp_count(c, F.lit("(?m)^(?:the same tail|one more line)$")).cast("long")
+    kinds = noise.repeated_tails(docs).groupBy("doc_id").agg(F.count("*").alias("n_kinds"))
+    both = none.select("doc_id", left("text").alias("n")).join(some.select("doc_id", left("text").alias("m")), "doc_id").join(kinds, "doc_id", "left")
+    return both.select("doc_id", (F.col("n") - F.col("m")).alias("n_tails"), F.coalesce("n_kinds", F.lit(0)).cast("long").alias("n_kinds"))
+
+
+_MIGRATED = "SELECT o_orderkey AS id, o_custkey, CASE WHEN o_orderkey % 997 = 0 THEN 'changed' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 1499 <> 0 UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 2003 = 0 AND o_orderkey % 1499 <> 0"
+
+
+@query(f"""WITH a AS (SELECT o_orderkey AS id, o_custkey, o_orderstatus AS status FROM orders), b AS ({_MIGRATED}),
+x AS (SELECT *, count(*) AS n FROM a GROUP BY ALL), y AS (SELECT *, count(*) AS n FROM b GROUP BY ALL),
+d AS (SELECT DISTINCT coalesce(x.id, y.id) // 100 AS range FROM x FULL JOIN y ON x.id = y.id AND x.o_custkey = y.o_custkey AND x.status = y.status AND x.n = y.n WHERE x.id IS NULL OR y.id IS NULL)
+SELECT range, (SELECT count(*) FROM a WHERE id // 100 = range) AS "left", (SELECT count(*) FROM b WHERE id // 100 = range) AS "right" FROM d""")
+def differing_ranges(spark, sf):
+    """Orders after a migration that lost, doubled and changed some rows: the key ranges that do not match."""
+    rows = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", F.col("o_orderstatus").alias("status"))
+    held = rows.filter("id % 1499 <> 0")
+    moved = held.withColumn("status", F.when(F.col("id") % 997 == 0, "changed").otherwise(F.col("status"))).unionByName(held.filter("id % 2003 = 0"))
+    return tables.differing_ranges(rows, moved, "id", 100)
 
 
 # -- whole scans and resolution -------------------------------------------------

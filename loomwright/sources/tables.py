@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 
 def by_book(rows: DataFrame, book=None, order: list[Column] | None = None, **equal) -> DataFrame:
     """Rows of a book with equal columns (status, tier, ...), in the order asked for."""
@@ -50,6 +52,57 @@ def parity(a: DataFrame, b: DataFrame) -> dict[str, int]:
     return {"left": a.count(), "right": b.count(), "only_left": a.exceptAll(b).count(), "only_right": b.exceptAll(a).count()}
 
 
+def fingerprints(rows: DataFrame, key: str, width: int = 1000, columns: list[str] | None = None) -> DataFrame:
+    """``range, n, h0 .. h3``: for each range of ``width`` keys the number of its rows and the sums of their hashes.
+
+    Sums hang neither on the order nor on the partitions of the rows, and those of a coarser range are sums of finer ones, so a
+    table's fingerprint is made by one aggregation that combines before its shuffle. Repeated rows count each, and nulls are
+    values of their own. Two 64-bit hashes under different seeds are summed by halves, which cannot overflow. The rows of a null
+    key are a range of their own (null).
+    """
+    told = F.to_json(F.struct(*(columns or sorted(rows.columns))), {"ignoreNullFields": "false"})
+    hashes = [F.xxhash64(F.lit(seed), told) for seed in (17, 71)]
+    halves = [x for h in hashes for x in (h.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(h, 32))]
+    keyed = rows.select(F.floor(F.col(key) / width).cast("long").alias("range"), *[x.alias(f"h{k}") for k, x in enumerate(halves)])
+    return keyed.groupBy("range").agg(F.count("*").alias("n"), *[F.sum(f"h{k}").alias(f"h{k}") for k in range(len(halves))])
+
+
+def coarser(prints: DataFrame, times: int) -> DataFrame:
+    """Fingerprints of ranges ``times`` as wide."""
+    sums = [c for c in prints.columns if c != "range"]
+    return prints.groupBy(F.floor(F.col("range") / times).cast("long").alias("range")).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def differing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``range, left, right``: the ranges whose fingerprints differ, with the rows of either side."""
+    sums = [c for c in a.columns if c.startswith("h")]
+    right = b.select(F.col("range").alias("_r"), F.col("n").alias("_n"), *[F.col(c).alias(f"_{c}") for c in sums])
+    both = a.join(right, F.col("range").eqNullSafe(F.col("_r")), "full")
+    same = F.lit(True)
+    for c in ("n", *sums):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    zero = F.lit(0).cast("long")
+    return both.filter(~same).select(F.coalesce("range", "_r").alias("range"), F.coalesce("n", zero).alias("left"), F.coalesce("_n", zero).alias("right"))
+
+
+def differing_ranges(a: DataFrame, b: DataFrame, key: str, width: int = 1000, times: int = 16) -> DataFrame:
+    """``differing`` of two tables, from coarse to fine: fine ranges are compared only inside coarse ones that differ. Each table is read once."""
+    fine = [kept(fingerprints(t, key, width, sorted(a.columns))) for t in (a, b)]
+    top = differing(*[coarser(x, times) for x in fine]).select(F.col("range").alias("_top"))
+    inside = [x.join(top, F.floor(F.col("range") / times).cast("long").eqNullSafe(F.col("_top")), "left_semi") for x in fine]
+    return differing(*inside)
+
+
+def numbered(rows: DataFrame, order: list[Column], out: str = "place") -> DataFrame:
+    """Rows with their place in a global order, from 1: sorted by ranges, and the partitions' sizes added up; no task sees all rows."""
+    in_part = (1 << 33) - 1  # the bits in which Spark's increasing ids count the rows of a partition
+    at = kept(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    sizes = at.groupBy(F.shiftright("_at", 33).alias("_p")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # a row a partition
+    places = at.withColumn("_p", F.shiftright("_at", 33)).join(F.broadcast(before), "_p")
+    return places.withColumn(out, F.col("_before") + F.col("_at").bitwiseAND(in_part) + 1).drop("_p", "_at", "_before")
+
+
 def count_report(rows: DataFrame, keys: list[str], distinct: str) -> DataFrame:
     """Rows of each key, and how many different values of ``distinct`` they have."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct(distinct).alias(f"n_{distinct}"))
@@ -83,8 +136,12 @@ def searched(rows: DataFrame, text: str, order: str = "confidence") -> DataFrame
     """Rows whose name or aliases hold ``text`` (any case), by confidence, mentions, first chapter (nulls last) or name (Chinese order)."""
     low = F.lit(text.lower())
     hit = F.contains(F.lower("name"), low) | F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.contains(F.lower(a), low))
-    by = {"confidence": [F.desc("confidence")], "mentions": [F.desc("mention_count")], "first_chapter": [F.asc_nulls_last("first_chapter")], "name": [F.collate("name", "zh")]}[order]
-    return rows.filter(hit).orderBy(*by, "id")
+    return rows.filter(hit).orderBy(*search_order(order))
+
+
+def search_order(order: str) -> list[Column]:
+    by = {"confidence": F.desc("confidence"), "mentions": F.desc("mention_count"), "first_chapter": F.asc_nulls_last("first_chapter"), "name": F.collate("name", "zh")}[order]
+    return [by, F.col("id")]
 
 
 def stage_progress(tasks: DataFrame, weights: dict[str, int]) -> DataFrame:

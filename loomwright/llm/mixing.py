@@ -11,8 +11,9 @@ list of the steps' vectors.
 
 Classifier: naive Bayes on the presence of marks, which are words chosen by their log odds between domains on a bounded
 sample of labelled rows, and the text's symbol, capital and repetition levels. Marks go together, which makes naive Bayes too
-sure; ``calibrate`` scales its logits by the factor of the least log loss on a fifth of the sample that the counts leave out.
-That is a choice, as targets that sure posteriors can meet may lie out of reach of calibrated ones.
+sure. So its logits are scaled and shifted on a part of the sample that the counts leave out: by the factor of the least log
+loss, each with the shifts at which the domains' expected tokens are those of the labels there. Targets that too sure posteriors
+seem to meet may then be out of reach; they are met as nearly as can be, with a warning, and what is expected is what comes.
 
 Defined cases: null text is empty, has 0 tokens and the posteriors of its marks; null labels are not used; with no labelled
 rows every document has rate 1 and equal posteriors; repeated rows get rates of their own; of rows with one labelled id the
@@ -22,6 +23,7 @@ no rates can meet are met as closely as the objective says; a fit that misses it
 
 from __future__ import annotations
 
+import math
 import warnings
 from functools import reduce
 
@@ -40,7 +42,8 @@ LENGTHS_FREE, LENGTHS_ALL = (0.25, 1.0), (1.0, 8.0, 64.0)
 #: Share of all tokens by which a domain may miss its target without a warning.
 MISS = 1e-3
 PRIOR = 1.0
-#: Factors of the logits that are tried.
+#: Share of the labelled sample that calibrates, one in so many rows; turns in which its shifts settle; factors of the logits that are tried.
+HELD, TURNS = 3, 60
 SCALES = (1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.07, 0.05)
 
 
@@ -71,10 +74,11 @@ def with_marks(df: DataFrame, text: Column, words: str, levels: str, tokens: str
 
 
 class Classifier:
-    """``scale * (base[d] + sum of weights[mark][d])`` over the marks of a text, then a softmax."""
+    """``scale * (base[d] + sum of weights[mark][d]) + shift[d]`` over the marks of a text, then a softmax."""
 
-    def __init__(self, domains: list[str], base: list[float], weights: dict[str, list[float]], scale: float = 1.0) -> None:
+    def __init__(self, domains: list[str], base: list[float], weights: dict[str, list[float]], scale: float = 1.0, shift: list[float] | None = None) -> None:
         self.domains, self.base, self.weights, self.scale = domains, base, weights, scale
+        self.shift = shift or [0.0] * len(domains)
 
     def with_logits(self, df: DataFrame, marks: str, names: list[str]) -> DataFrame:
         """Adds a column for each domain, unscaled."""
@@ -89,27 +93,44 @@ class Classifier:
         df = df.withColumn(h, F.concat(F.array_intersect(m, known), F.col(v))).drop(m, v)
         names = [f"{e}{k}" for k in range(len(self.domains))]
         df = self.with_logits(df, h, names).drop(h)
+        df = df.withColumns({n: self.scale * F.col(n) + b for n, b in zip(names, self.shift, strict=True)})
         most = F.greatest(*names) if len(names) > 1 else F.col(names[0])
-        df = df.withColumns({f"{n}e": F.exp(self.scale * (F.col(n) - most)) for n in names})
+        df = df.withColumns({f"{n}e": F.exp(F.col(n) - most) for n in names})
         total = reduce(lambda a, b: a + b, [F.col(f"{n}e") for n in names])
         return df.withColumn(posteriors, F.array(*[F.col(f"{n}e") / total for n in names])).drop(*names, *[f"{n}e" for n in names])
 
     def calibrated(self, rows: DataFrame) -> Classifier:
-        """With the scale of the least log loss on rows ``m`` (marks), ``d`` (domain)."""
+        """Scaled and shifted by labelled rows ``m`` (marks), ``d`` (domain), ``n`` (tokens), which are as few as the labelled sample."""
         names = [f"z{k}" for k in range(len(self.domains))]
-        rows = self.with_logits(rows, "m", names)
-        own = F.coalesce(*[F.when(F.col("d") == x, F.col(n)) for x, n in zip(self.domains, names, strict=True)])
-        most = F.greatest(*names) if len(names) > 1 else F.col(names[0])
-        loss = lambda s: F.log(reduce(lambda a, b: a + b, [F.exp(s * (F.col(n) - most)) for n in names])) + s * (most - own)
-        told = rows.agg(*[F.avg(loss(s)).alias(f"l{k}") for k, s in enumerate(SCALES)]).first()
-        known = [(told[f"l{k}"], k) for k in range(len(SCALES)) if told[f"l{k}"] is not None]
-        return Classifier(self.domains, self.base, self.weights, SCALES[min(known)[1]] if known else 1.0)
-
-
-def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", bound: int = LABELLED_ROWS, calibrate: bool = False) -> Classifier:
-    """Fits on about ``bound`` rows of ``labelled`` (id, domain); only counts of marks by domain reach the driver."""
-    import math
-
+        told = self.with_logits(rows, "m", names).select("d", "n", *names).collect()
+        seen = [([r[n] for n in names], self.domains.index(r["d"]), max(1, r["n"])) for r in told]
+        if not seen:
+            return self
+        tokens = [sum(w for _, d, w in seen if d == k) + PRIOR for k in range(len(names))]
+        loss, scale, shift = min(_calibration(seen, tokens, s) for s in SCALES)
+        return Classifier(self.domains, self.base, self.weights, scale, shift)
+
+
+def _calibration(seen: list[tuple[list[float], int, int]], tokens: list[float], scale: float) -> tuple[float, float, list[float]]:
+    """For one factor the log loss a token, and the shifts that make the expected tokens of each domain those seen."""
+    shift = [0.0] * len(tokens)
+    for turn in range(TURNS + 1):
+        expected, loss = [PRIOR] * len(tokens), 0.0
+        for z, own, w in seen:
+            x = [scale * a + b for a, b in zip(z, shift, strict=True)]
+            most = max(x)
+            e = [math.exp(a - most) for a in x]
+            total = sum(e)
+            loss -= w * (x[own] - most - math.log(total))
+            for k, a in enumerate(e):
+                expected[k] += w * a / total
+        if turn < TURNS:
+            shift = [b + math.log(t / a) for b, t, a in zip(shift, tokens, expected, strict=True)]
+    return loss / sum(w for *_, w in seen), scale, shift
+
+
+def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", bound: int = LABELLED_ROWS, calibrate: bool = True) -> Classifier:
+    """Fits on about ``bound`` rows of ``labelled`` (id, domain); only counts of marks by domain reach the driver, and the logits of the rows that calibrate."""
     rows = labelled.select(whole_number(labelled, id_col).alias("i"), F.col(f"`{domain_col}`").cast("string").alias("d")).filter(F.col("i").isNotNull() & F.col("d").isin(domains)).distinct()
     n = rows.count()
     if not n:
@@ -119,7 +140,7 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str =
     # About ``bound`` distinct ids (16 bytes a row) are broadcast; one text of each is kept.
     texts = docs.select(whole_number(docs, id_col).alias("i"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t")).join(F.broadcast(picked), "i")
     texts = texts.groupBy("i", "d").agg(F.min("t").alias("t"))
-    every = written(with_marks(texts, F.col("t"), "w", "v", "n").select("d", F.concat("w", "v").alias("m"), (F.pmod(F.xxhash64("i", F.lit(3)), F.lit(5)) == 0).alias("held")), "labelled")
+    every = written(with_marks(texts, F.col("t"), "w", "v", "n").select("d", "n", F.concat("w", "v").alias("m"), (F.pmod(F.xxhash64("i", F.lit(3)), F.lit(HELD)) == 0).alias("held")), "labelled")
     seen = every.filter("not held") if calibrate else every
     totals = {r["d"]: r["n"] for r in seen.groupBy("d").agg(F.count("*").alias("n")).collect()}
     if not totals:
@@ -202,9 +223,10 @@ def solve(table: DataFrame, n_domains: int, targets: dict[int, float] | None, mu
     if targets and not multipliers and least >= 1:
         shares = [x / total for x in goal]
         a, b = ([sum(inverse[k][j] * x[j] for j in d) for k in d] for x in (now, shares))
-        if min(b) <= 0 or min(now) <= 1e-6 * total:
+        if min(now) <= 1e-6 * total:
             return [], goal, max(abs(x / total - y) for x, y in zip(now, shares, strict=True))
-        grown = max(x / y for x, y in zip(a, b, strict=True))
+        # Where no rates of the form 1 plus a sum of the posteriors meet the shares, the total stays and they are met as nearly as can be.
+        grown = max(x / y for x, y in zip(a, b, strict=True)) if min(b) > 0 else total
         goal = [grown * x for x in shares]
         total = grown
     free = whole
@@ -230,7 +252,7 @@ def solve(table: DataFrame, n_domains: int, targets: dict[int, float] | None, mu
     return steps, goal, max(abs(a - b) for a, b in zip(now, goal, strict=True)) / total
 
 
-def mix(docs: DataFrame, labelled: DataFrame, domains: list[str], targets: dict[str, float] | None = None, multipliers: dict[str, float] | None = None, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None, calibrate: bool = False) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, domains: list[str], targets: dict[str, float] | None = None, multipliers: dict[str, float] | None = None, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None, calibrate: bool = True) -> DataFrame:
     """``columns`` of ``docs`` (all by default) with ``n_tokens``, ``posteriors`` (in the order of ``domains``) and ``rate``.
 
     The posteriors are computed once and written with those columns; the fit reads two of the table's columns, and no

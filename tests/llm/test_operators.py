@@ -161,6 +161,19 @@ def test_log_loss_on_held_out_labels(spark):
     assert len(rows) >= 100 and loss[False] < plain and loss[True] < 0.65 * plain
 
 
+def test_true_shares_of_held_out_documents(spark):
+    """The mixture by the labels themselves, on documents that neither the counts nor the calibration have seen."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), mixing.domains_of(spark.read.parquet(f"{sf}/labels.parquet"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 0
+    rows = mixing.mix(docs, labels.filter(~held), mixing.DOMAINS, mixing.TARGETS, columns=["doc_id"]).join(labels.filter(held), "doc_id").select("domain", "n_tokens", "rate").collect()
+    total = sum(r["n_tokens"] * r["rate"] for r in rows)
+    shares = {d: sum(r["n_tokens"] * r["rate"] for r in rows if r["domain"] == d) / total for d in mixing.DOMAINS}
+    before = {d: sum(r["n_tokens"] for r in rows if r["domain"] == d) / sum(r["n_tokens"] for r in rows) for d in mixing.DOMAINS}
+    print(before, shares)
+    assert all(abs(shares[d] - mixing.TARGETS[d]) <= 0.03 for d in mixing.DOMAINS) and shares["toxic"] < 0.6 * before["toxic"]
+
+
 def test_mixing_edges(spark):
     docs = spark.createDataFrame([(1, "a b", "x"), (2, None, "y"), (None, "", "z"), (1, "a b", "x")], "doc_id long, text string, rate string")
     labels = spark.createDataFrame([(1, "good"), (2, None), (None, "low"), (9, "toxic")], "doc_id long, domain string")

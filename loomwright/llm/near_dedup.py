@@ -15,6 +15,11 @@ buckets' blocks twice. First with their registers alone: a task tells which of i
 elements that no other class has nor the likelihood exclude. Only those get their full sets, in blocks of bounded bytes,
 where a pair is verified unless it is in one component already. Only joins of components leave such a task.
 
+Buckets of more than ``BLOCK`` classes (pages of one template that are not near-duplicates share most of their bands) are not
+compared all with all. Their classes are keyed anew by the elements of their prefixes: with the elements in one order, rarest
+first, two sets of similarity ``t`` share one of the first ``n - ceil(t * n) + 1`` elements of either. So pages meet by what is
+rare in them and not by their template, and no link is lost. Elements that the same classes have in their prefixes count once.
+
 Elements are 64-bit hashes under a key that each run draws anew (long words go through BLAKE2), so that nobody can write
 texts that collide in it; that two shingles of a pair of documents collide by chance has a probability of about the product of
 their sizes over 2^64. A class is named by a 128-bit BLAKE2 digest of its set.
@@ -50,6 +55,8 @@ EXCLUDE = 20.0
 BROADCAST_ROWS = 1_000_000
 #: Members of a bucket that one task compares by registers; larger buckets are compared block by block, in a task a pair of blocks.
 BLOCK = 256
+#: Standard deviations by which the equal registers of a pair may fall short of the threshold before its likelihood need not be asked.
+FEW_EQUAL = 8
 #: Elements (8 bytes each) of the full sets of one block.
 ELEMENTS = 4 << 20
 
@@ -240,6 +247,30 @@ def _unshared(sets: DataFrame) -> DataFrame:
     return alone.groupBy("node").agg(F.count("*").alias("u"))
 
 
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """``node, key``: the elements by which classes are to be compared that may be linked (their prefixes), without those that one class alone has there.
+
+    Of elements that the same classes have, one stands for all: told by their number and two sums of hashes of their names.
+    """
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, s in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                e = np.frombuffer(s.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), node, np.int64)), pa.array(e)], names=["node", "e"])
+
+    elements = sets.select("node", "s").mapInArrow(explode, "node long, e long")
+    often = elements.groupBy("e").agg(F.count("*").alias("df"))
+    ranked = elements.join(often, "e").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("x"))
+    n = F.size("x")
+    length = n - F.ceil(percent * n / F.lit(100)).cast("int") + 1
+    first = written(ranked.select("node", F.explode(F.filter(F.slice("x", F.lit(1), length), lambda x: x["df"] > 1)).alias("x")).select("node", F.col("x.e").alias("e")), "prefixes")
+    half = [F.xxhash64(F.lit(seed), "node").bitwiseAND(0xFFFFFFFF) for seed in (5, 6)]
+    lists = first.groupBy("e").agg(F.count("*").alias("n"), *[F.sum(h).alias(f"h{k}") for k, h in enumerate(half)]).filter("n > 1")
+    one = lists.groupBy("n", "h0", "h1").agg(F.min("e").alias("e")).select("e")
+    return first.join(one, "e").select("node", F.col("e").alias("key"))
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of each pair of blocks, from rows in the order of ``band, key, lo, hi``."""
     group: list[pa.RecordBatch] = []
@@ -282,6 +313,9 @@ class _Block:
         if self.across:
             ok &= self.block[:i] != self.block[i]
         at = np.flatnonzero(ok)
+        share = percent / 100
+        equal = REGISTERS * share - FEW_EQUAL * np.sqrt(REGISTERS * share * (1 - share))
+        at = at[(self.registers[at] == self.registers[i]).sum(axis=1) >= equal]
         if self.band:
             at = at[~(self.bands[at, : self.band] == self.bands[i, : self.band]).any(axis=1)]
         if not len(at):
@@ -398,8 +432,13 @@ def near_duplicates(
     if not open_.isEmpty():
         lonely = _unshared(sets.join(open_.select("node").distinct(), "node", "left_semi"))
         known = regs.join(lonely, "node", "left").withColumn("f", F.col("n") - F.coalesce("u", F.lit(0))).filter(100 * F.col("f") >= percent * F.col("n"))
-        rows = _mixed(open_.drop("c").join(known.select("node", "n", "f", "regs"), "node"))
+        rows = written(_mixed(open_.drop("c").join(known.select("node", "n", "f", "regs"), "node")), "buckets")
         told = ["node", "label", "n", "f", "regs"]
+        hot = rows.filter(F.col("c") > BLOCK)
+        if not hot.isEmpty():
+            hot = written(hot.select(*told).dropDuplicates(["node"]), "hot")
+            again = _prefixes(sets.join(hot.select("node"), "node", "left_semi"), percent).join(hot, "node").select(F.lit(0).alias("band"), "key", *told)
+            rows = rows.filter(F.col("c") <= BLOCK).unionByName(_mixed(again).select(*rows.columns))
         alive = _dealt(rows, F.ceil(F.col("c") / BLOCK), told).mapInArrow(_alive(percent), "band int, key long, node long, label long, n long, f long")
         alive = written(alive.distinct(), "alive")
         if not alive.isEmpty():

@@ -236,3 +236,27 @@ def test_components_of_a_sorted_chain(spark):
 def test_components_of_a_star(spark):
     edges, turns = [(k, 500) for k in range(300) if k != 500] + [(500, 600 + k) for k in range(300)], []
     assert {r["c"] for r in N.components(spark.createDataFrame(edges, "a long, b long"), turns).collect()} == {0} and len(turns) <= 2
+
+
+def test_pages_of_one_template(spark):
+    """More classes than a block in hot bands, few of them linked: they meet by their prefixes, as brute force has it."""
+    r = random.Random(1)
+    words = lambda n: [f"w{r.randint(0, 5000)}" for _ in range(n)]
+    head, pool = words(140), [words(10) for _ in range(30)]
+    docs = [(k, " ".join(head + [x for p in r.sample(pool, 6) for x in p])) for k in range(400)]
+    docs += [(1000 + k, docs[7 * k][1] + " z" * (1 + k % 3)) for k in range(40)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in docs}
+    least = {i: i for i in sets}
+
+    def root(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                least[y] = x
+    out = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent=85).collect()}
+    assert out == {i: root(i) for i in sets} and len(set(out.values())) < 410

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
-from .scanners import CJK, Pattern, likely_name, regex_scan
+from .offsets import Pattern
+from .scanners import CJK, likely_name, regex_scan
 
 # Words and patterns.
 PRONOUNS_ZH = {"male": ("他们的", "他们", "他的", "他"), "female": ("她们", "她的", "她"), "neutral": ("它们的", "它们", "它的", "它")}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
 from ..functions.text import relation_sentences
+from . import automaton
 
 TYPES = ("family", "romantic", "friendship", "antagonistic", "professional", "narrative", "unknown")
 #: Words by type and strength (``functions.lexicons`` has them); parameters of ``evidence``.
@@ -21,9 +22,8 @@ CO_MENTION = 0.3
 def sentence_mentions(chapters: DataFrame, names: list[str]) -> DataFrame:
     """``book_id, chapter_index, sentence_no, sentence, found``: sentences that hold two or more of the names (any case)."""
     rows = chapters.select("book_id", "chapter_index", F.posexplode(relation_sentences(F.coalesce("content", F.lit("")))).alias("sentence_no", "sentence"))
-    low = F.lower("sentence")
-    found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(n.lower())), F.lit(n)) for n in names]))
-    return rows.withColumn("found", found).filter(F.size("found") >= 2)
+    found = automaton.with_hits(rows, names, "sentence", "_h", fold=True).withColumn("found", F.transform("_h", lambda h: h["name"])).drop("_h")
+    return found.filter(F.size("found") >= 2)
 
 
 def evidence(sentences: DataFrame, indicators=INDICATORS) -> DataFrame:

@@ -1,7 +1,7 @@
 """Entity scanners: patterns over chapters give mention rows.
 
-``regex_scan`` is the one operator that needs offsets, which built-in functions don't give; everything behind it (name
-predicates, context tests, counts, suppression) is DataFrame expressions and equi-joins.
+``regex_scan`` takes the matches' offsets from ``offsets``, so patterns run in the JVM like everything behind them (name
+predicates, context tests, counts, suppression). Literal names, however many, are found by one automaton (``automaton``).
 
 Chapters: ``book_id, chapter_index, content`` (and ``title``). Mentions: ``book_id, type, text, chapter_index, position``
 (code points from 0) ``, source, confidence, seq``.
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
 from ..functions.text import trimmed
+from . import automaton
+from .offsets import Pattern, matches
 
 CJK = "一-鿿"
 PRECEDING = "，。！？；：、\"\\s"
@@ -28,45 +30,15 @@ def _or(words) -> str:
     return "|".join(re.escape(w) for w in sorted(words, key=lambda w: -len(w)))
 
 
-@dataclass(frozen=True)
-class Pattern:
-    regex: str
-    group: int
-    confidence: float
-    kind: str = ""
-
-
-MENTION = "book_id string, chapter_index int, text string, position int, confidence double, kind string, seq long"
-
-
 def regex_scan(chapters: DataFrame, patterns: list[Pattern], text_col: str = "content", reach: int = 0) -> DataFrame:
     """A row for each match of each pattern, patterns in order within a chapter (``seq``).
 
     With ``reach`` also the ``before`` and ``after`` of a match, so many characters of the text around it.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [(re.compile(p.regex), p) for p in patterns]
-        names = ["book_id", "chapter_index", "text", "position", "confidence", "kind", "seq"]
-        types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.string(), pa.int64()]
-        if reach:
-            names, types = [*names, "before", "after"], [*types, pa.string(), pa.string()]
-        for b in batches:
-            rows = []
-            for book, index, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                n = 0
-                for rx, p in compiled:
-                    for m in rx.finditer(text or ""):
-                        if m.group(p.group):
-                            s, e = m.span(p.group)
-                            around = (text[max(0, s - reach) : s], text[e : e + reach]) if reach else ()
-                            rows.append((book, index, m.group(p.group), s, p.confidence, p.kind, (index or 0) * 1_000_000 + n, *around))
-                            n += 1
-            cols = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
-
-    rows = chapters.select(F.col("book_id").cast("string"), F.col("chapter_index").cast("int"), F.col(text_col))
-    return rows.mapInArrow(run, MENTION + ", before string, after string" * bool(reach))
+    rows = chapters.select(F.col("book_id").cast("string").alias("book_id"), F.col("chapter_index").cast("int").alias("chapter_index"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    found = rows.select("book_id", "chapter_index", F.posexplode(F.flatten(F.array(*[matches(F.col("_t"), p, reach) for p in patterns]))).alias("_n", "m"))
+    seq = F.coalesce(F.col("chapter_index"), F.lit(0)).cast("long") * 1_000_000 + F.col("_n")
+    return found.select("book_id", "chapter_index", "m.text", "m.position", "m.confidence", "m.kind", seq.alias("seq"), *(["m.before", "m.after"] if reach else []))
 
 
 def _mentions(found: DataFrame, kind: str, keep: Column) -> DataFrame:
@@ -297,7 +269,7 @@ def frequent_names(chapters: DataFrame, least: int = 5, limit: int = 160, patter
     Candidates are all places of surname-led runs of 4, 3 and 2 characters (overlaps included) with a telling
     neighbourhood; shorter and longer variants suppress each other; ``limit`` names a book are the report.
     """
-    patterns = patterns or [Pattern(f"(?=((?:{_or(lex.COMPOUND_SURNAMES)}|[{lex.SURNAMES}])[{CJK}]{{0,3}}))", 1, 0.0)]
+    patterns = patterns or [Pattern(f"((?:{_or(lex.COMPOUND_SURNAMES)}|[{lex.SURNAMES}])[{CJK}]{{0,3}})", 1, 0.0, ahead=5)]
     heads = regex_scan(chapters, patterns, reach=6)
     sized = heads.withColumn("len", F.explode(F.array(F.lit(4), F.lit(3), F.lit(2)))).filter(F.length("text") >= F.col("len"))
     # What stands behind a shorter name starts with the rest of the longer match.
@@ -343,26 +315,24 @@ def ranked_names(names: DataFrame, limit: int = 160) -> DataFrame:
     return out.select("book_id", "text", "n", F.col("first.chapter_index").alias("chapter_index"), F.col("first.position").alias("position"), "all_chapters", confidence.alias("confidence"), "rank")
 
 
-#: Names up to which each chapter is tested for each of them; beyond, names and chapters meet by pairs of characters.
-FEW_NAMES = 2_000
-
-
-def exact_mentions(chapters: DataFrame, names: DataFrame, few: int = FEW_NAMES) -> DataFrame:
+def exact_mentions(chapters: DataFrame, names: DataFrame, most: int = automaton.MOST_CHARACTERS) -> DataFrame:
     """Literal, non-overlapping counts of ``names`` (``name``): ``book_id, text, n, chapter_index, position, all_chapters, confidence``.
 
-    Up to ``few`` names are broadcast (counted first) and tested by ``contains``. More of them meet the chapters in an
-    equi-join on their first two characters, of which a chapter has each pair once.
+    Names of up to ``most`` characters in all go into one automaton, which reads each chapter once. More of them meet the
+    chapters in an equi-join on their first two characters, of which a chapter has each pair once.
     """
     names = names.filter(F.length("name") > 0).distinct()
     rows = chapters.select("book_id", "chapter_index", "content")
-    if names.limit(few + 1).count() <= few:
-        hit = rows.join(F.broadcast(names), F.contains("content", F.col("name")))
+    if automaton.fits(names, most):
+        listed = [r["name"] for r in names.orderBy("name").collect()]
+        hit = automaton.with_hits(rows, listed, "content", "_h").select("book_id", "chapter_index", F.explode("_h").alias("h"))
+        hit = hit.select("book_id", "chapter_index", F.col("h.name").alias("text"), F.col("h.n").alias("c"), F.col("h.first").alias("position"))
     else:
         pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("content")), lambda i: F.substring("content", i, 2)))
         keyed = rows.filter(F.length("content") > 0).withColumn("key", F.explode(F.array_distinct(F.concat(pairs, F.transform(pairs, lambda p: F.left(p, F.lit(1)))))))
         hit = keyed.join(names.withColumn("key", F.left("name", F.lit(2))), "key").filter(F.contains("content", F.col("name")))
-    count = ((F.length("content") - F.length(F.replace("content", F.col("name"), F.lit("")))) / F.length("name")).cast("long")
-    hit = hit.select("book_id", "chapter_index", F.col("name").alias("text"), count.alias("c"), (F.instr("content", F.col("name")) - 1).alias("position"))
+        count = ((F.length("content") - F.length(F.replace("content", F.col("name"), F.lit("")))) / F.length("name")).cast("long")
+        hit = hit.select("book_id", "chapter_index", F.col("name").alias("text"), count.alias("c"), (F.instr("content", F.col("name")) - 1).alias("position"))
     out = hit.groupBy("book_id", "text").agg(F.sum("c").alias("n"), F.min(F.struct("chapter_index", "position")).alias("f"), F.array_sort(F.collect_set("chapter_index")).alias("all_chapters"))
     return out.select("book_id", "text", "n", F.col("f.chapter_index").alias("chapter_index"), F.col("f.position").alias("position"), "all_chapters", F.least(F.lit(0.95), F.lit(0.7) + F.least(F.lit(0.25), F.col("n") / 80)).alias("confidence"))
 

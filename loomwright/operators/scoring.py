@@ -6,12 +6,14 @@ aliases``. Chapters: ``book_id, chapter_index, content``. Entities are keyed by
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
+from . import automaton
 
 KEY = ["book_id", "type", "text"]
 _CJK_PAIR = r"[\x{4E00}-\x{9FFF}]{2}"
@@ -297,12 +299,12 @@ QUOTES = "[“「『\"][^”」』\"]*[”」』\"]"
 def signals(chapters: DataFrame, names: list[str]) -> DataFrame:
     """``book_id, name, mention_count, dialogue_count, co_characters`` for a parameter list of names, zeros included.
 
-    Each chapter is read once and gives one array of hits; only names found in it are exploded.
+    Each chapter is read once by an automaton of all names (any case; those without a CJK character stand apart from word
+    characters) and gives one array of hits; only names found in it are exploded.
     """
-    from .segmentation import mention_pattern
-
-    counted = F.array(*[F.struct(F.lit(n).alias("name"), F.regexp_count("content", F.lit(mention_pattern(n))).alias("c")) for n in names])
-    rows = chapters.select("book_id", "chapter_index", F.filter(counted, lambda x: x["c"] > 0).alias("hits"), F.regexp_count("content", F.lit(QUOTES)).alias("quotes"))
+    apart = [n for n in names if not re.search("[一-鿿]", n)]
+    counted = automaton.with_hits(chapters, names, "content", "_h", fold=True, alone=apart)
+    rows = counted.select("book_id", "chapter_index", F.transform("_h", lambda h: F.struct(h["name"].alias("name"), h["n"].alias("c"))).alias("hits"), F.regexp_count("content", F.lit(QUOTES)).alias("quotes"))
     rows = rows.withColumn("names", F.transform("hits", lambda x: x["name"])).withColumn("each", F.ceil(F.col("quotes") / F.size("hits")))
     found = rows.select("book_id", F.explode("hits").alias("h"), "names", "each").select("book_id", F.col("h.name").alias("name"), F.col("h.c").alias("c"), "each", F.array_remove("names", F.col("h.name")).alias("others"))
     sums = found.groupBy("book_id", "name").agg(F.sum("c").alias("mention_count"), F.sum("each").alias("dialogue_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("others")))).alias("co_characters"))

@@ -127,6 +127,17 @@ def _names_found(spark, sf) -> DataFrame:
     return scanners.exact_mentions(books(spark, sf), spark.createDataFrame([(n,) for n in _NAMES], "name string"))
 
 
+@query("""WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{5,}')) AS name FROM benchmark),
+h AS (SELECT coalesce(source, '') AS book_id, doc_id AS chapter_index, name, (length(text) - length(replace(text, name, ''))) // length(name) AS c, instr(text, name) - 1 AS position FROM documents, n WHERE contains(text, name))
+SELECT book_id, name AS text, sum(c)::BIGINT AS n, min(struct_pack(c := chapter_index, p := position)).c AS chapter_index, min(struct_pack(c := chapter_index, p := position)).p AS position, count(*) AS n_chapters FROM h GROUP BY book_id, name""")
+def many_names(spark, sf):
+    """All longer words of the benchmark as names, found in the documents (each a chapter of its source) in one pass."""
+    words = _t(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0))).alias("name"))
+    docs = _t(spark, sf, "documents").select(F.coalesce("source", F.lit("")).alias("book_id"), F.col("doc_id").alias("chapter_index"), F.col("text").alias("content"))
+    out = scanners.exact_mentions(docs, words)
+    return out.select("book_id", "text", "n", "chapter_index", F.col("position").cast("long").alias("position"), F.size("all_chapters").cast("long").alias("n_chapters"))
+
+
 def _alias_table(spark) -> DataFrame:
     return spark.createDataFrame(list(_PAIRS), "primary string, alias string")
 

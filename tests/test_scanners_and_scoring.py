@@ -167,7 +167,7 @@ def test_names_meet_chapters_by_pairs(spark):
     ch = chapters(spark, "许七安来了，许宁宴走了。许宁宴笑", "许七安", "a", "", None)
     names = spark.createDataFrame([("许七安",), ("许宁宴",), ("许",), ("a",), ("安来",), ("无人",)], "name string")
     rows = lambda d: sorted(map(repr, d.collect()))
-    assert rows(S.exact_mentions(ch, names)) == rows(S.exact_mentions(ch, names, few=0)) and S.exact_mentions(ch, names, few=0).count() == 5
+    assert rows(S.exact_mentions(ch, names)) == rows(S.exact_mentions(ch, names, most=0)) and S.exact_mentions(ch, names, most=0).count() == 5
 
 
 def test_uniqueness_against_sets(spark):

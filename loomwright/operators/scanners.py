@@ -10,19 +10,16 @@ Chapters: ``book_id, chapter_index, content`` (and ``title``). Mentions: ``book_
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
 from ..functions.text import trimmed
 from . import automaton
+from .events import CJK, EventRules, scan_events  # noqa: F401  events are scanned beside the other kinds
 from .offsets import Pattern, matches
 
-CJK = "一-鿿"
 PRECEDING = "，。！？；：、\"\\s"
 
 
@@ -108,158 +105,6 @@ def scan_items(chapters: DataFrame, patterns: list[Pattern] | None = None) -> Da
     return _mentions(regex_scan(chapters, patterns or item_patterns()), "item", F.length("text").between(2, 8))
 
 
-# -- events ---------------------------------------------------------------------
-
-
-@dataclass(frozen=True)
-class EventRules:
-    """What tells events; the defaults are the fixed values of ``functions.lexicons``."""
-
-    triggers: tuple[str, ...] = lex.EVENT_TRIGGERS
-    hints: tuple[str, ...] = lex.EVENT_HINTS
-    subjects: tuple[str, ...] = lex.EVENT_SUBJECTS
-    narrative: tuple = lex.NARRATIVE_EVENTS
-    chapters: tuple = lex.CHAPTER_EVENTS
-    #: What a trigger asks of its object: a known name, or a name or thing that a pattern allows; by default any that is no low-value word.
-    named: tuple[str, ...] = ("审问", "对峙", "交手", "背叛", "袭击", "追杀", "击杀", "逮捕")
-    allowed: tuple[tuple[str, str], ...] = (("调查", lex.EVENT_INVESTIGATED), ("破获", lex.EVENT_CASES), ("查明", lex.EVENT_CASES), ("揭开", lex.EVENT_CASES), ("解开", lex.EVENT_CASES))
-    bare: tuple[str, ...] = ("牺牲", "失踪")
-    sending: tuple[str, ...] = ("派遣", "派出")
-
-
-class EventTeller:
-    """Summaries of sentences by ``EventRules``: subject, trigger, object."""
-
-    def __init__(self, rules: EventRules) -> None:
-        self.rules, self.allowed = rules, dict(rules.allowed)
-        family = f"(?:{_or(lex.EVENT_COMPOUND)}|[{lex.EVENT_SURNAMES}])"
-        self.family, self.generic = re.compile(family), re.compile(f"{family}[{CJK}]{{1,3}}")
-        self.bad, self.end, self.stop = (re.compile(p) for p in (f"[{lex.EVENT_BAD_CHARS}]", lex.EVENT_OBJECT_END, lex.EVENT_SUBJECT_END))
-
-    def _known(self, text: str) -> list[str]:
-        """Known subjects of a text by their first places."""
-        return sorted((n for n in dict.fromkeys(self.rules.subjects) if n in text), key=text.index)
-
-    def _tail(self, text: str, longest: int) -> str:
-        """What a text begins with, up to an end mark, without particles before it."""
-        cut = self.end.split(text, maxsplit=1)[0]
-        return re.sub(lex.EVENT_PUNCTUATION, "", re.sub("^[了着将把被于在往去至到一批]+", "", cut)).strip()[:longest]
-
-    def clean(self, summary: str) -> str | None:
-        told = re.sub("(?:调查|查案|办案|追查)?案情$", "", re.sub(r"\s+", "", re.sub(lex.EVENT_PUNCTUATION, "", summary)))[:24]
-        return told if len(told) >= 4 else None
-
-    def subject_before(self, text: str) -> str | None:
-        """The last stretch of a text that starts with what may be a person's name, else the last name-like run."""
-        for part in reversed(re.split(lex.EVENT_PUNCTUATION + r"|\s", text)):
-            head = re.sub(f"[^{CJK}]", "", re.sub(lex.EVENT_LEADS, "", self.stop.split(part, maxsplit=1)[0]))
-            if head and (name := self._person(head)):
-                return name
-        names = [m for m in self.generic.findall(text) if not self.bad.search(m)]
-        return self._person(names[-1][:4]) if names else None
-
-    def _person(self, text: str) -> str | None:
-        bare = re.sub(lex.EVENT_ADDRESS, "", text)
-        bare = re.sub(lex.EVENT_ADDRESS, "", bare[:4]) if len(bare) > 4 else bare
-        odd = {bare, text} & lex.EVENT_NO_SUBJECTS or self.bad.search(bare) or not self.family.match(bare)
-        return bare if 2 <= len(bare) <= 4 and not odd else None
-
-    def _action(self, who: str, trigger: str, before: str, after: str) -> str | None:
-        known = next(iter(self._known(after)), None)
-        if trigger in self.rules.sending:
-            if known in (None, who):
-                return None
-            to = re.search(f"(?:前往|赶往|抵达|进入)([{CJK}]{{2,12}})", after)
-            place = re.sub("调查.*$", "", re.sub("^[了往至到]", "", self._tail(to[1], 6))) if to else ""
-            return f"{who}{trigger}{known}" + (f"前往{place}" if place else "")
-        if "：" in before or re.match("自己|自身", after.strip()):
-            return None
-        if trigger == "死亡":
-            cause = re.match(r"原因是([^，。！？；：\s]{2,10})", after.strip())
-            return f"{who}死亡" + (cause[0] if cause else "")
-        if trigger in self.rules.bare:
-            return who + trigger
-        thing = known or re.sub("^[了着将把被]", "", self._tail(after, 10))
-        if not thing or thing == who or any(w in thing for w in lex.EVENT_LOW_VALUE) or (trigger in self.rules.named and not known):
-            return None
-        allowed = self.allowed.get(trigger)
-        if allowed and not re.search(allowed, thing) and not (trigger == "调查" and known):
-            return None
-        return f"{who}{trigger}{thing}"
-
-    def by_trigger(self, sentence: str, trigger: str) -> str | None:
-        before, _, after = sentence.partition(trigger)
-        who = next(reversed(self._known(before)), None)
-        if who is None:
-            return None
-        if trigger == "下令":
-            put = re.search(f"([{CJK}]{{2,4}})于.{{0,8}}斩首", sentence)
-            told = f"{who}下令斩首{put[1]}" if put else None
-        else:
-            told = self._action(who, trigger, before, after)
-        return self.clean(told) if told else None
-
-    def by_narrative(self, sentence: str) -> tuple[str, float] | None:
-        for pattern, confidence, lines in self.rules.narrative:
-            if hit := re.search(pattern, sentence):
-                told = next((t for needed, t in lines if all(re.search(p, sentence) for p in needed)), None)
-                if told and told.startswith("*"):
-                    who = self.subject_before(sentence[: hit.start()])
-                    told = self.clean(who + told[1:]) if who else None
-                if told and 4 <= len(told) <= 24:
-                    return told, confidence
-        return None
-
-    def of_sentence(self, sentence: str) -> tuple[str, float] | None:
-        trigger = next((t for t in self.rules.triggers if t in sentence), None)
-        if trigger and any(h in sentence for h in self.rules.hints):
-            told = self.by_trigger(sentence, trigger)
-            return (told, 0.85) if told else None
-        return self.by_narrative(sentence)
-
-    def of_chapter(self, text: str, title: str) -> list[tuple[str, int, float]]:
-        """Events that a whole chapter tells."""
-        out = []
-        for needed, told, anchor, confidence in self.rules.chapters:
-            if all(re.search(p, text) or (t and re.search(t, title)) for p, t in needed):
-                at = re.search(anchor, text)
-                out.append((told, at.start() if at else 0, confidence))
-        return out
-
-
-#: Sentences of events, with the mark that ends them.
-EVENT_SENTENCE = re.compile("[^。！？!?；;\n]{4,120}[。！？!?；;]?")
-
-
-def scan_events(chapters: DataFrame, rules: EventRules = EventRules(), cap: int = 8) -> DataFrame:
-    """Event summaries of each chapter: those of the whole chapter first, then those of its sentences; each text once, and none after the first by which there are ``cap``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        teller = EventTeller(rules)
-        names = ["book_id", "chapter_index", "text", "position", "confidence", "kind", "seq"]
-        types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.string(), pa.int64()]
-        for b in batches:
-            rows = []
-            for book, index, title, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                text = text or ""
-                made: dict[str, tuple[int, float]] = {}
-                for told, at, confidence in teller.of_chapter(text, title or ""):
-                    made.setdefault(told, (at, confidence))
-                for m in EVENT_SENTENCE.finditer(text):
-                    sentence = m[0].rstrip("。！？!?；;").strip()
-                    if sentence and (found := teller.of_sentence(sentence)):
-                        made.setdefault(found[0], (m.start(), found[1]))
-                        if len(made) >= cap:
-                            break
-                rows += [(book, index, t, p, c, "event", (index or 0) * 1_000_000 + k) for k, (t, (p, c)) in enumerate(sorted(made.items(), key=lambda x: x[1][0]))]
-            cols = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
-
-    title = F.col("title").cast("string") if "title" in chapters.columns else F.lit(None).cast("string")
-    found = chapters.select(F.col("book_id").cast("string"), F.col("chapter_index").cast("int"), title.alias("title"), "content").mapInArrow(run, MENTION)
-    return found.drop("kind").withColumns({"type": F.lit("event"), "source": F.lit("regex")})
-
-
 # -- book-wide names ------------------------------------------------------------
 
 

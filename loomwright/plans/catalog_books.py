@@ -899,6 +899,48 @@ def evidence_packs(spark, sf):
     return rows.select("book_id", F.coalesce(F.element_at("fields", F.lit("clothing")), F.lit("")).contains("身穿黑袍").alias("clothed"), F.coalesce(F.element_at("fields", F.lit("appearance")), F.lit("")).contains("面容清秀").alias("shown"), F.coalesce("n", F.lit(0)).cast("long").alias("n_evidence"))
 
 
+#: Sentences about whom a clause speaks of.
+_OWNED = (
+    "欧阳锋身穿黑袍，面容清秀", "李伟看着欧阳锋，目光平静，身材高大", "欧阳锋盯着李伟，神色冷漠", "李伟一身白衣，对着欧阳锋怒意翻涌，剑光闪烁", "欧阳锋看到少女，容貌清秀", "他背影高大，欧阳锋拔出长剑", "面具之下，李伟与欧阳锋并肩", "对着欧阳锋的长老，神情从容", "李伟走了，欧阳锋气质阴沉",
+)
+_OWNED_IN = ((" the ", (0,)), (" and ", (1, 3)), (" of ", (2, 5)), (" la ", (4, 6)), (" de ", (7,)), (" und ", (8, 4)), (" der ", (3, 2)), (" die ", (6,)), (" el ", (5, 1)))
+_owned_put = {w: "。" + "".join(_OWNED[k] + "。" for k in ks) for w, ks in _OWNED_IN}
+_OW = "text"
+for _w, _p in _owned_put.items():
+    _OW = f"replace({_OW}, '{_w}', '{_p}')"
+_FIELD_ROWS = ", ".join(f"('{f}', '{p}')" for f, p in assembly.FIELDS["character"].items())
+
+
+@query(f"""WITH b AS (SELECT conv_id AS book_id, turn AS chapter_index, {_OW} AS content FROM conversations),
+s AS (SELECT book_id, chapter_index, unnest(string_split(content, '。')) AS s, generate_subscripts(string_split(content, '。'), 1) AS n FROM b),
+c AS (SELECT *, contains(s, '李伟') AS others, regexp_split_to_array(s, '，') AS cl FROM s WHERE s IN {_in(_OWNED)}),
+k AS (SELECT *, list_transform(cl, lambda x: CASE
+   WHEN contains(x, '欧阳锋') AND contains(x, '李伟') THEN CASE WHEN regexp_matches(x, '李伟.*(看着|盯着).*欧阳锋') THEN 'T' WHEN regexp_matches(x, '欧阳锋.*(看着|盯着).*李伟') THEN 'O' ELSE 'U' END
+   WHEN contains(x, '李伟') THEN 'O' WHEN contains(x, '欧阳锋看到少女') THEN 'O' WHEN contains(x, '对着欧阳锋') THEN 'R' WHEN contains(x, '欧阳锋') THEN 'T' ELSE 'K' END) AS st FROM c),
+o AS (SELECT *, list_transform(range(1, len(cl) + 1), lambda i: right(list_reduce(list_prepend('U', st[1 : i]), lambda a, x: CASE WHEN x = 'K' THEN a WHEN x = 'R' THEN CASE a WHEN 'O' THEN 'O' ELSE 'T' END ELSE x END), 1)) AS ow FROM k),
+u AS (SELECT book_id, chapter_index, n, others, unnest(cl) AS clause, unnest(ow) AS owner, generate_subscripts(cl, 1) AS i FROM o),
+f AS (SELECT * FROM (VALUES {_FIELD_ROWS}) v(field, p)),
+e AS (SELECT u.*, field FROM u JOIN f ON regexp_matches(clause, p) WHERE owner = 'T' OR (owner = 'U' AND NOT others)),
+t AS (SELECT book_id, field, clause, min(struct_pack(c := chapter_index, n := n, i := i)) AS first FROM e GROUP BY ALL),
+m AS (SELECT book_id, field, string_agg(clause, '；' ORDER BY first) AS text FROM t GROUP BY ALL),
+g AS (SELECT book_id, count(*) AS filled, string_agg(field || '=' || text, '|' ORDER BY field) AS fields FROM m GROUP BY book_id),
+x AS (SELECT book_id, count(DISTINCT struct_pack(c := chapter_index, n := n)) AS n_evidence FROM e GROUP BY book_id)
+SELECT b.book_id::VARCHAR AS book_id, coalesce(fields, '') AS fields, coalesce(n_evidence, 0) AS n_evidence, CASE WHEN n_evidence IS NULL THEN 'none' WHEN n_evidence >= 2 AND filled >= 4 THEN 'strong' ELSE 'partial' END AS coverage,
+       coalesce(round(0.7 * filled / 7 + 0.3 * least(n_evidence / 4, 1), 2), 0)::DOUBLE AS confidence
+FROM (SELECT DISTINCT book_id FROM b) b LEFT JOIN g USING (book_id) LEFT JOIN x USING (book_id)""")
+def owned_packs(spark, sf):
+    """Whole packs of one person: the fields that its own clauses tell, their evidence, coverage and confidence."""
+    c = F.col("text")
+    for a, b in _owned_put.items():
+        c = F.replace(c, F.lit(a), F.lit(b))
+    chaps = _t(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("book_id"), F.col("turn").cast("int").alias("chapter_index"), c.alias("content"))
+    none = F.array().cast("array<string>")
+    who = chaps.select("book_id").distinct().withColumn("name", F.explode(F.array(F.lit("欧阳锋"), F.lit("李伟")))).withColumn("aliases", none)
+    rows = assembly.packs(who, chaps, "character").filter("name = '欧阳锋'")
+    fields = F.array_join(F.array_sort(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|")
+    return rows.select("book_id", fields.alias("fields"), F.col("n_evidence").cast("long").alias("n_evidence"), F.col("source_coverage").alias("coverage"), "confidence")
+
+
 @query("""WITH d AS (SELECT c_custkey, c_mktsegment AS one, CASE c_custkey % 5 WHEN 0 THEN c_mktsegment || '；' || c_name WHEN 1 THEN repeat('长', 221) WHEN 2 THEN NULL WHEN 3 THEN '；；' || c_name ELSE c_name END AS d FROM customer)
 SELECT c_custkey, c_custkey % 5 IN (0, 1) AND d <> '' AS fuse FROM d""")
 def needs_fusion(spark, sf):

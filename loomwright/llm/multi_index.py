@@ -10,8 +10,8 @@ the least hashes) the nearest of all rows are found by brute force in one pass,
 at which the walk has met ``AIMED`` of them on average. ``Index.recall`` tells what was measured.
 
 At scale: the codebooks come from a bounded sample (``SAMPLE`` vectors), the number of cells is bounded (``K`` at most
-``MOST_CENTROIDS``), so codebooks and cell sizes can be sent to all tasks. Entries lie in shards, which are runs of cells with
-about ``SHARD`` entries; a cell of more is split over shards of its own. A query's vector goes once to each shard it asks,
+``MOST_CENTROIDS``), so codebooks and cell sizes can be sent to all tasks. Entries lie in shards, which are runs of cells of at
+most ``MOST_SHARD`` entries; a cell of more is split over shards of its own. A query's vector goes once to each shard it asks,
 with the cells it asks there, and each shard answers with the best of its entries. Equal vectors are one entry with the
 smallest ids, no more than a result can hold (all of them score the same, and ties go to smaller ids, so no result is lost),
 and equal queries are one search.
@@ -42,7 +42,8 @@ SAMPLE = 50_000
 PER_CELL, MOST_CENTROIDS = 12, 1024
 ROUNDS = 8
 PROBES, AIMED = 256, 0.95
-SHARD = 2048
+#: Entries of a shard: an ``EIGHTH`` of all, within these bounds. Few large shards answer a query in few rows, and the upper bound is what a task holds.
+LEAST_SHARD, MOST_SHARD, EIGHTH = 2048, 65_536, 8
 #: Queries of a shard that are scored at once.
 QUERIES = 256
 
@@ -134,7 +135,7 @@ class Index:
                     break
         return out
 
-    def lay_out(self, counted: list[tuple[int, int]], per_shard: int = SHARD) -> None:
+    def lay_out(self, counted: list[tuple[int, int]], per_shard: int) -> None:
         """Shards of neighbouring cells, from ``(cell, entries)``."""
         n = len(self.first) * len(self.second)
         self.sizes, self.shard, self.parts = np.zeros(n, np.int64), np.zeros(n, np.int32), np.ones(n, np.int32)
@@ -294,7 +295,7 @@ def answered(k: int):
 
 
 def search(
-    vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, probes: int = PROBES, aimed: float = AIMED, per_shard: int = SHARD, per_cell: int = PER_CELL, told: list[Index] | None = None
+    vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, probes: int = PROBES, aimed: float = AIMED, per_shard: int | None = None, per_cell: int = PER_CELL, told: list[Index] | None = None
 ) -> DataFrame:
     """The ``k`` nearest found of each query: ``query_id, rank, vec_id, score``. ``is_query`` is a condition on the id, named ``id``; ``told`` gets the index."""
     prepare(vectors.sparkSession)
@@ -305,7 +306,7 @@ def search(
         return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     index = fit(known, n, sample, per_cell)
     celled = written(with_cells(known, index), "cells")
-    index.lay_out([(r["cell"], r["n"]) for r in celled.groupBy("cell").agg(F.count("*").alias("n")).collect()], per_shard)
+    index.lay_out([(r["cell"], r["n"]) for r in celled.groupBy("cell").agg(F.count("*").alias("n")).collect()], per_shard or min(MOST_SHARD, max(LEAST_SHARD, n // EIGHTH)))
     # Queries by the least id of their vector; equal ones are searched for once.
     queries = written(rows.filter(is_query).select("id", "v").distinct().join(known.select("v", "c"), "v").select("id", "c"), "queries")
     wanted = written(queries.select("c").distinct().join(known.select("c", "v"), "c").select("c", "v"), "wanted")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as lex
 from ..functions import text as T
 from ..operators import assembly, coreference, narrative, noise, relations, resolution, scanners, scoring, segmentation, validation
-from ..sources import exports, tables, text_files
+from ..sources import exports, model, tables, text_files
 from ..streaming import progress
 from . import catalog, prescan
 from .catalog import _t, query
@@ -899,6 +899,18 @@ def evidence_packs(spark, sf):
     return rows.select("book_id", F.coalesce(F.element_at("fields", F.lit("clothing")), F.lit("")).contains("身穿黑袍").alias("clothed"), F.coalesce(F.element_at("fields", F.lit("appearance")), F.lit("")).contains("面容清秀").alias("shown"), F.coalesce("n", F.lit(0)).cast("long").alias("n_evidence"))
 
 
+@query("""WITH RECURSIVE r AS (SELECT c_nationkey AS book_id, c_custkey AS seq, CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE abs(c_acctbal)::BIGINT END AS size, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer),
+f AS (SELECT book_id, seq, n, size AS used, 1 AS c, 0 AS g FROM r WHERE n = 1
+  UNION ALL SELECT r.book_id, r.seq, r.n, CASE WHEN used + size > 9000 OR c >= 5 THEN size ELSE used + size END, CASE WHEN used + size > 9000 OR c >= 5 THEN 1 ELSE c + 1 END, CASE WHEN used + size > 9000 OR c >= 5 THEN g + 1 ELSE g END
+  FROM f JOIN r ON r.book_id = f.book_id AND r.n = f.n + 1)
+SELECT book_id, seq, g AS "group" FROM f""")
+def budget_groups(spark, sf):
+    """A nation's customers in groups of at most 9000 in size and five in number (some of no size, some of more than the budget allows together)."""
+    size = F.when(F.col("c_custkey") % 7 == 0, None).otherwise(F.round(F.abs("c_acctbal")).cast("long"))
+    rows = _t(spark, sf, "customer").select(F.col("c_nationkey").alias("book_id"), F.col("c_custkey").alias("seq"), size.alias("size"))
+    return model.budget_groups(rows, "size", 9000, 5).select("book_id", "seq", "group")
+
+
 #: Sentences about whom a clause speaks of.
 _OWNED = (
     "欧阳锋身穿黑袍，面容清秀", "李伟看着欧阳锋，目光平静，身材高大", "欧阳锋盯着李伟，神色冷漠", "李伟一身白衣，对着欧阳锋怒意翻涌，剑光闪烁", "欧阳锋看到少女，容貌清秀", "他背影高大，欧阳锋拔出长剑", "面具之下，李伟与欧阳锋并肩", "对着欧阳锋的长老，神情从容", "李伟走了，欧阳锋气质阴沉",

@@ -8,9 +8,11 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 
 def salvaged(text: str | None) -> str | None:
     """The JSON in an answer: thinking blocks go, a fenced block is preferred, else the first balanced object or array; none where brackets of different kinds meet."""
@@ -119,24 +121,34 @@ def asked(prompts: DataFrame, model: Callable[[str, str], str], parallel: int |
 
 
 def budget_groups(rows: DataFrame, size_col: str, budget: int = 24_000, most: int = 50, keys: tuple[str, ...] = ("book_id",)) -> DataFrame:
-    """Adds ``group``: rows in order of ``seq`` fill a group until the budget of characters or rows is spent.
+    """Adds ``group``: rows in order of ``seq`` (unique within a key) fill a group until the budget of characters or rows is spent; a larger row stands alone.
 
-    A running sum that starts anew depends on where it last did, so it is a fold over one key's rows (entities, not text).
+    Where a group that starts at a row ends, running sums tell for every row at once (nulls count 0): the last row whose sum is
+    within the budget, found by sorting sums and bounds together. Starts are then the rows on the way of these jumps from a
+    key's first row. The way is walked by doubling: each turn the rows known so far add those a power of two of jumps behind
+    them, so there are as many turns as the number of groups of a key has binary digits. Each turn's tables are checkpointed.
     """
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq").reset_index(drop=True)
-        groups, used, n, g = [], 0, 0, 0
-        for size in pdf[size_col].fillna(0):
-            if n and (used + size > budget or n >= most):
-                used, n, g = 0, 0, g + 1
-            groups.append(g)
-            used, n = used + int(size), n + 1
-        return pdf.assign(group=pd.Series(groups, dtype="int32"))
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", `group` int"
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+    names = list(keys)
+    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*names).orderBy("seq")).cast("long"))
+    size = F.coalesce(F.col(size_col), F.lit(0)).cast("long")
+    sums = kept(numbered.select(*names, "_n", size.alias("_s"), F.sum(size).over(Window.partitionBy(*names).orderBy("_n")).alias("_c")))
+    bounds = sums.select(*names, (F.col("_c") - F.col("_s") + budget).alias("_v"), F.lit(1).alias("_k"), F.col("_n").alias("_from"), F.lit(None).cast("long").alias("_at"))
+    places = sums.select(*names, F.col("_c").alias("_v"), F.lit(0).alias("_k"), F.lit(None).cast("long").alias("_from"), F.col("_n").alias("_at"))
+    last = F.max("_at").over(Window.partitionBy(*names).orderBy("_v", "_k").rowsBetween(Window.unboundedPreceding, 0))
+    found = bounds.unionByName(places).withColumn("_last", last).filter("_k = 1")
+    to = F.least(F.greatest(F.coalesce("_last", F.lit(0)) + 1, F.col("_from") + 1), F.col("_from") + most)
+    jumps = kept(found.select(*names, F.col("_from").alias("_n"), to.alias("_to")))
+    starts = jumps.filter("_n = 1").select(*names, "_n")
+    while True:
+        ahead = jumps.join(starts, [*names, "_n"]).select(*names, F.col("_to").alias("_n")).join(sums.select(*names, "_n"), [*names, "_n"], "left_semi")
+        if ahead.isEmpty():
+            break
+        starts = kept(starts.unionByName(ahead).distinct())
+        onward = jumps.select(*names, F.col("_n").alias("_to"), F.col("_to").alias("_next"))
+        jumps = kept(jumps.join(onward, [*names, "_to"]).select(*names, "_n", F.col("_next").alias("_to")))
+    marked = numbered.join(starts.withColumn("_start", F.lit(1)), [*names, "_n"], "left")
+    group = F.count("_start").over(Window.partitionBy(*names).orderBy("_n")) - 1
+    return marked.withColumn("group", group.cast("int")).select(*rows.columns, "group")
 
 
 def mock_answer() -> str:

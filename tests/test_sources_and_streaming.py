@@ -102,3 +102,21 @@ def test_queries_have_rows(spark, sf):
 
     for name in ("clean_stats", "mention_counts", "arc_sessions", "stage_progress", "graph_stats"):
         assert catalog.QUERIES[name](spark, sf).count() > 0, name
+
+
+def test_budget_groups_against_the_fold(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(b, k, r.choice([None, 0, 3, 5, 9, 30])) for b in "abc" for k in range({"a": 200, "b": 1, "c": 37}[b])]
+    want = {}
+    for b in "abc":
+        used = n = g = 0
+        for _, k, size in [x for x in rows if x[0] == b]:
+            if n and (used + (size or 0) > 25 or n >= 6):
+                used, n, g = 0, 0, g + 1
+            want[b, k] = g
+            used, n = used + (size or 0), n + 1
+    df = spark.createDataFrame(rows, "book_id string, seq int, n int").repartition(5)
+    assert {(x["book_id"], x["seq"]): x["group"] for x in model.budget_groups(df, "n", 25, 6).collect()} == want
+    assert model.budget_groups(df.filter("false"), "n", 25, 6).count() == 0

@@ -126,7 +126,11 @@ def note_fold(text: str, start: re.Pattern, end: re.Pattern, limit: int = NOTE_L
 
 
 def with_notes(docs: DataFrame, text_col: str, out: str, lex: Lexicon = DEFAULT) -> DataFrame:
-    """Adds an array with the note confidence of each line (a fold in one Arrow function: its state is a position)."""
+    """Adds an array with the note confidence of each line (a fold in one Arrow function: its state is a position).
+
+    Only texts in which a note may start go to Python; the array of the others holds no confidence.
+    """
+    hint = "(?Um)" + re.sub(r"^\^(?:\\s\*)?", "", lex.note_start)  # without its anchor, so that it misses no line that is trimmed first
 
     @F.arrow_udf("array<double>")
     def fold(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -134,7 +138,7 @@ def with_notes(docs: DataFrame, text_col: str, out: str, lex: Lexicon = DEFAULT)
         for texts in batches:
             yield pa.array([note_fold(t or "", start, end) for t in texts.to_pylist()], pa.list_(pa.float64()))
 
-    return docs.withColumn(out, fold(F.coalesce(F.col(text_col), F.lit(""))))
+    return docs.withColumn(out, fold(F.when(F.col(text_col).rlike(hint), F.col(text_col))))
 
 
 def repeated_tails(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n\n\n", share: float = 0.5, least: int = 4, last: int = 5) -> DataFrame:

@@ -899,6 +899,12 @@ def evidence_packs(spark, sf):
     return rows.select("book_id", F.coalesce(F.element_at("fields", F.lit("clothing")), F.lit("")).contains("身穿黑袍").alias("clothed"), F.coalesce(F.element_at("fields", F.lit("appearance")), F.lit("")).contains("面容清秀").alias("shown"), F.coalesce("n", F.lit(0)).cast("long").alias("n_evidence"))
 
 
+@query()
+def char_segments(spark, sf):
+    """Stretches of dialogue, transition and description of each chapter (the tests compare them with a walk over the characters)."""
+    return segmentation.segments(books(spark, sf).select("book_id", "chapter_index", "content"))
+
+
 @query("""WITH RECURSIVE r AS (SELECT c_nationkey AS book_id, c_custkey AS seq, CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE abs(c_acctbal)::BIGINT END AS size, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer),
 f AS (SELECT book_id, seq, n, size AS used, 1 AS c, 0 AS g FROM r WHERE n = 1
   UNION ALL SELECT r.book_id, r.seq, r.n, CASE WHEN used + size > 9000 OR c >= 5 THEN size ELSE used + size END, CASE WHEN used + size > 9000 OR c >= 5 THEN 1 ELSE c + 1 END, CASE WHEN used + size > 9000 OR c >= 5 THEN g + 1 ELSE g END

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,12 +22,28 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, name: str
     )
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the folder of ``spark.checkpoint.dir`` (one of our own on a local master where it is unset): for what several steps read."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share (one of our own on a local master where it is unset)."""
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomwright-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one, not made yet."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder: for what several steps read."""
+    shared(df.sparkSession)
     return df.checkpoint()

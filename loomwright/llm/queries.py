@@ -99,7 +99,7 @@ cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM hot, (SELECT unnest([0, 1
 ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 m AS (
-  SELECT d.doc_id, text, len(ws) AS n_words,
+  SELECT d.doc_id, text, ws, string_split(text, chr(10)) AS lines, len(ws) AS n_words,
          length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
          length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
          coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words
@@ -110,8 +110,12 @@ j AS (
          OR word_chars > 20 * n_words OR 2 * word_chars < 3 * n_words
          OR 2 * n_dup_lines > length(text) - length(replace(text, chr(10), '')) + 1
          OR 2 * (strlen(text) - strlen(regexp_replace(text, '[a-zA-Z]|[^\x00-\x7F]', '', 'g')))
-            < strlen(text) - (length(text) - length(replace(replace(text, ' ', ''), chr(10), ''))) AS rejected
-  FROM m)
+            < strlen(text) - (length(text) - length(replace(replace(text, ' ', ''), chr(10), '')))
+         OR 100 * coalesce(list_max(map_values(list_histogram(ws))), 0) > 30 * n_words
+         OR 2 * len(list_filter(ws, lambda x: NOT regexp_matches(x, '[a-zA-Z]|[^\x00-\x7F]'))) > n_words
+         OR (n_lines >= 5 AND (10 * len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09]*[-*•]'))) > 9 * n_lines
+                               OR 2 * len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09\x0D]*$'))) > n_lines)) AS rejected
+  FROM (SELECT *, len(lines) AS n_lines FROM m))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
 FROM j
 """

@@ -506,3 +506,22 @@ def test_against_sql(spark, sf, name):
     df = QUERIES[name](spark, sf)
     at = [rel.columns.index(c) for c in df.columns]
     assert sorted(map(repr, ([r[c] for c in df.columns] for r in df.collect()))) == sorted(map(repr, ([r[k] for k in at] for r in rel.fetchall())))
+
+
+def test_rules_on_words_and_lines():
+    def fires(rule, text):
+        return dict(quality.RULES)[rule](text, quality.measure(text))
+
+    prose = "It was late when they came to the inn, and nobody said a word.\n" * 6
+    assert not any(fires(name, prose) for name in ("one_word", "words_without_letter", "bullets", "cut_off", "few_letters"))
+    assert fires("one_word", "buy a buy b buy c") and not fires("one_word", "a b c d a e f a h i") and not fires("one_word", "")
+    assert fires("words_without_letter", "1 2 3 a") and not fires("words_without_letter", "1 a") and not fires("words_without_letter", "中 文 1")
+    assert fires("bullets", "- a\n\t* b\n• c\n-d\n- e") and not fires("bullets", "- a\n* b\n- c\n- d") and not fires("bullets", "- a\nb\n- c\n- d\n- e")
+    assert fires("cut_off", "a...\nb…  \nc...\nd\ne") and not fires("cut_off", "a...\nb...\nc\nd\ne") and not fires("cut_off", "a...")
+
+
+def test_cascade_costs_what_its_order_says():
+    rules = [(name, lambda t, m: False) for name in ("dear", "cheap", "idle")]
+    told = [(100, 50, 4.0), (100, 50, 1.0), (100, 0, 2.0)]
+    assert [n for n, _ in quality.order_rules(told, rules)] == ["cheap", "dear", "idle"]
+    assert quality.cascade_cost(told, rules) == (1.0 + 0.5 * 4.0 + 0.25 * 2.0, 7.0)

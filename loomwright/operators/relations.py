@@ -5,7 +5,7 @@ Edges: ``book_id, source, target, type, confidence, chapter_first, chapter_last`
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
@@ -113,3 +113,14 @@ def stats(e: DataFrame, nodes: DataFrame) -> DataFrame:
     k = e.groupBy("book_id").agg(F.count("*").alias("edges"), *[F.count_if(F.col("type") == t).alias(f"n_{t}") for t in TYPES])
     out = n.join(k, "book_id", "full_outer")
     return out.select("book_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in out.columns if c != "book_id"])
+
+
+def write_graph(e: DataFrame, nodes: DataFrame, path: str) -> None:
+    """Nodes and edges as JSON lines, in folders of their own; no book is gathered anywhere."""
+    nodes.write.mode("overwrite").json(f"{path}/nodes")
+    e.write.mode("overwrite").json(f"{path}/edges")
+
+
+def read_graph(spark: SparkSession, path: str, node_schema: str, edge_schema: str) -> tuple[DataFrame, DataFrame]:
+    """Edges and nodes of ``write_graph``."""
+    return spark.read.schema(edge_schema).json(f"{path}/edges"), spark.read.schema(node_schema).json(f"{path}/nodes")

@@ -5,11 +5,11 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from loomwright.plans import catalog, catalog_books
+from loomwright.plans import catalog, catalog_books, catalog_flows
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-RUN = ("scan_characters", "frequent_names", "entity_importance", "split_chapters", "relation_edges", "antecedents", "arc_segments", "fused_characters", "resolved_names", "connected_names", "aggressive_cleaning", "scan_events", "cleaned_descriptions", "decoded_files")
+RUN = ("scan_characters", "frequent_names", "entity_importance", "split_chapters", "relation_edges", "antecedents", "arc_segments", "fused_characters", "resolved_names", "connected_names", "aggressive_cleaning", "scan_events", "cleaned_descriptions", "decoded_files", "stage_feed", "task_outcomes", "mention_files", "asset_files", "replaced_books", "graph_files")
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +21,7 @@ def con():
 
 
 def test_sql_belongs_to_queries_and_plans(con):
-    assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES) and len(catalog.ORACLE_SQL) > 170 and catalog_books.NAMES
+    assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES) and len(catalog.ORACLE_SQL) > 170 and catalog_books.NAMES and catalog_flows.WEIGHTS
     for sql in catalog.ORACLE_SQL.values():
         con.execute(f"EXPLAIN {sql}")
 

@@ -26,11 +26,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a learned language: those with a letter whose score is not below what training texts of their size reach. ``lang`` stays as it came."""
     prepare(spark)
     lang, score, grams = unused(docs, "_lang_pred"), unused(docs, "_lang_score"), unused(docs, "_lang_grams")
-    labelled = docs.filter(~langid.held_out("doc_id"))
-    prototypes = langid.train(labelled, "text", "lang", "doc_id")
-    least = langid.thresholds(labelled, "text", "lang", "doc_id", prototypes)
-    told = langid.predict(docs, "text", prototypes, lang, score, grams)
-    return told.filter((F.col(lang) != langid.UNKNOWN) & ~langid.unlike(F.col(score), F.col(grams), least)).drop(lang, score, grams)
+    prototypes = langid.train(docs.filter(~langid.held_out("doc_id")), "text", "lang")
+    # Written, so that the scores of all training texts can tell the thresholds before any text is dropped.
+    told = written(langid.predict(docs, "text", prototypes, lang, score, grams), "told", keep=True).filter(F.col(lang) != langid.UNKNOWN)
+    least = langid.thresholds(told.filter(~langid.held_out("doc_id") & F.col("lang").isNotNull()), score, grams)
+    return told.filter(~langid.unlike(F.col(score), F.col(grams), least)).drop(lang, score, grams)
 
 
 #: Ids (or row numbers) of dropped documents up to which they are broadcast (8 bytes a row); beyond, a shuffle join.

@@ -57,6 +57,25 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in langid.predict(df, "text", {}).collect()} == {"und"}
 
 
+def test_prototypes_hold_every_labelled_text(spark):
+    texts = [(f"the{chr(97 + k % 26)} of{chr(97 + k // 26 % 26)} {chr(97 + k // 676)}x", "en") for k in range(9000)] + [("der die das", "de"), (None, "de"), ("no label", None), ("long words " * 30_000, "fr")]
+    df = spark.createDataFrame([(k, *t) for k, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    want = {lang: langid.text_vectors([t for t, own in texts if t and own == lang]).astype(np.float64).sum(0) for lang in ("de", "en", "fr")}
+    protos = langid.train(df, "text", "lang", "doc_id")
+    assert list(protos) == ["de", "en", "fr"] and all(np.array_equal(protos[x], want[x]) for x in want)
+
+
+def test_thresholds_count_every_score(spark):
+    rng = random.Random(5)
+    rows = [(rng.random(), g) for g in rng.choices((1, 2, 3, 70, 100), k=20_000)] + [(0.9, 1000)] * 9 + [(0.0, 0)]
+    scored = spark.createDataFrame(rows, "score double, grams long").repartition(5)
+    least = langid.thresholds(scored, "score", "grams")
+    for k in (0, 1, 6):
+        mine = sorted(s for s, g in rows if g.bit_length() - 1 == k)
+        assert 0 <= langid.SLACK * mine[int(langid.TAIL * (len(mine) - 1))] - least[k] <= 1 / langid.STEPS
+    assert least[9] == least[6] and least[63] == least[6] and langid.thresholds(scored.filter("false"), "score", "grams") == [0.0] * 64
+
+
 # -- mixing ---------------------------------------------------------------------
 
 

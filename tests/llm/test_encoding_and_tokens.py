@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -62,6 +63,42 @@ def test_full_memo_starts_from_its_core(both):
         assert ids(small, t) == lib.encode(t, add_special_tokens=False).ids and len(small.first) <= 6
 
 
+def batch(enc, texts):
+    return enc.encode_array(pa.array(texts, pa.string()), 2).to_pylist()
+
+
+def test_batches_of_texts(both, spark, sf):
+    enc, lib = both
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    edges = ["x\n", "\nx", "a \n b", "a\n b", "", "b, c.d, e?! f's. (g), h", "3, x", "\u00e9, \u00e9.", ""]
+    for some in (ODD + edges, (ODD + edges)[::-1], texts, [], [""], ["", ""], [" "]):
+        assert batch(enc, some) == [[*lib.encode(t, add_special_tokens=False).ids, 2] for t in some]
+    part = pa.array(ODD + edges, pa.string()).slice(3, 20)
+    assert enc.encode_array(part, 2).to_pylist() == batch(enc, part.to_pylist())
+
+
+@settings(max_examples=150, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(st.one_of(st.sampled_from(" \n\t'.,\u00e9\u2014\u00df\u4e09aBc1"), st.characters(codec="utf-8")), max_size=20), max_size=6))
+def test_any_batch(both, texts):
+    enc, lib = both
+    assert batch(enc, texts) == [[*lib.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_a_batch_looks_up_each_piece_once():
+    from loomwright.llm.encoding import Encoder
+
+    enc, asked = Encoder(public_tokenizers.path("byte_bpe_50k.json"), True), []
+
+    class Asked(dict):
+        def __missing__(self, piece):
+            asked.append(piece)
+            return memo[piece]
+
+    memo, enc.units = enc.units, Asked()
+    batch(enc, ["word of a word, word of"] * 50 + ["of a word.\nword"] * 50)
+    assert sorted(asked) == sorted(["word", " of", " a", " word", ",", "of", ".", "\n"])
+
+
 ROWS = [(3, "b c", "x"), (1, None, "y"), (2, "", "z"), (None, "n", "z"), (3, "b c", "x"), (7, "long " * 3000, "w")]
 
 

@@ -29,6 +29,15 @@ ALIASES = (
     '"([^"]+)"常被称为(.+)', '(.+)，又名"([^"]+)"', '(.+)，人称"([^"]+)"', '(.+)，绰号"([^"]+)"', "称(.+)为(.+)", "(.+)之(.+)",
     r'(?i)(\w+),?\s+known\s+as\s+"(\w+)"', r'(?i)(\w+)\s+nicknamed\s+"(\w+)"', r'(?i)(\w+)\s+also\s+calls?\s+(?:himself|herself|themselves)\s+"(\w+)"', r'(?i)(\w+)\s+(?:or|aka|also\s+known\s+as)\s+"(\w+)"', r"(?i)(\w+)\s+for\s+(?:short|shortened)",
 )
+#: Where a match of a pattern that begins with ``.+`` or ``\\w+`` can begin: if it fails at the first character of a line or word, it fails at all.
+_LINE, _WORD = r"(?:\G|(?<=[\n\r\x{85}\x{2028}\x{2029}]))", r"(?i)(?<![0-9A-Za-z_])"
+#: ``ALIASES`` in their order, with the same groups, as patterns that read a text once: what every match holds (in lower case), and the pattern.
+_ALIASES_ONCE = (
+    ('"常被称为', '"([^"]++)"常被称为(.+)'), ('，又名"', _LINE + '(.+)，又名"([^"]++)"'), ('，人称"', _LINE + '(.+)，人称"([^"]++)"'), ('，绰号"', _LINE + '(.+)，绰号"([^"]++)"'),
+    ("称", _LINE + r"[^称\n\r\x{85}\x{2028}\x{2029}]*+称(.+)为(.+)"), ("之", _LINE + "(.+)之(.+)"),
+    ("known", _WORD + r'(\w++),?\s++known\s++as\s++"(\w++)"'), ("nicknamed", _WORD + r'(\w++)\s++nicknamed\s++"(\w++)"'), ("call", _WORD + r'(\w++)\s++also\s++calls?\s++(?:himself|herself|themselves)\s++"(\w++)"'),
+    ('"', _WORD + r'(\w++)\s++(?:or|aka|also\s++known\s++as)\s++"(\w++)"'), ("short", r"(?i)(?:\G|(?<![0-9A-Za-z_]))(\w++)\s++for\s++(?:short|shortened)"),
+)
 #: Factors by distance from an antecedent: the first bound exceeded counts.
 DECAY = ((500, 0.5), (200, 0.7), (100, 0.85), (50, 0.95))
 
@@ -105,16 +114,24 @@ def surname_names(chapters: DataFrame) -> DataFrame:
     return regex_scan(chapters, [Pattern(f"({compound}[{CJK}]{{1,2}})", 1, 0.9, "compound"), Pattern(f"([{lex.SURNAMES}][{CJK}]{{1,2}})", 1, 0.7, "single")]).filter(likely_name(F.col("text")))
 
 
+def _told(found: Column, pattern: str, two: bool) -> Column:
+    """``(name, alias)`` of each match."""
+    group = lambda x, k: F.trim(F.regexp_extract(x, pattern, k))
+    return F.transform(found, lambda x: F.struct((group(x, 1) if two else F.lit("")).alias("name"), group(x, 2 if two else 1).alias("alias")))
+
+
 def alias_pairs(chapters: DataFrame) -> DataFrame:
-    """``book_id, chapter_index, name, alias`` told by phrases like *known as*."""
-    text = F.coalesce("content", F.lit(""))
+    """``book_id, chapter_index, name, alias`` told by phrases like *known as*.
+
+    Each pattern reads a text once, and only a text that holds its words; groups come from the match alone.
+    """
     pairs = []
-    for p in ALIASES:
-        two = re.compile(p).groups > 1
-        alias = F.regexp_extract_all(text, F.lit(p), F.lit(2 if two else 1))
-        name = F.regexp_extract_all(text, F.lit(p), F.lit(1)) if two else F.transform(alias, lambda a: F.lit(""))
-        pairs.append(F.transform(F.arrays_zip(name.alias("n"), alias.alias("a")), lambda x: F.struct(F.trim(x["n"]).alias("name"), F.trim(x["a"]).alias("alias"))))
-    return chapters.select("book_id", "chapter_index", F.explode(F.concat(*pairs)).alias("p")).select("book_id", "chapter_index", "p.name", "p.alias").distinct()
+    for (words, p), rule in zip(_ALIASES_ONCE, ALIASES, strict=True):
+        found = F.when(F.contains("_low", F.lit(words)), F.regexp_extract_all("_t", F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        pairs.append(_told(found, p, re.compile(rule).groups > 1))
+    text = F.coalesce("content", F.lit(""))
+    rows = chapters.select("book_id", "chapter_index", text.alias("_t"), F.lower(text).alias("_low"))
+    return rows.select("book_id", "chapter_index", F.explode(F.concat(*pairs)).alias("p")).select("book_id", "chapter_index", "p.name", "p.alias").distinct()
 
 
 def extended(rows: DataFrame, pairs: DataFrame) -> DataFrame:

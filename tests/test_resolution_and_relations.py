@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 from pyspark.sql import functions as F
 
 from loomwright.operators import coreference as K, relations as J, resolution as H, validation as V
@@ -136,3 +140,24 @@ def test_coreference_patterns(spark):
     assert K.extended(rows, pairs).first()["aliases"] == ["A", "Queen"]
     d = spark.createDataFrame([("the tall ann",), ("old smith",), ("nobody",)], "d string").select(K.descriptor_match(F.col("d"), ["Ann", "John Smith"]).alias("m")).collect()
     assert [(r["m"] or {"name": None})["name"] for r in d] == ["Ann", "John Smith", None]
+
+
+def test_alias_patterns_read_a_text_once(spark):
+    """Against each pattern of ``ALIASES`` as it stands, over made-up texts; a long line without a match takes no time."""
+    rng, bits = random.Random(4), ['"', '""', "，又名\"", "，人称\"", "，绰号\"", "\"常被称为", "称", "为", "之", "甲", "乙", " ", "  ", "\n", "\r\n", "\u2028", "\x85", "\t", "ann", "Bob_1", ",", " Known as \"", " nicknamed \"", " also calls herself \"", " also call themselves \"", " or \"", " AKA \"", " also  known as \"", " for short", " for shortened", "é", "K", "İ"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(6000)] + ["x for shorty for short", None]
+    ch = spark.createDataFrame([("b", k, t) for k, t in enumerate(texts)], "book_id string, chapter_index int, content string").repartition(4)
+    got = {tuple(r) for r in K.alias_pairs(ch).select("chapter_index", "name", "alias").collect()}
+    want = set()
+    for p in K.ALIASES:
+        two = re.compile(p).groups > 1
+        first, last = (F.regexp_extract_all("content", F.lit(p), F.lit(k)) for k in (1, 2 if two else 1))
+        rows = ch.filter("content is not null").select("chapter_index", F.explode(F.arrays_zip((first if two else F.transform(first, lambda x: F.lit(""))).alias("n"), last.alias("a"))).alias("p"))
+        found = {tuple(r) for r in rows.select("chapter_index", F.trim("p.n"), F.trim("p.a")).collect()}
+        assert found, p
+        want |= found
+    assert got == want
+    long = spark.createDataFrame([("b", 0, w * 100_000) for w in ("甲", "称", "w", "a b", " ", '"')] + [("b", 1, "之" + "，又名\"\"" * 50_000)], "book_id string, chapter_index int, content string")
+    began = time.time()
+    K.alias_pairs(long).count()
+    assert time.time() - began < 60

@@ -22,7 +22,7 @@ def one_book(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["asset_warnings", "asset_prompts"])
+@pytest.mark.parametrize("name", ["asset_warnings", "asset_prompts", "story_assets"])
 def test_one_book(spark, one_book, name):
     began = time.time()
     df = QUERIES[name](spark, one_book)

@@ -41,7 +41,7 @@ def narrow(c: Column) -> Column:
 
 
 def without_trailing_blanks(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?m)[ \t]+$", "")
+    return F.regexp_replace(c, r"(?m)(?<![ \t])[ \t]++$", "")
 
 
 def few_blank_lines(c: Column) -> Column:
@@ -49,10 +49,15 @@ def few_blank_lines(c: Column) -> Column:
     return F.btrim(F.regexp_replace(c, r"\n{3,}", "\n\n"), F.lit("\n"))
 
 
+#: Any character that the first four steps of normalisation change.
+_CHANGED = "[\\r\\x{AD}" + "".join(f"\\x{{{ord(x):X}}}" for x in INVISIBLE + IRREGULAR_SPACES) + "\\x{FF21}-\\x{FF3A}\\x{FF41}-\\x{FF5A}\\x{FF10}-\\x{FF19}\\x{FF0E}]"
+
+
 def normalized(c: Column) -> Column:
-    for step in (unix_lines, visible, regular_spaces, narrow, without_trailing_blanks, few_blank_lines):
-        c = step(c)
-    return c
+    """The steps in order; texts that hold nothing for the first four to change are read once for all of them."""
+    stepped = lambda x: narrow(regular_spaces(visible(unix_lines(x))))
+    c = F.transform(F.array(c), lambda x: F.when(x.rlike(_CHANGED), stepped(x)).otherwise(x))[0]
+    return few_blank_lines(without_trailing_blanks(c))
 
 
 def normalization_report(c: Column) -> dict[str, Column]:

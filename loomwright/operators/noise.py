@@ -42,9 +42,13 @@ class Lexicon:
     garbled_least: int = 10
     longest: int = 200
     url_rest: int = 30
+    #: What every promo line, template, navigation line, orphan and start of a note has: texts without it are not asked for those.
+    marked: str | None = None
+    #: Whether all of ASCII but DEL is good: then only what is beyond it can be garbled.
+    ascii_good: bool = False
 
 
-DEFAULT = Lexicon()
+DEFAULT = Lexicon(marked=r"[\x{4E00}-\x{9FFF}]", ascii_good=True)
 #: Detectors in order of precedence; among equal confidences the earlier one wins.
 CATEGORIES = ("url", "promo", "template", "decoration", "garbled", "meta", "repeated")
 REMOVED_FROM = 0.8
@@ -65,30 +69,33 @@ def _any(t: Column, patterns: tuple[str, ...], prefix: str = "") -> Column:
     return t.rlike(prefix + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
 
 
-def candidates(line: Column, lex: Lexicon = DEFAULT, t: Column | None = None) -> dict[str, tuple[Column, float]]:
-    """Whether each one-line detector fires, with its confidence (``t``: the trimmed line, where it is at hand)."""
+def candidates(line: Column, lex: Lexicon = DEFAULT, t: Column | None = None, marked: Column | None = None) -> dict[str, tuple[Column, float]]:
+    """Whether each one-line detector fires, with its confidence (``t``: the trimmed line, ``marked``: whether its text has ``lex.marked``, where they are at hand)."""
     t = trimmed(line) if t is None else t
+    marked = F.lit(True) if marked is None else marked
     some = F.length(t) > 0
-    short = F.length(t) <= lex.longest
+    short = marked & (F.length(t) <= lex.longest)
+    # A character beyond ASCII has a byte more at least.
+    strange = F.contains(t, F.lit("\x7f")) | (F.octet_length(t) - F.length(t) >= lex.garbled_share * F.length(t) - 1) if lex.ascii_good else F.lit(True)
     return {
         "url": (t.rlike(lex.url_hint) & t.rlike(lex.url) & (F.length(url_rest(line, lex)) <= lex.url_rest), 0.9),
         "promo": (some & short & _any(t, tuple(re.escape(p) for p in lex.promo), "(?iu)"), 0.85),
         "template": (some & short & _any(t, lex.templates), 0.8),
         "decoration": (line.rlike(lex.decoration), 0.9),
-        "garbled": ((F.length(t) >= lex.garbled_least) & (garbled_ratio(t, lex) > lex.garbled_share), 0.85),
-        "meta": (some & (t.rlike(lex.page_number) | t.rlike(lex.navigation)), 0.95),
-        "orphan": (t.rlike(lex.orphan), 0.6),
+        "garbled": ((F.length(t) >= lex.garbled_least) & strange & (garbled_ratio(t, lex) > lex.garbled_share), 0.85),
+        "meta": (some & (t.rlike(lex.page_number) | (marked & t.rlike(lex.navigation))), 0.95),
+        "orphan": (marked & t.rlike(lex.orphan), 0.6),
     }
 
 
-def best(line: Column, lex: Lexicon = DEFAULT, note: Column | None = None, repeated: Column | None = None, t: Column | None = None) -> Column:
+def best(line: Column, lex: Lexicon = DEFAULT, note: Column | None = None, repeated: Column | None = None, t: Column | None = None, marked: Column | None = None) -> Column:
     """The suspicion of a line, ``struct<confidence, order, category>`` or null: greatest confidence, then the earlier detector.
 
     ``note`` is the confidence that an author-note fold gave the line (it takes the place of the other meta rules),
     ``repeated`` whether the line is a repeated tail.
     """
     found = []
-    for name, (fires, confidence) in candidates(line, lex, t).items():
+    for name, (fires, confidence) in candidates(line, lex, t, marked).items():
         category = "meta" if name == "orphan" else name
         if note is not None and category == "meta":
             fires = fires & note.isNull()
@@ -138,7 +145,8 @@ def with_notes(docs: DataFrame, text_col: str, out: str, lex: Lexicon = DEFAULT)
         for texts in batches:
             yield pa.array([note_fold(t or "", start, end) for t in texts.to_pylist()], pa.list_(pa.float64()))
 
-    return docs.withColumn(out, fold(F.when(F.col(text_col).rlike(hint), F.col(text_col))))
+    starts = F.col(text_col).rlike(hint)
+    return docs.withColumn(out, fold(F.when((F.col(text_col).rlike(lex.marked) & starts) if lex.marked else starts, F.col(text_col))))
 
 
 def repeated_tails(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n\n\n", share: float = 0.5, least: int = 4, last: int = 5) -> DataFrame:
@@ -182,7 +190,7 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lex
     All but the keep-lines is done inside a document's row. Repeated tails are less sure than what the default removes, so
     only ``aggressive`` cleaning counts them (which takes a join on the document).
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("marked", F.col("text").rlike(lex.marked) if lex.marked else F.lit(True))
     base = with_notes(base, "text", "note", lex)
     if keep is not None:
         kept = keep.groupBy("doc_id").agg(F.collect_set(F.col("line_num").cast("int")).alias("kept"))
@@ -196,7 +204,7 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lex
 
     def stays(x: Column, i: Column) -> Column:
         repeated = F.array_contains("tails", x["t"]) if aggressive else None
-        return F.coalesce(best(x["line"], lex, F.get("note", i), repeated, x["t"])["confidence"] < least, F.lit(True)) | F.array_contains("kept", i + 1)
+        return F.coalesce(best(x["line"], lex, F.get("note", i), repeated, x["t"], F.col("marked"))["confidence"] < least, F.lit(True)) | F.array_contains("kept", i + 1)
 
     split = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), trimmed(x).alias("t")))
     flagged = base.select("doc_id", F.transform(split, lambda x, i: F.struct(x["line"].alias("line"), stays(x, i).alias("stays"))).alias("l"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalized
 from ..operators import noise, scanners, scoring, segmentation
-from ..session import kept
+from ..session import kept, stored
 
 
 def preprocess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalize: bool = True, aggressive: bool = False, keep: DataFrame | None = None) -> DataFrame:
@@ -20,7 +20,7 @@ def preprocess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def outline(docs: DataFrame, **options) -> DataFrame:
     """Chapters of the cleaned text with their volumes, without a scan for entities."""
-    clean = preprocess(docs, **options)
+    clean = stored(preprocess(docs, **options))  # read by each way of splitting
     return segmentation.tree(segmentation.chapters(clean), segmentation.volumes(clean))
 
 

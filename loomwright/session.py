@@ -47,3 +47,10 @@ def kept(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder: for what several steps read."""
     shared(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as a table of the shared folder: as ``kept``, for whole texts, which take less disk so."""
+    path = new_folder(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
